@@ -78,7 +78,56 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM c LEFT JOIN (SELECT * FROM m WHERE place = 1) USING (k)
 """
 
+POISSON_MIX = """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, CAST(count(*) AS DOUBLE) ** 0.7 AS w FROM documents GROUP BY source),
+r AS (SELECT source, n, w / (SELECT sum(w) FROM c) * (SELECT CAST(sum(n) AS DOUBLE) FROM c) / n AS rate FROM c),
+p AS (
+  SELECT source, rate, 0 AS j, exp(-rate) AS p, exp(-rate) AS cdf FROM r
+  UNION ALL
+  SELECT source, rate, j + 1, p * rate / (j + 1), cdf + p * rate / (j + 1) FROM p WHERE j < ceil(rate + 10 * sqrt(rate) + 20)),
+d AS (
+  SELECT doc_id, text, source, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k,
+         CAST(('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+n AS (
+  SELECT doc_id, k, any_value(text) AS text, any_value(d.source) AS source, any_value(rate) AS rate, count(*) FILTER (WHERE cdf <= u) AS copies
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY doc_id, k),
+e AS (SELECT *, unnest(range(copies)) AS copy FROM n)
+SELECT doc_id, text, source, CAST(copies AS INT) AS copies, CAST(copy AS INT) AS copy, round(rate, 6) AS rate,
+       md5('20:' || k || ':' || copy) AS order_key
+FROM e
+"""
+
+TOOL_CALLS = """
+WITH t AS (SELECT conv_id, turn, role, text, 'c' || conv_id || '-' AS c FROM conversations),
+res AS (SELECT conv_id, turn, c || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
+got AS (SELECT call_id, max(text) AS output, count(*) AS n FROM res GROUP BY call_id),
+calls AS (
+  SELECT t.conv_id, t.turn, t.c || t.turn AS call_id, t.text, b.turn IS NOT NULL AS has, t.c || (t.turn - 2) AS after
+  FROM t LEFT JOIN (SELECT DISTINCT conv_id, turn FROM t WHERE role = 'user') b ON b.conv_id = t.conv_id AND b.turn = t.turn - 2
+  WHERE t.role = 'user'),
+lines AS (
+  SELECT conv_id, turn AS position, coalesce(n, 0) AS n_results, 'call' AS kind, call_id,
+         coalesce(length(text), 0) > 0 AS valid,
+         CASE WHEN text IS NULL THEN '$.prompt: missing' WHEN text = '' THEN '$.prompt: too short' END AS problems,
+         '{"arguments":{' || CASE WHEN has THEN '"after":"' || after || '"' || CASE WHEN text IS NULL THEN '' ELSE ',' END ELSE '' END
+           || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) END || '},"id":"' || call_id
+           || '","name":"reply","result":' || coalesce(CAST(to_json(output) AS VARCHAR), 'null') || '}' AS line
+  FROM calls LEFT JOIN got USING (call_id)
+  UNION ALL
+  SELECT conv_id, turn, 1, 'orphan', call_id, true, NULL,
+         '{"id":"' || call_id || '","result":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'
+  FROM res WHERE call_id NOT IN (SELECT call_id FROM calls)
+  UNION ALL
+  SELECT conv_id, turn, 0, 'message', NULL, true, NULL,
+         '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+  FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
+SELECT conv_id, position, position AS rank, CAST(n_results AS BIGINT) AS n_results, kind, call_id, valid, problems, line FROM lines
+"""
+
 ORACLES = {
+    "op5_tool_calls": TOOL_CALLS,
+    "op6_poisson_mix": POISSON_MIX,
     "op3_decontamination": DECONTAMINATION,
     "op4_host_rules": HOST_RULES,
     "op10_url_rules": URL_RULES,

@@ -219,16 +219,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SH
 def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest; rows that repeat that id are cut to one.
 
-    A row without a doc_id goes only where its component has a row with one. Texts are not shuffled while the ids that go
-    are at most broadcast_rows (16 bytes each); beyond that both sides are.
+    A row without a doc_id goes where its component has a row with one; of the others each different text stays once. Texts
+    are not shuffled while the ids that go are at most broadcast_rows (16 bytes each); beyond that both sides are.
     """
     found = stash(near_duplicates(docs), "near-duplicates")
-    gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    gone = small(stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
     kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    if not found.where("doc_id is null and component_id is not null").isEmpty():
-        texts = fingerprints(docs.select(F.lit(0).cast("long").alias("doc_id"), "text").distinct())
-        raise ValueError(f"rows without a doc_id are copies of others: {texts.count()} texts; give them ids first")
+    if not found.where("doc_id is null").isEmpty():
+        hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+        lone = docs.where("doc_id is null")
+        prints = fingerprints(lone.select(hashed.alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+        taken = small(stash(prints.join(found.where("component_id is not null").select("fingerprint").distinct(), "fingerprint").select("gone_text").distinct(), "gone-texts"))
+        lone = lone.withColumn("lone_text", hashed).join(taken, F.col("lone_text") == F.col("gone_text"), "left_anti").dropDuplicates(["lone_text"]).drop("lone_text")
+        kept = kept.where("doc_id is not null").unionByName(lone)
     return kept
