@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestep.llm import positional_index, simhash_bk
+from lodestep.llm import poisson_mix, positional_index, simhash_bk, token_store, toxic_segments
+from lodestep.llm.queries import tokenizer_path
 from lodestep.session import stash, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxic_segments.reject(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id."""
     return simhash_bk.keep_one(docs)
@@ -18,7 +24,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return positional_index.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate makes it, in a random order."""
+    return poisson_mix.mix(docs).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Block files of token ids, and what is read back from them: a row for each copy of a document."""
+    return token_store.round_trip(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_ids", token_ids)]
+
+#: The tokenizer, the segment search and the fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
