@@ -32,7 +32,7 @@ from lodestep.llm.hd_language import held_out
 from lodestep.session import ship, stash
 
 STEM = 4
-Z = 1.5
+Z = 2.5
 DRIFT = 1.0
 PRIOR = 2.0
 SIGNIFICANT = 0.01
