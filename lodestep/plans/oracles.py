@@ -307,7 +307,7 @@ dr AS (SELECT iteration, {DRAW.format(20260823)} AS pick FROM (SELECT iteration,
 b AS (SELECT iteration, avg(residual) AS mean FROM dr JOIN o USING (pick) GROUP BY iteration)
 SELECT (SELECT arg_min(doc_id, (abs(complexity - (SELECT quantile_cont(CAST(complexity AS DOUBLE), 0.5) FROM u)), doc_id)) FROM u) AS representative,
        round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM b""",
-    "q_auc_brier_corr": f"""WITH {TASKS}, x AS (SELECT outcome AS y, floor(base_quality * 1000) / 1000 AS p FROM u)
+    "q_auc_brier_corr": f"""WITH {TASKS}, x AS (SELECT outcome AS y, floor(base_quality * 1000 + 0.25) / 1000 AS p FROM u)
 SELECT round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg((p - y) ** 2), 6) AS brier, round(corr(y, p), 6) AS correlation, round(avg(y), 6) AS prevalence,
        round((SELECT avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) FROM x a, x b WHERE a.y = 1 AND b.y = 0), 6) AS auc, 0.0::DOUBLE AS constant_correlation FROM x""",
     "q_isotonic": f"""WITH {TASKS}, g AS (SELECT round(complexity / 2, 0) AS p, sum(outcome) AS s, count(*) AS w FROM u GROUP BY 1),
@@ -370,3 +370,15 @@ SELECT doc_id, '{name}' AS scenario, chosen FROM ways WHERE policy = 'learned_0.
 ORACLES["q_profile_scenarios"] = f"""WITH a AS ({" UNION ALL ".join("SELECT * FROM " + _scenario(s) for s in ("base", "compressed", "expanded", "gpt_sol_luna_swapped"))})
 SELECT a.scenario, count(*) AS n, round(avg(CAST(a.chosen <> b.chosen AS INT)), 6) AS disagreement, count(*) FILTER (WHERE a.chosen = 'luna') AS luna, count(*) FILTER (WHERE a.chosen = 'sonnet') AS sonnet
 FROM a JOIN (SELECT * FROM a WHERE scenario = 'base') b USING (doc_id) GROUP BY a.scenario"""
+ORACLES["q_template_split"] = """WITH RECURSIVE d AS (SELECT doc_id, sha256(left(coalesce(text, ''), 24)) AS h FROM documents),
+g AS (SELECT h, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, h) AS k FROM d GROUP BY h),
+total AS (SELECT sum(n) AS t FROM g),
+f AS (
+  SELECT 0 AS k, [0, 0, 0, 0, 0]::DOUBLE[] AS sizes, [0, 0, 0]::DOUBLE[] AS parts, 0 AS fold, 0 AS part
+  UNION ALL
+  SELECT g.k, list_transform(sizes, lambda x, i: x + CASE WHEN i = list_position(sizes, list_min(sizes)) THEN n ELSE 0 END),
+         list_transform(parts, lambda x, i: x + CASE WHEN i = list_position(fill, list_min(fill)) THEN n ELSE 0 END),
+         list_position(sizes, list_min(sizes)) - 1, list_position(fill, list_min(fill)) - 1
+  FROM (SELECT f.*, [parts[1] / greatest(t * (1.0::DOUBLE - 0.2::DOUBLE - 0.2::DOUBLE), 1), parts[2] / greatest(t * 0.2::DOUBLE, 1), parts[3] / greatest(t * 0.2::DOUBLE, 1)] AS fill FROM f CROSS JOIN total) x
+  JOIN g ON g.k = x.k + 1)
+SELECT doc_id, CAST(fold AS INT) AS fold, CAST(part AS INT) AS part FROM d JOIN g USING (h) JOIN f ON f.k = g.k"""

@@ -418,7 +418,7 @@ def residual_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def auc_brier_corr(spark: SparkSession, d: str) -> DataFrame:
-    u = _usable(spark, d).withColumn("p", F.floor(F.col("base_quality") * 1000) / 1000)
+    u = _usable(spark, d).withColumn("p", F.floor(F.col("base_quality") * 1000 + 0.25) / 1000)
     e = evaluation.prediction_errors(u, "evaluation_outcome_score", "p")
     constant = u.withColumn("c", F.lit(1.0)).agg(stats.correlation(F.col("c"), F.col("p")).alias("constant_correlation"))
     return e.crossJoin(stats.auc(u, "evaluation_outcome_score", "p")).crossJoin(constant).select(*(_r(F.col(c), c) for c in ("mae", "rmse", "brier", "correlation", "prevalence", "auc", "constant_correlation")))
