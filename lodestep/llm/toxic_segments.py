@@ -1,19 +1,19 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Tokens are runs of letters, in lower case, counted once a text, and texts that repeat are counted once. A token's log-odds
-between toxic and other labelled texts have a Dirichlet prior from its first letters' counts (which in turn have a flat one), less ``Z`` standard deviations; tokens that were
-never seen take those of their first letters. All tokens that do not count as toxic then cost ``DRIFT``. A text's maximal
-scoring segments (no part of which could be extended or cut for more) are found in one pass over its tokens.
+between toxic and other labelled texts have a Dirichlet prior from its first letters' counts (which in turn have a flat
+one), less ``Z`` standard deviations; tokens that were never seen take those of their first letters. All tokens that do not
+count as toxic then cost ``DRIFT``. A text's maximal scoring segments (no part of which could be extended or cut for more)
+are found in one pass over its tokens.
 
 The best segment of a text without toxicity follows an extreme-value distribution, whose tail is fitted on clean labelled
 texts that gave no counts: a segment of score s is expected K * n * exp(-lambda * s) times in n tokens. Segments expected
 less than ``SIGNIFICANT`` times are toxic passages. A logistic curve over the logarithm of that expectation, with 0.7 at
 the cut that parts the same held-back texts best (F1), gives the score.
 
-Labels are learned from at most ``MAX_FIT_ROWS`` labelled texts, taken by hash; this also bounds the token table that
-goes to the tasks. A null or empty text has the score of no toxic token. A null doc_id is never learned from. Null labels are no
-labels; a doc_id with several labels has the largest. Without labels of
-both kinds every score is 0.
+Labels are learned from at most ``MAX_FIT_ROWS`` labelled texts, taken by hash; this also bounds the token table that goes
+to the tasks. A text without a toxic token has score 0, so null and empty ones too. A null doc_id is never learned from.
+Null labels are no labels; a doc_id with several labels has the largest. Without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ class Model:
         return math.log(self.scale * max(n, 1)) - self.rate * score
 
     def toxicity(self, score: float, n: int) -> float:
-        if self.cut is None:
+        if self.cut is None or score <= 0:
             return 0.0
         x = self.cut - self.log_expected(score, n) + math.log(CUT / (1 - CUT))
         return 1 / (1 + math.exp(-min(max(x, -700.0), 700.0)))
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
         return Model()
     final.rate = (over + 1) / (excess + 2.0)
     final.scale = (over + 1) / (tokens + 1)
-    expected = F.log(F.lit(final.scale) * F.greatest("n_tokens", F.lit(1))) - F.lit(final.rate) * F.col("best")
+    expected = F.when(F.col("best") > 0, F.log(F.lit(final.scale) * F.greatest("n_tokens", F.lit(1))) - F.lit(final.rate) * F.col("best")).otherwise(200.0)
     bins = scanned.select("toxic", F.round(F.least(F.greatest(expected, F.lit(-200.0)), F.lit(200.0)) * 4).cast("int").alias("bin")).groupBy("toxic", "bin").count().collect()
     final.cut = _best_cut({(r["toxic"] > 0, r["bin"]): r["count"] for r in bins})
     return final
