@@ -1,0 +1,108 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestep.llm import feistel_pii as pii
+from lodestep.llm.queries import PII_KEY, pseudonyms
+
+KEY = "k"
+
+
+def feistel(x, a, b, tweak, key=KEY):
+    left, right = divmod(x, b)
+    for i in range(pii.ROUNDS):
+        m, other = (a, right) if i % 2 == 0 else (b, left)
+        f = int(hashlib.sha256(f"{key}|{tweak}|{i}|{other}|{m}".encode()).hexdigest()[:13], 16)
+        if i % 2 == 0:
+            left = (left + f) % m
+        else:
+            right = (right + f) % m
+    return left * b + right
+
+
+def luhn(digits):
+    s = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        s += d - 9 * (d > 9)
+    return s % 10 == 0
+
+
+def one(spark, text, key=KEY):
+    return pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key).first()
+
+
+@pytest.mark.parametrize(("a", "b"), [(10, 10), (1, 36), (17, 43), (100, 10)])
+def test_feistel_permutes_its_domain(spark, a, b):
+    got = spark.range(a * b).select("id", pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "t", F.lit(KEY)).alias("y")).collect()
+    assert sorted(r["y"] for r in got) == list(range(a * b))
+    assert all(r["y"] == feistel(r["id"], a, b, "t") for r in got)
+
+
+def test_large_numbers_keep_all_digits(spark):
+    x = 987_654_321_987_654_321
+    got = spark.range(1).select(pii.feistel(F.lit(x), F.lit(10**9), F.lit(10**9), "t", F.lit(KEY)).alias("y")).first()["y"]
+    assert got == feistel(x, 10**9, 10**9, "t")
+
+
+def test_cards_stay_valid_and_keep_their_format(spark):
+    r = one(spark, "a 4111 1111 1111 1111, b 4111111111111111! c 4111111111111112")
+    a, b, c = re.search(r"a ([\d ]+), b (\d+)! c (\d+)", r["text"]).groups()
+    assert a.replace(" ", "") == b and luhn(b) and b != "4111111111111111" and c == "4111111111111112"
+    assert b[:15] == f"{feistel(411111111111111, 10**7, 10**8, 'card'):015d}"
+    assert r["n_values"] == 2
+
+
+def many(spark, texts):
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    return [r["text"] for r in rows]
+
+
+def test_formats(spark):
+    same = ["10.0.0.256", "30.02.2000", "2024-13-01", "000-12-3456", "1.2.3", "page 12"]
+    phone, number, ip, mail, *rest = many(spark, ["+1 (206) 555-0123", "078-05-1120", "10.0.0.255", "Jo.Doe99@ex-ample.co.uk", *same])
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) \d{3}-\d{4}", phone)
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", number)
+    assert all(0 <= int(x) < 256 for x in ip.split("."))
+    assert re.fullmatch(r"[0-9a-z]{2}\.[0-9a-z]{5}@[0-9a-z]{2}-[0-9a-z]{5}\.[0-9a-z]{2}\.uk", mail)
+    assert rest == same
+
+
+def test_dates_are_permuted_within_two_centuries(spark):
+    import datetime as dt
+
+    text = one(spark, "on 2024-02-29 or 29.02.2024 or 12/31/1999")["text"]
+    day = (dt.date(2024, 2, 29) - dt.date(1900, 1, 1)).days
+    new = dt.date(1900, 1, 1) + dt.timedelta(feistel(day, *pii.DAYS, "date"))
+    assert text.startswith(f"on {new:%Y-%m-%d} or {new:%d.%m.%Y} or ")
+    assert re.fullmatch(r"\d\d/\d\d/(19|20)\d\d", text.rpartition(" ")[2])
+
+
+def test_same_value_same_pseudonym_other_key_other_pseudonym(spark):
+    a, b, c = (one(spark, t, k)["text"] for t, k in (("x jo@ex.com", "k"), ("y jo@ex.com", "k"), ("x jo@ex.com", "q")))
+    assert a[2:] == b[2:] != c[2:]
+
+
+def test_nulls_empty_repeats_and_other_columns(spark):
+    rows = [(1, None, 7), (2, "", 7), (3, "plain", None), (4, "jo@ex.com", 1), (4, "jo@ex.com", 1), (None, "x" * 300_000 + " jo@ex.com", 2)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_values int"), KEY).orderBy("doc_id").collect()
+    assert [r["n_values"] for r in got] == [1, 0, 0, 0, 1, 1]
+    assert got[1]["text"] is None and got[4]["text"] == got[5]["text"] and got[0]["text"].endswith(got[4]["text"])
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_whole_table_has_none_of_its_values_left(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in pseudonyms(spark, small).collect()}
+    seen = 0
+    for r in docs.collect():
+        for m in re.findall(r"[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", r["text"]):
+            if m.isdigit() and not luhn(m):
+                continue
+            seen += 1
+            assert m not in got[r["doc_id"]]
+        if not re.search(r"[0-9@]", r["text"]):
+            assert got[r["doc_id"]] == r["text"]
+    assert seen > 20 and len(got) == docs.count() and PII_KEY

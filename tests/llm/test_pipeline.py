@@ -1,0 +1,68 @@
+import os
+import subprocess
+import sys
+
+import numpy as np
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from lodestep.llm import poisson_mix, toxic_segments
+from lodestep.llm.queries import QUERIES, tokenizer_path
+from test_poisson_mix import draw
+from test_positional_index import brute as contamination
+from test_simhash_bk import components, fingerprint
+
+
+def test_stages_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = toxic_segments.fit(docs, spark.read.parquet(f"{tiny}/labels.parquet"))
+    left = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    toxic = {r["doc_id"] for r in toxic_segments.score(docs, model).collect() if r["predicted"]}
+    left = [r for r in left if r["doc_id"] not in toxic]
+    first = components([(r["doc_id"], fingerprint(r["text"])) for r in left])
+    left = [r for r, c in zip(left, first, strict=True) if c == r["doc_id"]]
+    items = [tuple(r) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    dirty = {x[0] for x in contamination([(r["doc_id"], r["text"]) for r in left], items) if x[5]}
+    left = [r for r in left if r["doc_id"] not in dirty]
+    n = {}
+    for r in left:
+        n[r["source"]] = n.get(r["source"], 0) + 1
+    w = sum(c**poisson_mix.TEMPERATURE for c in n.values())
+    t = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for r in left:
+        size = len(t.encode(r["text"], add_special_tokens=False).ids) + 1
+        rate = n[r["source"]] ** poisson_mix.TEMPERATURE / w * len(left) / n[r["source"]]
+        want += [(r["doc_id"], size)] * draw(r["doc_id"], rate)
+    got = sorted(corpus_pipeline.run(spark, tiny).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == sorted(want)
+    assert [r["start"] for r in got] == np.cumsum([0, *(s for _, s in sorted(want))])[:-1].tolist()
+    assert toxic and dirty and len(corpus_pipeline.STAGES) == 5
+
+
+def test_filters_leave_the_columns_and_clean_documents(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, tiny)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert stage(spark, docs.where("false"), tiny).count() == 0
+
+
+def test_queries_are_registered():
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES)
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+
+
+def test_nothing_else_imports_the_subpackage():
+    top = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    for folder, _, names in os.walk(f"{top}/lodestep"):
+        for name in names:
+            if name.endswith(".py") and not folder.endswith("llm"):
+                with open(os.path.join(folder, name), encoding="utf-8") as f:
+                    assert "lodestep.llm" not in f.read()
+
+
+def test_entry_without_the_subpackage():
+    top = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=top, check=True)
