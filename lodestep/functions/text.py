@@ -5,6 +5,8 @@ Patterns carry (?iU), so that words, spaces, digits and case are Unicode's, as i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ MASKS = [
     (r"</?[a-z_][^>]*>", "i", " "),
     (CONTROL, "", " "),
 ]
+#: What a text must hold for a mask to match at all; cheap to look for.
+NEEDED = dict(zip([m[0] for m in MASKS], ["<", r"\[", "`", "@|://|<", "_", "<", None, r"(?U)\d", r"(?U)\d", ":", "<", None], strict=True))
 ROUTING_CHARS, PREVIEW_CHARS, OPENING_CHARS = 6000, 500, 2000
 
 
@@ -70,10 +74,26 @@ def routing_text(text: Column) -> Column:
     return F.right(_squeeze(F.regexp_replace(t, CONTROL, " ")), F.lit(ROUTING_CHARS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mask(pattern: str, flags: str, instead: str) -> Callable[[Column], Column]:
+    """The mask, applied only to texts with a character that every match has."""
+    needs = NEEDED.get(pattern)
+
+    def masked(t: Column) -> Column:
+        done = F.regexp_replace(t, f"(?U{flags})" + pattern, instead)
+        return done if needs is None else F.when(t.rlike(needs), done).otherwise(t)
+
+    return masked
+
+
 def sanitise(text: Column) -> Column:
     """Text without identifiers, dates, numbers, paths and delivery notes, in lower case."""
     for pattern, flags, instead in MASKS:
-        text = F.regexp_replace(text, f"(?U{flags})" + pattern, instead)
+        text = let(text, _mask(pattern, flags, instead))
     return F.lower(_squeeze(text))
 
 
@@ -117,9 +137,14 @@ def question_marks(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Words of three letters or more that are no stop words, and pairs of neighbours among them."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"[a-z][a-z']{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit("__"), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    found = F.filter(F.regexp_extract_all(text, F.lit(r"[a-z][a-z']{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+
+    def with_pairs(w: Column) -> Column:
+        n = F.size(w) - 1
+        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit("__"), b))
+        return F.when(n > 0, F.concat(w, pairs)).otherwise(w)
+
+    return let(found, with_pairs)
 
 
 def tool_counts(names: Column) -> dict[str, Column]:

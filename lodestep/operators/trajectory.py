@@ -50,12 +50,15 @@ def eligible(status: Column) -> Column:
 def common_prefix(a: Column, b: Column) -> Column:
     """Leading characters that two texts share."""
     n = F.least(F.length(a), F.length(b))
-    # the longest k with equal k-prefixes, by halving: as many steps as n has bits
-    step = lambda lo_hi, _: F.when(
-        lo_hi["lo"] < lo_hi["hi"],
-        F.when(F.left(a, F.expr("0") + F.ceil((lo_hi["lo"] + lo_hi["hi"]) / 2).cast("int")) == F.left(b, F.ceil((lo_hi["lo"] + lo_hi["hi"]) / 2).cast("int")), F.struct(F.ceil((lo_hi["lo"] + lo_hi["hi"]) / 2).cast("int").alias("lo"), lo_hi["hi"].alias("hi"))).otherwise(F.struct(lo_hi["lo"].alias("lo"), (F.ceil((lo_hi["lo"] + lo_hi["hi"]) / 2) - 1).cast("int").alias("hi"))),
-    ).otherwise(lo_hi)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda x: x["lo"])
+
+    # the longest k with equal k-prefixes, by halving: as many steps as n can have bits
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.ceil((s["lo"] + s["hi"]) / 2).cast("int")
+        equal = F.left(a, middle) == F.left(b, middle)
+        up, down = F.struct(middle.alias("lo"), s["hi"].alias("hi")), F.struct(s["lo"].alias("lo"), (middle - 1).alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(equal, up).otherwise(down)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda s: s["lo"])
 
 
 def audit(requests: DataFrame, group: str, model: str, text: str) -> DataFrame:
