@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestep.session import fresh
+
 ROUNDS = 8
 DAYS = (17, 4297)  # 17 * 4297 days from 1900-01-01 to 2099-12-31
 
@@ -195,10 +197,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     # a text without digits or @ has no value, and is not searched
     may = t.rlike(r"[0-9]|@")
-    found = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    given = docs.withColumn("pii_found", found)
-    changed = F.when(F.size("pii_found") > 0, F.transform("pii_found", lambda m: pseudonym(m, secret)))
-    given = given.withColumn("pii_new", changed)
-    joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), "pii_new", lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    counted = F.coalesce(F.size(F.filter(F.zip_with("pii_found", "pii_new", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long")
-    return given.withColumn(text, F.when(F.size("pii_found") > 0, joined).otherwise(t)).withColumn("n_values", F.when(F.size("pii_found") > 0, counted).otherwise(F.lit(0).cast("long"))).drop("pii_found", "pii_new")
+    old, new = fresh(docs, "pii_found"), fresh(docs, "pii_new")
+    given = docs.withColumn(old, F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    some = F.size(old) > 0
+    given = given.withColumn(new, F.when(some, F.transform(old, lambda m: pseudonym(m, secret))))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
+    given = given.withColumn(text, F.when(some, joined).otherwise(t)).withColumn("n_values", F.when(some, changed).otherwise(F.lit(0).cast("long")))
+    return given.drop(old, new)

@@ -124,7 +124,6 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     ship(docs.sparkSession)
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names]).reshape(-1, DIMENSIONS).astype(np.float32)
-    common = np.array([UNKNOWN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 v = bundle(key, count).astype(np.float32) if len(names) else np.zeros(0)
                 size = float(np.linalg.norm(v))
                 if not size or not key.any():
-                    pred.append(str(common[0]))
+                    pred.append(UNKNOWN)
                     score.append(0.0)
                     margin.append(0.0)
                     continue

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestep.session import stash
+from lodestep.session import fresh, stash
 
 SEED = 20
 TEMPERATURE = 0.7
@@ -69,8 +69,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     rates = F.broadcast(rates) if rates.count() <= broadcast_rows else rates
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     docs = docs.drop("copies", "copy", "rate", "order_key")
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["mix_source"]))
-    drawn = joined.withColumn("mix_u", uniform(seed, key)).withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("mix_u"))))
-    made = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    origin, cdf, u = fresh(docs, "mix_source"), fresh(docs, "mix_cdf"), fresh(docs, "mix_u")
+    rates = rates.select(F.col("mix_source").alias(origin), "rate", F.col("cdf").alias(cdf))
+    joined = docs.join(rates, docs[source].eqNullSafe(rates[origin])).withColumn(u, uniform(seed, key))
+    joined = joined.withColumn("copies", F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    made = joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     made = made.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string"))))
-    return made.drop("mix_source", "mix_n", "cdf", "mix_u").repartition("order_key").sortWithinPartitions("order_key")
+    return made.select(*docs.columns, "copies", "copy", "rate", "order_key").repartition("order_key").sortWithinPartitions("order_key")

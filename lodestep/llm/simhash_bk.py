@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestep.session import ship, stash
+from lodestep.session import fresh, ship, stash
 
 RADIUS = 2
 SHARD_LIMIT = 20_000
@@ -233,9 +233,10 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     if not found.where("doc_id is null").isEmpty():
         hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-        lone = docs.where("doc_id is null")
+        lone, mark = docs.where("doc_id is null"), fresh(docs, "lone_text")
         prints = fingerprints(lone.select(hashed.alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
         taken = small(stash(prints.join(found.where("component_id is not null").select("fingerprint").distinct(), "fingerprint").select("gone_text").distinct(), "gone-texts"))
-        lone = lone.withColumn("lone_text", hashed).join(taken, F.col("lone_text") == F.col("gone_text"), "left_anti").dropDuplicates(["lone_text"]).drop("lone_text")
+        lone = lone.withColumn(mark, hashed)
+        lone = lone.join(taken, lone[mark] == taken["gone_text"], "left_anti").dropDuplicates([mark]).drop(mark)
         kept = kept.where("doc_id is not null").unionByName(lone)
     return kept
