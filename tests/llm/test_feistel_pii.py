@@ -86,8 +86,9 @@ def test_same_value_same_pseudonym_other_key_other_pseudonym(spark):
 
 
 def test_nulls_empty_repeats_and_other_columns(spark):
-    rows = [(1, None, 7), (2, "", 7), (3, "plain", None), (4, "jo@ex.com", 1), (4, "jo@ex.com", 1), (None, "x" * 300_000 + " jo@ex.com", 2)]
-    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_values int"), KEY).orderBy("doc_id").collect()
+    rows = [(1, None, 7, 0), (2, "", 7, 0), (3, "plain", None, 0), (4, "jo@ex.com", 1, 0), (4, "jo@ex.com", 1, 0), (None, "x" * 300_000 + " jo@ex.com", 2, 0)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_values int, pii_found int"), KEY).orderBy("doc_id").collect()
+    assert {r["pii_found"] for r in got} == {0}
     assert [r["n_values"] for r in got] == [1, 0, 0, 0, 1, 1]
     assert got[1]["text"] is None and got[4]["text"] == got[5]["text"] and got[0]["text"].endswith(got[4]["text"])
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0

@@ -48,3 +48,9 @@ def test_order_is_shuffled_and_stable(spark):
     a, b = ([(r["doc_id"], r["copy"]) for r in pm.mix(docs).collect()] for _ in range(2))
     assert a == b and a != sorted(a)
     assert pm.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "t", "a", 5, 6, 7)], "doc_id long, text string, source string, mix_source int, cdf int, mix_cdf int")
+    out = pm.mix(docs, epochs=20.0)
+    assert out.columns == [*docs.columns, "copies", "copy", "rate", "order_key"] and out.first()[3:6] == (5, 6, 7)

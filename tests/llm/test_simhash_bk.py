@@ -80,6 +80,6 @@ def test_documents_against_brute_force(spark, tiny):
 
 def test_keep_one(spark):
     rows = [(5, "a b c d"), (3, "A b c d"), (3, "A b c d"), (7, "other words are here"), (None, "a b c d"), (None, "lone text of none"), (None, "lone text of none"), (8, None), (9, "")]
-    kept = sb.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sb.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lone_text int, gone_id int")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, "A b c d"), (7, "other words are here"), (None, "lone text of none"), (8, None)], key=str)
     assert sb.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
