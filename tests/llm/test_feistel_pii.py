@@ -60,6 +60,13 @@ def many(spark, texts):
     return [r["text"] for r in rows]
 
 
+def test_neighbours_are_found_one_by_one(spark):
+    a, b, both, grouped = many(spark, ["4111111111111111", "5500005555555559", "x 4111111111111111 5500005555555559 4111 1111 1111 1111 5500-0055-5555-5559", "3782 822463 10005"])
+    new = re.findall(r"\d{16}|\d{4}(?:[ -]\d{4}){3}", both)
+    assert [re.sub("[ -]", "", x) for x in new] == [a, b, a, b] and luhn(a) and luhn(b)
+    assert re.fullmatch(r"\d{4} \d{6} \d{5}", grouped) and grouped != "3782 822463 10005" and luhn(grouped.replace(" ", ""))
+
+
 def test_formats(spark):
     same = ["10.0.0.256", "30.02.2000", "2024-13-01", "000-12-3456", "1.2.3", "page 12"]
     phone, number, ip, mail, *rest = many(spark, ["+1 (206) 555-0123", "078-05-1120", "10.0.0.255", "Jo.Doe99@ex-ample.co.uk", *same])
