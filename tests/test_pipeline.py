@@ -9,6 +9,16 @@ from lodestep.plans import pipeline
 from lodestep.sources import sinks, traces
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Many wide plans over few rows: compiling them would take longer than running them."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
 @pytest.fixture(scope="module")
 def export(tmp_path_factory):
     folder = tmp_path_factory.mktemp("export")
