@@ -35,6 +35,7 @@ STEM = 4
 Z = 2.5
 DRIFT = 1.0
 PRIOR = 2.0
+LEAST_TEXTS = 3  # toxic texts that must have a token, or its first letters, for it to count
 SIGNIFICANT = 0.01
 CUT = 0.7
 MAX_FIT_ROWS = 200_000
@@ -136,10 +137,10 @@ def _log_odds(counts: DataFrame) -> Model:
     share = "(s1 + 0.5) / (s0 + s1 + 1)"
     own = words.join(stems, "stem").withColumn("score", bound(f"y1 + {PRIOR} * {share}", f"y0 + {PRIOR} * (1 - {share})", "y1", "y0"))
     model = Model()
-    model.stems = {r[0]: r[1] for r in scored.where("score > 0 and s1 > 1").select("stem", "score").collect()}
-    named = own.join(scored.where("score > 0 and s1 > 1").select("stem", F.lit(True).alias("marked")), "stem", "left")
+    model.stems = {r[0]: r[1] for r in scored.where(f"score > 0 and s1 >= {LEAST_TEXTS}").select("stem", "score").collect()}
+    named = own.join(scored.where(f"score > 0 and s1 >= {LEAST_TEXTS}").select("stem", F.lit(True).alias("marked")), "stem", "left")
     # a word needs an entry where it counts as toxic itself, or where it does not but its stem does
-    kept = named.where("(score > 0 and y1 > 1) or (marked and score <= 0 and y0 > 0)").select("token", F.greatest("score", F.lit(0.0)))
+    kept = named.where(f"(score > 0 and y1 >= {LEAST_TEXTS}) or (marked and score <= 0 and y0 > 0)").select("token", F.greatest("score", F.lit(0.0)))
     model.words = {r[0]: r[1] for r in kept.collect()}
     return model
 
