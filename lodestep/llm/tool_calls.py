@@ -13,6 +13,7 @@ kept as ``orphan``. Ids that are null link nothing. Repeated calls are kept. A n
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestep.session import ship, stash
 
-MAX_ROUNDS = 64
+COMPACT = 8  # rounds after which the released calls are written as one table
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -71,7 +72,7 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def ranks(calls: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def ranks(calls: DataFrame) -> DataFrame:
     """conv_id, call_id and rank (a topological order within the conversation; null on or behind a cycle).
 
     calls: conv_id, call_id, position, needs (ids). Needs that no call has are left out.
@@ -87,12 +88,14 @@ def ranks(calls: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     done = nodes.join(turned, "conv_id", "left_anti").select("conv_id", "call_id", F.col("position").cast("long").alias("rank"))
     left, open_edges = stash(nodes.join(turned, "conv_id", "left_semi"), "open-calls"), stash(edges.join(turned, "conv_id", "left_semi"), "open-needs")
     span = (left.agg(F.max("position")).first()[0] or 0) + 1
-    for level in range(max_rounds):
+    for level in itertools.count():  # each round releases a call or is the last
         free = left.join(open_edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
         free = stash(free, "released")
         if free.isEmpty():
             break
         done = done.unionByName(free.select("conv_id", "call_id", (F.lit(level) * F.lit(span) + F.col("position")).cast("long").alias("rank")))
+        if level % COMPACT == COMPACT - 1:
+            done = stash(done, "released-before")
         left = stash(left.join(free, ["conv_id", "call_id"], "left_anti"), "open-calls")
         open_edges = stash(open_edges.join(free.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "open-needs")
     return done.unionByName(left.select("conv_id", "call_id", F.lit(None).cast("long").alias("rank")))

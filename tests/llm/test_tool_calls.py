@@ -46,3 +46,10 @@ def test_turns_with_nulls_and_repeats(spark):
     assert json.loads(first["line"]) == {"arguments": {"prompt": "q \"é"}, "id": "c1-1", "name": "reply", "result": None}
     assert all(json.loads(r["line"])["arguments"]["after"] == "c1-1" for r in got if r["call_id"] == "c1-3" and r["kind"] == "call")
     assert tc.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chains_of_any_length_are_ordered(spark):
+    n = 2 * tc.COMPACT + 1
+    calls = [(1, f"k{k}", k, "f", '{"a": 1}', [f"k{k + 1}"] if k + 1 < n else []) for k in range(n)]
+    got = tc.ranks(spark.createDataFrame(calls, CALLS)).collect()
+    assert [r["call_id"] for r in sorted(got, key=lambda r: r["rank"])] == [f"k{k}" for k in reversed(range(n))]
