@@ -31,6 +31,7 @@ SYMBOLS = 128  # 0 is the boundary, 1 to 26 are a to z, the rest are shared by a
 SEED = 7
 UNKNOWN = "und"
 CHUNK = 4096
+HELD = 500_000  # n-grams of texts that are held before they are merged and bundled
 
 
 @functools.cache
@@ -83,16 +84,30 @@ def bundle(key: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per language; each text's n-grams are its own, so that batches and partitions do not matter."""
     sums: dict[str, np.ndarray] = {}
+    own: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held = 0
+
+    def merge() -> None:
+        for lang, parts in own.items():
+            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([c for _, c in parts]), len(key))
+            sums[lang] = sums.get(lang, 0) + bundle(key, count)
+        own.clear()
+
     for b in batches:
-        texts: dict[str, list[str]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            texts.setdefault(lang, []).append(text.as_py())
-        for lang, own in texts.items():
-            sums[lang] = sums.get(lang, 0) + bundle(*grams(" ".join(own)))
+            part = grams(text.as_py())
+            own.setdefault(lang, []).append(part)
+            held += len(part[0])
+            if held > HELD:
+                merge()
+                held = 0
         if len(sums) > 256:
             yield from _vectors(sums)
-            sums = {}
+            sums.clear()
+    merge()
     yield from _vectors(sums)
 
 

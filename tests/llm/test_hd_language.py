@@ -42,3 +42,22 @@ def test_nulls_empties_and_no_labels(spark):
     assert none["lang_pred"] == "und" and none["score"] == 0
     assert hd.identify(spark.createDataFrame([], schema)).count() == 0
     assert hd.grams("é" * 500_000)[1].sum() == 500_000
+
+
+def test_partitions_and_merging_do_not_matter(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("text", "lang")
+    a, b = hd.fit(docs.repartition(1)), hd.fit(docs.repartition(7))
+    assert list(a) == list(b) and all((a[k] == b[k]).all() for k in a)
+    batch = docs.select("lang", "text").where("lang is not null and text is not null").toArrow().to_batches()
+
+    def total():
+        sums = {}
+        for r in hd._learn(iter(batch)):
+            lang = r.column(0)[0].as_py()
+            sums[lang] = sums.get(lang, 0) + r.column(2).to_numpy()
+        return sums
+
+    whole = total()
+    monkeypatch.setattr(hd, "HELD", 1000)
+    parts = total()
+    assert whole.keys() == parts.keys() and all((whole[k] == parts[k]).all() for k in whole)
