@@ -39,6 +39,7 @@ LEAST_TEXTS = 3  # toxic texts that must have a token, or its first letters, for
 SIGNIFICANT = 0.01
 CUT = 0.7
 MAX_FIT_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 MEMO = 300_000
 _tokens = re.compile(r"[^\W\d_]+").findall
 
@@ -128,17 +129,19 @@ def _log_odds(counts: DataFrame) -> Model:
     if not n0 or not n1:
         return Model()
     base = math.log(n0 / n1)
-    stems = words.groupBy("stem").agg(F.sum("y0").alias("s0"), F.sum("y1").alias("s1"))
+    stems = stash(words.groupBy("stem").agg(F.sum("y0").alias("s0"), F.sum("y1").alias("s1")), "stem-counts")
+    few = stems.count() <= BROADCAST_ROWS  # words then stay where they are, however many share their first letters
 
     def bound(a: str, b: str, x: str, y: str):
         return F.log(F.expr(a) / F.expr(b)) + F.lit(base) - Z * F.sqrt(1 / (F.col(x) + 0.5) + 1 / (F.col(y) + 0.5))
 
     scored = stems.withColumn("score", bound("s1 + 0.5", "s0 + 0.5", "s1", "s0"))
     share = "(s1 + 0.5) / (s0 + s1 + 1)"
-    own = words.join(stems, "stem").withColumn("score", bound(f"y1 + {PRIOR} * {share}", f"y0 + {PRIOR} * (1 - {share})", "y1", "y0"))
+    own = words.join(F.broadcast(stems) if few else stems, "stem").withColumn("score", bound(f"y1 + {PRIOR} * {share}", f"y0 + {PRIOR} * (1 - {share})", "y1", "y0"))
     model = Model()
     model.stems = {r[0]: r[1] for r in scored.where(f"score > 0 and s1 >= {LEAST_TEXTS}").select("stem", "score").collect()}
-    named = own.join(scored.where(f"score > 0 and s1 >= {LEAST_TEXTS}").select("stem", F.lit(True).alias("marked")), "stem", "left")
+    marked = scored.where(f"score > 0 and s1 >= {LEAST_TEXTS}").select("stem", F.lit(True).alias("marked"))
+    named = own.join(F.broadcast(marked) if few else marked, "stem", "left")
     # a word needs an entry where it counts as toxic itself, or where it does not but its stem does
     kept = named.where(f"(score > 0 and y1 >= {LEAST_TEXTS}) or (marked and score <= 0 and y0 > 0)").select("token", F.greatest("score", F.lit(0.0)))
     model.words = {r[0]: r[1] for r in kept.collect()}
