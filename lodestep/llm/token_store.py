@@ -1,6 +1,6 @@
 """Token ids in binary block files: frequency-ranked ids, byte-aligned, with separate control bytes.
 
-Documents are dealt by ranges of doc_id, sorted and tokenised once; the ids go to the shared folder as blocks of whole
+Documents are dealt by ranges of doc_id (and of their texts' hashes, so that no id is too large for a task), sorted and tokenised once; the ids go to the shared folder as blocks of whole
 documents, with each task's id counts beside them. The counts of the whole corpus rank the ids (1 byte for the 256 most
 frequent ones). Each block then becomes one file, coded by numpy; block files are named after their place, written under
 another name and renamed, so a task that is run again leaves the same file. Reading decodes by table lookup.
@@ -211,7 +211,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
     """
     spark = docs.sparkSession
     ship(spark)
-    sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     blocks = stash(sorted_docs.mapInArrow(_tokenise(tokenizer, end_id, block_ids), BLOCK), "token-blocks")
     enc = encoder(tokenizer)
     width = max(enc.tokenizer.get_vocab_size(), end_id + 1)
