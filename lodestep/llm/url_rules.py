@@ -46,7 +46,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.struct(F.left(F.col("path"), n).alias("p"), n.alias("n")))
-    wide = urls.crossJoin(F.broadcast(lengths)).select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("ps"))
+    wide = urls.withColumn("lengths", lengths.scalar()).select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("ps"))
     tried = wide.select("url", F.explode("ps").alias("p"), "suffix").select("url", F.sha2(F.concat("suffix", "p.p"), 256).alias("full"), F.length("suffix").alias("sn"), F.col("p.n").alias("pn"))
     tried = tried.withColumn("short", F.left("full", F.lit(PREFIX)))
     side = F.broadcast(made) if rules.count() <= broadcast_rows else made
