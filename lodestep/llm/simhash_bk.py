@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from lodestep.llm import shingle_sets
 from lodestep.session import fresh, ship, stash
 
 RADIUS = 2
@@ -216,27 +217,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SH
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; rows that repeat that id are cut to one.
+def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, similarity: float = 0.8, width: int = shingle_sets.WIDTH) -> DataFrame:
+    """One row of docs for each component of near copies: texts whose sets of five-word shingles are 0.8 alike or more.
 
-    A row without a doc_id goes where its component has a row with one; of the others each different text stays once. Texts
-    are not shuffled while the ids that go are at most broadcast_rows (16 bytes each); beyond that both sides are.
+    Radius and shingles are not those of near_duplicates: at 0.8 fingerprints differ in more bits than blocks can find. The row
+    that stays has the smallest (doc_id, hash of the text), with null ids last; repeats of it are cut to one. Texts are not
+    shuffled while the rows that go are at most broadcast_rows (24 bytes each); beyond that both sides are.
     """
-    found = stash(near_duplicates(docs), "near-duplicates")
+    signed = stash(shingle_sets.signatures(docs, width), "signatures")
+    roots = components(shingle_sets.near_links(docs, signed, similarity, width, broadcast_rows=broadcast_rows))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    nodes = signed.groupBy("node").agg(F.min(order).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = nodes.groupBy("root").agg(F.min("least").alias("best"))
+    named = nodes.join(best, "root").select("node", F.col("best.doc_id").alias("best_id"), F.col("best.node").alias("best_node"))
+    found = stash(signed.select("doc_id", "node").join(named, "node"), "near-duplicates")
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    gone = small(stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    if not found.where("doc_id is null").isEmpty():
-        hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-        lone, mark = docs.where("doc_id is null"), fresh(docs, "lone_text")
-        prints = fingerprints(lone.select(hashed.alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-        taken = small(stash(prints.join(found.where("component_id is not null").select("fingerprint").distinct(), "fingerprint").select("gone_text").distinct(), "gone-texts"))
-        lone = lone.withColumn(mark, hashed)
-        lone = lone.join(taken, lone[mark] == taken["gone_text"], "left_anti").dropDuplicates([mark]).drop(mark)
-        kept = kept.where("doc_id is not null").unionByName(lone)
-    return kept
+    mark, key = fresh(docs, "text_hash"), F.col("doc_id").cast("long")
+    rows = docs.withColumn(mark, shingle_sets.node())
+
+    def meet(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return df.join(keys, (df[mark] == keys[f"{mark}_key"]) & key.eqNullSafe(keys[f"{mark}_id"]), how)
+
+    ids = [F.col("doc_id").alias(f"{mark}_id"), F.col("node").alias(f"{mark}_key")]
+    gone = small(stash(found.where(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("node") == F.col("best_node")))).select(*ids).distinct(), "gone"))
+    kept = meet(rows, gone, "left_anti")
+    again = stash(found.groupBy("doc_id", "node").count().where("count > 1").select(*ids), "repeated-rows")
+    if not again.isEmpty():
+        again = small(again)
+        kept = meet(kept, again, "left_anti").unionByName(meet(kept, again, "left_semi").dropDuplicates(["doc_id", mark]))
+    return kept.drop(mark)

@@ -10,7 +10,7 @@ from lodestep.llm import poisson_mix, toxic_segments
 from lodestep.llm.queries import QUERIES, tokenizer_path
 from test_poisson_mix import draw
 from test_positional_index import brute as contamination
-from test_simhash_bk import components, fingerprint
+from test_simhash_bk import components, fingerprint, one_of_each
 
 
 def test_stages_against_brute_force(spark, tiny):
@@ -66,3 +66,14 @@ def test_entry_without_the_subpackage():
     top = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=top, check=True)
+
+
+def test_stages_with_near_copies_by_five_words(spark, tiny, monkeypatch):
+    def component(rows):
+        kept = {d for d, _ in one_of_each(rows)}
+        return [d if d in kept else -1 for d, _ in rows]
+
+    here = sys.modules[__name__]
+    monkeypatch.setattr(here, "fingerprint", lambda text: text)
+    monkeypatch.setattr(here, "components", component)
+    test_stages_against_brute_force(spark, tiny)

@@ -83,3 +83,54 @@ def test_keep_one(spark):
     kept = sb.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lone_text int, gone_id int")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, "A b c d"), (7, "other words are here"), (None, "lone text of none"), (8, None)], key=str)
     assert sb.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def one_of_each(rows):
+    """The (id, text) rows that stay: the smallest of each component of texts that are 0.8 alike in words of five."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets, left, kept = [shingle_set(t) for _, t in rows], set(range(len(rows))), []
+    while left:
+        todo = [min(left)]
+        kept.append(rows[todo[0]])
+        left.remove(todo[0])
+        while todo:
+            k = todo.pop()
+            near = {j for j in left if alike(sets[k], sets[j])}
+            left -= near
+            todo += near
+    return kept
+
+
+@pytest.mark.parametrize("whole", [16, 3])
+def test_keep_one_takes_edited_copies_as_brute_force_does(spark, monkeypatch, whole):
+    monkeypatch.setattr(sb.shingle_sets.near_links, "__defaults__", (sb.shingle_sets.WIDTH, whole, 1_000_000))
+    rng = random.Random(4)
+    rows = []
+    for n in (3, 12, 40, 200, 200, 6000):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 1, 2, 3, 4, 6, 9, 14):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(n)] = f"v{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(w)))
+    hot = [f"h{k}" for k in range(100)]
+    for k in range(40):  # one large group
+        rows.append((1000 + k, " ".join([*hot[:50], f"k{k}", *hot[51:]])))
+    kept = sb.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted(one_of_each(rows)) and len(kept) < len(rows) - 50
+
+
+def test_keep_one_on_a_whole_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    kept = sb.keep_one(docs).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(d for d, _ in one_of_each([tuple(r) for r in docs.collect()]))
