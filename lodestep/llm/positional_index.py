@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestep.session import stash
+from lodestep.session import fresh, stash
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -103,7 +103,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs without the ids of contaminated documents. Rows without an id are judged by their text."""
+    """The rows of docs without the ids of contaminated documents. Rows without an id stay; see clean_rows."""
     found = stash(decontaminate(docs, items, window).where("contaminated").select("doc_id"), "contaminated")
     ids = _small(found.where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), broadcast_rows)
     return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """As clean, and rows without an id go by the hash of their text."""
+    lone = docs.where("doc_id is null")
+    if lone.isEmpty():
+        return clean(docs, items, window, broadcast_rows)
+    mark = fresh(docs, "text_hash")
+    lone = lone.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = stash(decontaminate(lone.select(F.col(mark).alias("doc_id"), "text"), items, window).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated-texts")
+    gone = _small(found, broadcast_rows)
+    left = lone.join(gone, lone[mark] == gone["gone_id"], "left_anti").drop(mark)
+    return clean(docs.where("doc_id is not null"), items, window, broadcast_rows).unionByName(left)

@@ -77,3 +77,9 @@ def test_stages_with_near_copies_by_five_words(spark, tiny, monkeypatch):
     monkeypatch.setattr(here, "fingerprint", lambda text: text)
     monkeypatch.setattr(here, "components", component)
     test_stages_against_brute_force(spark, tiny)
+
+
+def test_decontamination_takes_rows_without_an_id(spark, tiny):
+    text = spark.read.parquet(f"{tiny}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, text), (None, "own words")], "doc_id long, text string")
+    assert [r["text"] for r in corpus_pipeline.decontamination(spark, docs, tiny).collect()] == ["own words"]

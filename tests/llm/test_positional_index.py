@@ -64,3 +64,10 @@ def test_empty_tables_and_clean(spark):
     d = spark.createDataFrame([(1, "x a b c", 5), (2, "q", 6), (None, "a b c", 7)], "doc_id long, text string, n int")
     i = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert sorted(pi.clean(d, i).collect(), key=str) == [(2, "q", 6), (None, "a b c", 7)]
+
+
+def test_clean_rows_judges_rows_without_an_id_by_their_text(spark):
+    d = spark.createDataFrame([(1, "x a b c", 5), (2, "q", 6), (None, "a b c", 7), (None, "A b, c!", 8), (None, "a b", 9), (None, "a b", 9), (None, None, 10)], "doc_id long, text string, text_hash int")
+    i = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for n in (1_000_000, 0):
+        assert sorted(map(tuple, pi.clean_rows(d, i, broadcast_rows=n).collect()), key=str) == sorted([(2, "q", 6), (None, "a b", 9), (None, "a b", 9), (None, None, 10)], key=str)
