@@ -134,3 +134,10 @@ def test_keep_one_on_a_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     kept = sb.keep_one(docs).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(d for d, _ in one_of_each([tuple(r) for r in docs.collect()]))
+
+
+def test_keep_one_decides_by_row_where_ids_repeat(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "these words stand alone here"), (3, "k l m n o p"), (3, "q r s t u v"), (3, "q r s t u v"), (4, "q r s t u v"), (None, "q r s t u v"), (None, "lone x"), (None, "LONE x")]
+    kept = sb.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in kept if r["doc_id"] is None] in ([(None, "lone x")], [(None, "LONE x")])
+    assert sorted(tuple(r) for r in kept if r["doc_id"]) == [(1, "a b c d e f"), (2, "these words stand alone here"), (3, "k l m n o p"), (3, "q r s t u v")]
