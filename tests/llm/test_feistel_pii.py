@@ -114,3 +114,29 @@ def test_whole_table_has_none_of_its_values_left(spark, small):
         if not re.search(r"[0-9@]", r["text"]):
             assert got[r["doc_id"]] == r["text"]
     assert seen > 20 and len(got) == docs.count() and PII_KEY
+
+
+def test_secrets_of_any_length_and_of_letters_only(spark):
+    long, letters = "0f3" * 100, "abcdef" * 5
+    got = many(spark, [f'key "{long}"', f'key "{letters}"', f'key 1 "{letters}"', f'"{"a" * 19}"', f'"{letters}g"'])
+    assert re.fullmatch(r'key "[0-9a-f]{300}"', got[0]) and long not in got[0]
+    assert re.fullmatch(r'key "[0-9a-f]{30}"', got[1]) and letters not in got[1]
+    assert got[1].partition('"')[2] == got[2].partition('"')[2]
+    assert got[3:] == [f'"{"a" * 19}"', f'"{letters}g"']
+
+
+def test_cards_in_their_other_groups(spark):
+    def card(body, *groups):
+        d = next(body + str(k) for k in range(10) if luhn(body + str(k)))
+        assert len(d) == sum(groups)
+        return [d[sum(groups[:k]) : sum(groups[: k + 1])] for k in range(len(groups))]
+
+    cards = [card("3056930902590", 4, 6, 4), card("630490017740292441", 4, 4, 4, 4, 3), card("422222222222", 4, 3, 3, 3)]
+    texts = [gap.join(c) for c in cards for gap in " -"]
+    got = many(spark, [*texts, "x " + texts[2] + " " + texts[0] + " " + texts[4]])
+    plain = many(spark, ["".join(c) for c in cards])
+    for k, (old, new) in enumerate(zip(texts, got, strict=False)):
+        assert new != old and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old) and luhn(re.sub("[ -]", "", new))
+        assert re.sub("[ -]", "", new) == plain[k // 2]
+    assert got[-1] == f"x {got[2]} {got[0]} {got[4]}"
+    assert many(spark, ["3056 930902 5905"]) == ["3056 930902 5905"]
