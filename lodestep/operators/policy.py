@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.functions.money import DIMENSIONS, PRICES, PROFILES
-from lodestep.session import ship
+from lodestep.session import ship, stash
 
 # Fixed values
 HEURISTIC_TOKENS = 15_000
@@ -22,8 +22,10 @@ CALIPER_QUANTILE = 0.95
 PROPENSITY_FLOOR = 0.03
 FALLBACK = "sonnet"
 TOLERANCES = [0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05]
-#: Support rows kept for each action and stratum; the support is a fitted table that goes to every task.
+#: Support rows kept for each action and stratum by support_rows, whose result goes to every task.
 MAX_SUPPORT = 2_000
+#: Rows of a block of nearest_of_all.
+BLOCK = 4_000
 
 
 def exact_key() -> Column:
@@ -188,9 +190,56 @@ def nearest(rows: DataFrame, support: dict, features: list[str], scales: dict[st
     return own.mapInPandas(run, "trajectory_id string, action string, n long, distance double")
 
 
+def _blocks(rows: DataFrame, keys: list[str], features: list[str], block: int) -> DataFrame:
+    """Rows of each stratum in blocks by hash: keys, block, ids and xs."""
+    x = F.array(*(F.col(f).cast("double") for f in features))
+    own = stash(rows.select("*", exact_key().alias("key")).select(*keys, F.col("trajectory_id").alias("id"), x.alias("x")), "stratum-rows")
+    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = own.join(F.broadcast(sizes), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias("part")).select(*keys, "block", F.col("part.id").alias("ids"), F.col("part.x").alias("xs"))
+
+
+def nearest_of_all(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """As nearest, with all rows of support: each block of rows meets each block of its stratum's support, in tasks of its own."""
+    ship(rows.sparkSession)
+    scale = np.array([scales[f] for f in features])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for action, ids, xs, own, ref in zip(b["action"], b["ids"], b["xs"], b["own"], b["ref"], strict=True):
+                x, r = np.stack(xs).astype(float) / scale, np.stack(ref).astype(float) / scale
+                place: dict = {}
+                for j, t in enumerate(own if exclude_self else ()):
+                    place.setdefault(t, []).append(j)
+                best, seen = np.full(len(x), np.inf), np.full(len(x), len(own))
+                for lo in range(0, len(x), 256):
+                    d = sum((x[lo : lo + 256, None, k] - r[None, :, k]) ** 2 for k in range(len(scale)))
+                    for i, t in enumerate(ids[lo : lo + 256] if exclude_self else ()):
+                        if t in place:
+                            d[i, place[t]] = np.inf
+                            seen[lo + i] -= len(place[t])
+                    best[lo : lo + 256] = np.sqrt(d.min(1) / len(features))
+                yield pd.DataFrame({"trajectory_id": ids, "action": action, "n": seen, "distance": best})
+
+    one = _blocks(rows, ["key"], features, block).drop("block")
+    two = _blocks(support, ["incumbent_action", "key"], features, block).select(F.col("incumbent_action").alias("action"), "key", F.col("ids").alias("own"), F.col("xs").alias("ref"))
+    # few rows, each a pair of blocks: one by one to Python
+    pairs = one.join(two, "key").repartition(F.xxhash64("ids"), F.xxhash64("own"))
+    near = pairs.select("action", "ids", "xs", "own", "ref").mapInPandas(run, "trajectory_id string, action string, n long, distance double")
+    return near.groupBy("trajectory_id", "action").agg(F.sum("n").alias("n"), F.min("distance").alias("distance")).where("distance < double('infinity')")
+
+
+def calipers_of_all(rows: DataFrame, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE) -> DataFrame:
+    """As calipers, with all rows as support."""
+    return _own_calipers(nearest_of_all(rows, rows, features, scales, exclude_self=True), rows, quantile)
+
+
 def calipers(rows: DataFrame, support: dict, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE) -> DataFrame:
     """action, reference_n and caliper: the quantile of distances to the nearest other row of the same action and stratum."""
-    near = nearest(rows, support, features, scales, exclude_self=True)
+    return _own_calipers(nearest(rows, support, features, scales, exclude_self=True), rows, quantile)
+
+
+def _own_calipers(near: DataFrame, rows: DataFrame, quantile: float) -> DataFrame:
     own = near.join(rows.select("trajectory_id", F.col("incumbent_action").alias("action")), ["trajectory_id", "action"])
     return own.groupBy("action").agg(F.count("*").alias("reference_n"), F.percentile("distance", F.lit(quantile)).alias("caliper"))
 

@@ -286,14 +286,14 @@ def _scales(rows: DataFrame) -> dict[str, float]:
 
 def caliper_support(spark: SparkSession, d: str) -> DataFrame:
     u = _usable(spark, d)
-    c = policy.calipers(u, policy.support_rows(u, SUPPORT_FEATURES), SUPPORT_FEATURES, _scales(u))
+    c = policy.calipers_of_all(u, SUPPORT_FEATURES, _scales(u))
     return c.select("action", "reference_n", _r(F.col("caliper"), "caliper"))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     u = _usable(spark, d)
-    scales, support = _scales(u), policy.support_rows(u, SUPPORT_FEATURES)
-    return policy.nearest(_tasks(spark, d), support, SUPPORT_FEATURES, scales), policy.calipers(u, support, SUPPORT_FEATURES, scales)
+    scales = _scales(u)
+    return policy.nearest_of_all(_tasks(spark, d), u, SUPPORT_FEATURES, scales), policy.calipers_of_all(u, SUPPORT_FEATURES, scales)
 
 
 def support_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -162,3 +162,19 @@ def test_nearest_support_against_a_loop(spark):
         if other:
             assert got[r[0], action] == (len(other), pytest.approx((min(other) / 2) ** 0.5))
     assert all(len(ids) <= 3 for ids, _ in policy.support_rows(d, ["a", "b"], most=3).values())
+
+
+@pytest.mark.parametrize("block", [4000, 7])
+def test_nearest_of_all_keeps_every_row_of_a_large_stratum(spark, block):
+    n = policy.MAX_SUPPORT + 500
+    rows = [(str(k), "luna" if k % 50 else "sol", "t", "0", 0, float(k * k % 7919), float(k % 13)) for k in range(n)]
+    rows = rows if block > 7 else rows[:60]
+    d = spark.createDataFrame(rows, "trajectory_id string, incumbent_action string, x_task_category string, x_risk_level string, x_has_image int, a double, b double")
+    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest_of_all(d, d, ["a", "b"], {"a": 2.0, "b": 1.0}, True, block).collect()}
+    x = np.array([[r[5] / 2.0, r[6]] for r in rows])
+    for action in ("luna", "sol"):
+        own = np.array([k for k, r in enumerate(rows) if r[1] == action])
+        for i, r in enumerate(rows):
+            others = own[own != i]
+            want = np.sqrt(((x[others] - x[i]) ** 2).sum(1).min() / 2)
+            assert got[r[0], action] == (len(others), pytest.approx(want))
