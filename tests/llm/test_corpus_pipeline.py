@@ -10,7 +10,7 @@ from lodestep.llm import poisson_mix, toxic_segments
 from lodestep.llm.queries import QUERIES, tokenizer_path
 from test_poisson_mix import draw
 from test_positional_index import brute as contamination
-from test_simhash_bk import components, fingerprint, one_of_each
+from test_simhash_bk import one_of_each
 
 
 def test_stages_against_brute_force(spark, tiny):
@@ -19,8 +19,8 @@ def test_stages_against_brute_force(spark, tiny):
     left = sorted(docs.collect(), key=lambda r: r["doc_id"])
     toxic = {r["doc_id"] for r in toxic_segments.score(docs, model).collect() if r["predicted"]}
     left = [r for r in left if r["doc_id"] not in toxic]
-    first = components([(r["doc_id"], fingerprint(r["text"])) for r in left])
-    left = [r for r, c in zip(left, first, strict=True) if c == r["doc_id"]]
+    single = {d for d, _ in one_of_each([(r["doc_id"], r["text"]) for r in left])}
+    left = [r for r in left if r["doc_id"] in single]
     items = [tuple(r) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     dirty = {x[0] for x in contamination([(r["doc_id"], r["text"]) for r in left], items) if x[5]}
     left = [r for r in left if r["doc_id"] not in dirty]
@@ -68,17 +68,6 @@ def test_entry_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=top, check=True)
 
 
-def test_stages_with_near_copies_by_five_words(spark, tiny, monkeypatch):
-    def component(rows):
-        kept = {d for d, _ in one_of_each(rows)}
-        return [d if d in kept else -1 for d, _ in rows]
-
-    here = sys.modules[__name__]
-    monkeypatch.setattr(here, "fingerprint", lambda text: text)
-    monkeypatch.setattr(here, "components", component)
-    test_stages_against_brute_force(spark, tiny)
-
-
 def test_decontamination_takes_rows_without_an_id(spark, tiny):
     text = spark.read.parquet(f"{tiny}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(None, text), (None, "own words")], "doc_id long, text string")
