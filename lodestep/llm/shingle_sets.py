@@ -1,9 +1,15 @@
-"""Near copies by the exact Jaccard similarity of their word shingles; banded MinHash finds the pairs to compare.
-
-A node is a different text (by its 64-bit hash). Its set holds the 64-bit hashes of its shingles of five words, its keys are
-24 bands of five minima. Two texts that are 0.8 alike share a band with probability 1 - (1 - 0.8 ** 5) ** 24, 0.99993; more
-alike ones miss still less. All pairs of a bucket of up to ``WHOLE`` nodes are compared. In a larger one each node is compared
-with some leaders, and nodes like none of them meet again with four times as many leaders, until none is left.
+"""Near copies by the exact Jaccard similarity of their sets of five-word shingles: fingerprints and BK-trees inside shards.
+
+A node is a different text (by its 64-bit hash), with the set of the 64-bit hashes of its shingles. Texts that are 0.8 alike
+differ in 9.7 of 64 bits of such a set's fingerprint on average, so no few blocks of bits bring them together. A node's shards
+are instead 24 bands of five minima of its set: two texts that are 0.8 alike share one with probability
+1 - (1 - 0.8 ** 5) ** 24, 0.99993; more alike ones miss still less.
+
+First every node of a shard is compared with one leader of it, which joins a large group of near copies without its pairs.
+Shards whose nodes are then of one component are done. In the others a BK-tree over the fingerprints gives, for each node,
+the nodes of other components within ``RADIUS`` bits (five deviations above the mean at 0.8); counts of hashes by their low
+bits bound how many two sets can share, which leaves out more. What remains is compared on the sets. Shards above ``BLOCK``
+nodes are cut into blocks, and each pair of blocks has a tree of its own, in tasks of their own.
 """
 
 from __future__ import annotations
@@ -17,11 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from lodestep.llm.linking import BKTree, components
 from lodestep.session import ship, stash
 
 WIDTH = 5
 ROWS, BANDS = 5, 24
-WHOLE, LEADERS = 16, 4
+RADIUS = 24
+BLOCK = 2048
+#: Rounds of leaders at most, while a shard of several components has more than WHOLE nodes.
+ROUNDS, WHOLE = 4, 64
+BUCKETS = 64
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, ROWS * BANDS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -90,8 +101,80 @@ def compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return full.select("a", "b", "w_a", "w_b").mapInArrow(_alike(similarity), "a long, b long")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, similarity: float, width: int = WIDTH, whole: int = WHOLE, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Links (a, b) between nodes that are alike; signed: the signatures of docs."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, fingerprint and counts (hashes by their low bits, as bytes; empty where a count is beyond 16 bits) of each set."""
+    for b in batches:
+        fps, counts = [], []
+        for v in b.column(2):
+            x = np.frombuffer(v.as_buffer(), np.uint64)
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(x), 1 << 16):
+                ones += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            fps.append(int(np.packbits(ones * 2 > len(x), bitorder="little").view(np.int64)[0]))
+            c = np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            counts.append(c.astype(np.uint16).tobytes() if c.max(initial=0) < 1 << 16 else b"")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(counts, pa.binary())], ["node", "n", "fp", "counts"])
+
+
+def _search(similarity: float, radius: int):
+    """Pairs of a shard's nodes that may be alike and are of different components. Rows come sorted by shard (key, i, j) and side."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: side, node, root, n, fp, counts; with two sides only pairs across them count."""
+        n = np.array([r[3] for r in rows], np.int64)
+        counts = np.zeros((len(rows), BUCKETS), np.uint16)
+        for k, r in enumerate(rows):
+            counts[k] = np.frombuffer(r[5], np.uint16) if r[5] else np.iinfo(np.uint16).max
+        root = np.array([r[2] for r in rows], np.int64)
+        both = rows[0][0] != rows[-1][0]
+        tree = BKTree(radius)
+        for k, r in enumerate(rows):
+            fp = r[4] & 0xFFFFFFFFFFFFFFFF
+            near = tree.near(fp) if not both or r[0] != rows[0][0] else []
+            if not both or r[0] == rows[0][0]:
+                tree.insert(fp)
+            if not near:
+                continue
+            at = np.array(near)
+            at = at[root[at] != root[k]]
+            least, most = np.minimum(n[at], n[k]), np.maximum(n[at], n[k])
+            shared = np.minimum(np.minimum(counts[at], counts[k]).sum(1, dtype=np.int64), least)
+            for j in at[shared >= similarity * (least + most - shared) - 1e-9]:
+                yield (min(r[1], rows[j][1]), max(r[1], rows[j][1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, key = [], None
+
+        def flush() -> pa.RecordBatch | None:
+            found = list(pairs(kept)) if len(kept) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in range(b.num_columns)]
+            for shard, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+                if shard != key:
+                    if out := flush():
+                        yield out
+                    kept, key = [], shard
+                kept.append(row)
+        if out := flush():
+            yield out
+
+    return run
+
+
+def _open(members: DataFrame, roots: DataFrame | None, small) -> DataFrame:
+    """key, node, root and size of the shards (keys) whose nodes are of several components."""
+    if roots is not None:
+        members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        members = members.withColumn("root", F.col("node"))
+    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return stash(members.join(small(stash(several, "open-shards")), "key").select("key", "node", "root", "size"), "open-members")
+
+
+def near_roots(docs: DataFrame, signed: DataFrame, similarity: float, width: int = WIDTH, whole: int = WHOLE, block: int = BLOCK, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """node and root (least node of its component) of the nodes that are alike to another; signed: the signatures of docs."""
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df
@@ -106,28 +189,26 @@ def near_links(docs: DataFrame, signed: DataFrame, similarity: float, width: int
     rows = rows.join(least, (rows["node"] == least["own"]) & rows["id"].eqNullSafe(least["least"]), "left_semi")
     sets = stash(_sets(rows, width).dropDuplicates(["node"]), "shingle-sets")
 
-    links, leaders = None, LEADERS
-    while True:
-        sizes = members.groupBy("key").count()
-        large = stash(sizes.where(F.col("count") > whole).select("key"), "large-bands")
-        none = large.isEmpty()
-        few = members if none else members.join(small(large), "key", "left_anti")
-        groups = few.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("g")).where("size(g) > 1").select("g").distinct()
-        first = groups.select("g", F.posexplode("g").alias("at", "a"))
-        pairs = first.select("a", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("b"))
+    links, roots = None, None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal links
         found = stash(compare(stash(pairs.distinct(), "pairs"), sets, similarity), "links")
         links = found if links is None else links.unionByName(found)
-        if none:
-            return links
-        many = members.join(small(large), "key", "left_semi")
-        # a leader is the least of its share of the bucket by hash; shares are counted by partial sums
-        share = F.pmod(F.xxhash64("node", "key"), F.lit(leaders))
-        heads = many.groupBy("key", share.alias("share")).agg(F.min_by("node", F.xxhash64("key", "node")).alias("head"))
-        heads = stash(heads.groupBy("key").agg(F.collect_list("head").alias("heads")), "leaders")
-        met = stash(many.join(heads, "key").select("key", "node", F.explode("heads").alias("head")), "met")
-        pairs = met.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        found = stash(compare(stash(pairs, "pairs"), sets, similarity), "links")
-        links = links.unionByName(found)
-        ok = met.join(found, (F.least("node", "head") == F.col("a")) & (F.greatest("node", "head") == F.col("b")), "left")
-        state = ok.groupBy("key", "node").agg(F.max(F.col("a").isNotNull() | (F.col("node") == F.col("head"))).alias("done"))
-        members, leaders = stash(state.where("not done").select("key", "node"), "band-members"), leaders * 4
+        return stash(components(links), "roots")
+
+    at = _open(members, None, small)
+    for k in range(ROUNDS):
+        # the leader depends on the node alone, so that shards of the same nodes have the same one
+        heads = at.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("head"), F.col("root").alias("head_root")), F.xxhash64("node", F.lit(k))).alias("h")).select("key", "h.*")
+        stars = at.join(small(stash(heads, "leaders")), "key").where("root <> head_root")
+        roots = linked(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
+        at = _open(members, roots, small)
+        if at.where(F.col("size") > whole).isEmpty():
+            break
+    marks = sets.join(at.select("node").distinct(), "node", "left_semi").select("node", "n", "words").mapInArrow(_marks, "node long, n long, fp long, counts binary")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    side = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = at.select("key", "node", "root", side.alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
+    trees = dealt.join(marks, "node").select("key", "i", "j", "side", "node", "root", "n", "fp", "counts").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    return linked(trees.mapInArrow(_search(similarity, RADIUS), "a long, b long"))

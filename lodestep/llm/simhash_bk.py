@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestep.llm import shingle_sets
+from lodestep.llm.linking import BKTree, components
 from lodestep.session import fresh, ship, stash
 
 RADIUS = 2
@@ -68,40 +69,6 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-class BKTree:
-    """Distinct integers; ``add`` returns a member within the radius for each cluster that the new one touches."""
-
-    def __init__(self, radius: int):
-        self.radius, self.values, self.children = radius, [], []
-
-    def add(self, value: int) -> list[int]:
-        """Positions of all members within the radius; value is inserted."""
-        near: list[int] = []
-        mine = len(self.values)
-        if mine:
-            todo, radius, values, children = [0], self.radius, self.values, self.children
-            while todo:
-                at = todo.pop()
-                d = (values[at] ^ value).bit_count()
-                if d <= radius:
-                    near.append(at)
-                if kids := children[at]:
-                    for k in range(max(1, d - radius), d + radius + 1):
-                        if (kid := kids.get(k)) is not None:
-                            todo.append(kid)
-            at = 0
-            while True:
-                d = (values[at] ^ value).bit_count()
-                kid = children[at].get(d)
-                if kid is None:
-                    children[at][d] = mine
-                    break
-                at = kid
-        self.values.append(value)
-        self.children.append({})
-        return near
-
-
 def _forest(shard: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """A link from each fingerprint to the root of its cluster in this shard."""
     tree, up = BKTree(radius), []
@@ -181,31 +148,6 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard_limit: int = SHA
     return links
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
-    """node and root (its component's smallest node) for every node of the links a-b, by alternating stars.
-
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest chain.
-    """
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(limit):
-        if not state[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stash(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """doc_id, fingerprint and component_id (smallest doc_id reachable over links) of every row of docs."""
     fps = stash(fingerprints(docs), "fingerprints")
@@ -220,12 +162,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SH
 def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, similarity: float = 0.8, width: int = shingle_sets.WIDTH) -> DataFrame:
     """One row of docs for each component of near copies: texts whose sets of five-word shingles are 0.8 alike or more.
 
-    Radius and shingles are not those of near_duplicates: at 0.8 fingerprints differ in more bits than blocks can find. The row
-    that stays has the smallest (doc_id, hash of the text), with null ids last; repeats of it are cut to one. Texts are not
+    Radius, shingles and shards are not those of near_duplicates: at 0.8 fingerprints differ in more bits than blocks of bits can
+    find, see shingle_sets. The row that stays has the smallest (doc_id, hash of the text), with null ids last; repeats of it are cut to one. Texts are not
     shuffled while the rows that go are at most broadcast_rows (24 bytes each); beyond that both sides are.
     """
     signed = stash(shingle_sets.signatures(docs, width), "signatures")
-    roots = components(shingle_sets.near_links(docs, signed, similarity, width, broadcast_rows=broadcast_rows))
+    roots = shingle_sets.near_roots(docs, signed, similarity, width, broadcast_rows=broadcast_rows)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     nodes = signed.groupBy("node").agg(F.min(order).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = nodes.groupBy("root").agg(F.min("least").alias("best"))

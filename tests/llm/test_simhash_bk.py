@@ -110,9 +110,9 @@ def one_of_each(rows):
     return kept
 
 
-@pytest.mark.parametrize("whole", [16, 3])
-def test_keep_one_takes_edited_copies_as_brute_force_does(spark, monkeypatch, whole):
-    monkeypatch.setattr(sb.shingle_sets.near_links, "__defaults__", (sb.shingle_sets.WIDTH, whole, 1_000_000))
+@pytest.mark.parametrize("whole, block", [(64, 2048), (3, 7)])
+def test_keep_one_takes_edited_copies_as_brute_force_does(spark, monkeypatch, whole, block):
+    monkeypatch.setattr(sb.shingle_sets.near_roots, "__defaults__", (sb.shingle_sets.WIDTH, whole, block, 1_000_000))
     rng = random.Random(4)
     rows = []
     for n in (3, 12, 40, 200, 200, 6000):
