@@ -9,12 +9,20 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches of whole texts: Spark's own 64 MB for each of an executor's Python workers, and as much again for what they make of it, is too much.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once per application, so that Python workers can import it anywhere."""
+    """Sends the package to the executors once per application, so that Python workers can import it anywhere.
+
+    Arrow batches are cut to BATCH_BYTES in this session, unless it has a limit of its own.
+    """
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit).rstrip("b") == str(64 << 20):
+        spark.conf.set(limit, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
@@ -31,11 +39,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("lodestep.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestep-shared-")
         spark.conf.set("lodestep.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)
