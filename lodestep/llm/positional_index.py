@@ -1,15 +1,17 @@
-"""Benchmark decontamination over a positional inverted index, with DataFrame functions only.
+"""Benchmark decontamination over a stored positional inverted index, with DataFrame functions only.
 
-The index is sharded by document: a posting is (term, row, position), made where the document is read, so no list is
-gathered by term and a term in every document costs no more than its occurrences. For each phrase the corpus frequencies
-of its terms are counted first. Then the postings of its rarest term are taken, and the lists of the second and third
-rarest terms are intersected with them at their offsets, by position within the same document. For exact matches the
-lists of the remaining terms must hold their positions too; for proximity the rare terms need only lie within ``slop``
-words of their offsets. Only matches leave the task. Terms and phrases come from the benchmark, which is broadcast up to
-``broadcast_rows`` and shuffled beyond.
+Each phrase (a window of an item's words) is searched by its three rarest terms. Their frequencies in the corpus come first;
+then the postings of these terms, a row (text, term, position) for each place of each different text, are written as a table.
+Lists are intersected rarest first: a posting of the first term at p gives the start p - o1, which stays where the second term's
+list has start + o2 and the third's start + o3 in the same text. Texts with a start that is left are read again, and
+the words at each start are compared with the phrase: exact matches have them all, proximity matches have the rare terms
+within ``slop`` words of their offsets. Texts are known by 128 bits of hashes, so copies are searched once, and no row of
+docs is shuffled. Terms, phrases and matches are broadcast up to a stated number of rows and shuffled beyond; a shuffled
+posting is four numbers.
 
 Null and empty texts have no words: their documents have zero counts, and items without words match nothing. Repeated
-rows are judged one by one. An item that is repeated, or shares a phrase with others, is listed once.
+rows are judged one by one, by their text, whatever their ids. An item that is repeated, or shares a phrase with others, is listed once. Other
+columns are not looked at, and clean() keeps them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestep.session import fresh, stash
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word as words() splits it, before A-Z become lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,71 +56,81 @@ def corpus_frequency(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BR
     return docs.select(F.explode(words(F.col("text"))).alias("term")).join(_small(terms, broadcast_rows), "term").groupBy("term").agg(F.count("*").alias("cf"))
 
 
-def anchored(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The phrases with their three rarest terms (t1 to t3) and these terms' offsets (o1 to o3; null in shorter phrases)."""
-    grams = stash(phrases(items, window), "phrases")
-    terms = grams.select(F.posexplode("gram").alias("off", "term"), "gram")
-    cf = stash(corpus_frequency(docs, terms.select("term").distinct(), broadcast_rows), "term-frequencies")
-    rank = terms.join(cf, "term", "left").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "off", "term"))).alias("by"))
-    at = lambda k: F.get("by", F.lit(k))
-    picked = rank.where("by[0].cf > 0").select("gram", *(x for k in range(3) for x in (at(k)["term"].alias(f"t{k + 1}"), at(k)["off"].alias(f"o{k + 1}"))))
-    return stash(picked.join(grams, "gram"), "anchors")
-
-
-def postings(docs: DataFrame, anchors: DataFrame, slop: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Intersected postings: row, doc_id, and start, n, items and exact of each match.
+def text_key(text: str = "text") -> list[Column]:
+    """128 bits that stand for a text, as the columns k1 and k2."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2")]
 
-    Every row of docs has one posting more with n = 0, whose start is its number of words.
-    """
-    # the empty term stands once after each document's words, so that documents without matches are there too
-    end = anchors.sparkSession.createDataFrame([("", 0)], "t1 string, o1 int")
-    keys = _small(anchors.withColumn("n", F.col("n").cast("int")).unionByName(end, allowMissingColumns=True), broadcast_rows)
-    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
-    p = w.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "term"))
-    start = F.col("pos") - F.col("o1")
 
-    def holds(k: int) -> Column:
-        off, term = start + F.col(f"o{k}"), F.col(f"t{k}")
-        exact = F.get("w", off) == term
-        near = F.array_contains(F.slice("w", F.greatest(off - slop, F.lit(0)) + 1, 2 * slop + 1), term) if slop else exact
-        return term.isNull() | near
-
-    joined = p.join(keys, (p["term"] == keys["t1"]) & (start >= 0) & holds(2) & holds(3))
-    gram = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n"))
-    return joined.select("row", "doc_id", start.cast("long").alias("start"), F.coalesce("n", F.lit(0)).alias("n"), "items", F.coalesce(gram == F.col("gram"), F.lit(False)).alias("exact")).where("n = 0 or exact" if not slop else "true")
+def anchored(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """gram_id, gram, n and items of each phrase, its three rarest terms (t1 to t3, hashed) and their offsets (o1 to o3; null in shorter phrases)."""
+    grams = stash(phrases(items, window), "phrases").withColumn("gram_id", F.monotonically_increasing_id())
+    grams = stash(grams, "numbered-phrases")
+    terms = grams.select("gram_id", F.posexplode("gram").alias("off", "term"))
+    cf = stash(corpus_frequency(docs, terms.select("term").distinct(), broadcast_rows), "term-frequencies")
+    rank = terms.join(cf, "term").groupBy("gram_id").agg(F.array_sort(F.collect_list(F.struct("cf", "off", F.xxhash64("term").alias("t")))).alias("by"))
+    picked = rank.select("gram_id", F.size("by").alias("known"), *(x for k in range(3) for x in (F.get("by", F.lit(k))["t"].alias(f"t{k + 1}"), F.get("by", F.lit(k))["off"].alias(f"o{k + 1}"))))
+    # a phrase with a term that the corpus lacks is nowhere
+    return stash(picked.join(grams, "gram_id").where("known = n").drop("known"), "anchors")
+
+
+def postings(docs: DataFrame, anchors: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The index of the anchors' terms, written: k1, k2, t and pos, once for each place in each different text."""
+    own = anchors.select(F.explode(F.array("t1", "t2", "t3")).alias("t")).where("t is not null").distinct()
+    places = docs.select(*text_key(), F.posexplode(words(F.col("text"))).alias("pos", "term")).select("k1", "k2", F.xxhash64("term").alias("t"), "pos")
+    return stash(places.join(_small(own, broadcast_rows), "t").distinct(), "postings")
+
+
+def starts(index: DataFrame, anchors: DataFrame, slop: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """k1, k2, gram_id and start where the lists of a phrase's rare terms meet at their offsets, or within slop words of them."""
+    keys = _small(anchors.select("gram_id", *(c for k in (1, 2, 3) for c in (f"t{k}", f"o{k}"))), broadcast_rows)
+    found = index.join(keys, index["t"] == keys["t1"]).withColumn("start", F.col("pos") - F.col("o1")).where("start >= 0").drop("t", "pos", "t1", "o1")
+    for k in (2, 3):
+        short, long = found.where(f"t{k} is null"), found.where(f"t{k} is not null")
+        places = F.explode(F.sequence(F.col("start") + F.col(f"o{k}") - slop, F.col("start") + F.col(f"o{k}") + slop)) if slop else F.col("start") + F.col(f"o{k}")
+        long = long.withColumn("at", places)
+        other = index.select(F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.col("t").alias("it"), F.col("pos").alias("ipos"))
+        met = long.join(other, (long["k1"] == other["i1"]) & (long["k2"] == other["i2"]) & (long[f"t{k}"] == other["it"]) & (long["at"] == other["ipos"]), "left_semi").drop("at")
+        found = short.unionByName(met.distinct() if slop else met)
+    return stash(found.select("k1", "k2", "gram_id", "start").distinct(), "starts")
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """k1, k2 and found (start, n, items and exact, by start) of each text with a match."""
+    anchors = anchored(docs, items, window, broadcast_rows)
+    met = starts(postings(docs, anchors, broadcast_rows), anchors, slop, broadcast_rows)
+    by_text = met.join(_small(anchors.select("gram_id", "gram", "n", "items"), broadcast_rows), "gram_id").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "items", "gram")).alias("tried"))
+    by_text = stash(by_text, "tried")
+    hashed = docs.select(*text_key(), "text")
+    texts = hashed.join(_small(by_text.select("k1", "k2"), broadcast_rows), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    read = texts.select("k1", "k2", words(F.col("text")).alias("w")).join(by_text, ["k1", "k2"])
+    checked = F.transform("tried", lambda x: F.struct(x["start"].cast("long").alias("start"), x["n"].cast("long").alias("n"), x["items"].alias("items"), (F.slice("w", x["start"] + 1, x["n"]) == x["gram"]).alias("exact")))
+    kept = checked if slop else F.filter(checked, lambda x: x["exact"])
+    return stash(read.select("k1", "k2", F.array_sort(kept).alias("found")).where("size(found) > 0"), "matches")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, start and exact: places where an item's window has its three rarest terms within slop words of their offsets."""
-    return postings(docs, anchored(docs, items, window), slop).where("n > 0").select("doc_id", F.explode("items").alias("item_id"), "start", "exact").distinct()
+    found = _small(matches(docs, items, window, slop), BROADCAST_ROWS)
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key()).join(found, ["k1", "k2"])
+    return met.select("doc_id", F.explode("found").alias("x")).select("doc_id", F.explode("x.items").alias("item_id"), "x.start", "x.exact").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs."""
-    hits = postings(docs, anchored(docs, items, window, broadcast_rows), 0, broadcast_rows)
-    spans = F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.struct("start", (F.col("start") + F.col("n")).alias("end")))))
-    per_row = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("n") == 0, F.col("start"))).alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     zero = F.lit(0).cast("long")
-    covered = F.aggregate("spans", F.struct(zero.alias("hit"), zero.alias("reach")), lambda a, s: F.struct((a["hit"] + F.greatest(zero, s["end"] - F.greatest(s["start"], a["reach"]))).alias("hit"), F.greatest(a["reach"], s["end"]).alias("reach")), lambda a: a["hit"])
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return per_row.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    covered = F.aggregate("found", F.struct(zero.alias("hit"), zero.alias("reach")), lambda a, s: F.struct((a["hit"] + F.greatest(zero, s["start"] + s["n"] - F.greatest(s["start"], a["reach"]))).alias("hit"), F.greatest(a["reach"], s["start"] + s["n"]).alias("reach")), lambda a: a["hit"])
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(x["items"], lambda i: i.cast("string"))))))
+    hits = _small(matches(docs, items, window, 0, broadcast_rows).select("k1", "k2", covered.alias("hit"), ids.alias("ids")), broadcast_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return rows.join(hits, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs without the ids of contaminated documents. Rows without an id stay; see clean_rows."""
-    found = stash(decontaminate(docs, items, window).where("contaminated").select("doc_id"), "contaminated")
-    ids = _small(found.where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), broadcast_rows)
-    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
-
-
-def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """As clean, and rows without an id go by the hash of their text."""
-    lone = docs.where("doc_id is null")
-    if lone.isEmpty():
-        return clean(docs, items, window, broadcast_rows)
-    mark = fresh(docs, "text_hash")
-    lone = lone.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = stash(decontaminate(lone.select(F.col(mark).alias("doc_id"), "text"), items, window).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated-texts")
-    gone = _small(found, broadcast_rows)
-    left = lone.join(gone, lone[mark] == gone["gone_id"], "left_anti").drop(mark)
-    return clean(docs.where("doc_id is not null"), items, window, broadcast_rows).unionByName(left)
+    """The rows of docs whose texts have no match, with or without an id."""
+    a, b = fresh(docs, "k1"), fresh(docs, "k2")
+    gone = _small(matches(docs, items, window).select(F.col("k1").alias("g1"), F.col("k2").alias("g2")), broadcast_rows)
+    k1, k2 = text_key()
+    marked = docs.withColumns({a: k1, b: k2})
+    return marked.join(gone, (marked[a] == gone["g1"]) & (marked[b] == gone["g2"]), "left_anti").drop(a, b)

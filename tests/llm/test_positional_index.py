@@ -63,11 +63,30 @@ def test_empty_tables_and_clean(spark):
     assert run(spark, [], [(1, "a b")]) == [] and run(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
     d = spark.createDataFrame([(1, "x a b c", 5), (2, "q", 6), (None, "a b c", 7)], "doc_id long, text string, n int")
     i = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    assert sorted(pi.clean(d, i).collect(), key=str) == [(2, "q", 6), (None, "a b c", 7)]
+    assert sorted(pi.clean(d, i).collect(), key=str) == [(2, "q", 6)]
 
 
-def test_clean_rows_judges_rows_without_an_id_by_their_text(spark):
+def test_clean_judges_rows_by_their_text(spark):
     d = spark.createDataFrame([(1, "x a b c", 5), (2, "q", 6), (None, "a b c", 7), (None, "A b, c!", 8), (None, "a b", 9), (None, "a b", 9), (None, None, 10)], "doc_id long, text string, text_hash int")
     i = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for n in (1_000_000, 0):
-        assert sorted(map(tuple, pi.clean_rows(d, i, broadcast_rows=n).collect()), key=str) == sorted([(2, "q", 6), (None, "a b", 9), (None, "a b", 9), (None, None, 10)], key=str)
+        assert sorted(map(tuple, pi.clean(d, i, broadcast_rows=n).collect()), key=str) == sorted([(2, "q", 6), (None, "a b", 9), (None, "a b", 9), (None, None, 10)], key=str)
+
+
+def test_shuffled_postings_hold_no_texts(spark):
+    """With nothing broadcast, what the search shuffles is numbers: a text of 100,000 words without a match stays where it is."""
+    long = " ".join(f"w{k}" for k in range(100_000))
+    items = [(1, "w0 w1 w2 x"), (2, "w5 w6")]
+    docs = [(1, long), (2, long), (3, "w0 w1 w2 x w5"), (4, None)]
+    assert run(spark, docs, items, broadcast_rows=0) == brute(docs, items)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = pi.postings(d, pi.anchored(d, i, broadcast_rows=0), broadcast_rows=0)
+    assert index.columns == ["t", "k1", "k2", "pos"] and index.count() == 8  # w0 w1 w2 (of the rarest) w5 w6 of one long text, and of the third
+
+
+def test_clashing_columns(spark):
+    names = ["k1", "k2", "t", "pos", "start", "found", "gram_id", "hit", "ids", "term", "w"]
+    d = spark.createDataFrame([(1, "x a b c", *[0] * len(names)), (2, "q", *[0] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    i = spark.createDataFrame([(1, "a b c", 0, 0)], "item_id long, text string, gram int, n int")
+    assert [r["doc_id"] for r in pi.clean(d, i).collect()] == [2] and pi.clean(d, i).columns == d.columns
+    assert {r["doc_id"]: r["n_hit"] for r in pi.decontaminate(d, i).collect()} == {1: 3, 2: 0}
