@@ -103,11 +103,14 @@ WITH t AS (SELECT conv_id, turn, role, text, 'c' || conv_id || '-' AS c FROM con
 res AS (SELECT conv_id, turn, c || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
 got AS (SELECT call_id, max(text) AS output, count(*) AS n FROM res GROUP BY call_id),
 calls AS (
-  SELECT t.conv_id, t.turn, t.c || t.turn AS call_id, t.text, b.turn IS NOT NULL AS has, t.c || (t.turn - 2) AS after
-  FROM t LEFT JOIN (SELECT DISTINCT conv_id, turn FROM t WHERE role = 'user') b ON b.conv_id = t.conv_id AND b.turn = t.turn - 2
+  SELECT t.conv_id, t.turn, t.c || t.turn AS call_id, t.text, b.turn IS NOT NULL AS has, t.c || t.other AS after,
+         -- only the third of four exchanges needs a later one, which itself needs an earlier one
+         CASE WHEN b.turn > t.turn THEN t.other + 1 / 16777216.0::DOUBLE ELSE t.turn END AS rank
+  FROM (SELECT *, turn + [-2, -2, 2, -4][CAST(turn // 2 % 4 AS INT) + 1] AS other FROM t) t
+  LEFT JOIN (SELECT DISTINCT conv_id, turn FROM t WHERE role = 'user') b ON b.conv_id = t.conv_id AND b.turn = t.other
   WHERE t.role = 'user'),
 lines AS (
-  SELECT conv_id, turn AS position, coalesce(n, 0) AS n_results, 'call' AS kind, call_id,
+  SELECT conv_id, turn AS position, rank, coalesce(n, 0) AS n_results, 'call' AS kind, call_id,
          coalesce(length(text), 0) > 0 AS valid,
          CASE WHEN text IS NULL THEN '$.prompt: missing' WHEN text = '' THEN '$.prompt: too short' END AS problems,
          '{"arguments":{' || CASE WHEN has THEN '"after":"' || after || '"' || CASE WHEN text IS NULL THEN '' ELSE ',' END ELSE '' END
@@ -115,14 +118,14 @@ lines AS (
            || '","name":"reply","result":' || coalesce(CAST(to_json(output) AS VARCHAR), 'null') || '}' AS line
   FROM calls LEFT JOIN got USING (call_id)
   UNION ALL
-  SELECT conv_id, turn, 1, 'orphan', call_id, true, NULL,
+  SELECT conv_id, turn, turn, 1, 'orphan', call_id, true, NULL,
          '{"id":"' || call_id || '","result":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'
   FROM res WHERE call_id NOT IN (SELECT call_id FROM calls)
   UNION ALL
-  SELECT conv_id, turn, 0, 'message', NULL, true, NULL,
+  SELECT conv_id, turn, turn, 0, 'message', NULL, true, NULL,
          '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
   FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
-SELECT conv_id, position, position AS rank, CAST(n_results AS BIGINT) AS n_results, kind, call_id, valid, problems, line FROM lines
+SELECT conv_id, position, CAST(rank AS DOUBLE) AS rank, CAST(n_results AS BIGINT) AS n_results, kind, call_id, valid, problems, line FROM lines
 """
 
 ORACLES = {

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -53,3 +54,38 @@ def test_chains_of_any_length_are_ordered(spark):
     calls = [(1, f"k{k}", k, "f", '{"a": 1}', [f"k{k + 1}"] if k + 1 < n else []) for k in range(n)]
     got = tc.ranks(spark.createDataFrame(calls, CALLS)).collect()
     assert [r["call_id"] for r in sorted(got, key=lambda r: r["rank"])] == [f"k{k}" for k in reversed(range(n))]
+
+
+def order(calls):
+    """The ranks by one walk over a conversation: dict of call to (position, needs)."""
+    known, out = dict(calls), {}
+    while True:
+        now = {c: max([(p, 0), *((out[n][0], out[n][1] + 1) for n in needs)]) for c, (p, needs) in known.items() if c not in out and all(n in out for n in needs)}
+        if not now:
+            return {c: out[c][0] + out[c][1] * tc.STEP if c in out else None for c in known}
+        out |= now
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_ranks_against_a_walk(spark, most):
+    rng = random.Random(5)
+    known = {c: {f"n{k}": (rng.randrange(12), [f"n{j}" for j in {rng.randrange(14) for _ in range(rng.randrange(3))} if j < 12 and j != k]) for k in range(12)} for c in range(6)}
+    known[6] = {"a": (0, ["b"]), "b": (1, ["a"]), "c": (2, ["b"]), "d": (3, [])}
+    rows = [(c, k, p, "f", None, [*needs, "lost"]) for c, calls in known.items() for k, (p, needs) in calls.items()]
+    got = {(r["conv_id"], r["call_id"]): r["rank"] for r in tc.ranks(spark.createDataFrame(rows, CALLS), most).collect()}
+    want = {(c, k): v for c, calls in known.items() for k, v in order(calls).items()}
+    assert got == want and any(v is None for v in want.values()) and any(v and v % 1 for v in want.values())
+
+
+def test_one_scale_for_calls_orphans_and_messages(spark):
+    calls = spark.createDataFrame([(1, "a", 5, "f", None, ["b"]), (1, "b", 7, "f", None, []), (1, "c", 8, "f", None, ["a"])], CALLS)
+    results, messages = spark.createDataFrame([(1, "x", 3, "lost")], RESULTS), spark.createDataFrame([(1, 6, "user", "m"), (1, 9, "user", "n")], "conv_id long, position int, role string, content string")
+    got = tc.link(calls, results, {}, messages).orderBy("rank").collect()
+    assert [(r["kind"], r["call_id"] or r["position"]) for r in got] == [("orphan", "x"), ("message", 6), ("call", "b"), ("call", "a"), ("call", "c"), ("message", 9)]
+
+
+def test_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "f", '{"a":1}', ["b"], "o", 5, 6, "k"), (1, "b", 1, "f", '{"a":1}', [], "o", 5, 6, "k")], CALLS + ", output string, n_results int, rank int, need string")
+    results = spark.createDataFrame([(1, "a", 2, "r", 1, "n")], RESULTS + ", rank int, name string")
+    got = {r["call_id"]: (r["n_results"], r["rank"]) for r in tc.link(calls, results, SCHEMA).collect()}
+    assert got == {"a": (1, 1 + tc.STEP), "b": (0, 1.0)}
