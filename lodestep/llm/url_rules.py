@@ -1,13 +1,13 @@
 """URL filter: host-suffix and path-prefix expressions, matched by short hash prefixes, confirmed by full digests.
 
-A rule is a host and a path; its expression is both together, like ``example.com/en/``. A URL is expanded into every
-suffix of its host at a dot, times the prefixes of its path that have the length of some rule's path. Expressions meet
-rules by the first 8 hex digits of their SHA-256; the full digest then confirms, and the longest rule wins (the longer host
-first where two are as long, then block before allow). Each different URL is judged once. The rules are broadcast up to
-``broadcast_rows`` and shuffled beyond.
+A rule is a host and a path; its expression is both together, like ``example.com/en/``. A URL is expanded into the suffixes of
+its host and the prefixes of its path that have as many labels and characters as some rule has. Expressions meet rules by
+the first 8 hex digits of their SHA-256 alone, the key of the join; rules that share such a prefix come as one list, in which
+the full digest and both lengths then confirm. The longest rule wins (the longer host first where two are as long, then block
+before allow). Each different URL is judged once. The rules are broadcast up to ``broadcast_rows`` and shuffled beyond.
 
 A null URL, or one without ``://``, has an empty host and path and no rule; without a rule the verdict is ``default``.
-Repeated rows are kept. Rules with a null host or path are left out.
+Repeated rows are kept. Rules with a null host or path are left out. Other columns of pages and rules are not looked at.
 """
 
 from __future__ import annotations
@@ -39,19 +39,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
 
     rules: host, path (with its leading slash) and action (allow or block).
     """
-    made = rules.where("host is not null and path is not null").select(F.concat("host", "path").alias("rule"), "action", F.length("host").alias("host_n"), F.length("path").alias("path_n"))
-    made = made.withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.left("digest", F.lit(PREFIX)))
-    lengths = made.agg(F.sort_array(F.collect_set("path_n")).alias("lengths"))  # as many as paths have lengths
+    made = rules.where("host is not null and path is not null").select(F.concat("host", "path").alias("rule"), "action", F.length("host").alias("host_n"), F.length("path").alias("path_n"), F.size(F.split("host", r"\.")).alias("labels"))
+    made = made.withColumn("digest", F.sha2("rule", 256))
+    shapes = made.agg(F.sort_array(F.collect_set(F.struct("labels", "path_n"))).alias("shapes"))  # as many as rules have shapes
+    buckets = made.groupBy(F.left("digest", F.lit(PREFIX)).alias("prefix")).agg(F.collect_list(F.struct("digest", "host_n", "path_n", "rule", "action")).alias("bucket"))
     urls = split_url(pages.select("url").where("url is not null").distinct())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.struct(F.left(F.col("path"), n).alias("p"), n.alias("n")))
-    wide = urls.withColumn("lengths", lengths.scalar()).select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("ps"))
-    tried = wide.select("url", F.explode("ps").alias("p"), "suffix").select("url", F.sha2(F.concat("suffix", "p.p"), 256).alias("full"), F.length("suffix").alias("sn"), F.col("p.n").alias("pn"))
-    tried = tried.withColumn("short", F.left("full", F.lit(PREFIX)))
-    side = F.broadcast(made) if rules.count() <= broadcast_rows else made
-    met = tried.join(side, (F.col("short") == F.col("prefix")) & (F.col("full") == F.col("digest")) & (F.col("sn") == F.col("host_n")) & (F.col("pn") == F.col("path_n")))
-    best = met.groupBy("url").agg(F.max(F.struct((F.col("host_n") + F.col("path_n")).alias("size"), "host_n", (F.col("action") == "block").alias("blocks"), "rule", "action")).alias("best"))
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    fitting = F.filter("shapes", lambda x: (x["labels"] <= labels) & (x["path_n"] <= F.length("path")))
+    wide = urls.withColumn("shapes", shapes.scalar()).select("url", "host", "path", F.explode(fitting).alias("x")).select("url", "host", "path", "x.*")
+    tried = wide.select("url", F.expr("substring_index(host, '.', -labels)").alias("suffix"), F.expr("left(path, path_n)").alias("start"))
+    tried = tried.select("url", F.sha2(F.concat("suffix", "start"), 256).alias("full"), F.length("suffix").alias("sn"), F.length("start").alias("pn"))
+    side = F.broadcast(buckets) if rules.count() <= broadcast_rows else buckets
+    met = tried.join(side, F.left("full", F.lit(PREFIX)) == F.col("prefix"))
+    confirmed = F.filter("bucket", lambda r: (r["digest"] == F.col("full")) & (r["host_n"] == F.col("sn")) & (r["path_n"] == F.col("pn")))
+    ranked = F.array_max(F.transform(confirmed, lambda r: F.struct((r["host_n"] + r["path_n"]).alias("size"), r["host_n"].alias("host_n"), (r["action"] == "block").alias("blocks"), r["rule"].alias("rule"), r["action"].alias("action"))))
+    best = met.select("url", ranked.alias("r")).where("r is not null").groupBy("url").agg(F.max("r").alias("best"))
     named = best.select(F.col("url").alias("judged"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
     p = split_url(pages.select("page_id", "url"))
     return p.join(named, p["url"] == named["judged"], "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

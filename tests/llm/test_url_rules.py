@@ -1,5 +1,6 @@
 import random
 import re
+import re
 
 from lodestep.llm import url_rules as ur
 from lodestep.llm.queries import URL_RULES
@@ -35,3 +36,25 @@ def test_repeats_long_urls_and_empty_tables(spark):
     long = "http://" + "a." * 200 + "com/" + "x/" * 5000
     assert run(spark, [long, long], URL_RULES)[1] == brute(long, URL_RULES)
     assert run(spark, [], URL_RULES) == {} and run(spark, ["http://com/"], [])[0][3] == "allow"
+
+
+def test_hosts_of_many_labels_and_the_key_of_the_join(spark):
+    urls = ["http://" + "a." * 60_000 + "net/es/x", "http://" + "." * 20_000 + "example.com/en/"]
+    assert run(spark, urls, URL_RULES) == {k: brute(u, URL_RULES) for k, u in enumerate(urls)}
+    pages = spark.createDataFrame([(1, "http://x.net/es/")], "page_id long, url string")
+    r = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    plan = ur.judge(pages, r)._jdf.queryExecution().sparkPlan().toString()
+    join = next(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert re.search(r"BroadcastHashJoin \[(substring|left)\(full#\d+, 1, 8\)\], \[prefix#\d+\], Inner", join)
+
+
+def test_rules_whose_hash_prefixes_collide(spark, monkeypatch):
+    monkeypatch.setattr(ur, "PREFIX", 0)
+    urls = ["http://a.example.com/en/", "http://com/", "http://q.net/fr/", None]
+    assert run(spark, urls, URL_RULES) == {k: brute(u, URL_RULES) for k, u in enumerate(urls)}
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/es/", 5, 6, 7)], "page_id long, url string, path int, bucket int, rule int")
+    rules = spark.createDataFrame([("net", "/es/", "block", 1, 2)], "host string, path string, action string, digest int, url int")
+    assert tuple(ur.judge(pages, rules).first()) == (1, "x.net", "/es/", "net/es/", "block")
