@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import asdict, fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestep.operators import outcomes, stats
+from lodestep.operators import outcomes, policy, stats
 from lodestep.plans import pipeline, reports
 from lodestep.sources import sinks
 
@@ -25,15 +26,16 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--" + k.replace("_", "-"), default=v, type=type(v) if v is not None else str)
         return c
 
+    options = {k: v for k, v in asdict(pipeline.Options()).items() if k != "tolerances"}
     command("load", "export")
     command("audit", "export", audit_output="results/audit", overrides_output="results/overrides")
     command("features", "export", scope="trajectory", output="results/features", overrides="")
     command("evaluation", "export", features="results/features", output="results/evaluation")
     command("review", "export", evaluation="results/evaluation", judgments="", calibrated="results/calibrated", summary="results/review.md")
-    command("train", "export", calibrated="results/calibrated", artifact="results/artifact.json", frontier="results/frontier", test="results/test", summary="results/train.md", chart="results/frontier.svg", text_features=pipeline.TEXT_FEATURES, folds=pipeline.FOLDS)
+    command("train", "export", calibrated="results/calibrated", artifact="results/artifact.json", frontier="results/frontier", test="results/test", summary="results/train.md", chart="results/frontier.svg", tolerances=",".join(f"{t:g}" for t in policy.TOLERANCES), **options)
     command("route", features="results/features", artifact="results/artifact.json", output="results/routes")
     command("route-one", "request", artifact="results/artifact.json")
-    command("evaluate", "export", calibrated="results/calibrated", artifact="results/artifact.json", summary="results/evaluation.md", bootstrap=pipeline.BOOTSTRAP)
+    command("evaluate", "export", calibrated="results/calibrated", artifact="results/artifact.json", summary="results/evaluation.md", tolerance="", bootstrap=pipeline.BOOTSTRAP, seed=pipeline.SEED)
     command("replay", "trajectory", test="results/test")
     return p
 
@@ -44,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     logs = pipeline.load(spark, a.export) if "export" in a else None
     if a.command == "load":
         sizes = logs.requests.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("model").alias("models"))
-        print(reports.table(sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("requests"), F.min("n").alias("smallest"), stats.upper_median("n").alias("median"), F.max("n").alias("largest"), F.count_if(F.col("models") > 1).alias("mixed"))))
+        print(reports.table(sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("requests"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count_if(F.col("models") > 1).alias("mixed")).crossJoin(stats.elements(sizes, "n", {"median": lambda n: F.floor(n / 2)}))))
         print(reports.table(logs.requests.groupBy("model").count().orderBy(F.desc("count"), "model")))
     elif a.command == "audit":
         found, overrides = pipeline.audit(logs)
@@ -63,11 +65,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sinks.write_table(calibrated, a.calibrated)
         sinks.put_text(spark, a.summary, reports.review_report(calibrated.groupBy("evaluation_label_source", "y_outcome_label", "evaluation_outcome_label").count()))
     elif a.command == "train":
-        t = pipeline.train(pipeline.modelling_rows(logs, sinks.read_table(spark, a.calibrated)), a.text_features, a.folds)
+        given = {f.name: getattr(a, f.name) for f in fields(pipeline.Options)}
+        o = pipeline.Options(**given | {"tolerances": [float(x) for x in a.tolerances.split(",")]})
+        t = pipeline.train(pipeline.modelling_rows(logs, sinks.read_table(spark, a.calibrated)), o)
+        if t.artifact.support_path:
+            t.artifact.keep_support(t.artifact.support_rows(spark), a.artifact + ".support")
         sinks.put_text(spark, a.artifact, t.artifact.to_json())
         sinks.write_table(t.frontier, a.frontier)
         sinks.write_table(t.test.drop("terms", "candidates", "way"), a.test)
-        sinks.put_text(spark, a.summary, reports.training_report(t.tolerance, t.feasible, t.frontier, t.test_metrics))
+        sinks.put_text(spark, a.summary, reports.training_report(t.tolerance, t.feasible, t.frontier, t.test_metrics, t.interval))
         sinks.put_text(spark, a.chart, reports.frontier_svg(t.test_metrics))
     elif a.command == "route":
         sinks.write_table(pipeline.route(sinks.read_table(spark, a.features), pipeline.Artifact.from_json(sinks.get_text(spark, a.artifact))), a.output, "json")
@@ -77,7 +83,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "evaluate":
         rows = pipeline.modelling_rows(logs, sinks.read_table(spark, a.calibrated))
         artifact = pipeline.Artifact.from_json(sinks.get_text(spark, a.artifact))
-        sinks.put_text(spark, a.summary, reports.evaluation_report(*pipeline.sensitivity(rows, artifact, a.bootstrap)))
+        artifact.tolerance = float(a.tolerance) if a.tolerance else artifact.tolerance
+        sinks.put_text(spark, a.summary, reports.evaluation_report(*pipeline.sensitivity(rows, artifact, a.bootstrap, a.seed)))
     elif a.command == "replay":
         for r in sinks.read_by_id(spark, a.test, "trajectory_id", a.trajectory).select("policy", "logged_model", "chosen_action", "predicted_complexity", "predicted_risk", "incumbent_cost", "policy_cost").collect():
             print(reports.case_report(r.asDict()), end="\n\n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestep.session import stash
+
 # Per million tokens, uncached input, cached input, output. Assumed prices, not verified ones.
 PRICES = [
     ("claude-fable", 10.0, 1.0, 50.0),
@@ -41,17 +43,19 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "action string, route_model string, family string, " + ", ".join(f"{d} double" for d in DIMENSIONS) + ", ordinal int")
 
 
-def prices_of(models: DataFrame, column: str, sheet: DataFrame) -> DataFrame:
+def prices_of(models: DataFrame, column: str, sheet: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """models (one row each) with uncached, cached and output: of the same key, else of its longest prefix, else the default's.
 
-    The sheet is a handful of rows, so the prefix join is against it in full, for each different model once.
+    The sheet is a handful of rows, so the prefix join is against it in full, for each different model once. The models' prices
+    are broadcast up to broadcast_rows of them.
     """
     own = models.select(F.col(column).alias("pm")).distinct()
     named = sheet.where("key <> '_default'")
     met = own.join(F.broadcast(named), F.startswith("pm", "key"), "left").groupBy("pm").agg(F.max_by(F.when(F.col("key").isNotNull(), F.struct("uncached", "cached", "output")), F.struct(F.col("pm") == F.col("key"), F.length("key"))).alias("p"))
     default = sheet.where("key = '_default'").select(F.struct("uncached", "cached", "output").alias("d"))
-    priced = met.crossJoin(F.broadcast(default)).select("pm", F.coalesce("p", "d").alias("p")).select("pm", "p.*")
-    return models.join(F.broadcast(priced), models[column].eqNullSafe(priced["pm"]), "left").drop("pm")
+    priced = stash(met.crossJoin(F.broadcast(default)).select("pm", F.coalesce("p", "d").alias("p")).select("pm", "p.*"), "prices")
+    priced = F.broadcast(priced) if priced.count() <= broadcast_rows else priced
+    return models.join(priced, models[column].eqNullSafe(priced["pm"]), "left").drop("pm")
 
 
 def canonical_action(model: Column) -> Column:

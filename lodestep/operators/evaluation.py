@@ -10,7 +10,7 @@ from lodestep.operators import policy, stats
 CAPS = [2.0, 5.0, 10.0, 20.0, None]
 
 
-def details(rows: DataFrame, chosen: Column, propensity: DataFrame) -> DataFrame:
+def details(rows: DataFrame, chosen: Column, propensity: DataFrame, floor: float = policy.PROPENSITY_FLOOR) -> DataFrame:
     """rows with chosen_action, both costs and qualities, the match, its inverse propensity and the residual.
 
     rows carry candidates, incumbent_action and evaluation_outcome_score.
@@ -18,7 +18,7 @@ def details(rows: DataFrame, chosen: Column, propensity: DataFrame) -> DataFrame
     r = rows.withColumn("chosen_action", chosen)
     picked, incumbent = policy.candidate(F.col("chosen_action")), policy.candidate(F.col("incumbent_action"))
     r = r.withColumns({"direct_policy_quality": picked["quality"], "policy_cost": picked["cost"], "incumbent_quality": incumbent["quality"], "incumbent_cost": incumbent["cost"], "matched": (F.col("chosen_action") == F.col("incumbent_action")).cast("int")})
-    r = policy.with_propensity(r, propensity, "incumbent_action")
+    r = policy.with_propensity(r, propensity, "incumbent_action", floor)
     return r.withColumn("inverse_propensity", F.when(F.col("matched") == 1, 1 / F.col("propensity")).otherwise(0.0)).withColumn("residual", F.col("evaluation_outcome_score") - F.col("incumbent_quality"))
 
 
@@ -63,20 +63,16 @@ def feasible(frontier: DataFrame, loss: float = 0.02, direct_loss: float = 0.02,
     return frontier.where((F.col("dr_delta") >= -loss) & (F.col("direct_quality") >= F.col("observed_quality") - direct_loss) & (F.col("ess") >= least_ess * F.col("n")) & (F.col("savings") >= 0))
 
 
-def select_tolerance(frontier: DataFrame) -> DataFrame:
+def select_tolerance(frontier: DataFrame, loss: float = 0.02, direct_loss: float = 0.02, least_ess: float = 0.2) -> DataFrame:
     """The feasible tolerance with most savings, the lowest of equals; else the one with the best delta, then savings."""
-    ok = feasible(frontier).agg(F.max_by("tolerance", F.struct("savings", -F.col("tolerance"))).alias("best"))
+    ok = feasible(frontier, loss, direct_loss, least_ess).agg(F.max_by("tolerance", F.struct("savings", -F.col("tolerance"))).alias("best"))
     other = frontier.agg(F.max_by("tolerance", F.struct("dr_delta", "savings", -F.col("tolerance"))).alias("fallback"))
     return ok.crossJoin(other).select(F.coalesce("best", "fallback").alias("tolerance"), F.col("best").isNotNull().alias("feasible"))
 
 
-def bootstrap_delta(rows: DataFrame, order: str, iterations: int, seed: int) -> DataFrame:
-    """iteration and delta (stabilised value less observed quality) of samples with replacement, drawn by MD5.
-
-    rows is the held-out sample that is evaluated; it meets iterations * n draws, not the other way round.
-    """
-    own = stats.numbered(rows.select(order, "direct_policy_quality", "inverse_propensity", "residual", "matched", "evaluation_outcome_score"), order)
-    n = own.count()
-    picks = stats.draws(rows.sparkSession, n, iterations, seed)
-    s = stabilised()
-    return picks.join(F.broadcast(own), "pick").groupBy("iteration").agg((s["dr_value"] - F.avg("evaluation_outcome_score")).alias("delta"))
+def bootstrap_delta(rows: DataFrame, key: str, iterations: int, seed: int) -> DataFrame:
+    """iteration and delta (stabilised value less observed quality) of bootstrap samples, see stats.resampled."""
+    w = F.when(F.col("matched") == 1, F.col("inverse_propensity")).otherwise(0.0)
+    b = stats.resampled(rows, key, iterations, seed, {"direct": F.col("direct_policy_quality"), "weight": w, "weighted": w * F.coalesce("residual", F.lit(0.0)), "observed": F.col("evaluation_outcome_score")})
+    raw = F.col("direct") / F.col("n__") + F.coalesce(F.try_divide(F.col("weighted"), F.col("weight")), F.lit(0.0))
+    return b.select("iteration", (F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)) - F.col("observed") / F.col("n__")).alias("delta"))

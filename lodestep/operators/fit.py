@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestep.session import ship
+from lodestep.operators.stats import running
+from lodestep.session import ship, stash
 
 SLOPES = (0.0, 0.05, 0.10, 0.20, 0.30, 0.50)
 REFERENCE_CAPABILITY = 0.80
@@ -94,80 +95,130 @@ def isotonic(df: DataFrame, prediction: str, outcome: str) -> DataFrame:
     return spark.createDataFrame([(u, s / w) for u, s, w in blocks], "upper double, value double")
 
 
-def _ordered(df: DataFrame, key: str) -> list:
-    """Template groups, largest first, then by the SHA-256 of their key. As many rows as there are templates."""
-    groups = df.groupBy(F.coalesce(F.col(key), F.lit("")).alias("key")).agg(F.count("*").alias("n"))
-    hashed = groups.select(F.sha2("key", 256).alias("h"), "n")
-    return sorted(((r["h"], r["n"]) for r in hashed.toLocalIterator()), key=lambda x: (-x[1], x[0]))
+def _before(x: np.ndarray, f: int, g: int, size: int, filled: np.ndarray, targets: list[float]) -> np.ndarray:
+    """How many times g is chosen before f is, when f's share is x: the i with (share of g after i groups, g) < (x, f)."""
+    share = lambda i: (filled[g] + i * size) / targets[g]
+    earlier = (lambda i: share(i) <= x) if g < f else (lambda i: share(i) < x)
+    n = np.maximum(np.ceil((x * targets[g] - filled[g]) / size), 0.0)
+    for _ in range(2):  # the estimate is off by rounding alone
+        n = np.where((n > 0) & ~earlier(n - 1), n - 1, n)
+    for _ in range(2):
+        n = np.where(earlier(n), n + 1, n)
+    return n
+
+
+def _nth(f: int, j: np.ndarray, size: int, filled: np.ndarray, targets: list[float]) -> np.ndarray:
+    """The place among equal groups, in their order, of the one that is f's j-th."""
+    x = (filled[f] + j * size) / targets[f]
+    return j + sum(_before(x, f, g, size, filled, targets) for g in range(len(targets)) if g != f)
+
+
+def _count(f: int, rank: np.ndarray, size: int, filled: np.ndarray, targets: list[float]) -> np.ndarray:
+    """How many of the first rank equal groups go to f."""
+    low, high = np.zeros(len(rank)), rank.astype(float)  # by halving: _nth grows with j
+    for _ in range(int(rank.max(initial=1)).bit_length() + 1):
+        middle = np.floor((low + high) / 2)
+        fits = (middle < high) & (_nth(f, middle, size, filled, targets) < rank)
+        low, high = np.where(fits, middle + 1, low), np.where(fits, high, middle)
+    return low
+
+
+def places(rank: np.ndarray, size: int, filled: np.ndarray, targets: list[float]) -> np.ndarray:
+    """Where each of the equal groups with these ranks goes, if all go in turn to the place with the least share of its target."""
+    out = np.zeros(len(rank), np.int32)
+    for f in range(1, len(targets)):
+        j = _count(f, rank, size, filled, targets)
+        out[_nth(f, j, size, filled, targets) == rank] = f
+    return out
+
+
+def greedy(df: DataFrame, key: str, targets: Callable[[int], list[float]], out: str) -> DataFrame:
+    """df with the place of each row's group: groups go, largest first, then by the SHA-256 of their key, to the least filled place.
 
+    Groups of one size are alike, so the driver walks the sizes and their numbers, and each group finds its place from its rank
+    among those of its size. targets: from the number of rows to what each place is to get. A null key is an empty one.
+    """
+    ship(df.sparkSession)
+    hash_ = F.sha2(F.coalesce(F.col(key), F.lit("")), 256)
+    groups = df.groupBy(hash_.alias("h__")).agg(F.count("*").alias("n__"))
+    ranked = stash(running(groups.withColumn("one__", F.lit(1)), "h__", "one__", "upto__", ["n__"]), "group-ranks")
+    sizes = sorted(((r[0], r[1]) for r in ranked.groupBy("n__").count().collect()), reverse=True)
+    goals = targets(sum(n * c for n, c in sizes))
+    filled, before = np.zeros(len(goals)), {}
+    for n, c in sizes:
+        before[n] = filled.copy()
+        filled = filled + n * np.array([_count(f, np.array([c]), n, filled, goals)[0] for f in range(len(goals))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, part in b.groupby("n__"):
+                yield pd.DataFrame({"h__": part["h__"], out: places(part["upto__"].to_numpy(float) - 1, n, before[n], goals)})
 
-def _assign(df: DataFrame, key: str, places: list[tuple[str, int]], out: str) -> DataFrame:
-    table = df.sparkSession.createDataFrame(places or [("", 0)], f"h__ string, {out} int")
-    return df.withColumn("h__", F.sha2(F.coalesce(F.col(key), F.lit("")), 256)).join(table, "h__").drop("h__")
+    found = ranked.select("h__", "n__", "upto__").mapInPandas(run, f"h__ string, {out} int")
+    return df.withColumn("h__", hash_).join(found, "h__").drop("h__")
 
 
 def grouped_folds(df: DataFrame, key: str, folds: int, out: str = "fold") -> DataFrame:
-    """df with a fold for each row: groups in order go to the smallest fold. The order matters, so the driver walks it."""
-    sizes, places = [0] * folds, []
-    for h, n in _ordered(df, key):
-        k = min(range(folds), key=lambda f: (sizes[f], f))
-        sizes[k] += n
-        places.append((h, k))
-    return _assign(df, key, places, out)
+    """df with a fold for each row: groups in order go to the smallest fold."""
+    return greedy(df, key, lambda _: [1.0] * folds, out)
 
 
 def three_way(df: DataFrame, key: str, validation: float = 0.2, test: float = 0.2, out: str = "part") -> DataFrame:
     """df with part (0 train, 1 validation, 2 test): groups in order go where the target is least filled."""
-    ordered = _ordered(df, key)
-    total = sum(n for _, n in ordered)
-    targets = [max(total * f, 1) for f in (1.0 - validation - test, validation, test)]
-    sizes, places = [0, 0, 0], []
-    for h, n in ordered:
-        k = min(range(3), key=lambda f: (sizes[f] / targets[f], f))
-        sizes[k] += n
-        places.append((h, k))
-    return _assign(df, key, places, out)
+    return greedy(df, key, lambda rows: [max(rows * f, 1) for f in (1.0 - validation - test, validation, test)], out)
 
 
-def term_counts(df: DataFrame, id_: str, terms: str) -> DataFrame:
-    return df.select(id_, F.explode(terms).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
-
-
-def vocabulary(counts: DataFrame, rows: int, features: int = 96, least: int = 3) -> DataFrame:
-    """term, df, total, idf of the most frequent terms that at least three documents have."""
-    t = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least)
+def vocabulary(df: DataFrame, terms: str, rows: int, features: int = 96, least: int = 3) -> DataFrame:
+    """term, df, total, idf of the most frequent terms that at least three documents have. Tasks add up their terms first."""
+    one, zero = F.lit(1), F.lit(0)
+    seen = F.concat(F.transform(terms, lambda t: F.struct(t.alias("term"), one.alias("n"), zero.alias("d"))), F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), zero.alias("n"), one.alias("d"))))
+    t = df.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.d").alias("df"), F.sum("t.n").alias("total")).where(F.col("df") >= least)
     return t.orderBy(F.desc("total"), "term").limit(features).withColumn("idf", F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
-    """id, term and weight: (1 + ln tf) * idf, of length 1 for each document."""
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(id_).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, id_).select(id_, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+def tfidf(df: DataFrame, id_: str, terms: str, vocab: DataFrame) -> DataFrame:
+    """id, term and weight: (1 + ln tf) * idf, of length 1 for each document. Terms out of the vocabulary, which is small, are not shuffled."""
+    counts = df.select(id_, F.explode(terms).alias("term")).join(F.broadcast(vocab.select("term", "idf")), "term").groupBy(id_, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    raw = (1 + F.log("tf")) * F.col("idf")
+    own = counts.groupBy(id_).agg(F.collect_list(F.struct("term", raw.alias("raw"))).alias("ws"))
+    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, w: s + w["raw"] * w["raw"]))
+    return own.withColumn("norm", norm).select(id_, "norm", F.explode("ws").alias("w")).select(id_, "w.term", (F.col("w.raw") / F.col("norm")).alias("weight"))
 
 
-def cross_validated_slope(df: DataFrame, vector_of, folds: str, outcome: str, capability: str, penalty: float) -> tuple[float, dict[float, float]]:
+def cross_validated_slope(df: DataFrame, names: list[str], folds: str, outcome: str, capability: str, penalty: float) -> tuple[float, dict[float, float]]:
     """The slope of the capability term with the least held-out squared error (the smaller one of equals), and all errors.
 
-    vector_of(train) gives a function that adds the vector column, encoded with the training rows' means and scales. X'X
-    does not depend on the slope: each fold is one pass that gives X'y for all slopes, and one that scores them.
+    names: the features; each fold's model standardises them with its own training rows. One pass adds up X'X and X'y for each
+    fold; a fold's training sums are all sums less its own, and standardising them is arithmetic. A second pass scores.
     """
-    n = [r[0] for r in df.select(folds).distinct().collect()]
+    ship(df.sparkSession)
+    centre = [c or 0.0 for c in df.agg(*(F.avg(n) for n in names)).first()]
     ys = [(F.col(outcome) - s * (F.col(capability) - REFERENCE_CAPABILITY)).alias(f"t{i}") for i, s in enumerate(SLOPES)]
-    total, rows = np.zeros(len(SLOPES)), 0
-    for k in sorted(n):
-        encode = vector_of(df.where(F.col(folds) != k))
-        train = encode(df.where(F.col(folds) != k)).select("vector", *ys)
-        a, b, _ = gram(train, "vector", [f"t{i}" for i in range(len(SLOPES))])[0]
-        coefficients = solve(a + penalty * np.diag([0.0] + [1.0] * (len(a) - 1)), b)
-        held = encode(df.where(F.col(folds) == k))
-        errors = []
-        for i, s in enumerate(SLOPES):
-            c = F.array(*(F.lit(float(x)) for x in coefficients[:, i]))
-            p = F.aggregate(F.zip_with("vector", c, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) + s * (F.col(capability) - REFERENCE_CAPABILITY)
-            errors.append(F.sum(F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)) - F.col(outcome), F.lit(2.0))).alias(f"e{i}"))
-        r = held.agg(F.count("*").alias("n"), *errors).first()
-        total += np.array([r[f"e{i}"] or 0.0 for i in range(len(SLOPES))])
-        rows += r["n"]
-    losses = {s: float(t / max(rows, 1)) for s, t in zip(SLOPES, total, strict=True)}
+    x = F.array(F.lit(1.0), *(F.col(n).cast("double") - F.lit(c) for n, c in zip(names, centre, strict=True))).alias("v")
+    rows = df.select(F.col(folds).cast("int").alias("k"), x, *ys, F.col(outcome).cast("double").alias("y"), (F.col(capability) - REFERENCE_CAPABILITY).cast("double").alias("c"))
+    sums = gram(rows, "v", [f"t{i}" for i in range(len(SLOPES))], by="k")
+    whole = [sum(part[i] for part in sums.values()) for i in (0, 1)] if sums else []
+    coefficients: dict[int, np.ndarray] = {}
+    for k, (a, b, _) in sums.items():
+        a, b = whole[0] - a, whole[1] - b
+        if not a[0, 0]:
+            continue
+        mean = a[0] / a[0, 0]
+        spread = np.diag(a) / a[0, 0] - mean**2
+        scale = np.where(spread > 1e-12 * np.maximum(np.diag(a) / a[0, 0], 1e-300), np.sqrt(np.maximum(spread, 0)), 1.0)
+        scale[0], mean[0] = 1.0, 0.0
+        m = np.diag(1 / scale)
+        m[:, 0] -= mean / scale
+        coefficients[k] = m.T @ solve(m @ a @ m.T + penalty * np.diag([0.0] + [1.0] * len(names)), m @ b)
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, part in b.groupby("k"):
+                if k in coefficients:
+                    p = np.stack(part["v"].to_list()).astype(float) @ coefficients[k] + np.outer(part["c"].to_numpy(float), SLOPES)
+                    e = ((np.clip(p, 0.0, 1.0) - part["y"].to_numpy(float)[:, None]) ** 2).sum(0)
+                    yield pd.DataFrame({"i": np.arange(len(SLOPES)), "e": e, "n": len(part)})
+
+    total = {r["i"]: r["e"] / max(r["n"], 1) for r in rows.mapInPandas(errors, "i int, e double, n long").groupBy("i").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).collect()}
+    losses = {s: float(total.get(i, 0.0)) for i, s in enumerate(SLOPES)}
     return min(SLOPES, key=lambda s: (losses[s], s)), losses

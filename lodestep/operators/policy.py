@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.functions.money import DIMENSIONS, PRICES, PROFILES
+from lodestep.operators import stats
 from lodestep.session import ship, stash
 
 # Fixed values
@@ -22,9 +23,9 @@ CALIPER_QUANTILE = 0.95
 PROPENSITY_FLOOR = 0.03
 FALLBACK = "sonnet"
 TOLERANCES = [0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05]
-#: Support rows kept for each action and stratum by support_rows, whose result goes to every task.
-MAX_SUPPORT = 2_000
-#: Rows of a block of nearest_of_all.
+#: Bytes of support up to which it goes to every task; a larger one is met in blocks.
+LOCAL_BYTES = 32 << 20
+#: Rows of a block.
 BLOCK = 4_000
 
 
@@ -38,6 +39,7 @@ def _number(name: str) -> Column:
 
 def capability_weights(complexity: Column, risk: Column) -> dict[str, Column]:
     """The weight of each capability for a task."""
+    # Fixed values
     return {
         "tool_use": 1.0 + 2.0 * _number("x_requires_external_action"),
         "coding": 1.0 + 3.0 * _number("x_is_coding"),
@@ -95,13 +97,13 @@ def candidate(action: Column) -> Column:
     return F.get(F.filter("candidates", lambda c: c["action"] == action), F.lit(0))
 
 
-def choose(tolerance: Column) -> Column:
+def choose(tolerance: Column, fallback: str = FALLBACK) -> Column:
     """The cheapest supported candidate within tolerance of the best quality; the fallback where none is supported."""
     open_ = F.filter("candidates", lambda c: c["supported"])
     best = F.array_max(F.transform(open_, lambda c: c["quality"]))
     fine = F.filter(open_, lambda c: c["quality"] >= best - tolerance)
     cheapest = F.array_min(F.transform(fine, lambda c: F.struct(c["cost"].alias("cost"), (-c["quality"]).alias("q"), c["ordinal"].alias("ordinal"), c["action"].alias("action"))))["action"]
-    return F.coalesce(cheapest, F.lit(FALLBACK))
+    return F.coalesce(cheapest, F.lit(fallback))
 
 
 def decision_reason() -> Column:
@@ -132,36 +134,45 @@ def with_propensity(rows: DataFrame, table: DataFrame, action: str, floor: float
     return joined.withColumn("propensity", F.greatest(F.lit(floor), F.coalesce("p", F.lit(1 / len(PROFILES))))).drop("key__", "p_key", "p_action", "p")
 
 
-def support_rows(rows: DataFrame, features: list[str], most: int = MAX_SUPPORT) -> dict[tuple[str, str], tuple[list[str], np.ndarray]]:
-    """Ids and features of the support of each (action, stratum), at most ``most`` each, taken by hash of the id.
+def support_table(rows: DataFrame, features: list[str]) -> DataFrame:
+    """action, key (stratum), id and x (the features) of rows that support their own actions."""
+    return rows.select(F.col("incumbent_action").alias("action"), exact_key().alias("key"), F.col("trajectory_id").alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+
+
+def _distances(x: np.ndarray, ids, own, ref: np.ndarray, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x, how many rows of ref there are (without itself) and the distance of the nearest."""
+    place: dict = {}
+    for j, t in enumerate(own if exclude_self else ()):
+        place.setdefault(t, []).append(j)
+    best, seen = np.full(len(x), np.inf), np.full(len(x), len(own))
+    for lo in range(0, len(x), 256):
+        d = sum((x[lo : lo + 256, None, k] - ref[None, :, k]) ** 2 for k in range(x.shape[1]))
+        for i, t in enumerate(ids[lo : lo + 256] if exclude_self else ()):
+            if t in place:
+                d[i, place[t]] = np.inf
+                seen[lo + i] -= len(place[t])
+        best[lo : lo + 256] = np.sqrt(d.min(1) / x.shape[1])
+    return seen, best
 
-    The groups are actions times categories, risks and images, so the table is bounded by 6 * 48 * most rows.
-    """
-    k = F.xxhash64("trajectory_id")
-    packed = F.struct(k.alias("h"), F.col("trajectory_id").alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
-    own = rows.select("incumbent_action", exact_key().alias("key"), packed.alias("p"))
-    # a cheap cut before the sort: groups above the bound keep the smallest hashes only
-    sizes = {(r[0], r[1]): r[2] for r in own.groupBy("incumbent_action", "key").count().collect()}
-    share = {g: min(1.0, 1.2 * most / n + 0.01) for g, n in sizes.items()}
-    if any(n > most for n in sizes.values()):
-        cut = F.lit(1.0)
-        for (a, key), s in share.items():
-            cut = F.when((F.col("incumbent_action") == a) & (F.col("key") == key), s).otherwise(cut)
-        own = own.where(F.col("p.h").cast("double") / 2.0**63 < cut * 2 - 1)
-    found: dict[tuple[str, str], list] = {}
-    for r in own.collect():
-        found.setdefault((r[0], r[1]), []).append((r["p"]["h"], r["p"]["id"], r["p"]["x"]))
-    return {g: ([x[1] for x in sorted(v)[:most]], np.array([x[2] for x in sorted(v)[:most]], float)) for g, v in found.items()}
 
+NEAR = "trajectory_id string, action string, n long, distance double"
 
-def nearest(rows: DataFrame, support: dict, features: list[str], scales: dict[str, float], exclude_self: bool = False) -> DataFrame:
+
+def nearest(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], exclude_self: bool = False, local_bytes: int = LOCAL_BYTES, block: int = BLOCK) -> DataFrame:
     """trajectory_id, action, n and distance: the support of each action in the row's stratum, and the nearest of it.
 
-    The rows meet the support in blocks within their task; nothing is shuffled.
+    support: as support_table gives it, all of whose rows count. Up to local_bytes it goes to every task, where rows meet their stratum's and
+    nothing is shuffled. Beyond, blocks of rows meet the blocks of their stratum's support, each pair in a task of its own.
     """
     ship(rows.sparkSession)
+    size = support.agg(F.count("*") * (8 * len(features) + 64) + F.coalesce(F.sum(F.length("id")), F.lit(0))).first()[0]
     scale = np.array([scales[f] for f in features])
-    scaled = {g: (ids, x / scale) for g, (ids, x) in support.items()}
+    if size > local_bytes:
+        return _nearest_in_blocks(rows, support, features, scale, exclude_self, block)
+    found: dict[tuple[str, str], list] = {}
+    for r in support.collect():
+        found.setdefault((r["action"], r["key"]), []).append((r["id"], r["x"]))
+    scaled = {g: ([x[0] for x in v], np.array([x[1] for x in v], float) / scale) for g, v in found.items()}
     actions = sorted({a for a, _ in scaled})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,78 +181,45 @@ def nearest(rows: DataFrame, support: dict, features: list[str], scales: dict[st
                 x, ids = np.stack(part["x"].to_list()).astype(float) / scale, part["trajectory_id"].to_numpy()
                 for action in actions:
                     own, ref = scaled.get((action, key), ([], None))
-                    if not len(own):
-                        continue
-                    best = np.full(len(x), np.inf)
-                    seen = np.full(len(x), len(own))
-                    place = {t: j for j, t in enumerate(own)}
-                    for lo in range(0, len(x), 256):
-                        d = ((x[lo : lo + 256, None, :] - ref[None]) ** 2).sum(2)
-                        if exclude_self:
-                            for i, t in enumerate(ids[lo : lo + 256]):
-                                if t in place:
-                                    d[i, place[t]] = np.inf
-                                    seen[lo + i] -= 1
-                        best[lo : lo + 256] = np.sqrt(d.min(1) / len(features))
-                    keep = np.isfinite(best)
-                    yield pd.DataFrame({"trajectory_id": ids[keep], "action": action, "n": seen[keep], "distance": best[keep]})
+                    if len(own):
+                        seen, best = _distances(x, ids, own, ref, exclude_self)
+                        keep = np.isfinite(best)
+                        yield pd.DataFrame({"trajectory_id": ids[keep], "action": action, "n": seen[keep], "distance": best[keep]})
 
     own = rows.select("trajectory_id", exact_key().alias("key"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
-    return own.mapInPandas(run, "trajectory_id string, action string, n long, distance double")
+    return own.mapInPandas(run, NEAR)
 
 
-def _blocks(rows: DataFrame, keys: list[str], features: list[str], block: int) -> DataFrame:
-    """Rows of each stratum in blocks by hash: keys, block, ids and xs."""
-    x = F.array(*(F.col(f).cast("double") for f in features))
-    own = stash(rows.select("*", exact_key().alias("key")).select(*keys, F.col("trajectory_id").alias("id"), x.alias("x")), "stratum-rows")
-    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+def _blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows (keys, id, x) of each group in blocks by hash: keys, ids and xs."""
+    own = stash(rows, "stratum-rows")
+    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))  # actions times strata
     dealt = own.join(F.broadcast(sizes), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias("part")).select(*keys, "block", F.col("part.id").alias("ids"), F.col("part.x").alias("xs"))
+    return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias("part")).select(*keys, F.col("part.id").alias("ids"), F.col("part.x").alias("xs"))
 
 
-def nearest_of_all(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """As nearest, with all rows of support: each block of rows meets each block of its stratum's support, in tasks of its own."""
-    ship(rows.sparkSession)
-    scale = np.array([scales[f] for f in features])
-
+def _nearest_in_blocks(rows: DataFrame, support: DataFrame, features: list[str], scale: np.ndarray, exclude_self: bool, block: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for action, ids, xs, own, ref in zip(b["action"], b["ids"], b["xs"], b["own"], b["ref"], strict=True):
-                x, r = np.stack(xs).astype(float) / scale, np.stack(ref).astype(float) / scale
-                place: dict = {}
-                for j, t in enumerate(own if exclude_self else ()):
-                    place.setdefault(t, []).append(j)
-                best, seen = np.full(len(x), np.inf), np.full(len(x), len(own))
-                for lo in range(0, len(x), 256):
-                    d = sum((x[lo : lo + 256, None, k] - r[None, :, k]) ** 2 for k in range(len(scale)))
-                    for i, t in enumerate(ids[lo : lo + 256] if exclude_self else ()):
-                        if t in place:
-                            d[i, place[t]] = np.inf
-                            seen[lo + i] -= len(place[t])
-                    best[lo : lo + 256] = np.sqrt(d.min(1) / len(features))
+                seen, best = _distances(np.stack(xs).astype(float) / scale, ids, own, np.stack(ref).astype(float) / scale, exclude_self)
                 yield pd.DataFrame({"trajectory_id": ids, "action": action, "n": seen, "distance": best})
 
-    one = _blocks(rows, ["key"], features, block).drop("block")
-    two = _blocks(support, ["incumbent_action", "key"], features, block).select(F.col("incumbent_action").alias("action"), "key", F.col("ids").alias("own"), F.col("xs").alias("ref"))
+    asked = rows.select(exact_key().alias("key"), F.col("trajectory_id").alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+    one = _blocks(asked, ["key"], block)
+    two = _blocks(support.select("action", "key", "id", "x"), ["action", "key"], block).select("action", "key", F.col("ids").alias("own"), F.col("xs").alias("ref"))
     # few rows, each a pair of blocks: one by one to Python
     pairs = one.join(two, "key").repartition(F.xxhash64("ids"), F.xxhash64("own"))
-    near = pairs.select("action", "ids", "xs", "own", "ref").mapInPandas(run, "trajectory_id string, action string, n long, distance double")
+    near = pairs.select("action", "ids", "xs", "own", "ref").mapInPandas(run, NEAR)
     return near.groupBy("trajectory_id", "action").agg(F.sum("n").alias("n"), F.min("distance").alias("distance")).where("distance < double('infinity')")
 
 
-def calipers_of_all(rows: DataFrame, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE) -> DataFrame:
-    """As calipers, with all rows as support."""
-    return _own_calipers(nearest_of_all(rows, rows, features, scales, exclude_self=True), rows, quantile)
-
-
-def calipers(rows: DataFrame, support: dict, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE) -> DataFrame:
+def calipers(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """action, reference_n and caliper: the quantile of distances to the nearest other row of the same action and stratum."""
-    return _own_calipers(nearest(rows, support, features, scales, exclude_self=True), rows, quantile)
-
-
-def _own_calipers(near: DataFrame, rows: DataFrame, quantile: float) -> DataFrame:
-    own = near.join(rows.select("trajectory_id", F.col("incumbent_action").alias("action")), ["trajectory_id", "action"])
-    return own.groupBy("action").agg(F.count("*").alias("reference_n"), F.percentile("distance", F.lit(quantile)).alias("caliper"))
+    near = nearest(rows, support, features, scales, exclude_self=True, local_bytes=local_bytes)
+    own = stash(near.join(rows.select("trajectory_id", F.col("incumbent_action").alias("action")), ["trajectory_id", "action"]).select("action", "distance"), "own-distances")
+    n = own.groupBy("action").agg(F.count("*").alias("reference_n"))
+    return n.join(stats.percentiles(own, "distance", {"caliper": quantile}, ["action"]), "action").select("action", "reference_n", "caliper")
 
 
 def supported_actions(near: DataFrame, caliper: DataFrame, min_stratum: int = MIN_STRATUM) -> DataFrame:

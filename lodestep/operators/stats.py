@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,34 +22,53 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
-def upper_median(column: str) -> Column:
-    """An aggregate: the element at half the count of the sorted values."""
-    v = F.sort_array(F.collect_list(column))
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
-
-
-def quartile(column: str, k: int) -> Column:
-    """An aggregate: the element at k quarters of the count, without interpolation."""
-    v = F.sort_array(F.collect_list(column))
-    return F.get(v, F.floor(F.size(v) * k / 4).cast("int"))
+def _same(left: DataFrame, right: DataFrame, columns: list[str], mark: str) -> Column:
+    """Equality of the columns, nulls included; right has them with mark after their names."""
+    return reduce(lambda x, y: x & y, (left[c].eqNullSafe(right[f"{c}{mark}"]) for c in columns))
 
 
 def running(df: DataFrame, order: str, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
     """df, one row for each group and order, with out: the sum of value over the rows up to each.
 
-    Without groups the rows are dealt by ranges of order, and each range starts from the sums before it, so no task gets all.
+    The rows are dealt by ranges of groups and order, and each range starts from the sums before it, so that no task gets a
+    whole group.
     """
-    if groups:
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*groups).orderBy(order)))
-    ranged = stash(df.repartitionByRange(order).withColumn("range__", F.spark_partition_id()), "ranges")
-    sums = [(r["range__"], r["s"]) for r in ranged.groupBy("range__").agg(F.sum(value).cast("double").alias("s")).collect()]
-    before, offsets = 0.0, []
-    for k, s in sorted(sums):
-        offsets.append((k, before))
-        before += s or 0.0
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0.0)], "range__ int, before__ double"))
-    own = F.sum(value).over(Window.partitionBy("range__").orderBy(order))
-    return ranged.withColumn(out, own).join(table, "range__").withColumn(out, F.col(out) + F.col("before__")).drop("range__", "before__")
+    g = groups or []
+    ranged = stash(df.repartitionByRange(*g, order).withColumn("range__", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*g, "range__").agg(F.sum(value).cast("double").alias("own__"))
+    # a row for each range of a group
+    w = Window.partitionBy(*(g or [F.lit(0)])).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*(F.col(c).alias(f"{c}__b") for c in [*g, "range__"]), F.coalesce(F.sum("own__").over(w), F.lit(0.0)).alias("before__"))
+    own = ranged.withColumn(out, F.sum(value).over(Window.partitionBy(*g, "range__").orderBy(order)))
+    joined = own.join(before if g else F.broadcast(before), _same(own, before, [*g, "range__"], "__b"))
+    return joined.withColumn(out, F.col(out) + F.col("before__")).select(*df.columns, out)
+
+
+def _ranked(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
+    """groups, column, rows__ (its own), upto__ and total__ for each different value that is not null."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("rows__"))
+    ranked = stash(running(counts, column, "rows__", "upto__", groups), "ranked")
+    total = ranked.groupBy(*(F.col(c).alias(f"{c}__t") for c in groups)).agg(F.sum("rows__").alias("total__"))
+    return ranked.join(total, _same(ranked, total, groups, "__t")) if groups else ranked.crossJoin(F.broadcast(total))
+
+
+def elements(df: DataFrame, column: str, at: dict[str, Callable[[Column], Column]], groups: list[str] | None = None) -> DataFrame:
+    """groups and, for each name, the element of the sorted values at the place (from 0) that its function gives for their number."""
+    g = groups or []
+    r = _ranked(df, column, g)
+    return r.groupBy(*g).agg(*(F.min(F.when(F.col("upto__") > f(F.col("total__")), F.col(column))).alias(k) for k, f in at.items()))
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """groups and, for each name, the percentile of its share, interpolated between neighbours. No task gets a whole group."""
+    places = {k: (lambda n, q=q: (n - 1) * q) for k, q in shares.items()}
+    ends = {f"{k}__{e}": (lambda n, f=f, h=h: h(f(n))) for k, f in places.items() for e, h in (("lo", F.floor), ("hi", F.ceil))}
+    g = groups or []
+    found = elements(df, column, ends, g)
+    n = df.where(F.col(column).isNotNull()).groupBy(*(F.col(c).alias(f"{c}__n") for c in g)).agg(F.count("*").alias("n__"))
+    both = found.join(n, _same(found, n, g, "__n")) if g else found.crossJoin(F.broadcast(n))
+    between = lambda k: F.col(f"{k}__lo") + (F.col(f"{k}__hi") - F.col(f"{k}__lo")) * (places[k](F.col("n__")) - F.floor(places[k](F.col("n__"))))
+    return both.select(*g, *(between(k).cast("double").alias(k) for k in shares))
 
 
 def percentile_ranks(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFrame:
@@ -59,6 +82,17 @@ def percentile_ranks(df: DataFrame, column: str, groups: list[str] | None = None
     return df.join(ranks, [*g, column], "left")
 
 
+def ranks_among(rows: DataFrame, reference: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with out: the share of the reference's rows whose value is not above a row's own; 0 where none is, or the value is null."""
+    points = reference.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n__"))
+    asked = rows.where(F.col(column).isNotNull()).select(column).distinct().withColumn("n__", F.lit(0).cast("long"))
+    both = points.unionByName(asked).groupBy(F.col(column).alias("value__")).agg(F.sum("n__").alias("n__"))
+    ranks = running(both, "value__", "n__", "upto__")
+    total = points.agg(F.coalesce(F.sum("n__"), F.lit(1)).alias("all__"))
+    ranks = ranks.crossJoin(F.broadcast(total)).select("value__", (F.col("upto__") / F.col("all__")).alias(out))
+    return rows.join(ranks, rows[column] == ranks["value__"], "left").drop("value__").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
 def auc(df: DataFrame, outcome: str, prediction: str, groups: list[str] | None = None) -> DataFrame:
     """Tie-aware ROC AUC by group; 0.5 with one class only. Equal predictions are counted first and share their mean rank."""
     g = groups or []
@@ -86,15 +120,24 @@ def step_lookup(rows: DataFrame, value: str, blocks: DataFrame, out: str) -> Dat
     return rows.crossJoin(F.broadcast(packed)).withColumn(out, F.coalesce(F.get(fit, F.lit(0))["v"], F.element_at("blocks__", -1)["v"])).drop("blocks__")
 
 
-def draws(spark, n: int, iterations: int, seed: int) -> DataFrame:
-    """iteration, slot and pick (0 to n - 1) by MD5, the same on any engine."""
-    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("slot").cast("string"))), F.lit(8)), 16, 10).cast("long")
-    return spark.range(iterations).select(F.col("id").cast("int").alias("iteration")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pick", F.pmod(h, F.lit(n)).cast("int"))
+#: Where the cumulative Poisson distribution of mean 1 steps, as far as 32 bits tell.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
 
+def resampled(df: DataFrame, key: str, iterations: int, seed: int, sums: dict[str, Column]) -> DataFrame:
+    """iteration, n__ and the sums of bootstrap samples: in each, a row counts as often as its own Poisson draw of mean 1.
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with pick, its place in the order; for samples that a bootstrap draws from, which are small."""
-    return df.withColumn("pick", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    A draw is 32 bits of an MD5 of seed, key and iteration, the same on any engine; rows with equal keys draw alike. Each task
+    adds up its own rows, so nothing is gathered or joined. Samples without any row are left out.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block__").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    own = df.select(key, *(c.alias(k) for k, c in sums.items())).withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit((iterations + 3) // 4 - 1)))).withColumn("h__", h)
+    drawn = own.withColumn("part__", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    u = F.conv(F.substring("h__", F.col("part__") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
+    drawn = drawn.withColumn("u__", u)
+    times = reduce(lambda x, y: x + y, ((F.col("u__") >= F.lit(c)).cast("int") for c in POISSON))
+    drawn = drawn.select((F.col("block__") * 4 + F.col("part__")).alias("iteration"), times.alias("times__"), *sums).where(f"times__ > 0 and iteration < {iterations}")
+    return drawn.groupBy("iteration").agg(F.sum("times__").alias("n__"), *(F.sum(F.col("times__") * F.col(k)).alias(k) for k in sums))
 
 
 def interval(df: DataFrame, column: str) -> DataFrame:

@@ -64,17 +64,19 @@ def common_prefix(a: Column, b: Column) -> Column:
 def audit(requests: DataFrame, group: str, model: str, text: str) -> DataFrame:
     """For each group of two requests or more: counts, models, distinct openings and their common prefix.
 
-    The common prefix of a set of texts is that of its least and greatest.
+    The common prefix of a set of texts is that of its least and greatest. Groups of one request are set aside by their counts
+    before any text is shuffled, and texts are told apart by two hashes.
     """
-    g = requests.groupBy(group).agg(
+    several = requests.groupBy(group).agg(F.count("*").alias("request_count")).where("request_count > 1").select(F.col(group).alias("several__"))
+    g = requests.join(several, requests[group] == several["several__"], "left_semi").groupBy(group).agg(
         F.count("*").alias("request_count"),
         F.array_join(F.sort_array(F.collect_set(model)), "|").alias("models"),
         F.count_distinct(model).alias("n_models"),
-        F.count_distinct(text).alias("full_first_user_unique"),
+        F.count_distinct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("full_first_user_unique"),
         F.min(text).alias("least__"),
         F.max(text).alias("greatest__"),
     )
-    return g.where("request_count > 1").select(group, "request_count", "models", (F.col("n_models") > 1).cast("int").alias("mixed_models"), "full_first_user_unique", common_prefix(F.col("least__"), F.col("greatest__")).alias("common_first_user_prefix_chars"))
+    return g.select(group, "request_count", "models", (F.col("n_models") > 1).cast("int").alias("mixed_models"), "full_first_user_unique", common_prefix(F.col("least__"), F.col("greatest__")).alias("common_first_user_prefix_chars"))
 
 
 def corrected_id(group: Column, chunk: Column, line: Column) -> Column:
@@ -87,9 +89,8 @@ def split_groups(requests: DataFrame, overrides: DataFrame, group: str = "group_
 
     overrides: original_group_id and decision. Another decision than split_all_requests is an error.
     """
-    w = Window.partitionBy(group)
-    n, models = F.count("*").over(w), F.size(F.collect_set("model").over(w))
-    counted = requests.withColumn("status__", grouping_status(n, models))
+    groups = requests.groupBy(F.col(group).alias("group__")).agg(grouping_status(F.count("*"), F.count_distinct("model")).alias("status__"))
+    counted = requests.join(groups, requests[group].eqNullSafe(groups["group__"])).drop("group__")
     o = overrides.select("original_group_id", "decision")
     joined = counted.join(o, counted[group] == o["original_group_id"], "left")
     fine = F.when(F.col("decision").isNull() | (F.col("decision") == "split_all_requests"), F.col("decision").isNotNull()).otherwise(F.raise_error(F.concat(F.lit("unsupported decision "), F.col("decision"))).cast("boolean"))

@@ -6,6 +6,8 @@ take such characters along run twice, since neighbours share one.
 
 from __future__ import annotations
 
+import math
+
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
 
 
@@ -48,7 +50,7 @@ LENS = "l AS (SELECT conv_id, count(*) AS n_items, CAST(coalesce(min(CASE WHEN r
 SQUEEZED = r"trim(regexp_replace(regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g'))"
 ROUTING = "right(" + SQUEEZED.format(r"regexp_replace({0}, '(?i)\[base64 image redacted\]', ' ', 'g')") + ", 6000)"
 DOCS = """r AS (SELECT doc_id, lang, source AS model, coalesce(text, '') AS text, source AS source_chunk, doc_id AS source_line,
-  left(sha1(concat(lang, chr(10), left(coalesce(text, ''), 40))), 16) AS group_id FROM documents)"""
+  left(sha1(concat(coalesce(lang, ''), chr(10), left(coalesce(text, ''), 2000))), 16) AS group_id FROM documents)"""
 STATUS = """s AS (SELECT group_id, count(*) AS n_calls, count(DISTINCT model) AS n_models,
   CASE WHEN count(*) = 1 THEN 'singleton' WHEN count(DISTINCT model) > 1 THEN 'mixed_model_conflict' ELSE 'provisional_multi_same_model' END AS status
   FROM r GROUP BY group_id)"""
@@ -134,13 +136,11 @@ METRICS = """m AS (
 mr AS (SELECT {0}, n, changed_routes, matched_actions, round(observed_quality, 6) AS observed_quality, round(direct_quality, 6) AS direct_quality,
   round(dr_quality, 6) AS dr_quality, round(dr_quality - observed_quality, 6) AS dr_delta, round(ess, 6) AS ess, round(incumbent_cost, 6) AS incumbent_cost,
   round(policy_cost, 6) AS policy_cost, round(savings, 6) AS savings FROM m)"""
-DRAW = "CAST(CAST(('0x' || left(md5('{0}:' || iteration || ':' || slot), 8)) AS BIGINT) % n AS INT)"
-TERMS = f"""w0 AS (SELECT doc_id, list_filter(regexp_extract_all(lower(left(coalesce(text, ''), 6000)), '[a-z][a-z'']{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOP_WORDS)})) AS ws FROM documents),
-tc AS (SELECT doc_id, term, count(*) AS tf FROM (
-  SELECT doc_id, unnest(ws) AS term FROM w0
-  UNION ALL SELECT doc_id, ws[k] || '__' || ws[k + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS k FROM w0)) GROUP BY doc_id, term),
-voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf
-  FROM tc GROUP BY term HAVING count(*) >= 3 ORDER BY total DESC, term LIMIT 96)"""
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+#: How often row ``id`` is in each of 2000 samples: iteration and times.
+DRAWN = """h AS (SELECT id, block, md5('{0}:' || block || ':' || id) AS h FROM (SELECT doc_id AS id, unnest(range(500)) AS block FROM {1})),
+dr AS (SELECT id, block * 4 + part AS iteration, CAST(('0x' || substr(h, part * 8 + 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS v FROM h CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS part)),
+times AS (SELECT id, iteration, """ + " + ".join(f"CAST(v >= {c!r}::DOUBLE AS INT)" for c in POISSON) + """ AS k FROM dr)"""
 
 
 def _sanitise(text: str) -> str:
@@ -165,6 +165,16 @@ def _sanitise(text: str) -> str:
     return f"lower({SQUEEZED.format(x)})"
 
 
+
+#: doc_id and the model text of each whole text.
+MODEL_TEXTS = f"""s0 AS (SELECT doc_id, {_sanitise("coalesce(text, '')")} AS s FROM documents), m AS (SELECT doc_id, {_sanitise("s")} AS m FROM s0)"""
+TERMS = f"""{MODEL_TEXTS}, w0 AS (SELECT doc_id, list_filter(regexp_extract_all(m, '[a-z][a-z'']{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOP_WORDS)})) AS ws FROM m),
+tc AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest(ws) AS term FROM w0
+  UNION ALL SELECT doc_id, ws[k] || '__' || ws[k + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS k FROM w0)) GROUP BY doc_id, term),
+voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf
+  FROM tc GROUP BY term HAVING count(*) >= 3 ORDER BY total DESC, term LIMIT 96)"""
+
 ORACLES = {
     "q_opening_snapshot": f"""WITH {ITEMS}, {LENS}
 SELECT l.conv_id, n_items, opening_len, count(*) FILTER (WHERE role = 'system' AND pos < opening_len) AS n_system,
@@ -194,9 +204,9 @@ SELECT conv_id, history_items, right(t, 700) AS user_tail, left(final, 1200) AS
     "q_group_key": f"WITH {DOCS}, {STATUS} SELECT * FROM s",
     "q_group_audit": f"""WITH {DOCS},
 g AS (SELECT group_id, count(*) AS request_count, string_agg(DISTINCT model, '|' ORDER BY model) AS models, count(DISTINCT model) AS nm,
-        count(DISTINCT text) AS full_first_user_unique, list(DISTINCT text) AS ts, min(length(text)) AS shortest FROM r GROUP BY group_id HAVING count(*) > 1)
+        count(DISTINCT text) AS full_first_user_unique, min(length(text)) AS shortest, string_split(min(text), '') AS lo, string_split(max(text), '') AS hi FROM r GROUP BY group_id HAVING count(*) > 1)
 SELECT group_id, request_count, models, CAST(nm > 1 AS INT) AS mixed_models, full_first_user_unique,
-       CAST((SELECT count(*) FROM (SELECT unnest(range(1, shortest + 1)) AS k) WHERE len(list_distinct(list_transform(ts, lambda x: left(x, CAST(k AS INT))))) = 1) AS INT) AS common_first_user_prefix_chars
+       CAST(CASE WHEN full_first_user_unique = 1 THEN shortest ELSE coalesce(list_position(list_transform(range(1, CAST(least(len(lo), len(hi)) AS BIGINT) + 1), lambda k: lo[k] <> hi[k]), true) - 1, least(len(lo), len(hi))) END AS INT) AS common_first_user_prefix_chars
 FROM g""",
     "q_corrected_split": f"""WITH {DOCS}, {STATUS}
 SELECT doc_id, group_id, CASE WHEN status = 'mixed_model_conflict' THEN group_id || '-' || left(sha1(source_chunk || ':' || (source_line - 1)), 8) ELSE group_id END AS trajectory_id,
@@ -226,6 +236,8 @@ m AS (SELECT p_partkey, p_type, arg_max(s, length(key)) AS s FROM part LEFT JOIN
 SELECT p_partkey, p_type, coalesce(s.uncached, 5.0) AS uncached, coalesce(s.cached, 1.0) AS cached, coalesce(s.output, 20.0) AS output FROM m""",
     "q_load_stats": f"""WITH {ITEMS}, g AS (SELECT conv_id, count(*) AS n, sum(length(coalesce(text, '')) // 4) AS tokens FROM i GROUP BY conv_id)
 SELECT count(*) AS groups, min(n) AS smallest, list_sort(list(n))[count(*) // 2 + 1] AS median, max(n) AS largest, CAST(sum(n) AS BIGINT) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM g""",
+    "q_load_models": f"""WITH {CALLS}, g AS (SELECT conv_id, count(DISTINCT model) > 1 AS mixed FROM c0 GROUP BY conv_id)
+SELECT model, count(*) AS requests, count(DISTINCT conv_id) AS groups, count(DISTINCT conv_id) FILTER (WHERE mixed) AS mixed_groups FROM c0 JOIN g USING (conv_id) GROUP BY model""",
     "q_tool_dupes": f"""WITH {EVENTS},
 a AS (SELECT req, name, arguments, count(*) AS n, count(*) FILTER (WHERE failed) AS e, count(*) FILTER (WHERE succeeded AND NOT failed) AS g FROM c GROUP BY ALL)
 SELECT req, CAST(sum(n) AS BIGINT) AS calls, count(DISTINCT name) AS names, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(n - 1) AS BIGINT) AS duplicates,
@@ -297,14 +309,12 @@ g AS (SELECT weight_cap, avg(direct) + coalesce(sum(w * residual) FILTER (WHERE
 SELECT weight_cap, round(raw, 6) AS dr_raw, round(least(1.0, greatest(0.0, raw)), 6) AS dr_value, round(ess, 6) AS ess, round(mw, 6) AS max_weight FROM g""",
     "q_route_counts": f"{POLICY} SELECT policy, chosen AS chosen_action, count(*) AS n FROM d WHERE policy IN ('learned_0.020', 'heuristic') GROUP BY 1, 2",
     "q_replay": f"{POLICY} SELECT trajectory_id, model AS logged_model, chosen AS chosen_action, round(coalesce(policy_cost / nullif(inc_cost, 0) - 1, 0) * 100, 4) AS change_pct FROM d WHERE policy = 'learned_0.020'",
-    "q_bootstrap_ci": f"""{POLICY}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pick, count(*) OVER () AS n FROM d WHERE policy = 'learned_0.020'),
-dr AS (SELECT iteration, {DRAW.format(20260822)} AS pick FROM (SELECT iteration, unnest(range(n)) AS slot, n FROM (SELECT unnest(range(200)) AS iteration, (SELECT count(*) FROM o) AS n))),
-b AS (SELECT iteration, least(1.0, greatest(0.0, avg(direct) + coalesce(sum(ip * residual) FILTER (WHERE matched = 1) / nullif(sum(ip) FILTER (WHERE matched = 1), 0), 0))) - avg(outcome) AS delta
-      FROM dr JOIN o USING (pick) GROUP BY iteration)
+    "q_bootstrap_ci": f"""{POLICY}, o AS (SELECT * FROM d WHERE policy = 'learned_0.020'), {DRAWN.format(20260822, "o")},
+b AS (SELECT iteration, least(1.0, greatest(0.0, sum(k * direct) / sum(k) + coalesce(sum(k * ip * residual) FILTER (WHERE matched = 1) / nullif(sum(k * ip) FILTER (WHERE matched = 1), 0), 0))) - sum(k * outcome) / sum(k) AS delta
+      FROM times JOIN o ON o.doc_id = id WHERE k > 0 GROUP BY iteration)
 SELECT round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, 'md5' AS mode FROM b""",
-    "q_residual_bootstrap": f"""WITH {TASKS}, o AS (SELECT doc_id, outcome - base_quality AS residual, row_number() OVER (ORDER BY doc_id) - 1 AS pick FROM u),
-dr AS (SELECT iteration, {DRAW.format(20260823)} AS pick FROM (SELECT iteration, unnest(range(n)) AS slot, n FROM (SELECT unnest(range(100)) AS iteration, (SELECT count(*) FROM o) AS n))),
-b AS (SELECT iteration, avg(residual) AS mean FROM dr JOIN o USING (pick) GROUP BY iteration)
+    "q_residual_bootstrap": f"""WITH {TASKS}, {DRAWN.format(20260823, "u")},
+b AS (SELECT iteration, sum(k * (outcome - base_quality)) / sum(k) AS mean FROM times JOIN u ON u.doc_id = id WHERE k > 0 GROUP BY iteration)
 SELECT (SELECT arg_min(doc_id, (abs(complexity - (SELECT quantile_cont(CAST(complexity AS DOUBLE), 0.5) FROM u)), doc_id)) FROM u) AS representative,
        round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM b""",
     "q_auc_brier_corr": f"""WITH {TASKS}, x AS (SELECT outcome AS y, floor(base_quality * 1000 + 0.25) / 1000 AS p FROM u)
@@ -370,7 +380,7 @@ SELECT doc_id, '{name}' AS scenario, chosen FROM ways WHERE policy = 'learned_0.
 ORACLES["q_profile_scenarios"] = f"""WITH a AS ({" UNION ALL ".join("SELECT * FROM " + _scenario(s) for s in ("base", "compressed", "expanded", "gpt_sol_luna_swapped"))})
 SELECT a.scenario, count(*) AS n, round(avg(CAST(a.chosen <> b.chosen AS INT)), 6) AS disagreement, count(*) FILTER (WHERE a.chosen = 'luna') AS luna, count(*) FILTER (WHERE a.chosen = 'sonnet') AS sonnet
 FROM a JOIN (SELECT * FROM a WHERE scenario = 'base') b USING (doc_id) GROUP BY a.scenario"""
-ORACLES["q_template_split"] = """WITH RECURSIVE d AS (SELECT doc_id, sha256(left(coalesce(text, ''), 24)) AS h FROM documents),
+ORACLES["q_template_split"] = """WITH RECURSIVE """ + MODEL_TEXTS + """, d AS (SELECT doc_id, sha256(sha256(right(m, 500))) AS h FROM m),
 g AS (SELECT h, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, h) AS k FROM d GROUP BY h),
 total AS (SELECT sum(n) AS t FROM g),
 f AS (
@@ -382,3 +392,12 @@ f AS (
   FROM (SELECT f.*, [parts[1] / greatest(t * (1.0::DOUBLE - 0.2::DOUBLE - 0.2::DOUBLE), 1), parts[2] / greatest(t * 0.2::DOUBLE, 1), parts[3] / greatest(t * 0.2::DOUBLE, 1)] AS fill FROM f CROSS JOIN total) x
   JOIN g ON g.k = x.k + 1)
 SELECT doc_id, CAST(fold AS INT) AS fold, CAST(part AS INT) AS part FROM d JOIN g USING (h) JOIN f ON f.k = g.k"""
+ORACLES["q_oof_quality_cv"] = f"""WITH {TASKS}, {WEIGHTS.format("u")}, {_profiles()},
+x AS (SELECT w.doc_id, f_tokens AS a, items AS b, outcome AS y, (w1 * p1 + w2 * p2 + w3 * p3 + w4 * p4 + w5 * p5 + w6 * p6) / (w1 + w2 + w3 + w4 + w5 + w6) - 0.80 AS c,
+        (row_number() OVER (ORDER BY sha256(w.trajectory_id)) - 1) % 5 AS fold FROM w JOIN p ON p.action = w.incumbent),
+k AS (SELECT f AS fold, avg(a) AS ma, coalesce(nullif(stddev_pop(a), 0), 1) AS sa, avg(b) AS mb, coalesce(nullif(stddev_pop(b), 0), 1) AS sb FROM x JOIN (SELECT unnest(range(5)) AS f) ON x.fold <> f GROUP BY f),
+z AS (SELECT k.fold AS held, x.fold, y, c, (a - ma) / sa AS za, (b - mb) / sb AS zb, s FROM x CROSS JOIN k CROSS JOIN (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3, 0.5])::DOUBLE AS s)),
+g AS (SELECT held, s, count(*) + 15 AS n, avg(y - s * c) AS m, sum(za * (y - s * c)) AS ta, sum(zb * (y - s * c)) AS tb, sum(za * zb) AS tab FROM z WHERE fold <> held GROUP BY held, s),
+e AS (SELECT z.s, avg((least(1.0, greatest(0.0, m + za * (n * ta - tab * tb) / (n * n - tab * tab) + zb * (n * tb - tab * ta) / (n * n - tab * tab) + z.s * c)) - y) ** 2) AS mse
+      FROM z JOIN g ON g.held = z.held AND g.s = z.s WHERE z.fold = z.held GROUP BY z.s)
+SELECT s AS slope, round(mse, 6) AS mse, CAST(s = (SELECT arg_min(s, (mse, s)) FROM e) AS INT) AS selected FROM e"""

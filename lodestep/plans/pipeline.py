@@ -1,7 +1,7 @@
 """The whole way from request logs to an evaluated policy, of the same operators as the queries.
 
 load -> audit -> features -> outcomes -> calibrate -> train -> route -> evaluate. Tables are DataFrames; what is fitted is an
-``Artifact`` of plain values, small whatever the logs' size, that goes along in expressions and as JSON.
+``Artifact`` of plain values that goes along in expressions and as JSON; only its support grows with the logs, and is a table where large.
 """
 
 from __future__ import annotations
@@ -9,14 +9,13 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestep.functions import text as T
 from lodestep.functions.money import PROFILES, canonical_action
 from lodestep.operators import evaluation, fit, outcomes, policy, stats, trajectory
-from lodestep.session import stash
+from lodestep.session import new_path, stash
 from lodestep.sources import traces
 
 KEYS = ["source_chunk", "source_line"]
@@ -27,6 +26,30 @@ LOGGED = ["x_total_context_tokens_est", "x_task_text_tokens_est"]
 QUALITY = "x_is_scheduled x_is_communication x_is_coding x_is_artifact x_is_research x_requires_multiple_steps x_requires_external_action x_high_risk_language x_has_image x_available_tools".split()
 RISKS = ["0", "1", "2", "3"]
 STAGE_ONE_PENALTY, QUALITY_PENALTY, TEXT_FEATURES, FOLDS, BOOTSTRAP, SEED = 150.0, 15.0, 96, 5, 2000, 20260822
+#: Support rows that an artifact holds itself.
+SUPPORT_ROWS = 20_000
+
+
+@dataclass
+class Options:
+    """What training and evaluation may be told."""
+
+    validation_share: float = 0.2
+    test_share: float = 0.2
+    stage_one_penalty: float = STAGE_ONE_PENALTY
+    quality_penalty: float = QUALITY_PENALTY
+    text_features: int = TEXT_FEATURES
+    folds: int = FOLDS
+    tolerances: list[float] = field(default_factory=lambda: list(policy.TOLERANCES))
+    quality_loss: float = 0.02
+    direct_loss: float = 0.02
+    ess_share: float = 0.2
+    caliper_quantile: float = policy.CALIPER_QUANTILE
+    min_stratum: int = policy.MIN_STRATUM
+    fallback: str = policy.FALLBACK
+    floor: float = policy.PROPENSITY_FLOOR
+    bootstrap: int = BOOTSTRAP
+    seed: int = SEED
 
 
 @dataclass
@@ -37,7 +60,7 @@ class Logs:
 
 def load(spark: SparkSession, folder: str) -> Logs:
     """Requests (with group_id and the first user text) and items of the folder's JSON lines files, parsed once."""
-    lines = stash(traces.read_lines(spark, folder), "lines")
+    lines = traces.read_lines(spark, folder)
     items, requests = stash(traces.items(lines), "items"), stash(traces.requests(lines), "requests")
     own = F.col("is_object")
     openings = items.groupBy(*KEYS).agg(*(trajectory.first_text(F.col("opening_text"), F.col("pos"), own & (F.col("role") == r)).alias(f"first_{r}") for r in ("system", "user")))
@@ -160,7 +183,7 @@ class Encoder:
 def fit_encoder(rows: DataFrame, text_features: int = TEXT_FEATURES) -> Encoder:
     m = rows.agg(F.count("*").alias("rows"), *(F.avg(f"n_{f}").alias(f"m_{f}") for f in OPENING), *(stats.zscale(f"n_{f}").alias(f"s_{f}") for f in OPENING)).first()
     e = Encoder({f: m[f"m_{f}"] for f in OPENING}, {f: m[f"s_{f}"] for f in OPENING})
-    vocab = fit.vocabulary(fit.term_counts(rows, "trajectory_id", "terms"), m["rows"], text_features).collect()
+    vocab = fit.vocabulary(rows, "terms", m["rows"], text_features).collect()
     e.vocabulary, e.idf = [r["term"] for r in vocab], [r["idf"] for r in vocab]
     if vocab:
         w = rows.select(F.posexplode(e.text()).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), stats.zscale("x").alias("s")).orderBy("k").collect()
@@ -198,10 +221,13 @@ class Artifact:
     slope: float = 0.0
     losses: dict[str, float] = field(default_factory=dict)
     support: list[tuple[str, str, str, list[float]]] = field(default_factory=list)  # action, stratum, id, features
+    support_path: str | None = None  # a table of the same, where there are more than SUPPORT_ROWS
     calipers: dict[str, float] = field(default_factory=dict)
     propensities: list[tuple[str, str, float]] = field(default_factory=list)
     tolerance: float = 0.025
     min_stratum: int = policy.MIN_STRATUM
+    fallback: str = policy.FALLBACK
+    floor: float = policy.PROPENSITY_FLOOR
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -211,6 +237,19 @@ class Artifact:
         d = json.loads(text)
         return Artifact(**d | {"encoder": Encoder(**d["encoder"])})
 
+    def keep_support(self, table: DataFrame, path: str | None = None) -> None:
+        """All rows of policy.support_table(): in the artifact up to SUPPORT_ROWS, beyond that as a table at path or in the shared folder."""
+        if table.count() <= SUPPORT_ROWS:
+            self.support, self.support_path = [tuple(r) for r in table.select("action", "key", "id", "x").collect()], None
+            return
+        path = path or new_path(table.sparkSession, "support")
+        table.write.mode("overwrite").parquet(path)
+        self.support, self.support_path = [], path
+
+    def support_rows(self, spark: SparkSession) -> DataFrame:
+        schema = "action string, key string, id string, x array<double>"
+        return spark.read.schema(schema).parquet(self.support_path) if self.support_path else spark.createDataFrame(self.support, schema)
+
     def stage_one(self, rows: DataFrame) -> DataFrame:
         """rows with predicted_complexity (0 to 100) and predicted_risk (0 to 1)."""
         e = self.encoder.encode(rows)
@@ -223,12 +262,7 @@ class Artifact:
     def candidates(self, rows: DataFrame, scenario: str = "base") -> DataFrame:
         """rows (stage_one done) with supported and their candidates."""
         spark = rows.sparkSession
-        support: dict = {}
-        for a, k, i, x in self.support:
-            support.setdefault((a, k), ([], []))[0].append(i)
-            support[(a, k)][1].append(x)
-        support = {g: (ids, np.array(x, float)) for g, (ids, x) in support.items()}
-        near = policy.nearest(rows, support, [f"n_{f}" for f in OPENING], {f"n_{f}": self.encoder.scales[f] for f in OPENING})
+        near = policy.nearest(rows, self.support_rows(spark), [f"n_{f}" for f in OPENING], {f"n_{f}": self.encoder.scales[f] for f in OPENING})
         caliper = spark.createDataFrame(list(self.calipers.items()), "action string, caliper double")
         joined = rows.join(policy.supported_actions(near, caliper, self.min_stratum), "trajectory_id", "left").withColumn("supported", F.coalesce("supported", F.array().cast("array<string>")))
         return policy.candidates(joined, self.base_quality(), self.slope, F.col("supported"), scenario)
@@ -250,12 +284,7 @@ def with_targets(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """rows with workload_target: percentiles of each signal among the reference rows, weighted."""
     out = rows.withColumn("workload_target", F.lit(0.0))
     for signal, weight in WORKLOAD.items():
-        counts = reference.groupBy(F.col(signal).alias("ref")).agg(F.count("*").alias("n"))
-        points = [(r["ref"], r["n"]) for r in stats.running(counts, "ref", "n", "upto").select("ref", F.col("upto").alias("n")).collect()]
-        total = max((n for _, n in points), default=1.0)
-        steps = F.array(*(F.struct(F.lit(float(v)).alias("v"), F.lit(n / total).alias("p")) for v, n in sorted(points)))
-        below = F.coalesce(F.array_max(F.transform(F.filter(steps, lambda s: s["v"] <= F.col(signal)), lambda s: s["p"])), F.lit(0.0))
-        out = out.withColumn("workload_target", F.col("workload_target") + 100 * weight * below)
+        out = stats.ranks_among(out, reference, signal, "below__").withColumn("workload_target", F.col("workload_target") + 100 * weight * F.col("below__")).drop("below__")
     return out
 
 
@@ -265,50 +294,44 @@ def fit_stage_one(rows: DataFrame, penalty: float = STAGE_ONE_PENALTY, text_feat
     return Artifact(e, c[:, 0].tolist(), c[:, 1].tolist())
 
 
-def out_of_fold(rows: DataFrame, folds: int = FOLDS, **more) -> DataFrame:
+def out_of_fold(rows: DataFrame, o: Options) -> DataFrame:
     """rows with stage-one predictions of models that did not see their fold; encoders are fitted anew for each fold."""
-    folded = stash(fit.grouped_folds(rows, "template", folds, "oof_fold"), "folds")
+    folded = stash(fit.grouped_folds(rows, "template", o.folds, "oof_fold"), "folds")
     parts = []
-    for k in range(folds):
+    for k in range(o.folds):
         train, held = folded.where(F.col("oof_fold") != k), folded.where(F.col("oof_fold") == k)
         if train.isEmpty() or held.isEmpty():
             continue
-        parts.append(fit_stage_one(train, **more).stage_one(held))
+        parts.append(fit_stage_one(train, o.stage_one_penalty, o.text_features).stage_one(held))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return stash(out.withColumnsRenamed({"predicted_complexity": "oof_complexity", "predicted_risk": "oof_risk"}).drop("oof_fold"), "out-of-fold")
 
 
-def fit_artifact(rows: DataFrame, text_features: int = TEXT_FEATURES, folds: int = FOLDS, scenario: str = "base") -> Artifact:
+def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifact:
     """All fits over rows that out_of_fold() gave."""
-    a = fit_stage_one(rows, text_features=text_features)
+    a = fit_stage_one(rows, o.stage_one_penalty, o.text_features)
+    a.min_stratum, a.fallback, a.floor = o.min_stratum, o.fallback, o.floor
     a.workload_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_complexity", "workload_target").collect()]
     a.risk_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_risk", "risk_target").collect()]
     own = rows.withColumns({"predicted_complexity": _step(F.col("oof_complexity"), a.workload_blocks), "predicted_risk": _step(F.col("oof_risk"), a.risk_blocks)})
     own = policy.candidates(own, F.lit(0.0), 0.0, scenario=scenario).withColumn("capability", policy.candidate(F.col("incumbent_action"))["fit"]).drop("candidates")
-    own = stash(fit.grouped_folds(own, "template", folds, "quality_fold"), "quality-rows")
+    own = stash(fit.grouped_folds(own, "template", o.folds, "quality_fold"), "quality-rows")
     names = [f"q{k}" for k in range(len(_quality_terms()))]
     own = own.withColumns(dict(zip(names, _quality_terms(), strict=True)))
-
-    def moments(train: DataFrame) -> tuple[list[float], list[float]]:
-        m = train.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(stats.zscale(n).alias(f"s_{n}") for n in names)).first()
-        return [m[f"m_{n}"] for n in names], [m[f"s_{n}"] for n in names]
-
-    def encoded(train: DataFrame):
-        means, scales = moments(train)
-        return lambda df: df.withColumn("vector", F.array(F.lit(1.0), *((F.col(n) - m) / s for n, m, s in zip(names, means, scales, strict=True))))
-
-    a.slope, losses = fit.cross_validated_slope(own, encoded, "quality_fold", "evaluation_outcome_score", "capability", QUALITY_PENALTY)
+    a.slope, losses = fit.cross_validated_slope(own, names, "quality_fold", "evaluation_outcome_score", "capability", o.quality_penalty)
     a.losses = {str(k): v for k, v in losses.items()}
-    a.quality_means, a.quality_scales = moments(own)
+    m = own.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(stats.zscale(n).alias(f"s_{n}") for n in names)).first()
+    a.quality_means, a.quality_scales = [m[f"m_{n}"] for n in names], [m[f"s_{n}"] for n in names]
+    vector = F.array(F.lit(1.0), *((F.col(n) - x) / y for n, x, y in zip(names, a.quality_means, a.quality_scales, strict=True)))
     target = own.withColumn("target", F.col("evaluation_outcome_score") - a.slope * (F.col("capability") - fit.REFERENCE_CAPABILITY))
-    a.quality = fit.ridge(encoded(own)(target), "vector", ["target"], QUALITY_PENALTY)[:, 0].tolist()
+    a.quality = fit.ridge(target.withColumn("vector", vector), "vector", ["target"], o.quality_penalty)[:, 0].tolist()
     cols, scales = [f"n_{f}" for f in OPENING], {f"n_{f}": a.encoder.scales[f] for f in OPENING}
-    support = policy.support_rows(own, cols)
-    a.support = [(g[0], g[1], i, x.tolist()) for g, (ids, xs) in support.items() for i, x in zip(ids, xs, strict=True)]
-    found = {r["action"]: r["caliper"] for r in policy.calipers(own, support, cols, scales).collect()}
-    a.calipers = {g: found.get(g) or 0.0 for g in {g for g, _ in support}}
+    support = stash(policy.support_table(own, cols), "support")
+    a.keep_support(support)
+    found = {r["action"]: r["caliper"] for r in policy.calipers(own, support, cols, scales, o.caliper_quantile).collect()}
+    a.calipers = {r[0]: found.get(r[0]) or 0.0 for r in support.select("action").distinct().collect()}
     a.propensities = [tuple(r) for r in policy.propensities(own).collect()]
     return a
 
@@ -317,10 +340,10 @@ def scored_policies(rows: DataFrame, a: Artifact, tolerances: list[float] | None
     """Details of the learned policy at each tolerance, the heuristic and the incumbent, over rows."""
     spark = rows.sparkSession
     c = stash(a.candidates(a.stage_one(rows), scenario), "candidates")
-    ways = [F.struct(F.lit(f"learned_{t:.3f}").alias("policy"), F.lit(t).alias("tolerance"), policy.choose(F.lit(t)).alias("action")) for t in tolerances or policy.TOLERANCES]
+    ways = [F.struct(F.lit(f"learned_{t:.3f}").alias("policy"), F.lit(t).alias("tolerance"), policy.choose(F.lit(t), a.fallback).alias("action")) for t in tolerances or policy.TOLERANCES]
     ways += [F.struct(F.lit(k).alias("policy"), F.lit(None).cast("double").alias("tolerance"), v.alias("action")) for k, v in (("heuristic", policy.heuristic()), ("incumbent", F.col("incumbent_action")))]
     wide = c.withColumn("way", F.explode(F.array(*ways))).select("*", "way.policy", "way.tolerance", F.col("way.action").alias("picked"))
-    return evaluation.details(wide, F.col("picked"), a.propensity_table(spark))
+    return evaluation.details(wide, F.col("picked"), a.propensity_table(spark), a.floor)
 
 
 @dataclass
@@ -331,29 +354,34 @@ class Training:
     frontier: DataFrame
     test: DataFrame
     test_metrics: DataFrame
+    interval: tuple[float | None, float | None]
 
 
-def train(rows: DataFrame, text_features: int = TEXT_FEATURES, folds: int = FOLDS) -> Training:
-    """Splits by template, chooses the tolerance on validation rows, tests once, and fits all rows again."""
-    split = stash(fit.three_way(rows, "template"), "split")
-    part = lambda *k: split.where(F.col("part").isin(*k)).drop("part")
+def fitted(rows: DataFrame, o: Options) -> Artifact:
+    """The whole chain of fits: targets, out-of-fold stage one, calibration, quality, support, propensities."""
+    return fit_artifact(out_of_fold(with_targets(rows, rows), o), o)
 
-    def fitted(own: DataFrame) -> Artifact:
-        return fit_artifact(out_of_fold(with_targets(own, own), folds, text_features=text_features), text_features, folds)
 
-    v = scored_policies(part(1), fitted(part(0)))
+def train(rows: DataFrame, o: Options | None = None) -> Training:
+    """Splits by template, chooses the tolerance on validation rows, tests once, and fits all rows again."""
+    o = o or Options()
+    split = stash(fit.three_way(rows, "template", o.validation_share, o.test_share), "split")
+    part = lambda *k: split.where(F.col("part").isin(*k)).drop("part")
+    v = scored_policies(part(1), fitted(part(0), o), o.tolerances)
     frontier = stash(evaluation.metrics(v.where("tolerance is not null"), ["tolerance"]), "frontier")
-    chosen = evaluation.select_tolerance(frontier).first()
-    test = stash(scored_policies(part(2), fitted(part(0, 1))), "test")
-    everything = fitted(rows)
+    chosen = evaluation.select_tolerance(frontier, o.quality_loss, o.direct_loss, o.ess_share).first()
+    test = stash(scored_policies(part(2), fitted(part(0, 1), o), o.tolerances), "test")
+    everything = fitted(rows, o)
     everything.tolerance = chosen["tolerance"]
-    return Training(everything, chosen["tolerance"], chosen["feasible"], frontier, test, evaluation.metrics(test, ["policy"]))
+    delta = evaluation.bootstrap_delta(test.where(F.col("tolerance") == chosen["tolerance"]), "trajectory_id", o.bootstrap, o.seed)
+    ci = stats.interval(delta, "delta").first()
+    return Training(everything, chosen["tolerance"], chosen["feasible"], frontier, test, evaluation.metrics(test, ["policy"]), (ci["ci_low"], ci["ci_high"]))
 
 
 def route(feature_table: DataFrame, a: Artifact) -> DataFrame:
     """The routes of each trajectory's calls: one decision, repeated."""
     rows = a.candidates(a.stage_one(prepared(feature_table)))
-    chosen = rows.withColumn("routing_action", policy.choose(F.lit(a.tolerance)))
+    chosen = rows.withColumn("routing_action", policy.choose(F.lit(a.tolerance), a.fallback))
     model = F.element_at(F.create_map(*(x for p in PROFILES for x in (F.lit(p[0]), F.lit(p[1])))), F.col("routing_action"))
     quality = policy.candidate(F.col("routing_action"))["quality"]
     return chosen.select(F.col("trajectory_id").alias("trajectory"), F.col("observed_calls").alias("n_calls"), F.col("logged_model").alias("incumbent_model"), F.array_repeat(model, F.col("observed_calls").cast("int")).alias("route"), "predicted_complexity", F.col("predicted_risk").alias("predicted_execution_risk"), quality.alias("predicted_quality"), "routing_action", F.col("supported").alias("supported_actions"), policy.decision_reason().alias("decision_reason"))
@@ -369,7 +397,7 @@ def route_request(spark: SparkSession, request: dict, a: Artifact) -> dict:
     return route(f, a).first().asDict()
 
 
-def sensitivity(rows: DataFrame, a: Artifact, rounds: int = BOOTSTRAP) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+def sensitivity(rows: DataFrame, a: Artifact, rounds: int = BOOTSTRAP, seed: int = SEED) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
     """Weight caps, profile scenarios (route disagreement with the base), and the bootstrap interval of the chosen policy."""
     spark = rows.sparkSession
     name = f"learned_{a.tolerance:.3f}"
@@ -385,5 +413,5 @@ def sensitivity(rows: DataFrame, a: Artifact, rounds: int = BOOTSTRAP) -> tuple[
         differs = own.join(base, "trajectory_id").agg(F.avg((F.col("chosen_action") != F.col("base_action")).cast("double")).alias("route_disagreement_vs_base"))
         m = m.crossJoin(differs)
         scenarios = m if scenarios is None else scenarios.unionByName(m)
-    ci = stats.interval(evaluation.bootstrap_delta(d, "trajectory_id", rounds, SEED), "delta").first()
+    ci = stats.interval(evaluation.bootstrap_delta(d, "trajectory_id", rounds, seed), "delta").first()
     return by_cap, scenarios, (ci["ci_low"], ci["ci_high"])

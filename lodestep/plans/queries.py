@@ -15,7 +15,7 @@ from lodestep.operators import evaluation, fit, outcomes, policy, stats, traject
 from lodestep.session import new_path, stash, table
 from lodestep.sources import traces
 
-SEED = 20260822
+SEED, BOOTSTRAP = 20260822, 2000
 SUPPORT_FEATURES = ["f_tokens", "x_instruction_markers", "x_input_items"]
 SLOPE = 0.2
 
@@ -66,10 +66,10 @@ def history_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as requests: openings are their first 40 characters, sources the models."""
+    """Documents as requests of one user text each: sources are the models, languages the system texts."""
     docs = table(spark, d, "documents")
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "lang", F.col("source").alias("model"), text.alias("text"), trajectory.group_key(F.col("lang"), F.left(text, F.lit(40))).alias("group_id"), F.col("source").alias("source_chunk"), F.col("doc_id").alias("source_line"))
+    return docs.select("doc_id", "lang", F.col("source").alias("model"), text.alias("text"), trajectory.group_key(F.coalesce("lang", F.lit("")), text).alias("group_id"), F.col("source").alias("source_chunk"), F.col("doc_id").alias("source_line"))
 
 
 def _statuses(r: DataFrame) -> DataFrame:
@@ -112,8 +112,7 @@ def prefix_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cached_cost(spark: SparkSession, d: str) -> DataFrame:
-    tokens = lambda x: F.floor(F.length(F.coalesce(x["text"], F.lit(""))) / 4)
-    c = trajectory.cached_cost(_calls(spark, d), "conv_id", "call_index", price_sheet(spark), tokens)
+    c = trajectory.cached_cost(_calls(spark, d), "conv_id", "call_index", price_sheet(spark), lambda x: x["tokens"])
     return c.select("conv_id", "call_index", "input_tokens", "cached_tokens", _r(F.col("usd"), "usd", 9))
 
 
@@ -131,8 +130,16 @@ def longest_prefix_price(spark: SparkSession, d: str) -> DataFrame:
 
 def load_stats(spark: SparkSession, d: str) -> DataFrame:
     items = traces.conversation_items(spark, d)
-    sizes = items.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).alias("tokens"))
-    return sizes.agg(F.count("*").alias("groups"), F.min("n").alias("smallest"), stats.upper_median("n").alias("median"), F.max("n").alias("largest"), F.sum("n").alias("items"), F.sum("tokens").alias("tokens"))
+    sizes = stash(items.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).alias("tokens")), "sizes")
+    whole = sizes.agg(F.count("*").alias("groups"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.sum("n").alias("items"), F.sum("tokens").alias("tokens"))
+    return whole.crossJoin(stats.elements(sizes, "n", {"median": lambda n: F.floor(n / 2)}))
+
+
+def load_models(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and groups of each model, and how many of its groups have several models."""
+    calls = traces.conversation_requests(spark, d).groupBy("conv_id", "model").agg(F.count("*").alias("requests"))
+    mixed = calls.groupBy("conv_id").agg((F.count("*") > 1).cast("long").alias("mixed"))
+    return calls.join(mixed, "conv_id").groupBy("model").agg(F.sum("requests").alias("requests"), F.count("*").alias("groups"), F.sum("mixed").alias("mixed_groups"))
 
 
 # Calls and outcomes
@@ -224,22 +231,24 @@ def sanitize(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.md5("s").alias("sanitised_md5"), F.md5(m).alias("model_md5"), T.template_key(m).alias("template"))
 
 
-def _term_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", T.terms(F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(T.ROUTING_CHARS)))).alias("terms"))
-    return fit.term_counts(t, "doc_id", "terms")
+def _model_texts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and the model text (masked twice) of each whole text, written, since several passes read it."""
+    text = T.sanitise(F.coalesce("text", F.lit("")))
+    return stash(table(spark, d, "documents").select("doc_id", text.alias("s")).select("doc_id", T.model_text(F.col("s")).alias("model_text")), "model-texts")
 
 
-def _vocabulary(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
-    return fit.vocabulary(counts, table(spark, d, "documents").count())
+def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = _model_texts(spark, d).select("doc_id", T.terms(F.col("model_text")).alias("terms"))
+    return texts, fit.vocabulary(texts, "terms", table(spark, d, "documents").count())
 
 
 def terms_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _vocabulary(spark, d, _term_counts(spark, d)).select("term", "df", "total", _r(F.col("idf"), "idf"))
+    return _terms(spark, d)[1].select("term", "df", "total", _r(F.col("idf"), "idf"))
 
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    counts = stash(_term_counts(spark, d), "term-counts")
-    return fit.tfidf(counts, _vocabulary(spark, d, counts), "doc_id").select("doc_id", "term", _r(F.col("weight"), "weight"))
+    texts, vocab = _terms(spark, d)
+    return fit.tfidf(texts, "doc_id", "terms", stash(vocab, "vocabulary")).select("doc_id", "term", _r(F.col("weight"), "weight"))
 
 
 # Tasks: features, fits, policies
@@ -284,16 +293,19 @@ def _scales(rows: DataFrame) -> dict[str, float]:
     return rows.agg(*(stats.zscale(f).alias(f) for f in SUPPORT_FEATURES)).first().asDict()
 
 
-def caliper_support(spark: SparkSession, d: str) -> DataFrame:
+def _support(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, float]]:
     u = _usable(spark, d)
-    c = policy.calipers_of_all(u, SUPPORT_FEATURES, _scales(u))
-    return c.select("action", "reference_n", _r(F.col("caliper"), "caliper"))
+    return u, stash(policy.support_table(u, SUPPORT_FEATURES), "support"), _scales(u)
+
+
+def caliper_support(spark: SparkSession, d: str) -> DataFrame:
+    u, support, scales = _support(spark, d)
+    return policy.calipers(u, support, SUPPORT_FEATURES, scales).select("action", "reference_n", _r(F.col("caliper"), "caliper"))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    u = _usable(spark, d)
-    scales = _scales(u)
-    return policy.nearest_of_all(_tasks(spark, d), u, SUPPORT_FEATURES, scales), policy.calipers_of_all(u, SUPPORT_FEATURES, scales)
+    u, support, scales = _support(spark, d)
+    return policy.nearest(_tasks(spark, d), support, SUPPORT_FEATURES, scales), policy.calipers(u, support, SUPPORT_FEATURES, scales)
 
 
 def support_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -403,17 +415,16 @@ def profile_scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = stash(_details(spark, d).where("policy = 'learned_0.020'"), "details")
-    ci = stats.interval(evaluation.bootstrap_delta(rows, "doc_id", 200, SEED), "delta")
+    ci = stats.interval(evaluation.bootstrap_delta(rows, "doc_id", BOOTSTRAP, SEED), "delta")
     return ci.select(_r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"), F.lit("md5").alias("mode"))
 
 
 def residual_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     u = _usable(spark, d)
-    middle = u.agg(F.percentile("predicted_complexity", F.lit(0.5)).alias("middle"))
+    middle = stats.percentiles(u, "predicted_complexity", {"middle": 0.5})
     near = u.crossJoin(F.broadcast(middle)).agg(F.min_by("doc_id", F.struct(F.abs(F.col("predicted_complexity") - F.col("middle")), "doc_id")).alias("representative"))
-    own = stats.numbered(u.select("doc_id", (F.col("evaluation_outcome_score") - F.col("base_quality")).alias("residual")), "doc_id")
-    means = stats.draws(spark, own.count(), 100, SEED + 1).join(F.broadcast(own), "pick").groupBy("iteration").agg(F.avg("residual").alias("mean"))
-    ci = stats.interval(means, "mean")
+    drawn = stats.resampled(u, "doc_id", BOOTSTRAP, SEED + 1, {"residual": F.col("evaluation_outcome_score") - F.col("base_quality")})
+    ci = stats.interval(drawn.select((F.col("residual") / F.col("n__")).alias("mean")), "mean")
     return near.crossJoin(ci).select("representative", _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"))
 
 
@@ -438,12 +449,8 @@ def ridge(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "target string, k int, coefficient double")
 
 
-def _templates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(24)).alias("template"))
-
-
 def template_split(spark: SparkSession, d: str) -> DataFrame:
-    t = stash(_templates(spark, d), "templates")
+    t = stash(_model_texts(spark, d).select("doc_id", F.sha2(T.template_key(F.col("model_text")), 256).alias("template")), "templates")
     s = fit.three_way(fit.grouped_folds(t, "template", 5), "template")
     return s.select("doc_id", "fold", "part")
 
@@ -466,7 +473,7 @@ def oof_quality_cv(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d).withColumn("capability", policy.candidate(F.col("incumbent_action"))["fit"])
     c = fit.grouped_folds(stash(c.drop("candidates"), "capability"), "trajectory_id", 5)
     c = stash(c, "folds")
-    best, losses = fit.cross_validated_slope(c, _encoded, "fold", "evaluation_outcome_score", "capability", 15.0)
+    best, losses = fit.cross_validated_slope(c, ["f_tokens", "x_input_items"], "fold", "evaluation_outcome_score", "capability", 15.0)
     return spark.createDataFrame([(s, round(v, 6), int(s == best)) for s, v in losses.items()], "slope double, mse double, selected int")
 
 
@@ -482,7 +489,8 @@ def encode_opening(spark: SparkSession, d: str) -> DataFrame:
 def histogram_iqr(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     h = stats.histogram(e, "value", 0.0, 200.0, 10, ["event_type"])
-    q = e.groupBy("event_type").agg(stats.quartile("value", 1).alias("q1"), F.percentile("value", F.lit(0.5)).alias("median"), stats.quartile("value", 3).alias("q3"))
+    q = stats.elements(e, "value", {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(n * 3 / 4)}, ["event_type"])
+    q = q.join(stats.percentiles(e, "value", {"median": 0.5}, ["event_type"]), "event_type")
     return h.join(q, "event_type").select("event_type", "bin", "n", _r(F.col("share"), "share"), "q1", _r(F.col("median"), "median"), "q3", _r(percent_change(F.col("q1"), F.col("q3")), "spread_pct", 4))
 
 
@@ -533,7 +541,7 @@ QUERIES = {
     f"q_{f.__name__}": f
     for f in (
         opening_snapshot, opening_features, item_text, history_split, group_key, group_audit, corrected_split, eligibility, call_order, prefix_chain,
-        cached_cost, logged_route, longest_prefix_price, load_stats, tool_dupes, recovered_errors, call_output_join, tool_names, outcome_cascade,
+        cached_cost, logged_route, longest_prefix_price, load_stats, load_models, tool_dupes, recovered_errors, call_output_join, tool_names, outcome_cascade,
         manual_override, review_counts, signal_join, sanitize, terms_topk, tfidf, action_stratum, standardize, workload_score, caliper_support,
         support_gate, propensity, capability_fit, quality_score, opening_cost, choose_action, frontier, policy_comparison, feasible_policy, dr_value,
         route_counts, replay, profile_scenarios, bootstrap_ci, residual_bootstrap, auc_brier_corr, isotonic, ridge, template_split, fold_complement,

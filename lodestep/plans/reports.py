@@ -14,7 +14,11 @@ def table(df: DataFrame, digits: int = 4) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
-def training_report(tolerance: float, feasible: bool, frontier: DataFrame, test: DataFrame) -> str:
+def _interval(ends: tuple[float | None, float | None]) -> str:
+    return f"The change in quality lies between {ends[0]:+.4f} and {ends[1]:+.4f} (bootstrap, 95 %)." if ends[0] is not None else "There are no rows to tell the change in quality from."
+
+
+def training_report(tolerance: float, feasible: bool, frontier: DataFrame, test: DataFrame, interval: tuple[float | None, float | None]) -> str:
     note = "" if feasible else " No tolerance kept the guardrails; the best one by quality, then savings, was taken."
     return f"""# Trained policy
 
@@ -26,6 +30,8 @@ Tolerance {tolerance:.3f}, chosen on the validation rows.{note}
 
 ## Test rows
 
+{_interval(interval)}
+
 {table(test.orderBy("policy"))}
 
 Prices and capability profiles are assumptions, tokens are estimates, and qualities are off-policy estimates on proxy labels.
@@ -35,7 +41,7 @@ Prices and capability profiles are assumptions, tokens are estimates, and qualit
 def evaluation_report(caps: DataFrame, scenarios: DataFrame, interval: tuple[float, float]) -> str:
     return f"""# Sensitivity
 
-The change in quality lies between {interval[0]:+.4f} and {interval[1]:+.4f} (bootstrap, 95 %).
+{_interval(interval)}
 
 ## Weight caps
 

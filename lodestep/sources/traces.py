@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestep.functions.json_semantics import serialised_length
 from lodestep.functions.money import PROFILES
-from lodestep.session import ship, table
+from lodestep.session import ship, stash, table
 
 CALL_TYPES = ["function_call", "custom_tool_call"]
 OUTPUT_TYPES = ["function_call_output", "custom_tool_call_output"]
@@ -22,14 +22,18 @@ ITEM = "pos int, is_object boolean, type string, role string, name string, call_
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """source_chunk, source_line (from 1; blank lines keep their number) and request of each line of the folder's *.jsonl files.
 
-    A file is read whole, since text sources have no line numbers; files are the unit of work.
+    Files are split as any text is. Lines are numbered within their split as they are read, and a split's first number
+    comes from the counts of the splits before it in its file: a row for each split.
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_name").alias("source_chunk"), "value")
-    lines = raw.select("source_chunk", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "request"))
-    found = lines.where(F.trim(F.regexp_replace("request", r"\s", " ")) != "").select("source_chunk", (F.col("at") + 1).alias("source_line"), "request")
-    if raw.isEmpty():
+    raw = spark.read.text(folder, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_chunk"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("request"))
+    if not raw.inputFiles():
         raise FileNotFoundError(f"no *.jsonl files in {folder}")
-    return found
+    raw = stash(raw, "lines")
+    splits = raw.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("path", "start", (before - F.col("first") + 1).alias("offset"))
+    lines = raw.join(offsets, ["path", "start"]).select("source_chunk", (F.col("at") + F.col("offset")).cast("int").alias("source_line"), "request")
+    return lines.where(F.trim(F.regexp_replace("request", r"\s", " ")) != "")
 
 
 def _text(content, separator: str, kind: str | None) -> str:
@@ -119,10 +123,13 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn as a call whose input is what came before: conv_id, call_pos, model and the items as an array.
 
-    An array is a prefix of its conversation's turns, so the calls of one conversation have growing histories.
+    An array is a prefix of its conversation's turns, so the calls of one conversation have growing histories. An item is
+    its place, role, hashes of its text, and tokens (a quarter of its characters); texts are not repeated with each call.
     """
     turns = conversation_items(spark, sf_dir)
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    text = F.coalesce("text", F.lit(""))
+    item = F.struct("pos", "role", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.floor(F.length(text) / 4).alias("tokens"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
     calls = whole.select("conv_id", "turns", F.explode("turns").alias("t")).where("t.role = 'assistant'")
     model = F.element_at(F.array(*(F.lit(p[1]) for p in PROFILES)), (F.pmod(F.col("conv_id") + F.floor(F.col("t.pos") / 4), F.lit(6)) + 1).cast("int"))
     return calls.select("conv_id", F.col("t.pos").alias("call_pos"), model.alias("model"), F.filter("turns", lambda x: x["pos"] < F.col("t.pos")).alias("input"))

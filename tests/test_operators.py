@@ -66,8 +66,9 @@ def test_recovered_is_the_semi_join(spark):
 
 def test_small_statistics(spark):
     d = table(spark, [(1.0, 5.0), (2.0, 5.0), (4.0, 5.0), (10.0, 5.0)], "x double, c double")
-    r = d.agg(F.percentile("x", F.lit(0.95)), stats.correlation(F.col("x"), F.col("c")), stats.zscale("c"), stats.upper_median("x"), stats.quartile("x", 1)).first()
-    assert r[0] == pytest.approx(9.1) and r[1:] == (0.0, 1.0, 4.0, 2.0)
+    r = d.agg(F.percentile("x", F.lit(0.95)), stats.correlation(F.col("x"), F.col("c")), stats.zscale("c")).first()
+    assert r[0] == pytest.approx(9.1) and r[1:] == (0.0, 1.0)
+    assert stats.elements(d, "x", {"median": lambda n: F.floor(n / 2), "q1": lambda n: F.floor(n / 4)}).first()[:] == (4.0, 2.0)
     p = table(spark, [(0.1, 0), (0.3, 1), (0.4, 0), (0.8, 1), (0.8, 0)], "p double, y int")
     assert stats.auc(p, "y", "p").first()[0] == pytest.approx(0.583333, abs=1e-6)
     assert stats.auc(p.where("y = 1"), "y", "p").first()[0] == 0.5
@@ -155,22 +156,20 @@ def test_nearest_support_against_a_loop(spark):
     rng = random.Random(9)
     rows = [(str(k), rng.choice(["opus", "luna"]), rng.choice(["coding", "general"]), "1", 0, rng.random(), rng.random()) for k in range(60)]
     d = table(spark, rows, "trajectory_id string, incumbent_action string, x_task_category string, x_risk_level string, x_has_image int, a double, b double")
-    support = policy.support_rows(d, ["a", "b"])
-    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest(d, support, ["a", "b"], {"a": 2.0, "b": 1.0}, True).collect()}
+    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest(d, policy.support_table(d, ["a", "b"]), ["a", "b"], {"a": 2.0, "b": 1.0}, True).collect()}
     for r, action in itertools.product(rows, ("opus", "luna")):
         other = [(((r[5] - s[5]) / 2) ** 2 + (r[6] - s[6]) ** 2) for s in rows if s[1] == action and s[2] == r[2] and s[0] != r[0]]
         if other:
             assert got[r[0], action] == (len(other), pytest.approx((min(other) / 2) ** 0.5))
-    assert all(len(ids) <= 3 for ids, _ in policy.support_rows(d, ["a", "b"], most=3).values())
 
 
-@pytest.mark.parametrize("block", [4000, 7])
-def test_nearest_of_all_keeps_every_row_of_a_large_stratum(spark, block):
-    n = policy.MAX_SUPPORT + 500
+@pytest.mark.parametrize("local, block", [(1 << 30, 4000), (0, 4000), (0, 7)])
+def test_nearest_keeps_every_row_of_a_large_stratum(spark, local, block):
+    n = 2_500
     rows = [(str(k), "luna" if k % 50 else "sol", "t", "0", 0, float(k * k % 7919), float(k % 13)) for k in range(n)]
     rows = rows if block > 7 else rows[:60]
     d = spark.createDataFrame(rows, "trajectory_id string, incumbent_action string, x_task_category string, x_risk_level string, x_has_image int, a double, b double")
-    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest_of_all(d, d, ["a", "b"], {"a": 2.0, "b": 1.0}, True, block).collect()}
+    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest(d, policy.support_table(d, ["a", "b"]), ["a", "b"], {"a": 2.0, "b": 1.0}, True, local, block).collect()}
     x = np.array([[r[5] / 2.0, r[6]] for r in rows])
     for action in ("luna", "sol"):
         own = np.array([k for k, r in enumerate(rows) if r[1] == action])
@@ -178,3 +177,64 @@ def test_nearest_of_all_keeps_every_row_of_a_large_stratum(spark, block):
             others = own[own != i]
             want = np.sqrt(((x[others] - x[i]) ** 2).sum(1).min() / 2)
             assert got[r[0], action] == (len(others), pytest.approx(want))
+
+
+def test_splits_in_closed_form_are_those_of_a_walk():
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = sorted({rng.randrange(1, 60) for _ in range(rng.randrange(1, 6))}, reverse=True)
+        counts = [rng.randrange(1, 80) for _ in sizes]
+        total = sum(a * b for a, b in zip(sizes, counts, strict=True))
+        goals = rng.choice([[1.0] * rng.choice([1, 2, 3, 5]), [max(total * f, 1) for f in (1 - 0.2 - 0.2, 0.2, 0.2)]])
+        walked, filled = [0.0] * len(goals), np.zeros(len(goals))
+        for n, c in zip(sizes, counts, strict=True):
+            want = []
+            for _ in range(c):
+                want.append(min(range(len(goals)), key=lambda f: (walked[f] / goals[f], f)))
+                walked[want[-1]] += n
+            assert fit.places(np.arange(float(c)), n, filled, goals).tolist() == want
+            filled = filled + n * np.array([fit._count(f, np.array([c]), n, filled, goals)[0] for f in range(len(goals))])
+            assert filled.tolist() == walked
+
+
+def test_percentiles_by_group_against_numpy(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(40)) if rng.random() < 0.9 else None) for _ in range(500)]
+    got = {r["g"]: r for r in stats.percentiles(table(spark, rows, "g string, v double"), "v", {"lo": 0.1, "mid": 0.5, "hi": 0.95}, ["g"]).collect()}
+    for g in ("a", "b", None):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert [got[g][k] for k in ("lo", "mid", "hi")] == [pytest.approx(np.quantile(v, q)) for q in (0.1, 0.5, 0.95)]
+    one = stats.percentiles(table(spark, rows, "g string, v double"), "v", {"mid": 0.5}).first()[0]
+    assert one == pytest.approx(np.median([x for _, x in rows if x is not None]))
+    assert stats.percentiles(table(spark, [], "g string, v double"), "v", {"mid": 0.5}).first()[0] is None
+
+
+def test_ranks_among_other_rows(spark):
+    rows, reference = [0.5, 1.0, 2.5, 9.0, None], [1.0, 2.0, 2.0, 4.0, None]
+    d = table(spark, [(x,) for x in rows], "v double")
+    got = {r["v"]: r["p"] for r in stats.ranks_among(d, table(spark, [(x,) for x in reference], "v double"), "v", "p").collect()}
+    assert got == {0.5: 0.0, 1.0: 0.25, 2.5: 0.75, 9.0: 1.0, None: 0.0}
+    assert stats.ranks_among(d, d.where("false"), "v", "p").agg(F.max("p")).first()[0] == 0.0
+
+
+def test_resampling_draws_poisson_counts(spark):
+    d = table(spark, [(k, float(k % 7)) for k in range(400)], "id long, v double")
+    got = stats.resampled(d, "id", 50, 7, {"v": F.col("v")}).collect()
+    assert sorted(r["iteration"] for r in got) == list(range(50))
+    assert abs(np.mean([r["n__"] for r in got]) - 400) < 10 and 15 < np.std([r["n__"] for r in got]) < 26
+    assert abs(np.mean([r["v"] / r["n__"] for r in got]) - np.mean([k % 7 for k in range(400)])) < 0.1
+    again = stats.resampled(d.repartition(7), "id", 50, 7, {"v": F.col("v")}).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_terms_of_whole_texts(spark):
+    text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(2000)) + " tail tail"
+    from lodestep.functions import text as T
+
+    d = table(spark, [(k, text) for k in range(3)], "id int, text string").select("id", T.terms(T.model_text(T.sanitise(F.col("text")))).alias("terms"))
+    assert len(text) > 12_000
+    vocab = fit.vocabulary(d, "terms", 3, features=5000)
+    found = {r["term"]: (r["df"], r["total"]) for r in vocab.collect()}
+    assert found["tail"] == (3, 6) and found["tail__tail"] == (3, 3) and "wordaa" in found
+    weights = fit.tfidf(d, "id", "terms", vocab).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    assert [r["s"] for r in weights] == [pytest.approx(1.0)] * 3

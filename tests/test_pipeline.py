@@ -53,7 +53,7 @@ def test_features_of_openings(spark, export):
     assert len(f.columns) == 49
 
 
-def test_the_whole_way(spark, export, tmp_path):
+def test_the_whole_way(spark, export, tmp_path, monkeypatch):
     folder, _ = export
     at = lambda name: str(tmp_path / name)
     main(["load", str(folder)], spark)
@@ -71,12 +71,18 @@ def test_the_whole_way(spark, export, tmp_path):
     main(["review", str(folder), "--evaluation", at("evaluation"), "--judgments", at("judgments.json"), "--calibrated", at("calibrated"), "--summary", at("review.md")], spark)
     reviewed = sinks.read_by_id(spark, at("calibrated"), "trajectory_id", one).first()
     assert reviewed["evaluation_outcome_score"] is None and reviewed["evaluation_outcome_usable"] == 0 and reviewed["evaluation_label_source"] == "manual_review"
-    main(["train", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--frontier", at("frontier"), "--test", at("test"), "--summary", at("train.md"), "--chart", at("chart.svg"), "--text-features", "4", "--folds", "2"], spark)
+    main(["train", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--frontier", at("frontier"), "--test", at("test"), "--summary", at("train.md"), "--chart", at("chart.svg"), "--text-features", "4", "--folds", "2", "--tolerances", "0,0.005,0.01,0.015,0.02,0.025,0.03,0.04,0.05", "--min-stratum", "2", "--fallback", "opus", "--floor", "0.05", "--bootstrap", "20", "--quality-loss", "0.05"], spark)
     artifact = pipeline.Artifact.from_json(sinks.get_text(spark, at("artifact.json")))
     assert artifact.to_json() == pipeline.Artifact.from_json(artifact.to_json()).to_json() and len(artifact.encoder.vocabulary) <= 4
+    assert (artifact.min_stratum, artifact.fallback, artifact.floor) == (2, "opus", 0.05)
     assert "tolerance" in (tmp_path / "train.md").read_text().lower() and (tmp_path / "chart.svg").read_text().startswith("<svg")
     frontier = sinks.read_table(spark, at("frontier")).collect()
     assert len(frontier) == 9 and all(0 <= r["dr_quality"] <= 1 and r["ess"] <= r["n"] for r in frontier)
+    assert len(artifact.support) == len({x[2] for x in artifact.support}) and not artifact.support_path
+    monkeypatch.setattr(pipeline, "SUPPORT_ROWS", 0)
+    apart = pipeline.Artifact.from_json(artifact.to_json())
+    apart.keep_support(artifact.support_rows(spark), at("artifact.json.support"))
+    assert not apart.support and sorted(map(tuple, apart.support_rows(spark).collect())) == sorted((a, k, i, x) for a, k, i, x in artifact.support)
     main(["route", "--features", at("features"), "--artifact", at("artifact.json"), "--output", at("routes")], spark)
     routes = spark.read.json(at("routes")).collect()
     assert len(routes) == sinks.read_table(spark, at("features")).count() and all(len(r["route"]) == r["n_calls"] for r in routes)
