@@ -8,7 +8,7 @@ are instead 24 bands of five minima of its set: two texts that are 0.8 alike sha
 First every node of a shard is compared with one leader of it, which joins a large group of near copies without its pairs.
 Shards whose nodes are then of one component are done. In the others a BK-tree over the fingerprints gives, for each node,
 the nodes of other components within ``RADIUS`` bits (five deviations above the mean at 0.8); counts of hashes by their low
-bits bound how many two sets can share, which leaves out more. What remains is compared on the sets. Shards above ``BLOCK``
+bits bound how many two sets can share, which leaves out more. What remains, each pair from one of its shards, is compared on the sets. Shards above ``BLOCK``
 nodes are cut into blocks, and each pair of blocks has a tree of its own, in tasks of their own.
 """
 
@@ -32,7 +32,7 @@ RADIUS = 24
 BLOCK = 2048
 #: Rounds of leaders at most, while a shard of several components has more than WHOLE nodes.
 ROUNDS, WHOLE = 4, 64
-BUCKETS = 64
+BUCKETS = 128
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, ROWS * BANDS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -119,13 +119,14 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search(similarity: float, radius: int):
     """Pairs of a shard's nodes that may be alike and are of different components. Rows come sorted by shard (key, i, j) and side."""
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        """rows: side, node, root, n, fp, counts; with two sides only pairs across them count."""
+    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: side, node, root, n, fp, counts, keys; with two sides only pairs across them count."""
         n = np.array([r[3] for r in rows], np.int64)
         counts = np.zeros((len(rows), BUCKETS), np.uint16)
         for k, r in enumerate(rows):
             counts[k] = np.frombuffer(r[5], np.uint16) if r[5] else np.iinfo(np.uint16).max
         root = np.array([r[2] for r in rows], np.int64)
+        keys = [frozenset(r[6]) for r in rows]
         both = rows[0][0] != rows[-1][0]
         tree = BKTree(radius)
         for k, r in enumerate(rows):
@@ -140,13 +141,14 @@ def _search(similarity: float, radius: int):
             least, most = np.minimum(n[at], n[k]), np.maximum(n[at], n[k])
             shared = np.minimum(np.minimum(counts[at], counts[k]).sum(1, dtype=np.int64), least)
             for j in at[shared >= similarity * (least + most - shared) - 1e-9]:
-                yield (min(r[1], rows[j][1]), max(r[1], rows[j][1]))
+                if key == min(keys[k] & keys[j]):  # else another shard has the pair
+                    yield (min(r[1], rows[j][1]), max(r[1], rows[j][1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, key = [], None
 
         def flush() -> pa.RecordBatch | None:
-            found = list(pairs(kept)) if len(kept) > 1 else []
+            found = list(pairs(key[0], kept)) if len(kept) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
 
         for b in batches:
@@ -206,9 +208,10 @@ def near_roots(docs: DataFrame, signed: DataFrame, similarity: float, width: int
         at = _open(members, roots, small)
         if at.where(F.col("size") > whole).isEmpty():
             break
-    marks = sets.join(at.select("node").distinct(), "node", "left_semi").select("node", "n", "words").mapInArrow(_marks, "node long, n long, fp long, counts binary")
+    own = at.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    marks = sets.join(own.select("node"), "node", "left_semi").select("node", "n", "words").mapInArrow(_marks, "node long, n long, fp long, counts binary").join(own, "node")
     parts = F.ceil(F.col("size") / block).cast("int")
     side = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = at.select("key", "node", "root", side.alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
-    trees = dealt.join(marks, "node").select("key", "i", "j", "side", "node", "root", "n", "fp", "counts").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    trees = dealt.join(marks, "node").select("key", "i", "j", "side", "node", "root", "n", "fp", "counts", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
     return linked(trees.mapInArrow(_search(similarity, RADIUS), "a long, b long"))
