@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestep.session import fresh, stash
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word as words() splits it, before A-Z become lower case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words before A-Z become lower case.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,14 +85,16 @@ def starts(index: DataFrame, anchors: DataFrame, slop: int = 0, broadcast_rows:
     """k1, k2, gram_id and start where the lists of a phrase's rare terms meet at their offsets, or within slop words of them."""
     keys = _small(anchors.select("gram_id", *(c for k in (1, 2, 3) for c in (f"t{k}", f"o{k}"))), broadcast_rows)
     found = index.join(keys, index["t"] == keys["t1"]).withColumn("start", F.col("pos") - F.col("o1")).where("start >= 0").drop("t", "pos", "t1", "o1")
-    for k in (2, 3):
-        short, long = found.where(f"t{k} is null"), found.where(f"t{k} is not null")
-        places = F.explode(F.sequence(F.col("start") + F.col(f"o{k}") - slop, F.col("start") + F.col(f"o{k}") + slop)) if slop else F.col("start") + F.col(f"o{k}")
-        long = long.withColumn("at", places)
-        other = index.select(F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.col("t").alias("it"), F.col("pos").alias("ipos"))
-        met = long.join(other, (long["k1"] == other["i1"]) & (long["k2"] == other["i2"]) & (long[f"t{k}"] == other["it"]) & (long["at"] == other["ipos"]), "left_semi").drop("at")
-        found = short.unionByName(met.distinct() if slop else met)
-    return stash(found.select("k1", "k2", "gram_id", "start").distinct(), "starts")
+    place = lambda k, bit: F.struct(F.lit(bit).alias("bit"), F.col(f"t{k}").alias("t"), (F.col("start") + F.col(f"o{k}")).alias("at"))
+    need = F.filter(F.array(place(2, 1), place(3, 2)), lambda x: x["t"].isNotNull())
+    found = found.select("k1", "k2", "gram_id", "start", need.alias("need"))
+    bits = F.aggregate("need", F.lit(0), lambda s, x: s + x["bit"])
+    asked = found.where("size(need) > 0").select("k1", "k2", "gram_id", "start", bits.alias("bits"), F.explode("need").alias("x")).select("k1", "k2", "gram_id", "start", "bits", "x.*")
+    if slop:
+        asked = asked.withColumn("at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
+    asked = asked.withColumnRenamed("at", "pos")
+    met = asked.join(index, ["k1", "k2", "t", "pos"]).groupBy("k1", "k2", "gram_id", "start", "bits").agg(F.bit_or("bit").alias("met")).where("met = bits")
+    return stash(found.where("size(need) = 0").select("k1", "k2", "gram_id", "start").unionByName(met.select("k1", "k2", "gram_id", "start")).distinct(), "starts")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -122,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
     covered = F.aggregate("found", F.struct(zero.alias("hit"), zero.alias("reach")), lambda a, s: F.struct((a["hit"] + F.greatest(zero, s["start"] + s["n"] - F.greatest(s["start"], a["reach"]))).alias("hit"), F.greatest(a["reach"], s["start"] + s["n"]).alias("reach")), lambda a: a["hit"])
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(x["items"], lambda i: i.cast("string"))))))
     hits = _small(matches(docs, items, window, 0, broadcast_rows).select("k1", "k2", covered.alias("hit"), ids.alias("ids")), broadcast_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return rows.join(hits, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"))
 
