@@ -31,7 +31,7 @@ from lodestep.session import new_path, ship, stash
 MAGIC = b"LSVB0001"
 END_ID = 1
 BLOCK_IDS = 2_000_000
-CACHE = 700_000
+CACHE = 200_000  # words of each of two generations
 
 #: Texts of these characters only are NFC already, and lower-case alike character by character.
 PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ſ]*"
@@ -70,7 +70,14 @@ class Encoder:
         encoder = self
 
         class Kept(dict):
+            """Two generations: what the older one has comes back from there, the rest is encoded."""
+
+            old: dict = {}
+
             def __missing__(self, chunk: str) -> bytes:
+                if (got := self.old.get(chunk)) is not None:
+                    self[chunk] = got
+                    return got
                 pieces = encoder.word(chunk)
                 if len(pieces) == 1:
                     got = encoder.piece(pieces[0])
@@ -88,6 +95,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.by_word and self.plain(text) and not any(s in text for s in self.specials):
             if len(self.kept) > CACHE:
+                self.kept.old = dict(self.kept)
                 self.kept.clear()
             return b"".join(map(self.kept.__getitem__, text.lower().split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -116,15 +124,23 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+#: Values that are unpacked at a time, a multiple of four: bounds what a large block needs besides its values.
+STEP = 1 << 18
+
+
 def unpack(control: bytes | memoryview, data: bytes | memoryview, n: int) -> np.ndarray:
     """The n values of pack()."""
-    size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(size, dtype=np.int64)
-    begin, raw = ends - size, np.frombuffer(data, np.uint8)
-    out = raw[begin].astype(np.uint32)
-    for k in range(1, 4):
-        if len(more := np.flatnonzero(size > k)):
-            out[more] |= raw[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    codes, raw, out, at = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.empty(n, np.uint32), 0
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        size = SIZES[codes[lo // 4 : (hi + 3) // 4]].reshape(-1)[: hi - lo]
+        ends = np.cumsum(size, dtype=np.int64) + at
+        begin, at = ends - size, int(ends[-1])
+        part = raw[begin].astype(np.uint32)
+        for k in range(1, 4):
+            if len(more := np.flatnonzero(size > k)):
+                part[more] |= raw[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[lo:hi] = part
     return out
 
 

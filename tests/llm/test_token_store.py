@@ -70,3 +70,14 @@ def test_frequent_ids_have_low_ranks_and_empty_tables_work(spark):
     empty = new_path(spark, "store")
     ts.write_store(spark.createDataFrame([], "doc_id long, text string"), PATH, empty)
     assert ts.read_digests(spark, empty).count() == 0
+
+
+def test_unpacking_in_steps_and_words_of_two_generations(monkeypatch):
+    monkeypatch.setattr(ts, "STEP", 8)
+    v = np.random.default_rng(1).integers(0, 1 << 32, 45, dtype=np.uint32) >> np.arange(45, dtype=np.uint32) % 32
+    assert (ts.unpack(*ts.pack(v), len(v)) == v).all() and len(ts.unpack(b"", b"", 0)) == 0
+    texts = [f"alpha beta{chr(97 + k % 7)} gamma{chr(97 + k % 3)}" for k in range(40)]
+    whole = [ts.Encoder(PATH).encode(t) for t in texts]
+    monkeypatch.setattr(ts, "CACHE", 3)
+    few = ts.Encoder(PATH)
+    assert [few.encode(t) for t in texts] == whole and few.kept.old
