@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestep.session import stash
+from lodestep.session import ship, stash
+
+#: Links that one task joins at most: some 100 MB.
+ONE_TASK = 200_000
 
 
 class BKTree:
@@ -51,13 +57,36 @@ class BKTree:
         return near
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
-    """node and root (its component's smallest node) for every node of the links a-b, by alternating stars.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all links that one task is given."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = root(a), root(c)
+            if a != c:
+                up[max(a, c)] = min(a, c)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, limit: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """node and root (its component's smallest node) for every node of the links a-b.
 
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest chain.
+    Up to one_task different links are joined by one task, which that number bounds. More are joined by alternating stars: each round is
+    written to the shared folder, and rounds grow with the logarithm of the longest chain. Both give the same.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    if state[0] <= one_task:
+        ship(links.sparkSession)
+        return edges.select("u", "v").coalesce(1).mapInArrow(_joined, "node long, root long")
     for _ in range(limit):
         if not state[0]:
             break

@@ -55,7 +55,7 @@ def test_components_against_all_pairs(spark, limit):
     fps = sorted(set(fps))
     signed = [sb._signed(x) for x in fps]
     links = sb.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard_limit=limit)
-    roots = {r["node"]: r["root"] for r in sb.components(links).collect()}
+    roots = {r["node"]: r["root"] for r in sb.components(links, one_task=0).collect()}
     want = components(list(enumerate(fps)))
     groups, got = {}, {}
     for x, c in zip(signed, want, strict=True):
@@ -64,9 +64,18 @@ def test_components_against_all_pairs(spark, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-def test_long_chains_settle(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_long_chains_settle(spark, one_task):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1000)], "a long, b long")
-    assert {r["root"] for r in sb.components(links).collect()} == {0}
+    assert {r["root"] for r in sb.components(links, one_task=one_task).collect()} == {0}
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(120)], "a long, b long")
+    one, many = (sorted(map(tuple, sb.components(links, one_task=n).collect())) for n in (200_000, 0))
+    assert one == many and len(one) > 100
+    assert sb.components(links.where("false")).count() == 0
 
 
 def test_documents_against_brute_force(spark, tiny):
