@@ -6,7 +6,8 @@ included. The copies are dealt to partitions by a hash of (seed, doc_id, copy) a
 nothing to do with the input's and is the same at each run. Counts per source are summed before their shuffle.
 
 Null sources are one source. A null doc_id draws as the text ``null``. Rows that repeat a doc_id draw the same number. A
-source without a weight, or with weight 0, has rate 0. Rates above 600 are refused. The columns ``copies``, ``copy``,
+source without a weight, or with weight 0, has rate 0. A rate above ``PART`` is drawn in equal parts with numbers of their own, since a sum of
+Poisson draws is one of the summed rate, and doubles hold exp(-rate) only so far. The columns ``copies``, ``copy``,
 ``rate`` and ``order_key`` replace columns of these names.
 """
 
@@ -19,7 +20,7 @@ from lodestep.session import fresh, stash
 
 SEED = 20
 TEMPERATURE = 0.7
-MAX_RATE = 600.0
+PART = 500.0
 BROADCAST_ROWS = 200_000
 
 
@@ -42,7 +43,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, source: str = "source") -> DataFrame:
-    """source, n, rate and cdf of each source.
+    """source, n, rate, parts and the cdf of a part of each source.
 
     weights: source and weight, at any scale. Without them a source's weight is its number of documents to the power
     ``temperature``.
@@ -54,13 +55,11 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
         w = weights.select(F.col("source").alias("w_source"), F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).cast("double").alias("weight")).groupBy("w_source").agg(F.sum("weight").alias("weight"))
         counts = counts.join(w, counts["mix_source"].eqNullSafe(w["w_source"]), "left").select("mix_source", "mix_n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     counts = stash(counts, "source-counts")
-    total = counts.agg(F.sum("mix_n").alias("n"), F.sum("weight").alias("w"), F.max(F.col("weight") / F.col("mix_n")).alias("most")).first()
+    total = counts.agg(F.sum("mix_n").alias("n"), F.sum("weight").alias("w")).first()
     if not total["w"]:
-        return counts.select("mix_source", "mix_n", F.lit(0.0).alias("rate"), F.array(F.lit(1.0)).alias("cdf"))
-    if total["most"] / total["w"] * total["n"] * epochs > MAX_RATE:
-        raise ValueError(f"a source would be repeated more than {MAX_RATE:g} times")
+        return counts.select("mix_source", "mix_n", F.lit(0.0).alias("rate"), F.lit(1).alias("parts"), F.array(F.lit(1.0)).alias("cdf"))
     rate = F.col("weight") / F.lit(total["w"]) * F.lit(float(total["n"]) * epochs) / F.col("mix_n")
-    return counts.select("mix_source", "mix_n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    return counts.select("mix_source", "mix_n", rate.alias("rate")).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, source: str = "source", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,10 +68,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     rates = F.broadcast(rates) if rates.count() <= broadcast_rows else rates
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     docs = docs.drop("copies", "copy", "rate", "order_key")
-    origin, cdf, u = fresh(docs, "mix_source"), fresh(docs, "mix_cdf"), fresh(docs, "mix_u")
-    rates = rates.select(F.col("mix_source").alias(origin), "rate", F.col("cdf").alias(cdf))
+    origin, cdf, u, parts = fresh(docs, "mix_source"), fresh(docs, "mix_cdf"), fresh(docs, "mix_u"), fresh(docs, "mix_parts")
+    rates = rates.select(F.col("mix_source").alias(origin), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     joined = docs.join(rates, docs[source].eqNullSafe(rates[origin])).withColumn(u, uniform(seed, key))
-    joined = joined.withColumn("copies", F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    drawn = lambda x: F.size(F.filter(cdf, lambda c: c <= x))
+    more = F.aggregate(F.sequence(F.lit(2), F.col(parts)), drawn(F.col(u)), lambda n, k: n + drawn(uniform(seed, key, F.lit("part"), k.cast("string"))))
+    joined = joined.withColumn("copies", F.when(F.col(parts) > 1, more).otherwise(drawn(F.col(u))))
     made = joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     made = made.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string"))))
     return made.select(*docs.columns, "copies", "copy", "rate", "order_key").repartition("order_key").sortWithinPartitions("order_key")

@@ -2,7 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
-import pytest
+from pyspark.sql import functions as F
 
 from lodestep.llm import poisson_mix as pm
 
@@ -32,15 +32,30 @@ def test_against_brute_force(spark):
     assert abs(len(got) - 2 * len(rows)) < 6 * math.sqrt(2 * len(rows))
 
 
-def test_weights_zero_missing_and_too_large(spark):
+def test_weights_zero_and_missing(spark):
     docs = spark.createDataFrame([(k, "t", "ab"[k % 2], "x") for k in range(200)], SCHEMA)
     w = lambda *rows: spark.createDataFrame(list(rows), "source string, weight double")
     got = pm.mix(docs, w(("a", 3.0))).collect()
     assert {r["source"] for r in got} == {"a"} and abs(len(got) - 200) < 90 and got[0]["rate"] == 2.0
     assert pm.mix(docs, w(("a", 0.0), ("b", None))).count() == 0
     assert pm.mix(docs, w()).count() == 0
-    with pytest.raises(ValueError):
-        pm.mix(docs, w(("a", 1.0)), epochs=500.0)
+
+
+def test_rates_beyond_one_part(spark):
+    docs = spark.createDataFrame([(k, "t", "ab"[k % 2], "x") for k in range(40)], SCHEMA)
+    weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    got = {r["doc_id"]: (r["copies"], r["n"]) for r in pm.mix(docs, weights, epochs=600.0).groupBy("doc_id", "copies").agg(F.count("*").alias("n")).collect()}
+    cdf, want = [], {}
+    p = c = math.exp(-400.0)
+    for k in range(1, 1000):
+        cdf.append(c)
+        p *= 400.0 / k
+        c += p
+    for d in range(0, 40, 2):
+        u = [int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / 2**52 for x in (f"{pm.SEED}:{d}", f"{pm.SEED}:{d}:part:2", f"{pm.SEED}:{d}:part:3")]
+        want[d] = sum(sum(c <= x for c in cdf) for x in u)
+    assert {d: n for d, (n, _) in got.items()} == want and all(n == m for n, m in got.values())
+    assert abs(sum(want.values()) / 20 - 1200) < 40
 
 
 def test_order_is_shuffled_and_stable(spark):
