@@ -61,3 +61,44 @@ def test_partitions_and_merging_do_not_matter(spark, tiny, monkeypatch):
     monkeypatch.setattr(hd, "HELD", 1000)
     parts = total()
     assert whole.keys() == parts.keys() and all((whole[k] == parts[k]).all() for k in whole)
+
+
+def test_the_query_against_plain_python(spark, tmp_path):
+    """Vectors made letter by letter and text by text, for the query as a whole."""
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    words = {"aa": ["the", "then", "there", "shell"], "bb": ["der", "das", "über", "schön"], "cc": ["el", "niño", "está", "ola"]}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randrange(1, 9))), lang) for k, lang in enumerate(rng.choices(list(words), k=60))]
+    rows += [(100, None, "aa"), (101, "12 !", "bb"), (102, "Über ÜBER 3 niños", None), (None, "the", "bb")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, score int, margin int, x int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    code = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) * 2654435761 % 2**32 % (hd.SYMBOLS - 27) if ord(ch) > 127 and ch.isalpha() else 0
+    base = np.random.Generator(np.random.PCG64(hd.SEED)).integers(0, 2, (hd.SYMBOLS, hd.DIMENSIONS), np.int8).astype(int) * 2 - 1
+
+    def vector(text):
+        codes = [0]
+        for c in [*map(code, (text or "").lower()), 0]:
+            codes += [c] if c or codes[-1] else []
+        out = np.zeros(hd.DIMENSIONS)
+        for at in range(len(codes) - 2):
+            out += np.roll(base[codes[at]], 2) * np.roll(base[codes[at + 1]], 1) * base[codes[at + 2]]
+        return out, any(codes)
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+    sums = {}
+    for d, t, lang in rows:
+        if d is not None and not held(d) and lang and t is not None:
+            sums[lang] = sums.get(lang, 0) + vector(t)[0]
+    unit = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    mean = sum(unit.values()) / len(unit)
+    proto = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in unit.items()}
+    got = languages(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    want = {d: t for d, t, _ in rows}
+    for r in got:
+        v, letters = vector(want[r["doc_id"]])
+        cosine = {k: float(p @ v / np.linalg.norm(v)) for k, p in proto.items()} if letters else {"und": 0.0}
+        best = max(sorted(cosine), key=cosine.__getitem__)
+        assert (r["held_out"], r["lang_pred"]) == (held(r["doc_id"]), best) and abs(r["score"] - min(1, max(0, cosine[best]))) < 1e-5

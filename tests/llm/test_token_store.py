@@ -81,3 +81,9 @@ def test_unpacking_in_steps_and_words_of_two_generations(monkeypatch):
     monkeypatch.setattr(ts, "CACHE", 3)
     few = ts.Encoder(PATH)
     assert [few.encode(t) for t in texts] == whole and few.kept.old
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(2, "a b", 1, 2, 3, 4), (1, None, 1, 2, 3, 4)], "doc_id long, text string, start int, ids int, n_tokens int, shard int")
+    got = ts.round_trip(docs, PATH).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(1, 0, 1), (2, 1, 3)]

@@ -146,3 +146,10 @@ def test_the_query_against_plain_python(spark, tmp_path):
         assert (r["score"], r["predicted"], r["n_passages"], r["best"]) == (pytest.approx(want[r["doc_id"]][0], abs=1e-6), want[r["doc_id"]][1], want[r["doc_id"]][2], pytest.approx(want[r["doc_id"]][3]))
         assert len(r["passages"]) == r["n_passages"] and all(x["first"] <= x["last"] for x in r["passages"])
     assert sum(r["predicted"] for r in got) > 40 and any(r["n_passages"] > 1 for r in got)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"some {'vile' if k % 3 == 0 else 'fine'} text {k}", 1, 2, 3) for k in range(90)], "doc_id long, text string, toxic int, calibrates int, evidence int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), "x") for k in range(90)], "doc_id long, toxic int, text string")
+    out = ts.reject(docs, labels)
+    assert out.columns == docs.columns and {r["doc_id"] % 3 for r in out.collect()} == {1, 2}
