@@ -13,6 +13,12 @@ written back with its separators:
 - dates from 1900 to 2099 (year first, or day or month first with four year digits), over these 73,049 days
 - e-mail addresses, in lower case: runs of up to 12 letters and digits each, the top-level domain stays
 - quoted hexadecimal secrets of 20 digits or more: runs of up to 12
+- account numbers (IBAN, in one run or groups of four) whose check digits are right: runs of digits after them, whose check
+  digits are computed anew; country and letters stay
+- IPv6 addresses, in full or with one gap: the digits of each group
+- access keys with a known prefix (AKIA, ASIA, gh?_, xox?-, sk-), which stays: runs of up to 6 letters and digits after it
+
+An unquoted run of 20 hexadecimal digits or more in the shape of an account number, but with wrong check digits, is taken for a secret.
 
 What only looks like a value but fails its check stays as it is. A null text stays null. Repeated rows give repeated results;
 ``n_values`` counts the values replaced and replaces a column of that name, other columns are kept.
@@ -32,16 +38,21 @@ DAYS = (17, 4297)  # 17 * 4297 days from 1900-01-01 to 2099-12-31
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-DATE = r"(?<![0-9./\-])(?:[12][0-9]{3}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[12][0-9]{3})(?![0-9]|[./\-][0-9])"
+DATE = r"(?<![0-9./\-])(?:[12][0-9]{3}(?<d1>[-/.])[0-9]{1,2}\k<d1>[0-9]{1,2}|[0-9]{1,2}(?<d2>[-/.])[0-9]{1,2}\k<d2>[12][0-9]{3})(?![0-9]|[./\-][0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|\+[0-9]{11,13}(?![0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{4}(?:\3[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\4[0-9]{4,5}|[0-9]{4}([ \-])[0-9]{3}\5[0-9]{3}\5[0-9]{3})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<c1>[ \-])[0-9]{4}\k<c1>[0-9]{4}\k<c1>[0-9]{4}(?:\k<c1>[0-9]{3})?|[0-9]{4}(?<c2>[ \-])[0-9]{6}\k<c2>[0-9]{4,5}|[0-9]{4}(?<c3>[ \-])[0-9]{3}\k<c3>[0-9]{3}\k<c3>[0-9]{3})(?![0-9])"
 SECRET = r'(?<=")[0-9a-fA-F]{20,}+(?=")'
-ANY = "|".join([EMAIL, IP, DATE, SSN, PHONE, CARD, SECRET])
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.[0-9])"
+PREFIX = r"(?:A[KS]IA|gh[oprsu]_|xox[abpr]-|sk-)"
+TOKEN = r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9_])"
+ANY = "|".join([TOKEN, EMAIL, IP, DATE, SSN, PHONE, CARD, SECRET, IBAN, IPV6])
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _power(base: int, k: Column) -> Column:
-    most = {10: 9, 16: 6, 36: 6}[base]
+    most = {10: 9, 16: 6, 36: 6, 62: 5}[base]
     return F.element_at(F.array(*(F.lit(base**i).cast("long") for i in range(most + 1))), k.cast("int") + 1)
 
 
@@ -78,7 +89,22 @@ def _runs(text: Column, base: int, tweak: str, key: Column) -> Column:
         y = feistel(F.conv(s, base, 10).cast("long"), _power(base, n - low), _power(base, low), tweak, key)
         return F.lpad(F.lower(F.conv(y.cast("string"), 10, base)), n, F.lit("0"))
 
-    return rebuild(text, "[0-9a-z]{1,12}", run)
+    return rebuild(text, "[0-9]{1,12}" if base == 10 else "[0-9a-z]{1,12}", run)
+
+
+def _mixed(text: Column, tweak: str, key: Column) -> Column:
+    """Each run of up to 6 characters of ALPHABET permuted as a number of base 62."""
+
+    def run(s: Column) -> Column:
+        n = F.length(s)
+        low = F.ceil(n / 2)
+        x = F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda v, c: v * 62 + F.position(c, F.lit(ALPHABET)) - 1)
+        y = feistel(x, _power(62, n - low), _power(62, low), tweak, key)
+        digit = lambda v, i: F.pmod(F.call_function("div", v, _power(62, i)), F.lit(62)).cast("int")
+        letters = F.transform(F.array(y), lambda v: F.transform(F.sequence(n - 1, F.lit(0)), lambda i: F.substring(F.lit(ALPHABET), digit(v, i) + 1, F.lit(1))))
+        return F.array_join(F.get(letters, F.lit(0)), "")
+
+    return rebuild(text, "[0-9A-Za-z]{1,6}", run)
 
 
 def _digits(s: Column) -> Column:
@@ -120,6 +146,36 @@ def _card(s: Column, key: Column) -> Column:
     return F.when(_check_digit(body) == F.right(d, F.lit(1)), _refill(s, F.concat(new, _check_digit(new)))).otherwise(s)
 
 
+def _mod97(s: Column) -> Column:
+    """The remainder by 97 of capitals and digits read as a number, letters as 10 to 35."""
+    return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda v, c: F.pmod(F.when(c.between("0", "9"), v * 10 + c.cast("long")).otherwise(v * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
+def _is_iban(s: Column) -> Column:
+    c = F.replace(s, F.lit(" "), F.lit(""))
+    shape = s.rlike("^(?:" + IBAN + ")$") & F.length(c).between(15, 34)
+    return shape & (_mod97(F.concat(F.substring(c, F.lit(5), F.length(c)), F.left(c, F.lit(4)))) == 1)
+
+
+def _iban(s: Column, key: Column) -> Column:
+    c = F.replace(s, F.lit(" "), F.lit(""))
+    country, new = F.left(c, F.lit(2)), _runs(F.substring(c, F.lit(5), F.length(c)), 10, "iban", key)
+    flat = F.concat(country, F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+    return F.when(F.contains(s, F.lit(" ")), F.regexp_replace(flat, "(.{4})(?=.)", "$1 ")).otherwise(flat)
+
+
+def _ipv6(s: Column, key: Column) -> Column:
+    groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
+    return F.when(F.contains(s, F.lit("::")) & (groups > 7), s).otherwise(_runs(F.lower(s), 16, "ipv6", key))
+
+
+def _token(s: Column, key: Column) -> Column:
+    head = F.regexp_extract(s, "^" + PREFIX, 0)
+    rest = F.substring(s, F.length(head) + 1, F.length(s))
+    upper = F.upper(_runs(F.lower(rest), 36, "token", key))
+    return F.concat(head, F.when(s.rlike("^A[KS]IA"), upper).otherwise(_mixed(rest, "token", key)))
+
+
 def _phone(s: Column, key: Column) -> Column:
     d = _digits(s)
     country, own = F.left(d, F.length(d) - 10), F.right(d, F.lit(10))
@@ -183,11 +239,16 @@ def pseudonym(s: Column, key: Column) -> Column:
     secret = (F.length(s) >= 20) & whole("[0-9a-fA-F]+")
     return (
         F.when(F.contains(s, F.lit("@")), _email(s, key))
+        .when(whole(TOKEN), _token(s, key))
+        .when(F.contains(s, F.lit(":")), _ipv6(s, key))
+        .when(_is_iban(s), _iban(s, key))
         .when(whole(IP), _ip(s, key))
         .when(whole(DATE), _date(s, key))
         .when(whole(SSN), _ssn(s, key))
         .when(whole(PHONE), _phone(s, key))
         .when(secret, _runs(F.lower(s), 16, "secret", key))
+        # what has an account number's shape and a wrong check may still hold a card number
+        .when(s.rlike("^[A-Z]"), rebuild(s, CARD, lambda m: _card(m, key)))
         .otherwise(_card(s, key))
     )
 
@@ -196,8 +257,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in text, and n_values."""
     secret = F.lit(key)
     t = F.col(text)
-    # a text without digits, @ or a quoted secret of letters has no value, and is not searched
-    may = t.rlike(r"[0-9]|@|" + SECRET)
+    # a text without digits, @, ::, a key's prefix or a quoted secret of letters has no value, and is not searched
+    may = t.rlike(r"[0-9]|@|::|" + PREFIX + "|" + SECRET)
     old, new = fresh(docs, "pii_found"), fresh(docs, "pii_new")
     given = docs.withColumn(old, F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     some = F.size(old) > 0
