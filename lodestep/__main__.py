@@ -1,4 +1,4 @@
-"""Commands: python -m lodestep COMMAND ... (load, audit, features, evaluation, review, train, route, route-one, evaluate, replay)."""
+"""Commands: python -m lodestep COMMAND ... (load, audit, features, evaluation, review, train, route, route-one, evaluate, replay, notebook)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from dataclasses import asdict, fields
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestep.operators import outcomes, policy, stats
+from lodestep.operators import evaluation, outcomes, policy, stats
 from lodestep.plans import pipeline, reports
 from lodestep.sources import sinks
 
@@ -31,12 +31,13 @@ def parser() -> argparse.ArgumentParser:
     command("audit", "export", audit_output="results/audit", overrides_output="results/overrides")
     command("features", "export", scope="trajectory", output="results/features", overrides="")
     command("evaluation", "export", features="results/features", output="results/evaluation")
-    command("review", "export", evaluation="results/evaluation", judgments="", calibrated="results/calibrated", summary="results/review.md")
+    command("review", "export", evaluation="results/evaluation", judgments="", lines="", chunk="", expected=0, calibrated="results/calibrated", summary="results/review.md")
     command("train", "export", calibrated="results/calibrated", artifact="results/artifact.json", frontier="results/frontier", test="results/test", summary="results/train.md", chart="results/frontier.svg", tolerances=",".join(f"{t:g}" for t in policy.TOLERANCES), **options)
     command("route", features="results/features", artifact="results/artifact.json", output="results/routes")
     command("route-one", "request", artifact="results/artifact.json")
     command("evaluate", "export", calibrated="results/calibrated", artifact="results/artifact.json", summary="results/evaluation.md", tolerance="", bootstrap=pipeline.BOOTSTRAP, seed=pipeline.SEED)
     command("replay", "trajectory", test="results/test")
+    command("notebook", frontier="results/frontier", test="results/test", output="results/frontier.ipynb")
     return p
 
 
@@ -61,7 +62,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "review":
         schema = "trajectory_id string, review_label string, review_score double, review_confidence string"
         judgments = spark.read.schema(schema).json(a.judgments) if a.judgments else spark.createDataFrame([], schema)
-        calibrated = outcomes.calibrate(sinks.read_table(spark, a.evaluation), judgments, "trajectory_id")
+        evaluated = sinks.read_table(spark, a.evaluation)
+        if a.lines:
+            lines = spark.read.schema("source_line int, label string, confidence string, reason string").json(a.lines)
+            judgments = outcomes.judged(evaluated, lines, a.chunk, a.expected).select(*judgments.columns)
+        calibrated = outcomes.calibrate(evaluated, judgments, "trajectory_id")
         sinks.write_table(calibrated, a.calibrated)
         sinks.put_text(spark, a.summary, reports.review_report(calibrated.groupBy("evaluation_label_source", "y_outcome_label", "evaluation_outcome_label").count()))
     elif a.command == "train":
@@ -85,6 +90,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         artifact = pipeline.Artifact.from_json(sinks.get_text(spark, a.artifact))
         artifact.tolerance = float(a.tolerance) if a.tolerance else artifact.tolerance
         sinks.put_text(spark, a.summary, reports.evaluation_report(*pipeline.sensitivity(rows, artifact, a.bootstrap, a.seed)))
+    elif a.command == "notebook":
+        sinks.put_text(spark, a.output, reports.frontier_notebook(sinks.read_table(spark, a.frontier), evaluation.metrics(sinks.read_table(spark, a.test), ["policy"])))
     elif a.command == "replay":
         for r in sinks.read_by_id(spark, a.test, "trajectory_id", a.trajectory).select("policy", "logged_model", "chosen_action", "predicted_complexity", "predicted_risk", "incumbent_cost", "policy_cost").collect():
             print(reports.case_report(r.asDict()), end="\n\n")

@@ -110,6 +110,30 @@ def outcome_features(items: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
+#: What a manual judgment scores; one that cannot be judged has none.
+REVIEW_SCORES = {"SUCCESS": 1.0, "PARTIAL": 0.5, "FAILURE": 0.0, "UNJUDGEABLE": None}
+
+
+def judged(evaluation: DataFrame, lines: DataFrame, chunk: str, expected: int = 0) -> DataFrame:
+    """Manual judgments of one chunk: trajectory_id, review_label, review_score, review_confidence, review_reason and sample.
+
+    All its UNKNOWN rows count, with SUCCESS and medium confidence where lines (source_line, label, confidence, reason) does not say
+    otherwise, and the other rows that lines names. Another number of rows than expected (0: any) is an error, as is another label.
+    """
+    own = evaluation.where(F.col("source_chunk") == chunk).select("trajectory_id", F.col("source_line").cast("int").alias("line"), (F.col("y_outcome_label") == "UNKNOWN").alias("unknown"))
+    said = lines.select(F.col("source_line").cast("int").alias("said_line"), F.col("label").alias("review_label"), F.col("confidence").alias("review_confidence"), F.col("reason").alias("review_reason"))
+    rows = own.join(said, own["line"] == said["said_line"], "left").where("unknown or said_line is not null")
+    default = {"review_label": "SUCCESS", "review_confidence": "medium", "review_reason": "completed action or valid no-op in the observable history"}
+    rows = rows.withColumns({k: F.when(F.col("said_line").isNull(), F.lit(v)).otherwise(F.col(k)) for k, v in default.items()})
+    found = rows.count() if expected else 0
+    if found != expected:
+        raise ValueError(f"expected {expected} reviewed rows, found {found}")
+    score = F.raise_error(F.concat(F.lit("unknown judgment "), F.coalesce("review_label", F.lit("null")))).cast("double")
+    for k, v in REVIEW_SCORES.items():
+        score = F.when(F.col("review_label") == k, F.lit(v).cast("double")).otherwise(score)
+    return rows.select("trajectory_id", "review_label", score.alias("review_score"), "review_confidence", "review_reason", F.when(F.col("unknown"), "all_proxy_unknown").otherwise("model_proxy_check").alias("sample"))
+
+
 def calibrate(evaluation: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """evaluation with a review's label, score and confidence where there is one (its null score too), else telemetry's.
 

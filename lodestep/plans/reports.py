@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -75,3 +76,29 @@ def frontier_svg(points: DataFrame, width: int = 640, height: int = 400) -> str:
         marks.append(f'<circle cx="{a:.1f}" cy="{b:.1f}" r="4"/><text x="{a + 6:.1f}" y="{b - 6:.1f}" font-size="10">{escape(name)} ({x:.1%}, {y:+.3f})</text>')
     axes = f'<path d="M60 20V{height - 40}H{width - 20}" fill="none" stroke="#888"/><text x="{width / 2:.0f}" y="{height - 10}" font-size="12">savings</text><text x="8" y="14" font-size="12">quality change</text>'
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif">{axes}{"".join(marks)}</svg>'
+
+
+def cell(source: str, text: str = "", svg: str = "", number: int | None = None) -> dict:
+    """A notebook cell: Markdown, or code with the output it is shown with where it has a number."""
+    lines = lambda x: x.splitlines(keepends=True)
+    if number is None:
+        return {"cell_type": "markdown", "metadata": {}, "source": lines(source)}
+    shown = [{"output_type": "stream", "name": "stdout", "text": lines(text.rstrip("\n") + "\n")}] if text else []
+    shown += [{"output_type": "display_data", "metadata": {}, "data": {"image/svg+xml": svg, "text/plain": ["<SVG chart>"]}}] if svg else []
+    return {"cell_type": "code", "execution_count": number, "metadata": {}, "outputs": shown, "source": lines(source)}
+
+
+def notebook(cells: list[dict]) -> str:
+    """The cells as a notebook file."""
+    about = {"kernelspec": {"name": "python3", "display_name": "Python 3", "language": "python"}, "language_info": {"name": "python"}}
+    return json.dumps({"nbformat": 4, "nbformat_minor": 5, "metadata": about, "cells": cells}, indent=1) + "\n"
+
+
+def frontier_notebook(frontier: DataFrame, test: DataFrame) -> str:
+    """The validation frontier and the test rows' policies, with the code that shows them again."""
+    read = "from pyspark.sql import SparkSession\nfrom lodestep.plans import reports\nfrom lodestep.sources import sinks\n\nspark = SparkSession.builder.getOrCreate()\n"
+    return notebook([
+        cell("# Frontier\n\nPrices and capability profiles are assumptions, tokens are estimates, and qualities are off-policy estimates on proxy labels."),
+        cell(read + 'frontier = sinks.read_table(spark, "results/frontier")\nprint(reports.table(frontier.orderBy("tolerance")))', text=table(frontier.orderBy("tolerance")), number=1),
+        cell('from IPython.display import SVG\n\nSVG(reports.frontier_svg(metrics))', text=table(test.orderBy("policy")), svg=frontier_svg(test), number=2),
+    ])

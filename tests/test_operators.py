@@ -238,3 +238,14 @@ def test_terms_of_whole_texts(spark):
     assert found["tail"] == (3, 6) and found["tail__tail"] == (3, 3) and "wordaa" in found
     weights = fit.tfidf(d, "id", "terms", vocab).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert [r["s"] for r in weights] == [pytest.approx(1.0)] * 3
+
+
+def test_judgments_of_a_chunk(spark):
+    e = table(spark, [("a", "c1", 1, "UNKNOWN"), ("b", "c1", 2, "UNKNOWN"), ("c", "c1", 3, "SUCCESS"), ("d", "c1", 4, "SUCCESS"), ("e", "c2", 2, "UNKNOWN")], "trajectory_id string, source_chunk string, source_line int, y_outcome_label string")
+    lines = table(spark, [(2, "PARTIAL", "high", "some"), (3, "UNJUDGEABLE", "low", "none")], "source_line int, label string, confidence string, reason string")
+    got = {r["trajectory_id"]: tuple(r)[1:4] for r in outcomes.judged(e, lines, "c1", 3).collect()}
+    assert got == {"a": ("SUCCESS", 1.0, "medium"), "b": ("PARTIAL", 0.5, "high"), "c": ("UNJUDGEABLE", None, "low")}
+    with pytest.raises(ValueError, match="found 3"):
+        outcomes.judged(e, lines, "c1", 100)
+    with pytest.raises(Exception, match="unknown judgment"):
+        outcomes.judged(e, lines.withColumn("label", F.lit("FINE")), "c1").collect()

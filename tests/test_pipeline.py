@@ -93,6 +93,9 @@ def test_the_whole_way(spark, export, tmp_path, monkeypatch):
     main(["evaluate", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--summary", at("sensitivity.md"), "--bootstrap", "20"], spark)
     assert "gpt_sol_luna_swapped" in (tmp_path / "sensitivity.md").read_text()
     main(["replay", routes[0]["trajectory"], "--test", at("test")], spark)
+    main(["notebook", "--frontier", at("frontier"), "--test", at("test"), "--output", at("frontier.ipynb")], spark)
+    book = json.loads((tmp_path / "frontier.ipynb").read_text())
+    assert book["nbformat"] == 4 and [c["cell_type"] for c in book["cells"]] == ["markdown", "code", "code"] and "<svg" in book["cells"][2]["outputs"][1]["data"]["image/svg+xml"]
 
 
 def test_tables_go_out_and_come_back(spark, tmp_path):
