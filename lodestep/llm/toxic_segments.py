@@ -6,7 +6,7 @@ first letters, which have a flat one. Tokens without enough texts have the score
 that of the prior alone. So every token of a text has a score, below 0 for all but toxic ones. A text's maximal scoring segments (no
 part of which could be extended or cut for more) are found in one pass over its tokens.
 
-The best segment of a text without toxicity follows an extreme-value distribution, fitted on clean labelled texts that gave
+The segments of texts without toxicity follow an extreme-value distribution, fitted on all segments of clean labelled texts that gave
 no counts: a segment of score s is expected K * n * exp(-lambda * s) times in n tokens. Segments expected less than
 ``SIGNIFICANT`` times are toxic passages. A text's evidence takes them together: for the r best segments, the sum of their
 normalised scores (lambda * s - log(K * n)) has the tail exp(-x) * x ** (r - 1) / (r! (r - 1)!), doubled for each further segment,
@@ -36,9 +36,9 @@ from lodestep.session import ship, stash
 
 #: The setting that toxicity_settings prefers on learnable rows.
 STEM = 5
-Z = 3.0
+Z = 2.5
 PRIOR = 2.0
-LEAST_TEXTS = 2  # texts that must have a token, or its first letters, for their own score; toxic ones for one above 0
+LEAST_TEXTS = 3  # texts that must have a token, or its first letters, for their own score; toxic ones for one above 0
 SIGNIFICANT = 0.01
 CUT = 0.7
 MAX_FIT_ROWS = 200_000
@@ -168,13 +168,13 @@ def _log_odds(counts: DataFrame) -> Model:
 
 
 def _scan(model: Model, extra: list[str]):
-    """(extra columns, n, best score, passages, score and evidence) of each text; text is the last column."""
+    """(extra columns, n, best score, passages, score, evidence, segments and the sum of their scores) of each text; text is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         limit = -math.log(SIGNIFICANT)
         for b in batches:
-            ns, best, passages, score, evidence = [], [], [], [], []
+            ns, best, passages, score, evidence, number, total = [], [], [], [], [], [], []
             for x in b.column(len(extra)):
                 tokens = _tokens((x.as_py() or "").lower())
                 found, n = segments(model.scores(tokens, memo)), len(tokens)
@@ -182,16 +182,18 @@ def _scan(model: Model, extra: list[str]):
                 ns.append(n)
                 best.append(max(scores, default=0.0))
                 passages.append([{"first": i, "last": j, "score": s} for i, j, s in found if model.normalised(s, n) > limit])
+                number.append(len(scores))
+                total.append(math.fsum(scores))
                 score.append(model.toxicity(scores, n))
                 evidence.append(model.evidence(scores, n) if scores else None)
-            arrays = [pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(passages, PASSAGES), pa.array(score, pa.float64()), pa.array(evidence, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(extra))), *arrays], [*extra, "n_tokens", "best", "passages", "score", "evidence"])
+            arrays = [pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(passages, PASSAGES), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), pa.array(number, pa.int64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(extra))), *arrays], [*extra, "n_tokens", "best", "passages", "score", "evidence", "n_segments", "summed"])
 
     return run
 
 
 PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
-SCANNED = "n_tokens long, best double, passages array<struct<first: long, last: long, score: double>>, score double, evidence double"
+SCANNED = "n_tokens long, best double, passages array<struct<first: long, last: long, score: double>>, score double, evidence double, n_segments long, summed double"
 
 
 def learnable(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
@@ -217,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
         return Model()
     held = own.where("calibrates").select("toxic", "text")
     scanned = stash(held.mapInArrow(_scan(model, ["toxic"]), "toxic int, " + SCANNED).drop("passages"), "calibration")
-    # the tail of clean texts: mean excess gives lambda, the share of texts with a segment gives K
-    clean, tokens, over, excess = scanned.where("toxic = 0").agg(F.count("*"), F.sum("n_tokens"), F.sum((F.col("best") > 0).cast("int")), F.sum("best")).first()
+    # the tail of clean texts' segments: their mean gives lambda, their number gives K
+    clean, tokens, over, excess = scanned.where("toxic = 0").agg(F.count("*"), F.sum("n_tokens"), F.sum("n_segments"), F.sum("summed")).first()
     if not clean or not tokens:
         return Model()
     model.rate = (over + 1) / (excess + 2.0)

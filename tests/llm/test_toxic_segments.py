@@ -104,8 +104,8 @@ def whole(docs, labels):
         return [x for *_, x in brute([score(t) for t in w])]
 
     clean = [(found(w), len(w)) for held, toxic, w in own if held and not toxic]
-    over = sum(bool(f) for f, _ in clean)
-    rate, scale = (over + 1) / (sum(max(f, default=0.0) for f, _ in clean) + 2.0), (over + 1) / (sum(n for _, n in clean) + 1)
+    over = sum(len(f) for f, _ in clean)
+    rate, scale = (over + 1) / (sum(sum(f) for f, _ in clean) + 2.0), (over + 1) / (sum(n for _, n in clean) + 1)
 
     def evidence(f, n):
         x = sorted((rate * v - math.log(scale * max(n, 1)) for v in f), reverse=True)
