@@ -18,7 +18,9 @@ from __future__ import annotations
 import functools
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from lodestep.session import new_path, ship, stash
 MAGIC = b"LSVB0001"
 END_ID = 1
 BLOCK_IDS = 2_000_000
-CACHE = 200_000  # words of each of two generations
+CACHE = 300_000  # words of each of two generations
 
 #: Texts of these characters only are NFC already, and lower-case alike character by character.
 PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ſ]*"
@@ -66,6 +68,7 @@ class Encoder:
         self.by_word = parts.get("normalizer") == NORMALIZER and parts.get("pre_tokenizer") == PRETOKENIZER and not parts["model"].get("dropout")
         self.specials = [t["content"] for t in parts.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.typecode = next(c for c in "HILQ" if array(c).itemsize == self.dtype.itemsize)
         self.plain, self.word, self.model = regex.compile(PLAIN).fullmatch, regex.compile(WORD).findall, self.tokenizer.model
         encoder = self
 
@@ -90,7 +93,10 @@ class Encoder:
 
     def piece(self, word: str) -> bytes:
         symbols = word if word.isascii() else "".join([_SYMBOL[b] for b in word.encode()])
-        return np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
+        ids = array(self.typecode, [t.id for t in self.model.tokenize(symbols)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.by_word and self.plain(text) and not any(s in text for s in self.specials):
