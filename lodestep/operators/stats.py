@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestep.session import stash
+from lodestep.session import ship, stash
 
 
 def zscale(column: str) -> Column:
@@ -130,14 +133,22 @@ def resampled(df: DataFrame, key: str, iterations: int, seed: int, sums: dict[st
     A draw is 32 bits of an MD5 of seed, key and iteration, the same on any engine; rows with equal keys draw alike. Each task
     adds up its own rows, so nothing is gathered or joined. Samples without any row are left out.
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block__").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    own = df.select(key, *(c.alias(k) for k, c in sums.items())).withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit((iterations + 3) // 4 - 1)))).withColumn("h__", h)
-    drawn = own.withColumn("part__", F.explode(F.array(*(F.lit(k) for k in range(4)))))
-    u = F.conv(F.substring("h__", F.col("part__") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
-    drawn = drawn.withColumn("u__", u)
-    times = reduce(lambda x, y: x + y, ((F.col("u__") >= F.lit(c)).cast("int") for c in POISSON))
-    drawn = drawn.select((F.col("block__") * 4 + F.col("part__")).alias("iteration"), times.alias("times__"), *sums).where(f"times__ > 0 and iteration < {iterations}")
-    return drawn.groupBy("iteration").agg(F.sum("times__").alias("n__"), *(F.sum(F.col("times__") * F.col(k)).alias(k) for k in sums))
+    ship(df.sparkSession)
+    names, blocks, steps = list(sums), (iterations + 3) // 4, np.array(POISSON)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((iterations, len(names) + 1))
+        for b in batches:
+            values = np.c_[np.ones(len(b)), np.nan_to_num(b[names].to_numpy(float))]
+            for k, v in zip(b["key__"], values, strict=True):
+                raw = b"".join([hashlib.md5(f"{seed}:{i}:{k}".encode()).digest() for i in range(blocks)])
+                times = np.searchsorted(steps, np.frombuffer(raw, ">u4")[:iterations] / 2.0**32, side="right")
+                total += np.outer(times, v)
+        yield pd.DataFrame(total, columns=["n__", *names]).assign(iteration=np.arange(iterations))[["iteration", "n__", *names]]
+
+    own = df.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key__"), *(c.cast("double").alias(k) for k, c in sums.items()))
+    drawn = own.mapInPandas(run, "iteration int, n__ double, " + ", ".join(f"{k} double" for k in names))
+    return drawn.groupBy("iteration").agg(F.sum("n__").alias("n__"), *(F.sum(k).alias(k) for k in names)).where("n__ > 0")
 
 
 def interval(df: DataFrame, column: str) -> DataFrame:
