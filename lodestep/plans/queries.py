@@ -12,6 +12,7 @@ from lodestep.functions import text as T
 from lodestep.functions.json_semantics import canonical_arguments, json_length, output_failed, output_succeeded
 from lodestep.functions.money import PROFILES, canonical_action, percent_change, price_sheet, prices_of
 from lodestep.operators import evaluation, fit, outcomes, policy, stats, trajectory
+from lodestep.plans import pipeline
 from lodestep.session import new_path, stash, table
 from lodestep.sources import traces
 
@@ -477,6 +478,24 @@ def oof_quality_cv(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s, round(v, 6), int(s == best)) for s, v in losses.items()], "slope double, mse double, selected int")
 
 
+def _fitted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Usable tasks with what the chain of fits needs: model text, signals and opening features (0 where the tables have none)."""
+    texts = table(spark, d, "documents").select("doc_id", T.sanitise(F.coalesce("text", F.lit(""))).alias("x_task_text_sanitized"))
+    u = _usable(spark, d).join(texts, "doc_id").withColumn("task_preview", F.lit(""))
+    u = u.withColumns({c: F.lit(0) for c in sorted({*pipeline.OPENING, *pipeline.QUALITY} - set(u.columns))})
+    u = u.withColumns({"continuation_tokens": F.col("x_total_context_tokens_est") / 4, "tool_calls": F.col("x_instruction_markers"), "distinct_tools": F.col("x_input_items"), "risk_target": F.col("risk_label").cast("double")})
+    return stash(pipeline.prepared(u.drop("predicted_complexity", "predicted_risk", "base_quality")), "fitted-rows")
+
+
+def fitted_policy(spark: SparkSession, d: str) -> DataFrame:
+    """The decisions of the whole chain of fits over its own rows: targets, out-of-fold stage one, calibration, quality, support."""
+    rows = _fitted_rows(spark, d)
+    a = pipeline.fitted(rows, pipeline.Options(text_features=16, folds=3))
+    c = a.candidates(a.stage_one(rows)).withColumn("chosen_action", policy.choose(F.lit(0.02), a.fallback))
+    quality = policy.candidate(F.col("chosen_action"))["quality"]
+    return c.select("trajectory_id", "chosen_action", F.size("supported").alias("n_supported"), _r(F.col("predicted_complexity"), "predicted_complexity", 4), _r(F.col("predicted_risk"), "predicted_risk"), _r(quality, "predicted_quality"))
+
+
 def encode_opening(spark: SparkSession, d: str) -> DataFrame:
     t = _tasks(spark, d)
     v = _encoded(t)(t).select("trajectory_id", "x_task_category", "x_risk_level", "vector")
@@ -545,6 +564,6 @@ QUERIES = {
         manual_override, review_counts, signal_join, sanitize, terms_topk, tfidf, action_stratum, standardize, workload_score, caliper_support,
         support_gate, propensity, capability_fit, quality_score, opening_cost, choose_action, frontier, policy_comparison, feasible_policy, dr_value,
         route_counts, replay, profile_scenarios, bootstrap_ci, residual_bootstrap, auc_brier_corr, isotonic, ridge, template_split, fold_complement,
-        oof_quality_cv, encode_opening, histogram_iqr, jsonl_roundtrip, json_semantics,
+        oof_quality_cv, fitted_policy, encode_opening, histogram_iqr, jsonl_roundtrip, json_semantics,
     )
 }

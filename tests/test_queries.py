@@ -1,10 +1,15 @@
 """Each query against its SQL on the smallest tables, and some with other numbers of partitions."""
 
 import os
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
+from lodestep.functions import text as T
+from lodestep.operators import policy
+from lodestep.plans import pipeline, queries
 from lodestep.plans.oracles import ORACLES
 from lodestep.plans.queries import QUERIES
 
@@ -41,3 +46,39 @@ def test_partitions_do_not_matter(spark, tiny, name):
         seen.append(rows(QUERIES[name](spark, tiny).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_fitted_chain_against_numpy(spark, tiny):
+    """Targets, the encoder with its terms, both ridges, and the quality model of fitted_policy's rows, by numpy."""
+    rows = queries._fitted_rows(spark, tiny)
+    own = sorted(rows.collect(), key=lambda r: r["trajectory_id"])
+    n = len(own)
+    target = np.zeros(n)
+    for signal, weight in pipeline.WORKLOAD.items():
+        v = np.array([r[signal] for r in own])
+        target += 100 * weight * np.array([(v <= x).mean() for x in v])
+    got = {r["trajectory_id"]: r["workload_target"] for r in pipeline.with_targets(rows, rows).collect()}
+    assert np.allclose([got[r["trajectory_id"]] for r in own], target)
+
+    total, df = Counter(), Counter()
+    for r in own:
+        total.update(r["terms"])
+        df.update(set(r["terms"]))
+    words = sorted((t for t in total if df[t] >= 3), key=lambda t: (-total[t], t))[:16]
+    tf = np.array([[r["terms"].count(t) for t in words] for r in own], float)
+    raw = np.where(tf > 0, (1 + np.log(np.maximum(tf, 1))) * (np.log((1 + n) / (1 + np.array([df[t] for t in words]))) + 1), 0.0)
+    text = raw / np.maximum(np.sqrt((raw**2).sum(1, keepdims=True)), 1e-300)
+    numbers = np.array([[r[f"n_{f}"] for f in pipeline.OPENING] for r in own], float)
+    scaled = lambda x: (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+    hot = np.array([[r["x_task_category"] == c for c in T.CATEGORIES] + [r["x_risk_level"] == k for k in pipeline.RISKS] for r in own], float)
+    x = np.c_[np.ones(n), scaled(numbers), hot, scaled(text)]
+    y = np.c_[target, [r["risk_target"] for r in own]]
+    ridge = lambda x, y, p: np.linalg.solve(x.T @ x + p * np.diag([0.0] + [1.0] * (x.shape[1] - 1)), x.T @ y)
+    want = np.clip(x @ ridge(x, y, pipeline.STAGE_ONE_PENALTY), 0, [100, 1])
+    a = pipeline.fit_stage_one(pipeline.with_targets(rows, rows), text_features=16)
+    scored = {r["trajectory_id"]: (r["predicted_complexity"], r["predicted_risk"]) for r in a.stage_one(rows).collect()}
+    assert a.encoder.vocabulary == words and np.allclose([scored[r["trajectory_id"]] for r in own], want, atol=1e-6)
+
+    out = queries.fitted_policy(spark, tiny).collect()
+    assert len(out) == n and all(0 <= r["predicted_complexity"] <= 100 and 0 <= r["predicted_risk"] <= 1 and 0 <= r["predicted_quality"] <= 1 for r in out)
+    assert {r["chosen_action"] for r in out} <= {p["action"] for p in policy.profile_table()}
