@@ -38,6 +38,7 @@ def failed(value: Any) -> bool:
         is_json, value = _parsed(value)
         if not is_json:
             return FAILED_TEXT.search(value) is not None
+    # flags, exit codes and errors of an object come before what it holds; text inside objects does not count, text inside lists does
     match value:
         case list():
             return any(map(failed, value))

@@ -41,6 +41,7 @@ def label_cascade(correction: Column, negative: Column, positive: Column, noop:
     def verdict(label: str, score: float | None, confidence: str, reason: str) -> Column:
         return F.struct(F.lit(label).alias("label"), F.lit(score).cast("double").alias("score"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
+    # Labels, scores, confidences, reasons and the order of the rules
     return (
         F.when(correction & (negative | ~evidence), verdict("FAILURE", 0.0, "high", "explicit later user correction without clear subsequent completion"))
         .when(negative & ~evidence, verdict("FAILURE", 0.0, "medium", "explicit negative completion language"))

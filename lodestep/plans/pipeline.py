@@ -76,6 +76,7 @@ def audit(logs: Logs) -> tuple[DataFrame, DataFrame]:
     chain = ordered.groupBy("group_id").agg(F.coalesce(F.bool_and(trajectory.shared_items(F.col("previous_input"), F.col("input")) == F.size("previous_input")), F.lit(True)).alias("chain"))
     a = trajectory.audit(r, "group_id", "model", "first_user").join(chain, "group_id")
     ambiguous = (F.col("full_first_user_unique") == 1) | F.col("chain")
+    # The reasons below
     reason = F.concat(F.lit("full opening messages differ; no exact growing-history prefix"), F.when(F.col("mixed_models") == 1, "; mixed logged models violate the confirmed trajectory premise").otherwise(""))
     a = a.select(F.col("group_id").alias("original_group_id"), "request_count", "models", "mixed_models", "full_first_user_unique", "common_first_user_prefix_chars", F.col("chain").cast("int").alias("exact_item_prefix_chain"), F.when(ambiguous, "manual_review").otherwise("split_all_requests").alias("decision"), F.when(ambiguous, "low").otherwise("high").alias("confidence"), F.when(ambiguous, "ambiguous candidate group").otherwise(reason).alias("reason"))
     return a, a.where("decision = 'split_all_requests'").select("original_group_id", "decision", "confidence", "reason")
