@@ -33,7 +33,7 @@ from lodestep.session import new_path, ship, stash
 MAGIC = b"LSVB0001"
 END_ID = 1
 BLOCK_IDS = 2_000_000
-CACHE = 300_000  # words of each of two generations
+CACHE = 450_000  # words of each of two generations
 
 #: Texts of these characters only are NFC already, and lower-case alike character by character.
 PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ſ]*"
@@ -81,7 +81,7 @@ class Encoder:
                 if (got := self.old.get(chunk)) is not None:
                     self[chunk] = got
                     return got
-                pieces = encoder.word(chunk)
+                pieces = [chunk] if chunk.isalpha() else encoder.word(chunk)
                 if len(pieces) == 1:
                     got = encoder.piece(pieces[0])
                 else:
