@@ -153,7 +153,16 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in PROFILES)), number + 1)
     category = F.when(F.col("lang") == "en", "coding").when(F.col("lang") == "de", "artifact").when(F.col("lang") == "fr", "research").when(F.col("lang") == "es", "communication").otherwise("general")
     text = F.coalesce("text", F.lit(""))
-    rows = d.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    # texts are measured where they are read, so that the join moves numbers alone
+    measured = d.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.length(text).alias("chars"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("double").alias("x_instruction_markers"),
+        (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).cast("double").alias("x_input_items"),
+    )
+    rows = measured.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
     return rows.select(
         F.col("doc_id").cast("string").alias("trajectory_id"),
         "doc_id",
@@ -162,9 +171,9 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         category.alias("x_task_category"),
         F.pmod(F.col("doc_id"), F.lit(4)).cast("string").alias("x_risk_level"),
         (F.pmod(F.col("doc_id"), F.lit(5)) == 0).cast("int").alias("x_has_image"),
-        F.floor(F.length(text) * 8).cast("double").alias("x_total_context_tokens_est"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("double").alias("x_instruction_markers"),
-        F.regexp_count(text, F.lit("[.]")).cast("double").alias("x_input_items"),
+        F.floor(F.col("chars") * 8).cast("double").alias("x_total_context_tokens_est"),
+        "x_instruction_markers",
+        "x_input_items",
         (F.pmod(F.col("doc_id"), F.lit(3)) == 0).cast("int").alias("x_requires_external_action"),
         (F.pmod(F.col("doc_id"), F.lit(7)) == 0).cast("int").alias("x_requires_multiple_steps"),
         F.col("quality").cast("double").alias("evaluation_outcome_score"),
