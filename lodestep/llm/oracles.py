@@ -128,10 +128,69 @@ lines AS (
 SELECT conv_id, position, CAST(rank AS DOUBLE) AS rank, CAST(n_results AS BIGINT) AS n_results, kind, call_id, valid, problems, line FROM lines
 """
 
+# CRC-32 of UTF-8 text: its bytes, each with eight shifts (-1) after it, are folded into the remainder
+CRC = """xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(CAST(length(hex({0})) / 2 AS BIGINT)),
+  lambda i: [('0x' || substr(hex({0}), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), text) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, {CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+b AS (SELECT h.conv_id, coalesce(s.own[1:h.h], []) || h.own[h.h + 1:] AS turns FROM h LEFT JOIN t s ON s.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, turns, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth FROM b),
+k AS (SELECT conv_id, n, depth, md5(CAST(to_json(turns[1:depth]) AS VARCHAR)) AS node,
+             CASE WHEN depth > 0 THEN md5(CAST(to_json(turns[1:depth - 1]) AS VARCHAR)) END AS parent,
+             CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM p),
+m AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM k GROUP BY depth, node),
+c AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+-- each node under every node on its path: pairs of places of one conversation
+a AS (SELECT DISTINCT u.node AS above, u.depth AS above_depth, v.node, v.depth FROM k u JOIN k v ON v.conv_id = u.conv_id AND v.depth >= u.depth),
+s AS (SELECT above AS node, above_depth AS depth, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens
+      FROM a JOIN m USING (node, depth) LEFT JOIN c USING (node, depth) GROUP BY ALL)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (node, depth) LEFT JOIN c USING (node, depth) LEFT JOIN m up ON up.node = m.parent AND up.depth = m.depth - 1
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE r AS (
+  SELECT id, w, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents)
+  GROUP BY ALL),
+h AS (SELECT w, n, {CRC.format("encode(id || ':' || w)")} AS h FROM r),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w, n FROM h),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+e AS (SELECT w, k, substr(w, 1, k - 1) || substr(w, k + 1) AS cut FROM (SELECT w, unnest(range(1, length(w) + 1)) AS k FROM v)),
+one AS (
+  SELECT a.w AS x, b.w AS y FROM e a JOIN e b ON a.k = b.k AND a.cut = b.cut AND length(a.w) = length(b.w) AND a.w <> b.w
+  UNION SELECT a.w, v.w FROM e a JOIN v ON a.cut = v.w
+  UNION SELECT v.w, a.w FROM e a JOIN v ON a.cut = v.w),
+f AS (SELECT x, count(*) AS n_near, first(y ORDER BY n DESC, y) AS y, max(n) AS n_y FROM one JOIN v ON v.w = y GROUP BY x),
+g AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN n_y >= 2 * n THEN y END AS form, CASE WHEN n_y >= 2 * n THEN n_y END AS form_n FROM v LEFT JOIN f ON x = w),
+up AS (SELECT w, w AS root FROM g UNION ALL SELECT up.w, g.form FROM up JOIN g ON g.w = up.root WHERE g.form IS NOT NULL)
+SELECT g.w AS word, g.form, up.root, g.n, g.n_near, g.form_n
+FROM g JOIN up ON up.w = g.w JOIN g last ON last.w = up.root AND last.form IS NULL
+"""
+
+EMBEDDING_COPIES = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id, vec_id AS place FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.place),
+c AS (SELECT vec_id, min(place) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 ORACLES = {
     "op5_tool_calls": TOOL_CALLS,
     "op6_poisson_mix": POISSON_MIX,
     "op3_decontamination": DECONTAMINATION,
     "op4_host_rules": HOST_RULES,
     "op10_url_rules": URL_RULES,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_spelling_variants": SPELLING,
+    "op13_lattice_hash": EMBEDDING_COPIES,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestep.llm import feistel_pii, hd_language, host_rules, poisson_mix, positional_index, simhash_bk, token_store, tool_calls, toxic_segments, url_rules
+from lodestep.llm import feistel_pii, hd_language, host_rules, lattice_hash, poisson_mix, positional_index, prefix_trie, simhash_bk, spelling_variants, token_store, tool_calls, toxic_segments, url_rules
 from lodestep.session import table
 
 #: The rules of the URL filter: host, path, action.
@@ -66,6 +66,18 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_hash.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_feistel_pii": pseudonyms,
     "op2_hd_language": languages,
@@ -77,4 +89,7 @@ QUERIES = {
     "op8_toxic_segments": toxicity,
     "op9_simhash_bk": simhash,
     "op10_url_rules": url_filter,
+    "op11_prefix_trie": conversation_trie,
+    "op12_spelling_variants": spelling,
+    "op13_lattice_hash": embedding_copies,
 }
