@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestep.functions.money import DIMENSIONS, PRICES, PROFILES
 from lodestep.operators import stats
+from lodestep.operators.nearest import Tree, pivot_join
 from lodestep.session import ship, stash
 
 # Fixed values
@@ -23,10 +24,8 @@ CALIPER_QUANTILE = 0.95
 PROPENSITY_FLOOR = 0.03
 FALLBACK = "sonnet"
 TOLERANCES = [0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05]
-#: Bytes of support up to which it goes to every task; a larger one is met in blocks.
+#: Bytes of support up to which it goes to every task; a larger one is searched in shards.
 LOCAL_BYTES = 32 << 20
-#: Rows of a block.
-BLOCK = 4_000
 
 
 def exact_key() -> Column:
@@ -139,36 +138,21 @@ def support_table(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(F.col("incumbent_action").alias("action"), exact_key().alias("key"), F.col("trajectory_id").alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
 
 
-def _distances(x: np.ndarray, ids, own, ref: np.ndarray, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of x, how many rows of ref there are (without itself) and the distance of the nearest."""
-    place: dict = {}
-    for j, t in enumerate(own if exclude_self else ()):
-        place.setdefault(t, []).append(j)
-    best, seen = np.full(len(x), np.inf), np.full(len(x), len(own))
-    for lo in range(0, len(x), 256):
-        d = sum((x[lo : lo + 256, None, k] - ref[None, :, k]) ** 2 for k in range(x.shape[1]))
-        for i, t in enumerate(ids[lo : lo + 256] if exclude_self else ()):
-            if t in place:
-                d[i, place[t]] = np.inf
-                seen[lo + i] -= len(place[t])
-        best[lo : lo + 256] = np.sqrt(d.min(1) / x.shape[1])
-    return seen, best
-
-
 NEAR = "trajectory_id string, action string, n long, distance double"
 
 
-def nearest(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], exclude_self: bool = False, local_bytes: int = LOCAL_BYTES, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], exclude_self: bool = False, local_bytes: int = LOCAL_BYTES, **shards: int) -> DataFrame:
     """trajectory_id, action, n and distance: the support of each action in the row's stratum, and the nearest of it.
 
-    support: as support_table gives it, all of whose rows count. Up to local_bytes it goes to every task, where rows meet their stratum's and
-    nothing is shuffled. Beyond, blocks of rows meet the blocks of their stratum's support, each pair in a task of its own.
+    support: as support_table gives it, all of whose rows count. Up to local_bytes it goes to every task, where rows search the trees of their
+    stratum and nothing is shuffled. Beyond, a pivot join searches shards of it, see nearest.py, which shards is for.
     """
     ship(rows.sparkSession)
     size = support.agg(F.count("*") * (8 * len(features) + 64) + F.coalesce(F.sum(F.length("id")), F.lit(0))).first()[0]
     scale = np.array([scales[f] for f in features])
+    root = len(features) ** 0.5
     if size > local_bytes:
-        return _nearest_in_blocks(rows, support, features, scale, exclude_self, block)
+        return _nearest_in_shards(rows, support, features, scale, exclude_self, shards)
     found: dict[tuple[str, str], list] = {}
     for r in support.collect():
         found.setdefault((r["action"], r["key"]), []).append((r["id"], r["x"]))
@@ -176,42 +160,45 @@ def nearest(rows: DataFrame, support: DataFrame, features: list[str], scales: di
     actions = sorted({a for a, _ in scaled})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown: dict[tuple[str, str], tuple] = {}
+
+        def tree(group: tuple[str, str]) -> tuple[Tree, pd.Index, np.ndarray]:
+            if group not in grown:
+                ids, x = scaled[group]
+                codes = pd.Index(pd.unique(np.array(ids, object)))
+                own = codes.get_indexer(ids)
+                grown[group] = Tree(x, own), codes, np.bincount(own)
+            return grown[group]
+
         for b in batches:
             for key, part in b.groupby("key"):
                 x, ids = np.stack(part["x"].to_list()).astype(float) / scale, part["trajectory_id"].to_numpy()
                 for action in actions:
-                    own, ref = scaled.get((action, key), ([], None))
-                    if len(own):
-                        seen, best = _distances(x, ids, own, ref, exclude_self)
+                    if (action, key) in scaled:
+                        t, codes, many = tree((action, key))
+                        own = codes.get_indexer(ids) if exclude_self else np.full(len(ids), -1)
+                        best, _ = t.search(x, np.where(own < 0, -2, own), np.full(len(x), np.inf))
+                        seen = len(t.x) - np.where(own < 0, 0, many[own])
                         keep = np.isfinite(best)
-                        yield pd.DataFrame({"trajectory_id": ids[keep], "action": action, "n": seen[keep], "distance": best[keep]})
+                        yield pd.DataFrame({"trajectory_id": ids[keep], "action": action, "n": seen[keep], "distance": best[keep] / root})
 
     own = rows.select("trajectory_id", exact_key().alias("key"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
     return own.mapInPandas(run, NEAR)
 
 
-def _blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Rows (keys, id, x) of each group in blocks by hash: keys, ids and xs."""
-    own = stash(rows, "stratum-rows")
-    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))  # actions times strata
-    dealt = own.join(F.broadcast(sizes), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias("part")).select(*keys, F.col("part.id").alias("ids"), F.col("part.x").alias("xs"))
-
-
-def _nearest_in_blocks(rows: DataFrame, support: DataFrame, features: list[str], scale: np.ndarray, exclude_self: bool, block: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for action, ids, xs, own, ref in zip(b["action"], b["ids"], b["xs"], b["own"], b["ref"], strict=True):
-                seen, best = _distances(np.stack(xs).astype(float) / scale, ids, own, np.stack(ref).astype(float) / scale, exclude_self)
-                yield pd.DataFrame({"trajectory_id": ids, "action": action, "n": seen, "distance": best})
-
-    asked = rows.select(exact_key().alias("key"), F.col("trajectory_id").alias("id"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
-    one = _blocks(asked, ["key"], block)
-    two = _blocks(support.select("action", "key", "id", "x"), ["action", "key"], block).select("action", "key", F.col("ids").alias("own"), F.col("xs").alias("ref"))
-    # few rows, each a pair of blocks: one by one to Python
-    pairs = one.join(two, "key").repartition(F.xxhash64("ids"), F.xxhash64("own"))
-    near = pairs.select("action", "ids", "xs", "own", "ref").mapInPandas(run, NEAR)
-    return near.groupBy("trajectory_id", "action").agg(F.sum("n").alias("n"), F.min("distance").alias("distance")).where("distance < double('infinity')")
+def _nearest_in_shards(rows: DataFrame, support: DataFrame, features: list[str], scale: np.ndarray, exclude_self: bool, shards: dict[str, int]) -> DataFrame:
+    one = F.array(*(F.col(f).cast("double") / F.lit(float(s)) for f, s in zip(features, scale, strict=True)))
+    asked = stash(rows.select(exact_key().alias("key"), F.col("trajectory_id").alias("id"), one.alias("x")), "asked-rows")
+    scaled = F.transform(F.arrays_zip("x", F.array(*(F.lit(float(s)) for s in scale)).alias("s")), lambda v: v["x"] / v["s"])
+    own = stash(support.select("action", "key", "id", scaled.alias("x")), "support-rows")
+    found = pivot_join(asked, own, exclude_self, **shards)
+    # a row for each action and stratum
+    sizes = own.groupBy("action", "key").agg(F.count("*").alias("n"))
+    met = found.join(asked.select("id", "key").distinct(), "id").join(F.broadcast(sizes), ["action", "key"])
+    if exclude_self:
+        mine = own.groupBy("action", "key", "id").agg(F.count("*").alias("mine"))
+        met = met.join(mine, ["action", "key", "id"], "left").withColumn("n", F.col("n") - F.coalesce("mine", F.lit(0)))
+    return met.select(F.col("id").alias("trajectory_id"), "action", "n", (F.col("distance") / len(features) ** 0.5).alias("distance"))
 
 
 def calipers(rows: DataFrame, support: DataFrame, features: list[str], scales: dict[str, float], quantile: float = CALIPER_QUANTILE, local_bytes: int = LOCAL_BYTES) -> DataFrame:

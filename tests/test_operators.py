@@ -169,7 +169,7 @@ def test_nearest_keeps_every_row_of_a_large_stratum(spark, local, block):
     rows = [(str(k), "luna" if k % 50 else "sol", "t", "0", 0, float(k * k % 7919), float(k % 13)) for k in range(n)]
     rows = rows if block > 7 else rows[:60]
     d = spark.createDataFrame(rows, "trajectory_id string, incumbent_action string, x_task_category string, x_risk_level string, x_has_image int, a double, b double")
-    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest(d, policy.support_table(d, ["a", "b"]), ["a", "b"], {"a": 2.0, "b": 1.0}, True, local, block).collect()}
+    got = {(r["trajectory_id"], r["action"]): (r["n"], r["distance"]) for r in policy.nearest(d, policy.support_table(d, ["a", "b"]), ["a", "b"], {"a": 2.0, "b": 1.0}, True, local, shard=block).collect()}
     x = np.array([[r[5] / 2.0, r[6]] for r in rows])
     for action in ("luna", "sol"):
         own = np.array([k for k, r in enumerate(rows) if r[1] == action])
