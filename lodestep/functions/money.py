@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def price_sheet(spark: SparkSession, override: str | None = None) -> DataFrame:
     return spark.read.schema(schema).json(override) if override else spark.createDataFrame(PRICES, schema)
 
 
+def prices_from(text: str) -> list[list]:
+    """Rows as those of PRICES from a JSON document of key: [uncached, cached, output]. One without a default has that of PRICES."""
+    rows = [[k, *map(float, v)] for k, v in json.loads(text).items()]
+    if any(len(r) != 4 for r in rows):
+        raise ValueError("a price has three numbers: uncached and cached input, output")
+    return rows if any(r[0] == "_default" for r in rows) else [*rows, list(PRICES[-1])]
+
+
+def profiles_from(text: str) -> list[dict]:
+    """Profiles from a JSON document with profiles, each an action with route_model, family, capabilities and, maybe, candidate."""
+    found = [(a, p) for a, p in json.loads(text)["profiles"].items() if p.get("candidate", True)]
+    known = [p[0] for p in PROFILES]
+    if missing := [a for a, p in found if a not in known or any(d not in p for d in DIMENSIONS)]:
+        raise ValueError(f"unknown actions, or profiles without a capability: {', '.join(missing)}")
+    return [{"action": a, "route_model": p["route_model"], "family": p["family"], "ordinal": k, **{d: float(p[d]) for d in DIMENSIONS}} for k, (a, p) in enumerate(found)]
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     """action, route_model, family, six capabilities and ordinal."""
     rows = [(*p, k) for k, p in enumerate(PROFILES)]

@@ -70,9 +70,46 @@ def select_tolerance(frontier: DataFrame, loss: float = 0.02, direct_loss: float
     return ok.crossJoin(other).select(F.coalesce("best", "fallback").alias("tolerance"), F.col("best").isNotNull().alias("feasible"))
 
 
-def bootstrap_delta(rows: DataFrame, key: str, iterations: int, seed: int) -> DataFrame:
-    """iteration and delta (stabilised value less observed quality) of bootstrap samples, see stats.resampled."""
+def bootstrap_delta(rows: DataFrame, key: str, iterations: int, seed: int, draw=stats.resampled) -> DataFrame:
+    """iteration and delta (stabilised value less observed quality) of bootstrap samples, see stats.resampled and stats.bootstrap."""
     w = F.when(F.col("matched") == 1, F.col("inverse_propensity")).otherwise(0.0)
-    b = stats.resampled(rows, key, iterations, seed, {"direct": F.col("direct_policy_quality"), "weight": w, "weighted": w * F.coalesce("residual", F.lit(0.0)), "observed": F.col("evaluation_outcome_score")})
-    raw = F.col("direct") / F.col("n__") + F.coalesce(F.try_divide(F.col("weighted"), F.col("weight")), F.lit(0.0))
-    return b.select("iteration", (F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)) - F.col("observed") / F.col("n__")).alias("delta"))
+    b = draw(rows, key, iterations, seed, {"direct": F.col("direct_policy_quality"), "weight": w, "weighted": w * F.coalesce("residual", F.lit(0.0)), "observed": F.col("evaluation_outcome_score")})
+    return b.select("iteration", _delta(*(F.col(k) for k in ("direct", "weight", "weighted", "observed"))).alias("delta"))
+
+
+def _delta(direct: Column, weight: Column, weighted: Column, observed: Column) -> Column:
+    raw = direct / F.col("n__") + F.coalesce(F.try_divide(weighted, weight), F.lit(0.0))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)) - observed / F.col("n__")
+
+
+def bootstrap_intervals(rows: DataFrame, key: str, policies: list[str], iterations: int, seed: int) -> DataFrame:
+    """policy, ci_low and ci_high of each policy's delta over details() of a few policies: the same samples of rows for all of them."""
+    w = F.when(F.col("matched") == 1, F.col("inverse_propensity")).otherwise(0.0)
+    parts = {"direct": F.col("direct_policy_quality"), "weight": w, "weighted": w * F.coalesce("residual", F.lit(0.0)), "observed": F.col("evaluation_outcome_score")}
+    wide = rows.groupBy(key).agg(*(F.sum(F.when(F.col("policy") == p, c)).alias(f"{k}_{j}") for j, p in enumerate(policies) for k, c in parts.items()))
+    b = stats.bootstrap(wide, key, iterations, seed, {f"{k}_{j}": F.col(f"{k}_{j}") for j in range(len(policies)) for k in parts})
+    deltas = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), _delta(*(F.col(f"{k}_{j}") for k in parts)).alias("delta")) for j, p in enumerate(policies)))).alias("d")
+    return b.select(deltas).select("d.*").groupBy("policy").agg(F.percentile("delta", F.lit(0.025)).alias("ci_low"), F.percentile("delta", F.lit(0.975)).alias("ci_high"))
+
+
+def route_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by and route_counts: how often each action is chosen, as canonical JSON."""
+    counted = rows.groupBy(*by, "chosen_action").agg(F.count("*").alias("n"))  # a row for each action
+    entries = F.array_sort(F.collect_list(F.concat(F.lit('"'), "chosen_action", F.lit('": '), F.col("n").cast("string"))))
+    return counted.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")).alias("route_counts"))
+
+
+def summary(rows: DataFrame, key: str, tolerance: float, iterations: int, seed: int) -> dict:
+    """What a held-out set says of the estimators and of one policy, over its details(): errors, risk scores, routes, qualities, costs."""
+    errors = prediction_errors(rows, "workload_target", "predicted_complexity").first()
+    risk = prediction_errors(rows, "risk_target", "predicted_risk").first()
+    m = metrics(rows, ["policy"]).join(route_counts(rows, ["policy"]), "policy").first()
+    ci = stats.interval(bootstrap_delta(rows, key, iterations, seed, stats.bootstrap), "delta").first()
+    raw = rows.agg(stabilised()["dr_raw"].alias("raw")).first()["raw"]
+    return {
+        "quality_tolerance": tolerance, "holdout_n": m["n"], "complexity_mae": errors["mae"], "complexity_rmse": errors["rmse"], "complexity_correlation": errors["correlation"],
+        "execution_risk_prevalence": risk["prevalence"], "execution_risk_brier": risk["brier"], "execution_risk_auc": stats.auc(rows, "risk_target", "predicted_risk").first()["auc"],
+        "changed_routes": m["changed_routes"], "route_counts": m["route_counts"], "observed_quality": m["observed_quality"], "direct_policy_quality": m["direct_quality"],
+        "dr_policy_quality": m["dr_quality"], "dr_policy_quality_unbounded": raw, "dr_quality_delta": m["dr_delta"], "dr_quality_delta_ci_low": ci["ci_low"], "dr_quality_delta_ci_high": ci["ci_high"],
+        "matched_actions": m["matched_actions"], "overlap_effective_sample_size": m["ess"], "incumbent_opening_cost_usd_est": m["incumbent_cost"], "policy_opening_cost_usd_est": m["policy_cost"], "cost_savings_pct_est": m["savings"],
+    }

@@ -111,7 +111,9 @@ def outcome_features(items: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
-#: What a manual judgment scores; one that cannot be judged has none.
+# What a manual judgment scores (one that cannot be judged has none), the samples, and the reason of a default judgment
+SAMPLES = ("all_proxy_unknown", "model_proxy_check")
+DEFAULT_REASON = "manual review found a completed action or task-valid silent/no-op outcome in observable history"
 REVIEW_SCORES = {"SUCCESS": 1.0, "PARTIAL": 0.5, "FAILURE": 0.0, "UNJUDGEABLE": None}
 
 
@@ -124,7 +126,7 @@ def judged(evaluation: DataFrame, lines: DataFrame, chunk: str, expected: int =
     own = evaluation.where(F.col("source_chunk") == chunk).select("trajectory_id", F.col("source_line").cast("int").alias("line"), (F.col("y_outcome_label") == "UNKNOWN").alias("unknown"))
     said = lines.select(F.col("source_line").cast("int").alias("said_line"), F.col("label").alias("review_label"), F.col("confidence").alias("review_confidence"), F.col("reason").alias("review_reason"))
     rows = own.join(said, own["line"] == said["said_line"], "left").where("unknown or said_line is not null")
-    default = {"review_label": "SUCCESS", "review_confidence": "medium", "review_reason": "completed action or valid no-op in the observable history"}
+    default = {"review_label": "SUCCESS", "review_confidence": "medium", "review_reason": DEFAULT_REASON}
     rows = rows.withColumns({k: F.when(F.col("said_line").isNull(), F.lit(v)).otherwise(F.col(k)) for k, v in default.items()})
     found = rows.count() if expected else 0
     if found != expected:
@@ -132,7 +134,22 @@ def judged(evaluation: DataFrame, lines: DataFrame, chunk: str, expected: int =
     score = F.raise_error(F.concat(F.lit("unknown judgment "), F.coalesce("review_label", F.lit("null")))).cast("double")
     for k, v in REVIEW_SCORES.items():
         score = F.when(F.col("review_label") == k, F.lit(v).cast("double")).otherwise(score)
-    return rows.select("trajectory_id", "review_label", score.alias("review_score"), "review_confidence", "review_reason", F.when(F.col("unknown"), "all_proxy_unknown").otherwise("model_proxy_check").alias("sample"))
+    return rows.select("trajectory_id", "review_label", score.alias("review_score"), "review_confidence", "review_reason", F.when(F.col("unknown"), SAMPLES[0]).otherwise(SAMPLES[1]).alias("sample"))
+
+
+def calibration_counts(reviewed: DataFrame) -> DataFrame:
+    """One row of counts over judgments (review_label, sample): reviewed, by sample, judgeable, by label, and what the proxy checks found."""
+    label, check = F.col("review_label"), F.col("sample") == SAMPLES[1]
+    fine = label != "UNJUDGEABLE"
+    return reviewed.agg(
+        F.count("*").alias("reviewed"),
+        *(F.count_if(F.col("sample") == k).alias(k) for k in SAMPLES),
+        F.count_if(fine).alias("judgeable"),
+        *(F.count_if(label == k).alias(k.lower()) for k in REVIEW_SCORES),
+        F.count_if(check & fine).alias("proxy_judgeable"),
+        F.count_if(check & (label == "FAILURE")).alias("proxy_false_positive"),
+        F.count_if(check & (label == "PARTIAL")).alias("proxy_partial"),
+    )
 
 
 def calibrate(evaluation: DataFrame, reviews: DataFrame, key: str) -> DataFrame:

@@ -54,9 +54,9 @@ def capability(weights: dict[str, Column], profile: dict[str, float]) -> Column:
     return sum((weights[d] * F.lit(float(profile[d])) for d in DIMENSIONS), F.lit(0.0)) / total
 
 
-def profile_table(scenario: str = "base") -> list[dict]:
-    """The profiles under a scenario: base, compressed, expanded, or with sol and luna swapped."""
-    rows = [dict(zip(["action", "route_model", "family", *DIMENSIONS], p, strict=True)) | {"ordinal": k} for k, p in enumerate(PROFILES)]
+def profile_table(scenario: str = "base", profiles: list[dict] | None = None) -> list[dict]:
+    """The profiles (those of money unless others are given) under a scenario: base, compressed, expanded, or with sol and luna swapped."""
+    rows = profiles or [dict(zip(["action", "route_model", "family", *DIMENSIONS], p, strict=True)) | {"ordinal": k} for k, p in enumerate(PROFILES)]
     if scenario in ("compressed", "expanded"):
         by = 0.5 if scenario == "compressed" else 1.25
         return [r | {d: min(1.0, max(0.0, 0.80 + by * (r[d] - 0.80))) for d in DIMENSIONS} for r in rows]
@@ -69,23 +69,24 @@ def profile_table(scenario: str = "base") -> list[dict]:
     return rows
 
 
-def uncached_price(model: str) -> float:
-    """As money.prices_of, for the few models of the profiles."""
-    own = [p for p in PRICES if p[0] != "_default" and model.startswith(p[0])]
-    return max(own, key=lambda p: (p[0] == model, len(p[0])))[1] if own else next(p[1] for p in PRICES if p[0] == "_default")
+def uncached_price(model: str, prices: list | None = None) -> float:
+    """As money.prices_of, for the few models of the profiles. prices: rows as those of money.PRICES."""
+    prices = prices or PRICES
+    own = [p for p in prices if p[0] != "_default" and model.startswith(p[0])]
+    return max(own, key=lambda p: (p[0] == model, len(p[0])))[1] if own else next(p[1] for p in prices if p[0] == "_default")
 
 
-def candidates(rows: DataFrame, base_quality: Column, slope: float, supported: Column | None = None, scenario: str = "base", complexity: str = "predicted_complexity", risk: str = "predicted_risk") -> DataFrame:
+def candidates(rows: DataFrame, base_quality: Column, slope: float, supported: Column | None = None, scenario: str = "base", complexity: str = "predicted_complexity", risk: str = "predicted_risk", profiles: list[dict] | None = None, prices: list | None = None) -> DataFrame:
     """rows with candidates: action, ordinal, fit, quality, cost and supported for each profile.
 
-    supported: an array of actions, or None where all are.
+    supported: an array of actions, or None where all are. profiles and prices: other ones than money's.
     """
     weights = capability_weights(F.col(complexity), F.col(risk))
     made = []
-    for p in profile_table(scenario):
+    for p in profile_table(scenario, profiles):
         fit = capability(weights, p)
         quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), base_quality + F.lit(slope) * (fit - 0.80)))
-        cost = _number("x_total_context_tokens_est") * F.lit(uncached_price(p["route_model"])) / 1_000_000
+        cost = _number("x_total_context_tokens_est") * F.lit(uncached_price(p["route_model"], prices)) / 1_000_000
         ok = F.lit(True) if supported is None else F.array_contains(supported, p["action"])
         made.append(F.struct(F.lit(p["action"]).alias("action"), F.lit(p["ordinal"]).alias("ordinal"), fit.alias("fit"), quality.alias("quality"), cost.alias("cost"), ok.alias("supported")))
     return rows.withColumn("candidates", F.array(*made))

@@ -151,6 +151,58 @@ def resampled(df: DataFrame, key: str, iterations: int, seed: int, sums: dict[st
     return drawn.groupBy("iteration").agg(F.sum("n__").alias("n__"), *(F.sum(k).alias(k) for k in names)).where("n__ > 0")
 
 
+#: Different rows of a bucket of the bootstrap.
+BUCKET = 50_000
+
+
+def dealt(n: int, weights: np.ndarray, bucket: int, iterations: int, seed: int) -> np.ndarray:
+    """How many of n draws of each sample fall to a bucket: halves of the buckets share a sample's draws binomially, down to the one.
+
+    Each half's generator has its own key, so every task that asks for a bucket gets the same numbers.
+    """
+    before = np.concatenate([[0], np.cumsum(weights)])
+    lo, hi, left = 0, len(weights), np.full(iterations, n)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        share = (before[middle] - before[lo]) / max(before[hi] - before[lo], 1)
+        first = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, lo, hi]))).binomial(left, share)
+        lo, hi, left = (lo, middle, first) if bucket < middle else (middle, hi, left - first)
+    return left
+
+
+def bootstrap(df: DataFrame, key: str, iterations: int, seed: int, sums: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
+    """iteration, n__ and the sums of bootstrap samples: each draws as many rows as df has, with replacement.
+
+    Equal rows are drawn as one of their number. Rows are dealt to buckets by hash; a sample's draws are split among the buckets by their
+    sizes, and within a bucket drawn at once from its rows in order. What is drawn does not depend on partitions.
+    """
+    ship(df.sparkSession)
+    names = list(sums)
+    own = df.select(F.col(key).cast("string").alias("key__"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in sums.items()))
+    own = own.groupBy("key__", *names).agg(F.count("*").alias("times__"))
+    buckets = max(1, -(-own.count() // bucket))
+    own = stash(own.withColumn("bucket__", F.pmod(F.xxhash64("key__", *names), F.lit(buckets)).cast("int")), "bootstrap-rows")
+    # a number for each bucket
+    weights = np.zeros(buckets, np.int64)
+    for r in own.groupBy("bucket__").agg(F.sum("times__").alias("n")).collect():
+        weights[r["bucket__"]] = r["n"]
+    n = int(weights.sum())
+
+    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key__", *names], kind="stable")
+        at, values, ends = int(rows["bucket__"].iloc[0]), rows[names].to_numpy(float), np.cumsum(rows["times__"].to_numpy())
+        draws = dealt(n, weights, at, iterations, seed)
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, at])))
+        total = np.zeros((iterations, len(names)))
+        for i, d in enumerate(draws):
+            drawn = np.searchsorted(ends, rng.integers(0, ends[-1], d), side="right")
+            total[i] = np.bincount(drawn, minlength=len(rows)) @ values
+        return pd.DataFrame(total, columns=names).assign(n__=draws.astype(float), iteration=np.arange(iterations))[["iteration", "n__", *names]]
+
+    schema = "iteration int, n__ double, " + ", ".join(f"{k} double" for k in names)
+    return own.groupBy("bucket__").applyInPandas(run, schema).groupBy("iteration").agg(F.sum("n__").alias("n__"), *(F.sum(k).alias(k) for k in names))
+
+
 def interval(df: DataFrame, column: str) -> DataFrame:
     """ci_low and ci_high: the 2.5 and 97.5 percentiles, interpolated."""
     return df.agg(F.percentile(column, F.lit(0.025)).alias("ci_low"), F.percentile(column, F.lit(0.975)).alias("ci_high"))

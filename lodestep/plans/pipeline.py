@@ -7,7 +7,7 @@ load -> audit -> features -> outcomes -> calibrate -> train -> route -> evaluate
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ OPENING = "x_total_context_tokens_est x_task_text_tokens_est x_input_items x_use
 LOGGED = ["x_total_context_tokens_est", "x_task_text_tokens_est"]
 QUALITY = "x_is_scheduled x_is_communication x_is_coding x_is_artifact x_is_research x_requires_multiple_steps x_requires_external_action x_high_risk_language x_has_image x_available_tools".split()
 RISKS = ["0", "1", "2", "3"]
-STAGE_ONE_PENALTY, QUALITY_PENALTY, TEXT_FEATURES, FOLDS, BOOTSTRAP, SEED = 150.0, 15.0, 96, 5, 2000, 20260822
+STAGE_ONE_PENALTY, QUALITY_PENALTY, TEXT_FEATURES, FOLDS, QUALITY_FOLDS, BOOTSTRAP, SEED = 150.0, 15.0, 96, 5, 5, 2000, 20260822
 #: Support rows that an artifact holds itself.
 SUPPORT_ROWS = 20_000
 
@@ -50,6 +50,8 @@ class Options:
     floor: float = policy.PROPENSITY_FLOOR
     bootstrap: int = BOOTSTRAP
     seed: int = SEED
+    profiles: list[dict] | None = None  # other than those of money, as policy.profile_table has them
+    prices: list | None = None  # other than those of money, as rows of money.PRICES
 
 
 @dataclass
@@ -119,13 +121,22 @@ def evaluation_table(logs: Logs, feature_table: DataFrame) -> DataFrame:
 
 
 def reviews(logs: Logs, judgments: DataFrame) -> DataFrame:
-    """Excerpts for a manual review beside its judgments: last user text, first and last assistant text.
+    """judgments (with KEYS) and what a reviewer sees: ends of the opening's routing text and of the last tool output, start of the last assistant text.
 
-    judgments: trajectory_id, source_chunk, source_line, review_label, review_score, review_confidence.
+    Texts are looked up for the judged requests alone; a request that is missing from the logs has empty ones.
     """
-    later = outcomes.history(logs.items, KEYS)
-    e = later.groupBy(*KEYS).agg(trajectory.joined_text(F.col("content_text"), F.col("pos"), F.col("role") == "user").alias("u"), outcomes.last_text(F.col("content_text"), F.col("pos"), F.col("role") == "assistant").alias("a"))
-    return judgments.join(e, KEYS, "left").select(*judgments.columns, F.right("u", F.lit(700)).alias("user_excerpt"), F.left("a", F.lit(1200)).alias("assistant_head"), F.right("a", F.lit(1200)).alias("assistant_tail"))
+    asked = judgments.select(*KEYS).distinct()
+    items = logs.items.join(asked, KEYS, "left_semi")
+    opened = items.join(trajectory.opening_lengths(items, KEYS).select(*KEYS, "opening_len"), KEYS)
+    own = F.col("is_object")
+    task = trajectory.joined_text(F.col("content_text"), F.col("pos"), own & (F.col("pos") < F.col("opening_len")) & (F.col("role") == "user"))
+    later = own & (F.col("pos") >= F.col("opening_len"))
+    answer = outcomes.last_text(F.col("content_text"), F.col("pos"), later & (F.col("role") == "assistant"))
+    output = later & F.col("type").isin(traces.OUTPUT_TYPES)
+    last = F.coalesce(F.max_by(F.when(output, F.col("output_text")), F.when(output, F.col("pos"))), F.lit(""))
+    e = opened.groupBy(*KEYS).agg(task.alias("t"), answer.alias("a"), last.alias("o"))
+    cut = {"review_task_excerpt": F.right(T.routing_text(F.col("t")), F.lit(700)), "review_final_assistant_excerpt": F.left("a", F.lit(1200)), "review_last_tool_output_excerpt": F.right("o", F.lit(1200))}
+    return judgments.join(e.select(*KEYS, *(c.alias(k) for k, c in cut.items())), KEYS, "left").na.fill("", list(cut))
 
 
 def modelling_rows(logs: Logs, calibrated: DataFrame) -> DataFrame:
@@ -229,6 +240,8 @@ class Artifact:
     min_stratum: int = policy.MIN_STRATUM
     fallback: str = policy.FALLBACK
     floor: float = policy.PROPENSITY_FLOOR
+    profiles: list[dict] = field(default_factory=policy.profile_table)
+    prices: list | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -260,13 +273,20 @@ class Artifact:
         scaled = F.array(F.lit(1.0), *((x - m) / s for x, m, s in zip(_quality_terms(), self.quality_means, self.quality_scales, strict=True)))
         return F.aggregate(F.zip_with(scaled, F.array(*(F.lit(float(c)) for c in self.quality)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    def candidates(self, rows: DataFrame, scenario: str = "base") -> DataFrame:
-        """rows (stage_one done) with supported and their candidates."""
+    def supported(self, rows: DataFrame) -> DataFrame:
+        """rows with supported: the actions with enough support near enough."""
         spark = rows.sparkSession
         near = policy.nearest(rows, self.support_rows(spark), [f"n_{f}" for f in OPENING], {f"n_{f}": self.encoder.scales[f] for f in OPENING})
         caliper = spark.createDataFrame(list(self.calipers.items()), "action string, caliper double")
-        joined = rows.join(policy.supported_actions(near, caliper, self.min_stratum), "trajectory_id", "left").withColumn("supported", F.coalesce("supported", F.array().cast("array<string>")))
-        return policy.candidates(joined, self.base_quality(), self.slope, F.col("supported"), scenario)
+        return rows.join(policy.supported_actions(near, caliper, self.min_stratum), "trajectory_id", "left").withColumn("supported", F.coalesce("supported", F.array().cast("array<string>")))
+
+    def priced(self, rows: DataFrame) -> DataFrame:
+        """rows (stage_one and supported done) with their candidates."""
+        return policy.candidates(rows, self.base_quality(), self.slope, F.col("supported"), profiles=self.profiles, prices=self.prices)
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """rows (stage_one done) with supported and their candidates."""
+        return self.priced(self.supported(rows))
 
     def propensity_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.propensities, "exact_key string, action string, propensity double")
@@ -310,15 +330,17 @@ def out_of_fold(rows: DataFrame, o: Options) -> DataFrame:
     return stash(out.withColumnsRenamed({"predicted_complexity": "oof_complexity", "predicted_risk": "oof_risk"}).drop("oof_fold"), "out-of-fold")
 
 
-def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifact:
-    """All fits over rows that out_of_fold() gave."""
-    a = fit_stage_one(rows, o.stage_one_penalty, o.text_features)
-    a.min_stratum, a.fallback, a.floor = o.min_stratum, o.fallback, o.floor
-    a.workload_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_complexity", "workload_target").collect()]
-    a.risk_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_risk", "risk_target").collect()]
-    own = rows.withColumns({"predicted_complexity": _step(F.col("oof_complexity"), a.workload_blocks), "predicted_risk": _step(F.col("oof_risk"), a.risk_blocks)})
-    own = policy.candidates(own, F.lit(0.0), 0.0, scenario=scenario).withColumn("capability", policy.candidate(F.col("incumbent_action"))["fit"]).drop("candidates")
-    own = stash(fit.grouped_folds(own, "template", o.folds, "quality_fold"), "quality-rows")
+def _calibrated_rows(rows: DataFrame, a: Artifact) -> DataFrame:
+    return rows.withColumns({"predicted_complexity": _step(F.col("oof_complexity"), a.workload_blocks), "predicted_risk": _step(F.col("oof_risk"), a.risk_blocks)})
+
+
+def fit_quality(a: Artifact, own: DataFrame, o: Options, scenario: str = "base") -> Artifact:
+    """a with the quality model that a scenario's profiles give: capabilities, slope and coefficients are fitted anew.
+
+    own: the rows with calibrated out-of-fold predictions and quality_fold.
+    """
+    a = replace(a, profiles=policy.profile_table(scenario, o.profiles), prices=o.prices)
+    own = policy.candidates(own, F.lit(0.0), 0.0, profiles=a.profiles, prices=a.prices).withColumn("capability", policy.candidate(F.col("incumbent_action"))["fit"]).drop("candidates")
     names = [f"q{k}" for k in range(len(_quality_terms()))]
     own = own.withColumns(dict(zip(names, _quality_terms(), strict=True)))
     a.slope, losses = fit.cross_validated_slope(own, names, "quality_fold", "evaluation_outcome_score", "capability", o.quality_penalty)
@@ -328,6 +350,21 @@ def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifac
     vector = F.array(F.lit(1.0), *((F.col(n) - x) / y for n, x, y in zip(names, a.quality_means, a.quality_scales, strict=True)))
     target = own.withColumn("target", F.col("evaluation_outcome_score") - a.slope * (F.col("capability") - fit.REFERENCE_CAPABILITY))
     a.quality = fit.ridge(target.withColumn("vector", vector), "vector", ["target"], o.quality_penalty)[:, 0].tolist()
+    return a
+
+
+def quality_rows(rows: DataFrame, a: Artifact) -> DataFrame:
+    return stash(fit.grouped_folds(_calibrated_rows(rows, a), "template", QUALITY_FOLDS, "quality_fold"), "quality-rows")
+
+
+def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifact:
+    """All fits over rows that out_of_fold() gave."""
+    a = fit_stage_one(rows, o.stage_one_penalty, o.text_features)
+    a.min_stratum, a.fallback, a.floor = o.min_stratum, o.fallback, o.floor
+    a.workload_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_complexity", "workload_target").collect()]
+    a.risk_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_risk", "risk_target").collect()]
+    own = quality_rows(rows, a)
+    a = fit_quality(a, own, o, scenario)
     cols, scales = [f"n_{f}" for f in OPENING], {f"n_{f}": a.encoder.scales[f] for f in OPENING}
     support = stash(policy.support_table(own, cols), "support")
     a.keep_support(support)
@@ -337,10 +374,15 @@ def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifac
     return a
 
 
-def scored_policies(rows: DataFrame, a: Artifact, tolerances: list[float] | None = None, scenario: str = "base") -> DataFrame:
-    """Details of the learned policy at each tolerance, the heuristic and the incumbent, over rows."""
+def placed(rows: DataFrame, a: Artifact) -> DataFrame:
+    """rows with stage one's predictions and supported, as a table: what all of an artifact's scenarios have in common."""
+    return stash(a.supported(a.stage_one(rows)), "placed")
+
+
+def scored_policies(rows: DataFrame, a: Artifact, tolerances: list[float] | None = None) -> DataFrame:
+    """Details of the learned policy at each tolerance, the heuristic and the incumbent, over rows that placed() gave."""
     spark = rows.sparkSession
-    c = stash(a.candidates(a.stage_one(rows), scenario), "candidates")
+    c = stash(a.priced(rows), "candidates")
     ways = [F.struct(F.lit(f"learned_{t:.3f}").alias("policy"), F.lit(t).alias("tolerance"), policy.choose(F.lit(t), a.fallback).alias("action")) for t in tolerances or policy.TOLERANCES]
     ways += [F.struct(F.lit(k).alias("policy"), F.lit(None).cast("double").alias("tolerance"), v.alias("action")) for k, v in (("heuristic", policy.heuristic()), ("incumbent", F.col("incumbent_action")))]
     wide = c.withColumn("way", F.explode(F.array(*ways))).select("*", "way.policy", "way.tolerance", F.col("way.action").alias("picked"))
@@ -355,7 +397,9 @@ class Training:
     frontier: DataFrame
     test: DataFrame
     test_metrics: DataFrame
-    interval: tuple[float | None, float | None]
+    summary: dict
+    decisions: DataFrame
+    complexity: DataFrame
 
 
 def fitted(rows: DataFrame, o: Options) -> Artifact:
@@ -363,27 +407,44 @@ def fitted(rows: DataFrame, o: Options) -> Artifact:
     return fit_artifact(out_of_fold(with_targets(rows, rows), o), o)
 
 
+def decisions(details: DataFrame, a: Artifact) -> DataFrame:
+    """The details of one policy as an output: predicted beside observed, both costs, and why each action was chosen."""
+    model = F.element_at(F.create_map(*(x for p in a.profiles for x in (F.lit(p["action"]), F.lit(p["route_model"])))), F.col("chosen_action"))
+    return details.select(
+        "trajectory_id", "logged_model", "incumbent_action", "chosen_action", model.alias("chosen_model"), (F.col("chosen_action") != F.col("incumbent_action")).cast("int").alias("changed"),
+        policy.decision_reason().alias("decision_reason"), F.round("workload_target", 6).alias("observed_complexity"), F.round("predicted_complexity", 6).alias("predicted_complexity"),
+        F.col("risk_target").cast("int").alias("observed_execution_risk"), F.round("predicted_risk", 6).alias("predicted_execution_risk"), F.round("direct_policy_quality", 6).alias("predicted_quality"),
+        F.col("evaluation_outcome_score").alias("observed_quality"), "direct_policy_quality", F.col("matched").alias("matched_observed_action"), "inverse_propensity", F.col("residual").alias("outcome_residual"),
+        F.col("incumbent_cost").alias("incumbent_opening_cost_usd_est"), F.col("policy_cost").alias("policy_opening_cost_usd_est"), F.array_join("supported", "|").alias("supported_actions"),
+    )
+
+
 def train(rows: DataFrame, o: Options | None = None) -> Training:
     """Splits by template, chooses the tolerance on validation rows, tests once, and fits all rows again."""
     o = o or Options()
     split = stash(fit.three_way(rows, "template", o.validation_share, o.test_share), "split")
     part = lambda *k: split.where(F.col("part").isin(*k)).drop("part")
-    v = scored_policies(part(1), fitted(part(0), o), o.tolerances)
+    first = fitted(part(0), o)
+    v = scored_policies(placed(part(1), first), first, o.tolerances)
     frontier = stash(evaluation.metrics(v.where("tolerance is not null"), ["tolerance"]), "frontier")
     chosen = evaluation.select_tolerance(frontier, o.quality_loss, o.direct_loss, o.ess_share).first()
-    test = stash(scored_policies(part(2), fitted(part(0, 1), o), o.tolerances), "test")
+    held = fitted(part(0, 1), o)
+    test = stash(scored_policies(placed(with_targets(part(2), part(0, 1)), held), held, o.tolerances), "test")
+    own = test.where(F.col("tolerance") == chosen["tolerance"])
+    summary = evaluation.summary(own, "trajectory_id", chosen["tolerance"], o.bootstrap, o.seed)
+    counts = {r["part"]: r["count"] for r in split.groupBy("part").count().collect()}
+    summary |= {f"{name}_n": counts.get(k, 0) for k, name in enumerate(("initial_train", "validation", "test"))}
     everything = fitted(rows, o)
     everything.tolerance = chosen["tolerance"]
-    delta = evaluation.bootstrap_delta(test.where(F.col("tolerance") == chosen["tolerance"]), "trajectory_id", o.bootstrap, o.seed)
-    ci = stats.interval(delta, "delta").first()
-    return Training(everything, chosen["tolerance"], chosen["feasible"], frontier, test, evaluation.metrics(test, ["policy"]), (ci["ci_low"], ci["ci_high"]))
+    scores = everything.stage_one(with_targets(rows, rows)).select("trajectory_id", "logged_model", F.round("workload_target", 6).alias("observed_complexity"), F.round("predicted_complexity", 6).alias("predicted_complexity"), F.col("risk_target").cast("int").alias("observed_execution_risk"), F.round("predicted_risk", 6).alias("predicted_execution_risk"))
+    return Training(everything, chosen["tolerance"], chosen["feasible"], frontier, test, evaluation.metrics(test, ["policy"]), summary, decisions(own, held), scores)
 
 
 def route(feature_table: DataFrame, a: Artifact) -> DataFrame:
     """The routes of each trajectory's calls: one decision, repeated."""
     rows = a.candidates(a.stage_one(prepared(feature_table)))
     chosen = rows.withColumn("routing_action", policy.choose(F.lit(a.tolerance), a.fallback))
-    model = F.element_at(F.create_map(*(x for p in PROFILES for x in (F.lit(p[0]), F.lit(p[1])))), F.col("routing_action"))
+    model = F.element_at(F.create_map(*(x for p in a.profiles for x in (F.lit(p["action"]), F.lit(p["route_model"])))), F.col("routing_action"))
     quality = policy.candidate(F.col("routing_action"))["quality"]
     return chosen.select(F.col("trajectory_id").alias("trajectory"), F.col("observed_calls").alias("n_calls"), F.col("logged_model").alias("incumbent_model"), F.array_repeat(model, F.col("observed_calls").cast("int")).alias("route"), "predicted_complexity", F.col("predicted_risk").alias("predicted_execution_risk"), quality.alias("predicted_quality"), "routing_action", F.col("supported").alias("supported_actions"), policy.decision_reason().alias("decision_reason"))
 
@@ -398,21 +459,58 @@ def route_request(spark: SparkSession, request: dict, a: Artifact) -> dict:
     return route(f, a).first().asDict()
 
 
-def sensitivity(rows: DataFrame, a: Artifact, rounds: int = BOOTSTRAP, seed: int = SEED) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
-    """Weight caps, profile scenarios (route disagreement with the base), and the bootstrap interval of the chosen policy."""
+# Fixed values
+SCENARIOS = ["base", "compressed", "expanded", "gpt_sol_luna_swapped"]
+
+
+@dataclass
+class Evaluation:
+    comparison: DataFrame
+    scenarios: DataFrame
+    caps: DataFrame
+    tolerance: float
+    details: DataFrame
+
+
+def evaluate(rows: DataFrame, o: Options | None = None, tolerance: float | None = None) -> Evaluation:
+    """All policies over test rows that no fit has seen, with intervals; weight caps; and the quality model refitted for each scenario of profiles.
+
+    Rows are split by template. Targets, out-of-fold predictions, calibration, support and propensities come from the train and
+    validation rows alone, once; only what depends on profiles is fitted for each scenario. The interval of the incumbent is zero by definition.
+    """
+    o = o or Options()
     spark = rows.sparkSession
-    name = f"learned_{a.tolerance:.3f}"
-    d = stash(scored_policies(rows, a, [a.tolerance]).where(F.col("policy") == name), "chosen-details")
+    tolerance = Artifact.tolerance if tolerance is None else tolerance
+    tolerances = sorted({*o.tolerances, tolerance})
+    name = f"learned_{tolerance:.3f}"
+    split = stash(fit.three_way(rows, "template", o.validation_share, o.test_share), "split")
+    development, held = split.where("part < 2").drop("part"), split.where("part = 2").drop("part")
+    folded = out_of_fold(with_targets(development, development), o)
+    a = fit_artifact(folded, o)
+    test = placed(with_targets(held, development), a)
+    details = stash(scored_policies(test, a, tolerances), "evaluated")
+
+    others = [*(f"learned_{t:.3f}" for t in tolerances), "heuristic"]
+    ci = evaluation.bootstrap_intervals(details, "trajectory_id", others, o.bootstrap, o.seed)
+    incumbent = F.col("policy") == "incumbent"
+    zero = lambda c, x: F.when(incumbent, x).otherwise(F.col(c)).alias(c)
+    m = evaluation.metrics(details, ["policy", "tolerance"]).join(evaluation.route_counts(details, ["policy"]), "policy").join(ci, "policy", "left")
+    kind = F.when(incumbent, "incumbent").when(F.col("policy") == "heuristic", "heuristic").otherwise("learned")
+    comparison = m.select("policy", kind.alias("policy_type"), (F.col("policy") == name).cast("int").alias("validation_selected"), "n", "changed_routes", "incumbent_cost", "policy_cost", "savings", "observed_quality", "direct_quality", zero("dr_quality", F.col("observed_quality")), zero("dr_delta", F.lit(0.0)), zero("ci_low", F.lit(0.0)), zero("ci_high", F.lit(0.0)), "matched_actions", "ess", "route_counts")
+
+    own = details.where(F.col("policy") == name)
     caps = spark.createDataFrame([(f"{c:g}" if c else "unclipped", c) for c in evaluation.CAPS], "weight_cap string, cap double")
     s = evaluation.stabilised(F.least("inverse_propensity", F.coalesce("cap", "inverse_propensity")))
-    by_cap = d.crossJoin(F.broadcast(caps)).groupBy("weight_cap").agg(*(c.alias(k) for k, c in s.items()))
-    base = d.select("trajectory_id", F.col("chosen_action").alias("base_action"))
-    scenarios = None
-    for k in ("base", "compressed", "expanded", "gpt_sol_luna_swapped"):
-        own = scored_policies(rows, a, [a.tolerance], k).where(F.col("policy") == name)
-        m = evaluation.metrics(own.join(base, "trajectory_id").withColumn("scenario", F.lit(k)), ["scenario"])
-        differs = own.join(base, "trajectory_id").agg(F.avg((F.col("chosen_action") != F.col("base_action")).cast("double")).alias("route_disagreement_vs_base"))
-        m = m.crossJoin(differs)
-        scenarios = m if scenarios is None else scenarios.unionByName(m)
-    ci = stats.interval(evaluation.bootstrap_delta(d, "trajectory_id", rounds, seed), "delta").first()
-    return by_cap, scenarios, (ci["ci_low"], ci["ci_high"])
+    by_cap = own.crossJoin(F.broadcast(caps)).groupBy("weight_cap").agg(*(c.alias(k) for k, c in s.items()), (s["dr_value"] - F.avg("evaluation_outcome_score")).alias("dr_delta"))
+
+    base = own.select("trajectory_id", F.col("chosen_action").alias("base_action"))
+    fitting, parts = quality_rows(folded, a), None
+    for scenario in SCENARIOS:
+        mine = scored_policies(test, fit_quality(a, fitting, o, scenario), [tolerance]).where(F.col("policy") == name)
+        mine = mine.join(base, "trajectory_id").withColumn("scenario", F.lit(scenario))
+        parts = mine if parts is None else parts.unionByName(mine)
+    parts = stash(parts, "scenarios")
+    ci = evaluation.bootstrap_intervals(parts.withColumn("policy", F.col("scenario")), "trajectory_id", SCENARIOS, o.bootstrap, o.seed).withColumnRenamed("policy", "scenario")
+    differs = parts.groupBy("scenario").agg(F.avg((F.col("chosen_action") != F.col("base_action")).cast("double")).alias("route_disagreement_vs_base"))
+    scenarios = evaluation.metrics(parts, ["scenario"]).join(ci, "scenario").join(differs, "scenario").join(evaluation.route_counts(parts, ["scenario"]), "scenario")
+    return Evaluation(stash(comparison, "comparison"), stash(scenarios, "scenario-metrics"), stash(by_cap, "cap-metrics"), tolerance, own)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import logs as synthetic
 from lodestep.__main__ import main
+from lodestep.functions import money
 from lodestep.plans import pipeline
 from lodestep.sources import sinks, traces
 
@@ -68,10 +69,11 @@ def test_the_whole_way(spark, export, tmp_path, monkeypatch):
     assert {r[0] for r in evaluated.select("y_outcome_label").distinct().collect()} >= {"SUCCESS", "FAILURE", "UNKNOWN"}
     one = evaluated.first()["trajectory_id"]
     (tmp_path / "judgments.json").write_text(json.dumps({"trajectory_id": one, "review_label": "UNJUDGEABLE", "review_score": None, "review_confidence": "high"}))
-    main(["review", str(folder), "--evaluation", at("evaluation"), "--judgments", at("judgments.json"), "--calibrated", at("calibrated"), "--summary", at("review.md")], spark)
+    main(["review", str(folder), "--evaluation", at("evaluation"), "--judgments", at("judgments.json"), "--calibrated", at("calibrated"), "--sample", at("sample"), "--summary", at("review.md")], spark)
+    assert sinks.read_table(spark, at("sample")).count() == 1
     reviewed = sinks.read_by_id(spark, at("calibrated"), "trajectory_id", one).first()
     assert reviewed["evaluation_outcome_score"] is None and reviewed["evaluation_outcome_usable"] == 0 and reviewed["evaluation_label_source"] == "manual_review"
-    main(["train", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--frontier", at("frontier"), "--test", at("test"), "--summary", at("train.md"), "--chart", at("chart.svg"), "--text-features", "4", "--folds", "2", "--tolerances", "0,0.005,0.01,0.015,0.02,0.025,0.03,0.04,0.05", "--min-stratum", "2", "--fallback", "opus", "--floor", "0.05", "--bootstrap", "20", "--quality-loss", "0.05"], spark)
+    main(["train", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--frontier", at("frontier"), "--test", at("test"), "--summary", at("train.md"), "--chart", at("chart.svg"), "--details", at("details"), "--complexity", at("complexity"), "--summary-json", at("summary.json"), "--text-features", "4", "--folds", "2", "--tolerances", "0,0.005,0.01,0.015,0.02,0.025,0.03,0.04,0.05", "--min-stratum", "2", "--fallback", "opus", "--floor", "0.05", "--bootstrap", "20", "--quality-loss", "0.05"], spark)
     artifact = pipeline.Artifact.from_json(sinks.get_text(spark, at("artifact.json")))
     assert artifact.to_json() == pipeline.Artifact.from_json(artifact.to_json()).to_json() and len(artifact.encoder.vocabulary) <= 4
     assert (artifact.min_stratum, artifact.fallback, artifact.floor) == (2, "opus", 0.05)
@@ -90,10 +92,28 @@ def test_the_whole_way(spark, export, tmp_path, monkeypatch):
     main(["route-one", at("request.json"), "--artifact", at("artifact.json")], spark)
     with pytest.raises(ValueError):
         pipeline.route_request(spark, {"input": "x"}, artifact)
-    main(["evaluate", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--summary", at("sensitivity.md"), "--bootstrap", "20"], spark)
-    assert "gpt_sol_luna_swapped" in (tmp_path / "sensitivity.md").read_text()
+    summary = json.loads((tmp_path / "summary.json").read_text())
+    assert len(summary) == 22 + 3 and summary["holdout_n"] == summary["test_n"] and 0 <= summary["execution_risk_auc"] <= 1
+    details = sinks.read_table(spark, at("details"), "csv")
+    assert details.count() == summary["test_n"] and len(details.columns) == 20
+    (tmp_path / "prices.json").write_text(json.dumps({k: [10 * u, c, o] for k, u, c, o in money.PRICES}))
+    names = ["action", "route_model", "family", *money.DIMENSIONS]
+    priors = {p[0]: dict(zip(names[1:], p[1:], strict=True)) for p in money.PROFILES}
+    (tmp_path / "priors.json").write_text(json.dumps({"profiles": priors}))
+    outputs = [x for k in ("comparison", "sensitivity", "weights") for x in (f"--{k}", at(k))]
+    main(["evaluate", str(folder), "--calibrated", at("calibrated"), "--artifact", at("artifact.json"), "--summary", at("sensitivity.md"), "--chart", at("evaluated.svg"), "--bootstrap", "20", "--text-features", "4", "--folds", "2", "--tolerances", "0,0.05", "--prices", at("prices.json"), "--profiles", at("priors.json"), *outputs], spark)
+    assert "gpt_sol_luna_swapped" in (tmp_path / "sensitivity.md").read_text() and (tmp_path / "evaluated.svg").read_text().startswith("<svg")
+    compared = {r["policy"]: r for r in sinks.read_table(spark, at("comparison"), "csv").collect()}
+    assert {"incumbent", "heuristic", "learned_0.000", "learned_0.050"} <= set(compared) and compared["incumbent"]["dr_delta"] == "0.0"
+    assert {r["n"] for r in compared.values()} == {str(summary["test_n"])}
+    # ten times the prices give ten times the costs
+    assert float(compared["incumbent"]["incumbent_cost"]) == pytest.approx(10 * summary["incumbent_opening_cost_usd_est"])
+    scenarios = {r["scenario"]: r for r in sinks.read_table(spark, at("sensitivity"), "csv").collect()}
+    assert len(scenarios) == 4 and float(scenarios["base"]["route_disagreement_vs_base"]) == 0
     main(["replay", routes[0]["trajectory"], "--test", at("test")], spark)
-    main(["notebook", "--frontier", at("frontier"), "--test", at("test"), "--output", at("frontier.ipynb")], spark)
+    main(["notebook", "--frontier", at("frontier"), "--test", at("test"), "--output", at("frontier.ipynb"), "--calibrated", at("calibrated"), "--data", at("data.ipynb"), "--details", at("details"), "--summary-json", at("summary.json"), "--model", at("model.ipynb")], spark)
+    for name, cells in (("data", 8), ("model", 7)):
+        assert len(json.loads((tmp_path / f"{name}.ipynb").read_text())["cells"]) == cells
     book = json.loads((tmp_path / "frontier.ipynb").read_text())
     assert book["nbformat"] == 4 and [c["cell_type"] for c in book["cells"]] == ["markdown", "code", "code"] and "<svg" in book["cells"][2]["outputs"][1]["data"]["image/svg+xml"]
 
