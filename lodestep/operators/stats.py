@@ -47,6 +47,22 @@ def running(df: DataFrame, order: str, value: str, out: str, groups: list[str] |
     return joined.withColumn(out, F.col(out) + F.col("before__")).select(*df.columns, out)
 
 
+def prefix_sums(df: DataFrame, groups: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each name, the exact sum of a whole-number column over a group's rows up to each, in order.
+
+    As running(), but for several columns at once, and for rows of equal order, which follow each other. No task gets a whole group.
+    """
+    ranged = stash(df.repartitionByRange(*groups, *order).withColumn("range__", F.spark_partition_id()), "ranges")
+    # a row for each range of a group
+    w = Window.partitionBy(*groups).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.groupBy(*groups, "range__").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    before = own.select(*(F.col(c).alias(f"{c}__b") for c in [*groups, "range__"]), *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"{k}__b") for k in sums))
+    upto = Window.partitionBy(*groups, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mine = ranged.withColumns({f"{k}__o": F.sum(c).over(upto) for k, c in sums.items()})
+    joined = mine.join(before, _same(mine, before, [*groups, "range__"], "__b"))
+    return joined.select(*df.columns, *((F.col(f"{k}__o") + F.col(f"{k}__b")).alias(k) for k in sums))
+
+
 def _ranked(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
     """groups, column, rows__ (its own), upto__ and total__ for each different value that is not null."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("rows__"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestep.functions import text as T
 from lodestep.functions.money import prices_of
+from lodestep.operators import stats
+from lodestep.session import stash
 from lodestep.sources.traces import CALL_TYPES
 
 
@@ -99,35 +101,89 @@ def split_groups(requests: DataFrame, overrides: DataFrame, group: str = "group_
 
 
 def call_order(requests: DataFrame, group: str, *ties: str) -> DataFrame:
-    """requests with call_index: by growing history within the group, ties in scan order."""
-    w = Window.partitionBy(group).orderBy("n_items", *ties)
-    return requests.withColumn("call_index", F.row_number().over(w) - 1)
+    """requests with call_index: by growing history within the group, ties in scan order. Counted over ranges, so no task gets a whole group."""
+    counted = stats.prefix_sums(requests.withColumn("one__", F.lit(1)), [group], ["n_items", *ties], {"upto__": "one__"})
+    return counted.withColumn("call_index", (F.col("upto__") - 1).cast("int")).drop("one__", "upto__")
 
 
 def with_previous(calls: DataFrame, group: str, order: str) -> DataFrame:
-    """Each call with the input and model of the call before it in its group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return calls.withColumn("previous_input", F.lag("input").over(w)).withColumn("previous_model", F.lag("model").over(w))
+    """Each call with the history, its length and the model of the call before it in its group. order: consecutive numbers."""
+    before = calls.select(F.col(group).alias("group__"), (F.col(order) + 1).alias("order__"), F.col("history").alias("previous_history"), F.col("n_items").alias("previous_items"), F.col("model").alias("previous_model"))
+    return calls.join(before, calls[group].eqNullSafe(before["group__"]) & (calls[order] == before["order__"]), "left").drop("group__", "order__")
 
 
-def shared_items(a: Column, b: Column) -> Column:
-    """How many leading items two inputs share."""
-    same = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+#: Whole numbers whose sums over the items of a history are its prefix hash, of 31 bits each, so that sums stay exact.
+PARTS = ["p0", "p1", "p2", "p3"]
 
 
-def cached_cost(calls: DataFrame, group: str, order: str, sheet: DataFrame, tokens) -> DataFrame:
+def prefixes(items: DataFrame, digests: list[str]) -> DataFrame:
+    """history, length, tokens and PARTS of each prefix of each history: running sums, not arrays.
+
+    items: history, pos, tokens and two 64-bit digests of each item. An item counts with its place in its history, so equal sums
+    mean equal prefixes. Items of one place (repeated rows) come as one step.
+    """
+    low, high = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))), (lambda c: F.shiftrightunsigned(F.col(c), 33))
+    placed = items.where("pos is not null").select("history", "pos", "tokens", *(F.xxhash64(F.lit(k), "pos", c).alias(f"d{k}__") for k, c in enumerate(digests)))
+    parts = {"p0": low("d0__"), "p1": high("d0__"), "p2": low("d1__"), "p3": high("d1__")}
+    steps = placed.groupBy("history", "pos").agg(F.count("*").alias("own__"), F.sum("tokens").alias("tokens__"), *(F.sum(c).alias(f"{k}__") for k, c in parts.items()))
+    summed = stats.prefix_sums(steps, ["history"], ["pos"], {"length": "own__", "tokens": "tokens__", **{k: f"{k}__" for k in PARTS}})
+    return stash(summed.select("history", "pos", F.col("own__").alias("at_pos"), F.col("length").cast("int").alias("length"), "tokens", *PARTS), "prefixes")
+
+
+def _prefix(prefix: DataFrame, history: str, length: str, names: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """The prefixes under names of their own, and what joins them to a history and a length."""
+    own = prefix.select(F.col("history").alias(f"{history}__h"), F.col("length").alias(f"{history}__l"), *(F.col(c).alias(n) for c, n in names.items()))
+    return own, (F.col(history) == F.col(f"{history}__h")) & (F.col(length) == F.col(f"{history}__l"))
+
+
+def shared_lengths(pairs: DataFrame, prefix: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """pairs (columns history, n_items, previous_history, previous_items and others) with shared: how many leading items both have.
+
+    One history's prefixes share the shorter one. Of two histories, the whole shorter length is tried first, which settles growing ones; the
+    others try halving lengths, each round a join of those still open with the prefixes of equal hashes.
+    """
+    most = F.least("n_items", "previous_items")
+    same = F.col("history") == F.col("previous_history")
+    settled = F.col("previous_history").isNull() | same | (most == 0)
+    at = stash(pairs.withColumn("hi__", most).withColumn("lo__", F.when(same, most).when(F.col("previous_history").isNull(), F.lit(None)).otherwise(0)).withColumn("open__", ~settled).withColumn("try__", most), "pairs")
+    done = at.where("not open__")
+    at = at.where("open__")
+    while not at.isEmpty():
+        left, on_left = _prefix(prefix, "history", "try__", {k: f"{k}__a" for k in PARTS})
+        right, on_right = _prefix(prefix, "previous_history", "try__", {k: f"{k}__c" for k in PARTS})
+        small = (lambda d: F.broadcast(d)) if at.count() <= broadcast_rows else (lambda d: d)
+        asked = at.select("history", "previous_history", "try__").distinct()
+        met = left.join(small(asked), on_left).select("history", "previous_history", "try__", *(f"{k}__a" for k in PARTS))
+        met = right.join(small(met), on_right)
+        equal = F.lit(True)
+        for k in PARTS:
+            equal = equal & (F.col(f"{k}__a") == F.col(f"{k}__c"))
+        found = met.select(F.col("history").alias("h__"), F.col("previous_history").alias("b__"), F.col("try__").alias("t__"), equal.alias("equal__"))
+        joined = at.join(found, (F.col("history") == F.col("h__")) & (F.col("previous_history") == F.col("b__")) & (F.col("try__") == F.col("t__")), "left").withColumn("equal__", F.coalesce("equal__", F.lit(False)))
+        joined = joined.withColumns({"lo__": F.when(F.col("equal__"), F.col("try__")).otherwise(F.col("lo__")), "hi__": F.when(F.col("equal__"), F.col("hi__")).otherwise(F.col("try__") - 1)}).drop("h__", "b__", "t__", "equal__")
+        joined = stash(joined.withColumn("try__", F.ceil((F.col("lo__") + F.col("hi__")) / 2).cast("int")).withColumn("open__", F.col("lo__") < F.col("hi__")), "pairs")
+        done = done.unionByName(joined.where("not open__"))
+        at = joined.where("open__")
+    return done.withColumn("shared", F.col("lo__").cast("int")).drop("lo__", "hi__", "try__", "open__")
+
+
+def tokens_at(calls: DataFrame, prefix: DataFrame, length: str, out: str) -> DataFrame:
+    """calls with the tokens of the first items of their history, as many as length says."""
+    own, on = _prefix(prefix, "history", length, {"tokens": "tokens__"})
+    return calls.join(own, on, "left").withColumn(out, F.coalesce("tokens__", F.lit(0))).drop("tokens__", "history__h", "history__l")
+
+
+def cached_cost(calls: DataFrame, prefix: DataFrame, group: str, order: str, sheet: DataFrame) -> DataFrame:
     """Each call's input tokens, those of its cached prefix, and its cost.
 
-    The prefix shared with the call before is cached only where the model stays the same. tokens: item -> Column.
+    calls: history, n_items and model beside group and order. The prefix shared with the call before is cached only where the model stays
+    the same.
     """
-    c = with_previous(calls, group, order)
-    total = lambda x: F.aggregate(F.transform(x, tokens), F.lit(0).cast("long"), lambda s, v: s + v)
-    shared = F.when(F.col("previous_input").isNotNull() & (F.col("previous_model") == F.col("model")), shared_items(F.col("previous_input"), F.col("input"))).otherwise(0)
-    c = c.withColumn("input_tokens", total(F.col("input"))).withColumn("cached_tokens", F.least(total(F.slice("input", 1, shared)), F.col("input_tokens")))
+    c = shared_lengths(with_previous(calls, group, order), prefix)
+    c = c.withColumn("cached_items", F.when(F.col("previous_model") == F.col("model"), F.coalesce("shared", F.lit(0))).otherwise(0))
+    c = tokens_at(tokens_at(c, prefix, "n_items", "input_tokens"), prefix, "cached_items", "cached_tokens")
     c = prices_of(c, "model", sheet)
-    return c.withColumn("usd", ((F.col("input_tokens") - F.col("cached_tokens")) * F.col("uncached") + F.col("cached_tokens") * F.col("cached")) / 1e6).drop("uncached", "cached", "output", "previous_input", "previous_model")
+    return c.withColumn("usd", ((F.col("input_tokens") - F.col("cached_tokens")) * F.col("uncached") + F.col("cached_tokens") * F.col("cached")) / 1e6).drop("uncached", "cached", "output", "previous_history", "previous_items", "previous_model", "shared", "cached_items")
 
 
 def logged_route(calls: DataFrame, group: str, order: str) -> DataFrame:

@@ -72,10 +72,14 @@ def load(spark: SparkSession, folder: str) -> Logs:
 
 def audit(logs: Logs) -> tuple[DataFrame, DataFrame]:
     """The audit of groups with several requests (ambiguous ones are marked), and overrides that split the others."""
-    hashed = logs.items.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("type", "role", "name", "call_id", "content_text", "arguments", "output").alias("h")))), lambda x: x["h"]).alias("input"))
-    r = logs.requests.join(hashed, KEYS, "left").withColumn("input", F.coalesce("input", F.array().cast("array<long>")))
+    of = F.concat_ws(":", "source_line", "source_chunk")
+    fields = ["type", "role", "name", "call_id", "content_text", "arguments", "output"]
+    r = logs.requests.withColumn("history", of)
     ordered = trajectory.with_previous(trajectory.call_order(r, "group_id", *KEYS), "group_id", "call_index")
-    chain = ordered.groupBy("group_id").agg(F.coalesce(F.bool_and(trajectory.shared_items(F.col("previous_input"), F.col("input")) == F.size("previous_input")), F.lit(True)).alias("chain"))
+    pairs = ordered.select("group_id", "history", "n_items", "previous_history", "previous_items")
+    items = logs.items.select(of.alias("history"), "pos", F.lit(0).alias("tokens"), F.xxhash64(*fields).alias("h1"), F.xxhash64(F.lit(1), *fields).alias("h2"))
+    shared = trajectory.shared_lengths(pairs, trajectory.prefixes(items, ["h1", "h2"]))
+    chain = shared.groupBy("group_id").agg(F.coalesce(F.bool_and(F.col("shared") == F.col("previous_items")), F.lit(True)).alias("chain"))
     a = trajectory.audit(r, "group_id", "model", "first_user").join(chain, "group_id")
     ambiguous = (F.col("full_first_user_unique") == 1) | F.col("chain")
     # The reasons below

@@ -96,29 +96,30 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("grouping_status").agg(F.count("*").alias("requests"), F.count_distinct("trajectory_id").alias("trajectories"), F.sum("eligible").alias("eligible"))
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
-    c = traces.conversation_requests(spark, d).withColumn("n_items", F.size("input"))
-    return trajectory.call_order(c, "conv_id", "call_pos")
+def _calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Calls in order, and the prefixes of their histories."""
+    prefix = trajectory.prefixes(traces.conversation_history(spark, d), ["h1", "h2"])
+    return trajectory.call_order(traces.conversation_requests(spark, d, prefix), "conv_id", "call_pos"), prefix
 
 
 def call_order(spark: SparkSession, d: str) -> DataFrame:
-    return _calls(spark, d).select("conv_id", "call_pos", "model", "n_items", "call_index", _int(F.col("call_index") == 0).alias("is_first"))
+    return _calls(spark, d)[0].select("conv_id", "call_pos", "model", "n_items", "call_index", _int(F.col("call_index") == 0).alias("is_first"))
 
 
 def prefix_chain(spark: SparkSession, d: str) -> DataFrame:
-    c = trajectory.with_previous(_calls(spark, d), "conv_id", "call_index")
-    shared = trajectory.shared_items(F.col("previous_input"), F.col("input"))
-    c = c.withColumn("shared", F.when(F.col("previous_input").isNull(), F.lit(None)).otherwise(shared))
-    return c.groupBy("conv_id").agg(F.count("*").alias("calls"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared_items"), _int(F.coalesce(F.bool_and(F.col("shared") == F.size("previous_input")), F.lit(True))).alias("chain"))
+    calls, prefix = _calls(spark, d)
+    c = trajectory.shared_lengths(trajectory.with_previous(calls, "conv_id", "call_index"), prefix)
+    return c.groupBy("conv_id").agg(F.count("*").alias("calls"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared_items"), _int(F.coalesce(F.bool_and(F.col("shared") == F.col("previous_items")), F.lit(True))).alias("chain"))
 
 
 def cached_cost(spark: SparkSession, d: str) -> DataFrame:
-    c = trajectory.cached_cost(_calls(spark, d), "conv_id", "call_index", price_sheet(spark), lambda x: x["tokens"])
+    calls, prefix = _calls(spark, d)
+    c = trajectory.cached_cost(calls, prefix, "conv_id", "call_index", price_sheet(spark))
     return c.select("conv_id", "call_index", "input_tokens", "cached_tokens", _r(F.col("usd"), "usd", 9))
 
 
 def logged_route(spark: SparkSession, d: str) -> DataFrame:
-    r = trajectory.logged_route(_calls(spark, d), "conv_id", "call_index")
+    r = trajectory.logged_route(_calls(spark, d)[0], "conv_id", "call_index")
     routed = F.array_repeat(F.element_at("route", 1), F.size("route"))
     return r.select("conv_id", F.array_join("route", "|").alias("route"), F.array_join(routed, "|").alias("routed"))
 
@@ -138,7 +139,7 @@ def load_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def load_models(spark: SparkSession, d: str) -> DataFrame:
     """Requests and groups of each model, and how many of its groups have several models."""
-    calls = traces.conversation_requests(spark, d).groupBy("conv_id", "model").agg(F.count("*").alias("requests"))
+    calls = traces.conversation_calls(spark, d).groupBy("conv_id", "model").agg(F.count("*").alias("requests"))
     mixed = calls.groupBy("conv_id").agg((F.count("*") > 1).cast("long").alias("mixed"))
     return calls.join(mixed, "conv_id").groupBy("model").agg(F.sum("requests").alias("requests"), F.count("*").alias("groups"), F.sum("mixed").alias("mixed_groups"))
 

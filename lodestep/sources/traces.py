@@ -120,19 +120,28 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), F.lit("message").alias("type"), "role", "text")
 
 
-def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant turn as a call whose input is what came before: conv_id, call_pos, model and the items as an array.
+def conversation_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as a call: conv_id, call_pos, model."""
+    calls = conversation_items(spark, sf_dir).where("role = 'assistant'")
+    model = F.element_at(F.array(*(F.lit(p[1]) for p in PROFILES)), (F.pmod(F.col("conv_id") + F.floor(F.col("pos") / 4), F.lit(6)) + 1).cast("int"))
+    return calls.select("conv_id", F.col("pos").alias("call_pos"), model.alias("model"))
 
-    An array is a prefix of its conversation's turns, so the calls of one conversation have growing histories. An item is
-    its place, role, hashes of its text, and tokens (a quarter of its characters); texts are not repeated with each call.
+
+def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as items of histories: history (the conversation), pos, tokens (a quarter of the characters) and two digests of role and text."""
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    return conversation_items(spark, sf_dir).select(F.col("conv_id").alias("history"), "pos", F.floor(F.length(text) / 4).alias("tokens"), F.xxhash64(role, text).alias("h1"), F.xxhash64(F.lit(1), role, text).alias("h2"))
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str, prefix: DataFrame) -> DataFrame:
+    """The calls with history and n_items: a call's input is what came before it, so it is a length of its conversation.
+
+    prefix: the prefixes of conversation_history().
     """
-    turns = conversation_items(spark, sf_dir)
-    text = F.coalesce("text", F.lit(""))
-    item = F.struct("pos", "role", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.floor(F.length(text) / 4).alias("tokens"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
-    calls = whole.select("conv_id", "turns", F.explode("turns").alias("t")).where("t.role = 'assistant'")
-    model = F.element_at(F.array(*(F.lit(p[1]) for p in PROFILES)), (F.pmod(F.col("conv_id") + F.floor(F.col("t.pos") / 4), F.lit(6)) + 1).cast("int"))
-    return calls.select("conv_id", F.col("t.pos").alias("call_pos"), model.alias("model"), F.filter("turns", lambda x: x["pos"] < F.col("t.pos")).alias("input"))
+    calls = conversation_calls(spark, sf_dir)
+    before = prefix.select(F.col("history").alias("of__"), F.col("pos").alias("pos__"), (F.col("length") - F.col("at_pos")).cast("int").alias("n__"))
+    joined = calls.join(before, (calls["conv_id"] == before["of__"]) & (calls["call_pos"] == before["pos__"]), "left")
+    return joined.select("conv_id", "call_pos", "model", F.col("conv_id").alias("history"), F.coalesce("n__", F.lit(0)).alias("n_items"))
 
 
 def user_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
