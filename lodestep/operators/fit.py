@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestep.operators.stats import running
@@ -61,38 +61,64 @@ def ridge(df: DataFrame, vector: str, targets: list[str], penalty: float) -> np.
     return solve(a + penalty * np.diag([0.0] + [1.0] * (len(a) - 1)), b)
 
 
+def push(blocks: list[tuple[float, float, float]], upper: float, s: float, w: float) -> None:
+    """One more block (upper, sum, weight) at the end; neighbours are pooled until values do not fall."""
+    while blocks and blocks[-1][1] * w > s * blocks[-1][2]:
+        _, s1, w1 = blocks.pop()
+        s, w = s + s1, w + w1
+    blocks.append((upper, s, w))
+
+
 def pool(bounds, sums, weights) -> list[tuple[float, float, float]]:
     """Blocks (upper, sum, weight) with values that never fall, by pooling neighbours."""
     blocks: list[tuple[float, float, float]] = []
-    for upper, s, w in zip(bounds, sums, weights, strict=True):
-        blocks.append((upper, s, w))
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
-            _, s1, w1 = blocks.pop(-2)
-            u, s2, w2 = blocks.pop()
-            blocks.append((u, s1 + s2, w1 + w2))
+    for block in zip(bounds, sums, weights, strict=True):
+        push(blocks, *block)
     return blocks
 
 
-def isotonic(df: DataFrame, prediction: str, outcome: str) -> DataFrame:
-    """upper and value of each block of an isotonic step function.
+#: Ranges whose blocks are merged at once.
+FAN_IN = 8
+
+
+def isotonic(df: DataFrame, prediction: str, outcome: str, fan_in: int = FAN_IN) -> DataFrame:
+    """upper and value of each block of an isotonic step function, as a table: there may be as many blocks as predictions.
 
-    Ties are pooled first; each range of predictions is pooled in its task, and the driver pools what is left, which gives
-    the blocks of pooling all at once.
+    Ties are pooled first, then each range of predictions in its task. Lists of blocks merge associatively, so fan_in neighbouring ranges at
+    a time become one, until one is left. A block whose value is not below any of an earlier range, nor above any of a later one,
+    parts what is before it from what is after it and stays where it is; only the others meet in a task.
     """
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     tied = df.where(F.col(prediction).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(prediction).cast("double").alias("upper")).agg(F.sum(F.col(outcome).cast("double")).alias("s"), F.count("*").cast("double").alias("w"))
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = [b for b in batches if len(b)]
-        if whole:
-            b = pd.concat(whole)
-            yield pd.DataFrame(pool(b["upper"], b["s"], b["w"]), columns=["upper", "s", "w"])
-
-    local = tied.repartitionByRange("upper").sortWithinPartitions("upper").mapInPandas(part, "upper double, s double, w double")
-    rows = sorted(map(tuple, local.collect()))
-    blocks = pool(*zip(*rows, strict=True)) if rows else []
-    return spark.createDataFrame([(u, s / w) for u, s, w in blocks], "upper double, value double")
+    def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, blocks = None, []
+        for b in batches:
+            for part, upper, s, w in zip(b["range"], b["upper"], b["s"], b["w"], strict=True):
+                if part != key:
+                    if blocks:
+                        yield pd.DataFrame(blocks, columns=["upper", "s", "w"]).assign(range=key)
+                    key, blocks = part, []
+                push(blocks, upper, s, w)
+        if blocks:
+            yield pd.DataFrame(blocks, columns=["upper", "s", "w"]).assign(range=key)
+
+    schema, columns = "upper double, s double, w double, range int", ["range", "upper", "s", "w"]
+    at = tied.repartitionByRange("upper").sortWithinPartitions("upper").withColumn("range", F.spark_partition_id()).select(columns)
+    at = stash(at.mapInPandas(pooled, schema), "isotonic")
+    ranges = at.agg(F.max("range")).first()[0] or 0
+    while ranges:
+        value, whole = F.col("s") / F.col("w"), F.floor(F.col("range") / fan_in).cast("int")
+        # a row for each range
+        ends = at.groupBy("range").agg(F.min(value).alias("least"), F.max(value).alias("most")).withColumn("whole", whole)
+        earlier, later = (Window.partitionBy("whole").orderBy("range").rowsBetween(*x) for x in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+        ends = ends.select(F.col("range").alias("r__"), F.max("most").over(earlier).alias("before"), F.min("least").over(later).alias("after"))
+        met = at.join(F.broadcast(ends), F.col("range") == F.col("r__"))
+        free = (value >= F.coalesce("before", value)) & (value <= F.coalesce("after", value))
+        rest = met.where(~free).select(whole.alias("range"), "upper", "s", "w").repartition("range").sortWithinPartitions("range", "upper").mapInPandas(pooled, schema)
+        at = stash(met.where(free).select("upper", "s", "w", whole.alias("range")).unionByName(rest), "isotonic")
+        ranges //= fan_in
+    return at.select("upper", (F.col("s") / F.col("w")).alias("value"))
 
 
 def _before(x: np.ndarray, f: int, g: int, size: int, filled: np.ndarray, targets: list[float]) -> np.ndarray:

@@ -129,14 +129,45 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, gr
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*groups)))
 
 
-def step_lookup(rows: DataFrame, value: str, blocks: DataFrame, out: str) -> DataFrame:
-    """rows with the value of the first block whose upper bound is not below theirs, or else of the last block.
+#: Blocks of a step function up to which they go along in the plan.
+STEPS = 10_000
 
-    blocks: upper and value, sorted; they go along as one array, which a calibration's few hundred blocks allow.
+
+def step(x: Column, blocks: list[tuple[float, float]]) -> Column:
+    """The value of the first block (upper, value; sorted) whose bound is not below x, else of the last; x itself without blocks. By halving."""
+    if not blocks:
+        return x
+    uppers, values = (F.array(*(F.lit(float(b[k])) for b in blocks)) for k in (0, 1))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        fits = F.get(uppers, middle) >= x
+        return F.when(s["lo"] >= s["hi"], s).when(fits, F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(blocks) - 1).alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(len(blocks).bit_length())), start, halve, lambda s: s["lo"])
+    return F.when(x.isNotNull(), F.get(values, at))
+
+
+def step_lookup(rows: DataFrame, value: str, blocks: DataFrame, out: str, steps: int = STEPS) -> DataFrame:
+    """rows with the value of the first block whose upper bound is not below theirs, or else of the last block; null where theirs is.
+
+    blocks: upper and value, sorted. Up to steps of them go along in the plan. More are met by the different values in ranges of both; a value
+    after the last block of its range takes the first one of the next range that has any.
     """
-    packed = blocks.agg(F.array_sort(F.collect_list(F.struct("upper", F.col("value").alias("v")))).alias("blocks__"))
-    fit = F.filter("blocks__", lambda b: b["upper"] >= F.col(value))
-    return rows.crossJoin(F.broadcast(packed)).withColumn(out, F.coalesce(F.get(fit, F.lit(0))["v"], F.element_at("blocks__", -1)["v"])).drop("blocks__")
+    if blocks.limit(steps + 1).count() <= steps:
+        return rows.withColumn(out, step(F.col(value), sorted(map(tuple, blocks.select("upper", "value").collect()))))
+    asked = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("k__")).distinct()
+    both = asked.select("k__", F.lit(0).alias("block__"), F.lit(None).cast("double").alias("v__")).unionByName(blocks.select(F.col("upper").alias("k__"), F.lit(1).alias("block__"), F.col("value").cast("double").alias("v__")))
+    ranged = stash(both.repartitionByRange("k__").withColumn("range__", F.spark_partition_id()), "step-ranges")
+    # a row for each range
+    firsts = ranged.groupBy("range__").agg(F.min_by("v__", F.when(F.col("block__") == 1, F.col("k__"))).alias("f__"), F.max_by("v__", F.when(F.col("block__") == 1, F.col("k__"))).alias("l__"))
+    later, all_ = Window.orderBy("range__").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select(F.col("range__").alias("r__"), F.coalesce(F.first("f__", ignorenulls=True).over(later), F.last("l__", ignorenulls=True).over(all_)).alias("next__"))
+    # from above, since a frame that only grows is one pass
+    w = Window.partitionBy("range__").orderBy(F.desc("k__"), F.desc("block__")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.withColumn("own__", F.last("v__", ignorenulls=True).over(w)).where("block__ = 0").join(F.broadcast(firsts), F.col("range__") == F.col("r__")).select("k__", F.coalesce("own__", "next__").alias(out))
+    return rows.join(found, rows[value].cast("double") == found["k__"], "left").drop("k__")
 
 
 #: Where the cumulative Poisson distribution of mean 1 steps, as far as 32 bits tell.

@@ -216,14 +216,6 @@ def _clip(x: Column, top: float) -> Column:
     return F.least(F.lit(top), F.greatest(F.lit(0.0), x))
 
 
-def _step(x: Column, blocks: list[tuple[float, float]]) -> Column:
-    """The value of the first block whose bound is not below x, else of the last; x itself without blocks."""
-    if not blocks:
-        return x
-    b = F.array(*(F.struct(F.lit(float(u)).alias("u"), F.lit(float(v)).alias("v")) for u, v in blocks))
-    return F.coalesce(F.get(F.filter(b, lambda p: p["u"] >= x), F.lit(0))["v"], F.lit(float(blocks[-1][1])))
-
-
 @dataclass
 class Artifact:
     encoder: Encoder
@@ -231,6 +223,7 @@ class Artifact:
     risk: list[float]
     workload_blocks: list[tuple[float, float]] = field(default_factory=list)
     risk_blocks: list[tuple[float, float]] = field(default_factory=list)
+    block_paths: dict[str, str] = field(default_factory=dict)  # tables of the blocks, where there are more than stats.STEPS
     quality: list[float] = field(default_factory=list)
     quality_means: list[float] = field(default_factory=list)
     quality_scales: list[float] = field(default_factory=list)
@@ -270,8 +263,28 @@ class Artifact:
 
     def stage_one(self, rows: DataFrame) -> DataFrame:
         """rows with predicted_complexity (0 to 100) and predicted_risk (0 to 1)."""
-        e = self.encoder.encode(rows)
-        return e.withColumns({"predicted_complexity": _clip(_step(_clip(_dot(self.workload), 100.0), self.workload_blocks), 100.0), "predicted_risk": _clip(_step(_clip(_dot(self.risk), 1.0), self.risk_blocks), 1.0)}).drop("vector")
+        e = self.encoder.encode(rows).withColumns({"predicted_complexity": _clip(_dot(self.workload), 100.0), "predicted_risk": _clip(_dot(self.risk), 1.0)}).drop("vector")
+        e = self.calibrated(e, {"predicted_complexity": "predicted_complexity", "predicted_risk": "predicted_risk"})
+        return e.withColumns({"predicted_complexity": _clip(F.col("predicted_complexity"), 100.0), "predicted_risk": _clip(F.col("predicted_risk"), 1.0)})
+
+    def keep_blocks(self, name: str, blocks: DataFrame) -> None:
+        """The steps of one calibration (workload or risk): in the artifact up to stats.STEPS, beyond that as a table."""
+        few = blocks.limit(stats.STEPS + 1).collect()
+        if len(few) <= stats.STEPS:
+            setattr(self, f"{name}_blocks", sorted(map(tuple, few)))
+        else:
+            self.block_paths[name] = new_path(blocks.sparkSession, f"{name}-blocks")
+            blocks.write.parquet(self.block_paths[name])
+
+    def calibrated(self, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """rows with calibrated predictions: columns are those of the raw workload and risk, and what the results are called."""
+        for name, (raw, out) in zip(("workload", "risk"), columns.items(), strict=True):
+            if name in self.block_paths:
+                steps = rows.sparkSession.read.schema("upper double, value double").parquet(self.block_paths[name])
+                rows = stats.step_lookup(rows, raw, steps, "step__").withColumn(out, F.col("step__")).drop("step__")
+            else:
+                rows = rows.withColumn(out, stats.step(F.col(raw), getattr(self, f"{name}_blocks")))
+        return rows
 
     def base_quality(self) -> Column:
         scaled = F.array(F.lit(1.0), *((x - m) / s for x, m, s in zip(_quality_terms(), self.quality_means, self.quality_scales, strict=True)))
@@ -335,7 +348,7 @@ def out_of_fold(rows: DataFrame, o: Options) -> DataFrame:
 
 
 def _calibrated_rows(rows: DataFrame, a: Artifact) -> DataFrame:
-    return rows.withColumns({"predicted_complexity": _step(F.col("oof_complexity"), a.workload_blocks), "predicted_risk": _step(F.col("oof_risk"), a.risk_blocks)})
+    return a.calibrated(rows, {"oof_complexity": "predicted_complexity", "oof_risk": "predicted_risk"})
 
 
 def fit_quality(a: Artifact, own: DataFrame, o: Options, scenario: str = "base") -> Artifact:
@@ -365,8 +378,8 @@ def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifac
     """All fits over rows that out_of_fold() gave."""
     a = fit_stage_one(rows, o.stage_one_penalty, o.text_features)
     a.min_stratum, a.fallback, a.floor = o.min_stratum, o.fallback, o.floor
-    a.workload_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_complexity", "workload_target").collect()]
-    a.risk_blocks = [tuple(r) for r in fit.isotonic(rows, "oof_risk", "risk_target").collect()]
+    a.keep_blocks("workload", fit.isotonic(rows, "oof_complexity", "workload_target"))
+    a.keep_blocks("risk", fit.isotonic(rows, "oof_risk", "risk_target"))
     own = quality_rows(rows, a)
     a = fit_quality(a, own, o, scenario)
     cols, scales = [f"n_{f}" for f in OPENING], {f"n_{f}": a.encoder.scales[f] for f in OPENING}

@@ -1,0 +1,67 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestep.operators import fit, stats
+
+
+def plain(x, y):
+    """Blocks by pooling sorted ties one after the other, with fractions of whole sums."""
+    blocks = []
+    for v in np.unique(x):
+        blocks.append([v, float(y[x == v].sum()), int((x == v).sum())])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
+            u, s, w = blocks.pop()
+            blocks[-1] = [u, blocks[-1][1] + s, blocks[-1][2] + w]
+    return [(u, s / w) for u, s, w in blocks]
+
+
+def shapes(n):
+    rng = np.random.default_rng(n)
+    k = np.arange(n)
+    yield "noise", k % 97, rng.integers(0, 2, n)
+    yield "rising", k, k
+    yield "falling", k, -k
+    yield "saws", k, k % 50
+    yield "steps", k, k // 40 - (k % 40 > 37) * 3
+    yield "one", np.zeros(n, int), rng.integers(0, 2, n)
+
+
+@pytest.mark.parametrize("fan_in", [2, 8])
+def test_merged_blocks_are_those_of_one_list(spark, fan_in):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, x, y in shapes(600):
+            df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "p double, y double")
+            got = sorted(map(tuple, fit.isotonic(df, "p", "y", fan_in).collect()))
+            want = plain(np.array(x, float), np.array(y, float))
+            assert [u for u, _ in got] == [u for u, _ in want], name
+            assert np.allclose([v for _, v in got], [v for _, v in want]), name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert fit.isotonic(df.limit(0), "p", "y").count() == 0
+
+
+@pytest.mark.parametrize("steps", [10_000, 0])
+def test_lookups_by_halving_and_by_ranges(spark, steps):
+    rng = np.random.default_rng(2)
+    blocks = sorted((float(u), float(v)) for u, v in zip(rng.choice(1000, 77, replace=False), np.sort(rng.random(77)), strict=True))
+    blocks = [(u, v) for (u, _), v in zip(blocks, sorted(v for _, v in blocks), strict=True)]
+    values = [float(v) for v in rng.integers(-50, 1100, 400)] + [u for u, _ in blocks] + [None, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").repartition(5)
+    got = {r["k"]: r["o"] for r in stats.step_lookup(df, "v", spark.createDataFrame(blocks, "upper double, value double"), "o", steps).collect()}
+    uppers = [u for u, _ in blocks]
+    assert len(got) == len(values)
+    for k, v in enumerate(values):
+        assert got[k] == (None if v is None else blocks[min(int(np.searchsorted(uppers, v)), len(blocks) - 1)][1])
+
+
+def test_as_many_blocks_as_predictions_stay_a_table(spark):
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") / n).alias("p"), F.col("id").cast("double").alias("y"))
+    blocks = fit.isotonic(rows, "p", "y")
+    assert blocks.agg(F.count("*"), F.sum("value")).first()[:] == (n, n * (n - 1) / 2)
+    assert stats.step_lookup(rows, "p", blocks, "o").where("o <> y").isEmpty()
