@@ -22,6 +22,8 @@ SEED = 20
 TEMPERATURE = 0.7
 PART = 500.0
 BROADCAST_ROWS = 200_000
+#: What mix() adds.
+COLUMNS = ("copies", "copy", "rate", "order_key")
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -67,7 +69,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     rates = source_rates(docs, weights, temperature, epochs, source)
     rates = F.broadcast(rates) if rates.count() <= broadcast_rows else rates
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    docs = docs.drop("copies", "copy", "rate", "order_key")
+    docs = docs.drop(*COLUMNS)
     origin, cdf, u, parts = fresh(docs, "mix_source"), fresh(docs, "mix_cdf"), fresh(docs, "mix_u"), fresh(docs, "mix_parts")
     rates = rates.select(F.col("mix_source").alias(origin), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     joined = docs.join(rates, docs[source].eqNullSafe(rates[origin])).withColumn(u, uniform(seed, key))

@@ -52,8 +52,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def corpus_frequency(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """term and its occurrences in the texts of docs, for each of the terms that occurs."""
-    return docs.select(F.explode(words(F.col("text"))).alias("term")).join(_small(terms, broadcast_rows), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    """term and its occurrences in the texts of docs, for each of the terms that occurs.
+
+    Words meet terms that go to every task before they are counted; more terms meet the counts, so that no frequent word is shuffled.
+    """
+    said = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    if terms.count() <= broadcast_rows:
+        return said.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    return said.groupBy("term").agg(F.count("*").alias("cf")).join(terms, "term")
 
 
 def text_key(text: str = "text") -> list[Column]:

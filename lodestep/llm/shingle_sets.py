@@ -15,7 +15,7 @@ nodes are cut into blocks, and each pair of blocks has a tree of its own, in tas
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ BLOCK = 2048
 #: Rounds of leaders at most, while a shard of several components has more than WHOLE nodes.
 ROUNDS, WHOLE = 4, 64
 BUCKETS = 128
+#: Pairs that a task holds at once.
+BATCH = 50_000
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, ROWS * BANDS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -147,20 +149,19 @@ def _search(similarity: float, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, key = [], None
 
-        def flush() -> pa.RecordBatch | None:
-            found = list(pairs(key[0], kept)) if len(kept) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = pairs(key[0], kept) if len(kept) > 1 else iter(())
+            while some := list(islice(found, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(b.num_columns)]
             for shard, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if shard != key:
-                    if out := flush():
-                        yield out
+                    yield from flush()
                     kept, key = [], shard
                 kept.append(row)
-        if out := flush():
-            yield out
+        yield from flush()
 
     return run
 

@@ -55,7 +55,8 @@ class Encoder:
     other tokenizers take the library's own way over the whole text. Both give the same ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -100,7 +101,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.by_word and self.plain(text) and not any(s in text for s in self.specials):
-            if len(self.kept) > CACHE:
+            if len(self.kept) > self.cache:
                 self.kept.old = dict(self.kept)
                 self.kept.clear()
             return b"".join(map(self.kept.__getitem__, text.lower().split()))
@@ -108,8 +109,8 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    return Encoder(path, cache)
 
 
 # Coding
@@ -191,11 +192,11 @@ def put(uri: str, content: bytes) -> None:
 BLOCK = "shard int, block int, before long, n long, doc_ids binary, nulls binary, lengths binary, ids binary, counts binary"
 
 
-def _tokenise(path: str, end_id: int, block_ids: int):
+def _tokenise(path: str, end_id: int, block_ids: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, cache)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         shard, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
         counts = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
@@ -226,15 +227,18 @@ def _tokenise(path: str, end_id: int, block_ids: int):
     return run
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the block files of docs in ascending order of doc_id, and ranks.bin.
+def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, as_is: bool = False, cache: int = CACHE) -> None:
+    """Writes the block files of docs in ascending order of doc_id, and ranks.bin; as_is: in the order of docs' partitions and rows.
 
-    The driver gets the counts of each id (as many as the vocabulary has) and a number for each task.
+    The order as it is must be that of stored rows, which come again in the same partitions. cache: words that a generation holds. The driver
+    gets the counts of each id (as many as the vocabulary has) and a number for each task.
     """
     spark = docs.sparkSession
     ship(spark)
-    sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    blocks = stash(sorted_docs.mapInArrow(_tokenise(tokenizer, end_id, block_ids), BLOCK), "token-blocks")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not as_is:
+        ordered = ordered.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    blocks = stash(ordered.mapInArrow(_tokenise(tokenizer, end_id, block_ids, cache), BLOCK), "token-blocks")
     enc = encoder(tokenizer)
     width = max(enc.tokenizer.get_vocab_size(), end_id + 1)
     counts = np.zeros(width, np.int64)
@@ -312,9 +316,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, {"ids_crc32": "long"}, digests)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, as_is: bool = False, cache: int = CACHE) -> DataFrame:
     """Writes docs to new block files in the shared folder and returns the digests that are read back from them."""
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
-    write_store(docs, tokenizer, path, end_id, block_ids)
+    write_store(docs, tokenizer, path, end_id, block_ids, as_is, cache)
     return read_digests(spark, path)

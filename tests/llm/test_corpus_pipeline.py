@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lodestep.llm import poisson_mix, toxic_segments
 from lodestep.llm.queries import QUERIES, tokenizer_path
+from lodestep.session import stash
 from test_poisson_mix import draw
 from test_positional_index import brute as contamination
 from test_simhash_bk import one_of_each
@@ -35,8 +36,8 @@ def test_stages_against_brute_force(spark, tiny):
         rate = n[r["source"]] ** poisson_mix.TEMPERATURE / w * len(left) / n[r["source"]]
         want += [(r["doc_id"], size)] * draw(r["doc_id"], rate)
     got = sorted(corpus_pipeline.run(spark, tiny).collect(), key=lambda r: r["start"])
-    assert [(r["doc_id"], r["n_tokens"]) for r in got] == sorted(want)
-    assert [r["start"] for r in got] == np.cumsum([0, *(s for _, s in sorted(want))])[:-1].tolist()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted(want)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
     assert toxic and dirty and len(corpus_pipeline.STAGES) == 5
 
 
@@ -50,7 +51,7 @@ def test_filters_leave_the_columns_and_clean_documents(spark, tiny):
 
 def test_queries_are_registered():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_subpackage():
@@ -72,3 +73,22 @@ def test_decontamination_takes_rows_without_an_id(spark, tiny):
     text = spark.read.parquet(f"{tiny}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(None, text), (None, "own words")], "doc_id long, text string")
     assert [r["text"] for r in corpus_pipeline.decontamination(spark, docs, tiny).collect()] == ["own words"]
+
+
+def test_files_keep_the_order_of_mixing(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    mixed = stash(corpus_pipeline.mixing(spark, docs, tiny), "mixed")
+    rows = [r["doc_id"] for r in mixed.collect()]
+    got = [r["doc_id"] for r in sorted(corpus_pipeline.token_ids(spark, mixed, tiny).collect(), key=lambda r: r["start"])]
+    assert got == rows and rows != sorted(rows)
+    copies = {d for d in rows if rows.count(d) > 1}
+    beside = sum(a == b for a, b in zip(rows, rows[1:], strict=False))
+    assert copies and beside < len(copies) / 2
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark, tiny):
+    docs = spark.createDataFrame([(k, f"text {k}", "s", k * 10, "own") for k in range(60)], "doc_id long, text string, source string, Copies long, rate string")
+    out = corpus_pipeline.mixing(spark, docs, tiny)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r["Copies"] == 10 * r["doc_id"] and r["rate"] == "own" for r in rows)
