@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestep.llm import poisson_mix, positional_index, simhash_bk, token_store, toxic_segments
 from lodestep.llm.queries import tokenizer_path
-from lodestep.session import stash, table
+from lodestep.session import fresh, stash, table
+
+
+#: Words that a tokenizing worker keeps: beside what the stages before have left in an executor there is less room than a single query has.
+CACHE = 150_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +29,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate makes it, in a random order."""
-    return poisson_mix.mix(docs).select(*docs.columns)
+    """Each document as often as its source's rate makes it, in a random order. Columns that mix() would replace go along under other names."""
+    names = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in poisson_mix.COLUMNS}
+    own = [names.get(c, c) for c in docs.columns]
+    return poisson_mix.mix(docs.withColumnsRenamed(names)).select(*own).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Block files of token ids, and what is read back from them: a row for each copy of a document."""
-    return token_store.round_trip(docs, tokenizer_path())
+    """Block files of token ids in the order that mixing has written, and what is read back from them: a row for each copy of a document."""
+    return token_store.round_trip(docs, tokenizer_path(), as_is=True, cache=CACHE)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_ids", token_ids)]
