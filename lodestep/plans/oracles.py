@@ -343,13 +343,19 @@ q AS (SELECT event_type, list_sort(list(value)) AS v, quantile_cont(value, 0.5)
 SELECT event_type, bin, n, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS share, v[len(v) // 4 + 1] AS q1, round(median, 6) AS median, v[3 * len(v) // 4 + 1] AS q3,
        round((v[3 * len(v) // 4 + 1] / v[len(v) // 4 + 1] - 1) * 100, 4) AS spread_pct FROM h JOIN q USING (event_type)""",
     "q_jsonl_roundtrip": """SELECT conv_id, CAST(count(*) AS INT) AS n_items, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, count(*) FILTER (WHERE role = 'user') AS users FROM conversations GROUP BY conv_id""",
-    "q_json_semantics": r"""SELECT * FROM (VALUES
-(0, false, false, 'null', 4), (1, true, false, '"Exit code: 2"', 14), (2, false, false, '"exit code 2"', 13), (3, false, true, '"exit_code=0"', 13),
-(4, true, false, '"Traceback (most recent call last)"', 35), (5, false, false, '"Traceback (most recent call last)"', 39), (6, false, false, '5', 1),
-(7, true, false, '{"success":false}', 18), (8, true, true, '{"exit_code":"1","ok":true}', 30), (9, true, false, '{"exit_code":true}', 19),
-(10, true, false, '{"exit_code":1,"returncode":0}', 33), (11, false, true, '{"exit_code":null,"r":{"ok":true}}', 38), (12, false, false, '{"error":0}', 12),
-(13, false, false, '{"error":[]}', 13), (14, true, false, '{"error":"x"}', 14), (15, true, false, '{"a":{"ok":false}}', 20), (16, false, false, '{"a":"exit code: 1"}', 21),
-(17, true, false, '["exit code: 1"]', 16), (18, true, true, '{"error":"x","exit_code":0}', 30)) v(k, failed, succeeded, canonical, length)""",
+    "q_json_semantics": r"""WITH e AS (SELECT event_id, event_type AS t, props, CAST(json_extract(props, '$.k') AS INT) AS k, event_id % 12 AS shape FROM events)
+SELECT event_id,
+  CASE shape WHEN 1 THEN k % 3 <> 0 WHEN 2 THEN k % 2 = 1 WHEN 3 THEN k % 2 = 1 WHEN 5 THEN k % 3 <> 0 ELSE shape IN (4, 6, 8, 11) END AS failed,
+  CASE shape WHEN 1 THEN k % 3 = 0 WHEN 2 THEN k % 2 = 0 WHEN 3 THEN k % 2 = 0 WHEN 8 THEN k % 4 = 0 ELSE shape IN (7, 11) END AS succeeded,
+  CASE shape WHEN 0 THEN '{"k":' || k || '}' WHEN 1 THEN '{"d":{"k":' || k || '},"exit_code":' || k % 3 || '}' WHEN 2 THEN '"Exit code: ' || k % 2 || '"'
+    WHEN 3 THEN '{"r":[{"k":' || k || '},{"ok":' || (k % 2 = 0) || '}]}' WHEN 4 THEN '{"error":"' || t || '"}' WHEN 5 THEN '{"error":' || k % 3 || '}'
+    WHEN 6 THEN '"' || t || ': Traceback (most recent call last)"' WHEN 7 THEN '{"n":' || k || ',"success":true}' WHEN 8 THEN '[{"returncode":' || k % 4 || '},"exit code: 1"]'
+    WHEN 9 THEN '""' WHEN 10 THEN '{"a":{"y":"é","z":1},"b":' || k || '}' ELSE '{"exit_code":0,"is_error":true,"k":' || k || '}' END AS canonical,
+  -- the punctuation and spaces of each shape, beside its numbers and names; an é is six characters
+  CAST(length(CAST(k AS VARCHAR)) * CAST(shape IN (0, 1, 3, 7, 10, 11) AS INT) + length(t) * CAST(shape IN (4, 6) AS INT)
+    + CASE shape WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 4 ELSE 5 END ELSE 0 END
+    + [7, 30, 14, 26, 13, 12, 37, 30, 35, 0, 37, 41][CAST(shape AS INT) + 1] AS BIGINT) AS length
+FROM e""",
 }
 
 
@@ -366,6 +372,9 @@ ORACLES["q_support_gate"] = f"""WITH {TASKS}, {_support("t")}, {CALIPER},
 near AS (SELECT trajectory_id, action, count(*) AS n, min(distance) AS distance FROM pairs GROUP BY 1, 2)
 SELECT trajectory_id, action, n, round(distance, 6) AS distance, CAST(n >= 3 AND coalesce(round(distance, 9) <= round(caliper, 9), false) AS INT) AS supported FROM near LEFT JOIN cal USING (action)"""
 
+ORACLES["q_support_shards"] = f"""WITH {TASKS}, {_support("t")}
+SELECT trajectory_id, action, count(*) AS n, round(min(distance), 6) AS distance FROM pairs GROUP BY 1, 2"""
+
 
 def _scenario(name: str) -> str:
     rows = CAPABILITIES

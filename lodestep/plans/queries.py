@@ -548,13 +548,58 @@ def _rename(spark: SparkSession, a: str, b: str) -> None:
     fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(b))
 
 
-#: Outputs as raw JSON text, for the functions that follow Python's JSON.
-OUTPUTS = ["null", '"Exit code: 2"', '"exit code 2"', '"exit_code=0"', '"Traceback (most recent call last)"', '"\\"Traceback (most recent call last)\\""', "5", '{"success": false}', '{"ok": true, "exit_code": "1"}', '{"exit_code": true}', '{"exit_code": 1, "returncode": 0}', '{"exit_code": null, "r": {"ok": true}}', '{"error": 0}', '{"error": []}', '{"error": "x"}', '{"a": {"ok": false}}', '{"a": "exit code: 1"}', '["exit code: 1"]', '{"exit_code": 0, "error": "x"}']
+def json_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as tool outputs of twelve shapes (raw JSON text, null for one): flags, exit codes, errors, wording, lists, and text that is JSON itself."""
+    e = table(spark, d, "events").select("event_id", "event_type", "props", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = lambda n: (F.col("k") % n).cast("string")
+    even = F.when(F.col("k") % 2 == 0, "true").otherwise("false")
+    shapes = [
+        F.col("props"),
+        F.concat(F.lit('{"exit_code": '), k(3), F.lit(', "d": '), "props", F.lit("}")),
+        F.concat(F.lit('"Exit code: '), k(2), F.lit('"')),
+        F.concat(F.lit('{"r": ['), "props", F.lit(', {"ok": '), even, F.lit("}]}")),
+        F.concat(F.lit('{"error": "'), "event_type", F.lit('"}')),
+        F.concat(F.lit('{"error": '), k(3), F.lit("}")),
+        F.concat(F.lit('"'), "event_type", F.lit(': Traceback (most recent call last)"')),
+        F.concat(F.lit('"{\\"success\\": true, \\"n\\": '), F.col("k").cast("string"), F.lit('}"')),
+        F.concat(F.lit('[{"returncode": '), k(4), F.lit('}, "exit code: 1"]')),
+        F.lit(None).cast("string"),
+        F.concat(F.lit('{"b": '), F.col("k").cast("string"), F.lit(', "a": {"z": 1, "y": "é"}}')),
+        F.concat(F.lit('{"is_error": true, "exit_code": 0, "k": '), F.col("k").cast("string"), F.lit("}")),
+    ]
+    return e.select("event_id", F.element_at(F.array(*shapes), (F.pmod("event_id", F.lit(12)) + 1).cast("int")).alias("output"))
 
 
 def json_semantics(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.createDataFrame(list(enumerate(OUTPUTS)), "k int, output string")
-    return o.select("k", output_failed("output").alias("failed"), output_succeeded("output").alias("succeeded"), canonical_arguments("output").alias("canonical"), json_length("output").alias("length"))
+    o = json_outputs(spark, d)
+    return o.select("event_id", output_failed("output").alias("failed"), output_succeeded("output").alias("succeeded"), canonical_arguments("output").alias("canonical"), json_length("output").alias("length"))
+
+
+def held_out_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """All policies over the test rows of tasks that no fit has seen, and the refitted scenarios of profiles."""
+    o = pipeline.Options(text_features=8, folds=3, tolerances=[0.0, 0.02])
+    e = pipeline.evaluate(_fitted_rows(spark, d), o, 0.02)
+    columns = ["n", "changed_routes", *(_r(F.col(c), c) for c in ("savings", "observed_quality", "direct_quality", "dr_quality", "dr_delta", "ci_low", "ci_high")), "route_counts"]
+    return e.comparison.select("policy", *columns).unionByName(e.scenarios.select(F.concat(F.lit("scenario_"), "scenario").alias("policy"), *columns))
+
+
+def multinomial_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap means of the residual for each action: as many draws as rows, with replacement."""
+    u = _usable(spark, d).select("doc_id", "incumbent_action", (F.col("evaluation_outcome_score") - F.col("base_quality")).alias("residual"))
+    actions = [p[0] for p in PROFILES]
+    own = lambda a, c: F.when(F.col("incumbent_action") == a, c).otherwise(F.lit(0.0))
+    sums = {f"s_{a}": own(a, F.col("residual")) for a in actions} | {f"n_{a}": own(a, F.lit(1.0)) for a in actions}
+    b = stats.bootstrap(u, "doc_id", BOOTSTRAP, SEED, sums)
+    means = F.explode(F.array(*(F.struct(F.lit(a).alias("action"), F.try_divide(F.col(f"s_{a}"), F.col(f"n_{a}")).alias("mean")) for a in actions))).alias("m")
+    m = b.select("n__", means).select("n__", "m.*").where("mean is not null")
+    return m.groupBy("action").agg(F.count("*").alias("samples"), F.min("n__").cast("long").alias("least_draws"), F.max("n__").cast("long").alias("most_draws"), _r(F.percentile("mean", F.lit(0.025)), "ci_low"), _r(F.percentile("mean", F.lit(0.975)), "ci_high"))
+
+
+def support_shards(spark: SparkSession, d: str) -> DataFrame:
+    """q_support_gate's distances by the pivot join, which is how support that is too large for every task is searched."""
+    u, support, scales = _support(spark, d)
+    near = policy.nearest(_tasks(spark, d), support, SUPPORT_FEATURES, scales, local_bytes=0, shard=500)
+    return near.select("trajectory_id", "action", "n", _r(F.col("distance"), "distance"))
 
 
 QUERIES = {
@@ -565,6 +610,6 @@ QUERIES = {
         manual_override, review_counts, signal_join, sanitize, terms_topk, tfidf, action_stratum, standardize, workload_score, caliper_support,
         support_gate, propensity, capability_fit, quality_score, opening_cost, choose_action, frontier, policy_comparison, feasible_policy, dr_value,
         route_counts, replay, profile_scenarios, bootstrap_ci, residual_bootstrap, auc_brier_corr, isotonic, ridge, template_split, fold_complement,
-        oof_quality_cv, fitted_policy, encode_opening, histogram_iqr, jsonl_roundtrip, json_semantics,
+        oof_quality_cv, fitted_policy, encode_opening, histogram_iqr, jsonl_roundtrip, json_semantics, held_out_evaluation, multinomial_bootstrap, support_shards,
     )
 }

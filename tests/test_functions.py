@@ -60,3 +60,20 @@ def test_prices(spark):
     with pytest.raises(Exception, match="no action"):
         one(spark, "other", money.canonical_action(F.col("t")))
     assert spark.range(1).select(money.percent_change(F.lit(4.0), F.lit(3.0)), money.percent_change(F.lit(0.0), F.lit(3.0))).first()[:] == (-25.0, 0.0)
+
+
+#: Raw outputs, whether they failed and succeeded, their canonical text and length.
+OUTPUTS = [
+    ("null", False, False, "null", 4), ('"Exit code: 2"', True, False, '"Exit code: 2"', 14), ('"exit code 2"', False, False, '"exit code 2"', 13), ('"exit_code=0"', False, True, '"exit_code=0"', 13),
+    ('"Traceback (most recent call last)"', True, False, '"Traceback (most recent call last)"', 35), ("5", False, False, "5", 1), ('{"success": false}', True, False, '{"success":false}', 18),
+    ('{"ok": true, "exit_code": "1"}', True, True, '{"exit_code":"1","ok":true}', 30), ('{"exit_code": true}', True, False, '{"exit_code":true}', 19), ('{"exit_code": 1, "returncode": 0}', True, False, '{"exit_code":1,"returncode":0}', 33),
+    ('{"exit_code": null, "r": {"ok": true}}', False, True, '{"exit_code":null,"r":{"ok":true}}', 38), ('{"error": 0}', False, False, '{"error":0}', 12), ('{"error": []}', False, False, '{"error":[]}', 13),
+    ('{"error": "x"}', True, False, '{"error":"x"}', 14), ('{"a": {"ok": false}}', True, False, '{"a":{"ok":false}}', 20), ('{"a": "exit code: 1"}', False, False, '{"a":"exit code: 1"}', 21),
+    ('["exit code: 1"]', True, False, '["exit code: 1"]', 16), ('{"exit_code": 0, "error": "x"}', True, True, '{"error":"x","exit_code":0}', 30), (None, False, False, '""', 0),
+]
+
+
+def test_json_semantics_of_outputs(spark):
+    d = spark.createDataFrame([(k, x[0]) for k, x in enumerate(OUTPUTS)], "k int, o string")
+    got = d.select("k", js.output_failed("o"), js.output_succeeded("o"), js.canonical_arguments("o"), js.json_length("o")).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {k: x[1:] for k, x in enumerate(OUTPUTS)}
