@@ -7,18 +7,22 @@ written back with its separators:
 
 - card numbers of 13 to 19 digits in one run, or 13, 14, 15, 16 or 19 in the usual groups (4-3-3-3, 4-6-4, 4-6-5, 4-4-4-4,
   4-4-4-4-3), with a right Luhn digit: the digits before it are permuted, and it is computed anew
-- telephone numbers: ten national digits, the first from 2 to 9 where it was so; a country code stays
+- telephone numbers: ten national digits, the first from 2 to 9 where it was so; a country code stays. A run of ten digits from 2 or more counts as one,
+  and so do 8 to 15 digits in groups after + and a country code, whose digits are permuted by their number
 - US social security numbers, among those that can be given out
 - IPv4 addresses, over all 2 ** 32
-- dates from 1900 to 2099 (year first, or day or month first with four year digits), over these 73,049 days
-- e-mail addresses, in lower case: runs of up to 12 letters and digits each, the top-level domain stays
+- dates from 1900 to 2099 (year first, or day or month first with four year digits, or with an English month's name), over these 73,049 days
+- e-mail addresses, in lower case: runs of up to 12 ASCII letters and digits each; the top-level domain stays, and so do other letters
 - quoted hexadecimal secrets of 20 digits or more: runs of up to 12
 - account numbers (IBAN, in one run or groups of four) whose check digits are right: runs of digits after them, whose check
   digits are computed anew; country and letters stay
 - IPv6 addresses, in full or with one gap: the digits of each group
-- access keys with a known prefix (AKIA, ASIA, gh?_, xox?-, sk-), which stays: runs of up to 6 letters and digits after it
+- hardware addresses (six pairs of hexadecimal digits with colons or hyphens): their 12 digits
+- access keys with a known prefix (AKIA, ASIA, gh?_, xox?-, sk- with a word after it or not, eyJ of a signed token), which stays: runs of up to 6
+  letters and digits after it
 
-An unquoted run of 20 hexadecimal digits or more in the shape of an account number, but with wrong check digits, is taken for a secret.
+An unquoted run of 20 hexadecimal digits or more in the shape of an account number, but with wrong check digits, is taken for a secret. Other
+unquoted hexadecimal runs are no values: they are checksums more often than secrets.
 
 What only looks like a value but fails its check stays as it is. A null text stays null. Repeated rows give repeated results;
 ``n_values`` counts the values replaced and replaces a column of that name, other columns are kept.
@@ -36,18 +40,25 @@ from lodestep.session import fresh
 ROUNDS = 8
 DAYS = (17, 4297)  # 17 * 4297 days from 1900-01-01 to 2099-12-31
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./\-])(?:[12][0-9]{3}(?<d1>[-/.])[0-9]{1,2}\k<d1>[0-9]{1,2}|[0-9]{1,2}(?<d2>[-/.])[0-9]{1,2}\k<d2>[12][0-9]{3})(?![0-9]|[./\-][0-9])"
+# Fixed values
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "May" else m for m in MONTHS) + r")(?![A-Za-z])\.?"
+NAMED = r"(?<![A-Za-z0-9])(?:" + MONTH + r" [0-9]{1,2}(?:st|nd|rd|th)?,? [12][0-9]{3}|[0-9]{1,2}(?:st|nd|rd|th)? " + MONTH + r",? [12][0-9]{3})(?![0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|\+[0-9]{11,13}(?![0-9])"
+ABROAD = r"\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,5}(?![0-9])"
+BARE = r"(?<![0-9A-Za-z.,/_#:\-])[2-9][0-9]{9}(?![0-9A-Za-z_]|[.,/:\-][0-9])"
+MAC = r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?<m1>[:\-])(?:[0-9A-Fa-f]{2}\k<m1>){4}[0-9A-Fa-f]{2}(?![0-9A-Fa-f]|[:\-][0-9A-Fa-f])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<c1>[ \-])[0-9]{4}\k<c1>[0-9]{4}\k<c1>[0-9]{4}(?:\k<c1>[0-9]{3})?|[0-9]{4}(?<c2>[ \-])[0-9]{6}\k<c2>[0-9]{4,5}|[0-9]{4}(?<c3>[ \-])[0-9]{3}\k<c3>[0-9]{3}\k<c3>[0-9]{3})(?![0-9])"
 SECRET = r'(?<=")[0-9a-fA-F]{20,}+(?=")'
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.[0-9])"
-PREFIX = r"(?:A[KS]IA|gh[oprsu]_|xox[abpr]-|sk-)"
-TOKEN = r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9_])"
-ANY = "|".join([TOKEN, EMAIL, IP, DATE, SSN, PHONE, CARD, SECRET, IBAN, IPV6])
+PREFIX = r"(?:A[KS]IA|gh[oprsu]_|xox[abpr]-|sk-(?:[a-z]{2,8}-)?|eyJ)"
+TOKEN = r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|sk-(?:(?=[A-Za-z_\-]*+[0-9])[A-Za-z0-9_\-]{20,}+|[A-Za-z0-9]{20,}+)|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+)(?![A-Za-z0-9_])"
+ANY = "|".join([TOKEN, EMAIL, IP, DATE, NAMED, SSN, PHONE, ABROAD, BARE, CARD, SECRET, IBAN, MAC, IPV6])
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -206,6 +217,15 @@ def _ip(s: Column, key: Column) -> Column:
     return F.when(F.forall(parts, lambda p: p <= 255), F.concat_ws(".", *octets)).otherwise(s)
 
 
+def _other_day(year: Column, month: Column, day: Column, key: Column) -> tuple[Column, Column]:
+    """Whether a date is one of the domain's, and the date that it becomes."""
+    may = year.between(1900, 2099) & month.between(1, 12) & day.between(1, 31)
+    begin = F.make_date(F.when(may, year).otherwise(2000), F.when(may, month).otherwise(1), F.lit(1))
+    valid = may & (day <= F.dayofmonth(F.last_day(begin)))
+    x = F.datediff(begin, F.lit("1900-01-01").cast("date")) + F.when(valid, day).otherwise(1) - 1
+    return valid, F.date_add(F.lit("1900-01-01").cast("date"), feistel(x.cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), "date", key).cast("int"))
+
+
 def _date(s: Column, key: Column) -> Column:
     p = F.transform(F.split(s, "[-/.]"), lambda x: x.cast("int"))
     gap = F.regexp_extract(s, "[-/.]", 0)
@@ -215,16 +235,36 @@ def _date(s: Column, key: Column) -> Column:
     # day first, unless only month first can be right
     month = F.when(first | (at(1) <= 12), at(1)).otherwise(at(0))
     day = F.when(first, at(2)).when(at(1) <= 12, at(0)).otherwise(at(1))
-    may = year.between(1900, 2099) & month.between(1, 12) & day.between(1, 31)
-    begin = F.make_date(F.when(may, year).otherwise(2000), F.when(may, month).otherwise(1), F.lit(1))
-    valid = may & (day <= F.dayofmonth(F.last_day(begin)))
-    x = F.datediff(begin, F.lit("1900-01-01").cast("date")) + F.when(valid, day).otherwise(1) - 1
-    new = F.date_add(F.lit("1900-01-01").cast("date"), feistel(x.cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), "date", key).cast("int"))
+    valid, new = _other_day(year, month, day, key)
     y, m, d = F.year(new).cast("string"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
     out = F.when(first, F.concat_ws("~", y, m, d)).when(at(1) <= 12, F.concat_ws("~", d, m, y)).otherwise(F.concat_ws("~", m, d, y))
     return F.when(valid, F.replace(out, F.lit("~"), gap)).otherwise(s)
 
 
+def _named_date(s: Column, key: Column) -> Column:
+    """A date with a month's name: the new one in the same order, its name as short or long as before, without the ending of the day."""
+    name, day = F.regexp_extract(s, "[A-Z][a-z]+", 0), F.regexp_extract(s, "(?<![0-9])[0-9]{1,2}(?![0-9])", 0)
+    names = F.array(*(F.lit(m[:3]) for m in MONTHS))
+    valid, new = _other_day(F.right(s, F.lit(4)).cast("int"), F.array_position(names, F.left(name, F.lit(3))).cast("int"), day.cast("int"), key)
+    whole = F.element_at(F.array(*(F.lit(m) for m in MONTHS)), F.month(new))
+    month = F.when(F.length(name) > 3, whole).otherwise(F.left(whole, F.lit(3)))
+    d = F.dayofmonth(new).cast("string")
+    comma = F.when(F.contains(s, F.lit(",")), ", ").otherwise(" ")
+    return F.when(valid, F.concat(F.when(s.rlike("^[0-9]"), F.concat(d, F.lit(" "), month)).otherwise(F.concat(month, F.lit(" "), d)), comma, F.year(new).cast("string"))).otherwise(s)
+
+
+def _abroad(s: Column, key: Column) -> Column:
+    """A telephone number in groups after a country code, which stays."""
+    d, country = _digits(s), F.length(F.regexp_extract(s, "[0-9]+", 0))
+    own = F.substring(d, country + 1, F.length(d))
+    return F.when(F.length(d).between(8, 15), _refill(s, F.concat(F.left(d, country), _decimal(own, F.length(own), "abroad", key)))).otherwise(s)
+
+
+def _mac(s: Column, key: Column) -> Column:
+    flat = _runs(F.lower(F.regexp_replace(s, "[:-]", "")), 16, "mac", key)
+    return F.regexp_replace(flat, "(..)(?=.)", F.concat(F.lit("$1"), F.substring(s, 3, 1)))
+
+
 def _email(s: Column, key: Column) -> Column:
     low = F.lower(s)
     local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
@@ -240,12 +280,15 @@ def pseudonym(s: Column, key: Column) -> Column:
     return (
         F.when(F.contains(s, F.lit("@")), _email(s, key))
         .when(whole(TOKEN), _token(s, key))
+        .when(whole(MAC), _mac(s, key))
         .when(F.contains(s, F.lit(":")), _ipv6(s, key))
         .when(_is_iban(s), _iban(s, key))
         .when(whole(IP), _ip(s, key))
         .when(whole(DATE), _date(s, key))
+        .when(whole(NAMED), _named_date(s, key))
         .when(whole(SSN), _ssn(s, key))
-        .when(whole(PHONE), _phone(s, key))
+        .when(whole(PHONE) | whole(BARE), _phone(s, key))
+        .when(whole(ABROAD), _abroad(s, key))
         .when(secret, _runs(F.lower(s), 16, "secret", key))
         # what has an account number's shape and a wrong check may still hold a card number
         .when(s.rlike("^[A-Z]"), rebuild(s, CARD, lambda m: _card(m, key)))
@@ -257,8 +300,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in text, and n_values."""
     secret = F.lit(key)
     t = F.col(text)
-    # a text without digits, @, ::, a key's prefix or a quoted secret of letters has no value, and is not searched
-    may = t.rlike(r"[0-9]|@|::|" + PREFIX + "|" + SECRET)
+    # a text without digits, @, ::, pairs of letters, a key's prefix or a quoted secret of letters has no value, and is not searched
+    may = t.rlike(r"[0-9]|@|::|(?:[A-Fa-f]{2}[:\-]){5}|" + PREFIX + "|" + SECRET)
     old, new = fresh(docs, "pii_found"), fresh(docs, "pii_new")
     given = docs.withColumn(old, F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     some = F.size(old) > 0
