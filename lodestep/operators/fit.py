@@ -55,10 +55,53 @@ def gram(df: DataFrame, vector: str, targets: list[str], by: str | None = None)
     return out
 
 
+#: Triangles that one task stacks into one.
+STACK = 64
+
+
+def triangle(df: DataFrame, vector: str, targets: list[str], stack: int = STACK) -> np.ndarray:
+    """R of a QR of [X y] over all rows, by a tree: tasks reduce batches of their rows to triangles, and stacks of these to one.
+
+    X'X would square the condition of X; triangles keep it. The driver gets at most stack triangles of (p + targets) squared.
+    """
+    ship(df.sparkSession)
+    columns = [F.col(vector).alias("v"), *(F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(targets))]
+
+    def reduced(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+        r = None
+        for x in parts:
+            r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        return r
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = reduced(np.c_[np.stack(b["v"].to_list()).astype(float), b[[f"y{i}" for i in range(len(targets))]].to_numpy(float)] for b in batches if len(b))
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel().tolist()], "width": r.shape[1]})
+
+    def stacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = reduced(np.reshape(flat, (-1, width)) for b in batches for flat, width in zip(b["r"], b["width"], strict=True))
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel().tolist()], "width": r.shape[1]})
+
+    schema = "r array<double>, width int"
+    at = stash(df.select(*columns).mapInPandas(rows, schema), "triangles")
+    while (n := at.count()) > stack:
+        at = stash(at.repartition(-(-n // stack)).mapInPandas(stacked, schema), "triangles")
+    found = reduced(np.reshape(r["r"], (-1, r["width"])) for r in at.collect())
+    if found is None:
+        raise ValueError("no rows to fit")
+    return found
+
+
 def ridge(df: DataFrame, vector: str, targets: list[str], penalty: float) -> np.ndarray:
-    """Coefficients (p by targets) of (X'X + penalty * diag(0, 1, ...)) b = X'y; the intercept has no penalty."""
-    a, b, _ = gram(df, vector, targets)[0]
-    return solve(a + penalty * np.diag([0.0] + [1.0] * (len(a) - 1)), b)
+    """Coefficients (p by targets) of the least squares of X b = y with penalty on all but the intercept; a design of lower rank is an error."""
+    r = triangle(df, vector, targets)
+    p = r.shape[1] - len(targets)
+    x = np.vstack([r[:, :p], np.sqrt(penalty) * np.diag([0.0] + [1.0] * (p - 1))])
+    found, _, rank, _ = np.linalg.lstsq(x, np.vstack([r[:, p:], np.zeros((p, len(targets)))]), rcond=None)
+    if rank < p:
+        raise ValueError("singular ridge system")
+    return found
 
 
 def push(blocks: list[tuple[float, float, float]], upper: float, s: float, w: float) -> None:

@@ -197,10 +197,12 @@ SELECT conv_id, coalesce(arg_min(text, pos) FILTER (WHERE role = 'system'), '')
        md5(coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY pos) FILTER (WHERE role = 'user'), '')) AS user_text_md5
 FROM i GROUP BY conv_id""",
     "q_history_split": f"""WITH {ITEMS}, {LENS},
-h AS (SELECT conv_id, count(*) AS history_items, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY pos) FILTER (WHERE role = 'user'), '') AS t,
+h AS (SELECT conv_id, count(*) AS history_items, coalesce(arg_max(coalesce(text, ''), pos) FILTER (WHERE role = 'user'), '') AS output,
         coalesce(arg_max(text, pos) FILTER (WHERE role = 'assistant' AND trim(text) <> ''), '') AS final
-      FROM i JOIN l USING (conv_id) WHERE pos >= opening_len GROUP BY conv_id)
-SELECT conv_id, history_items, right(t, 700) AS user_tail, left(final, 1200) AS final_head, right(final, 1200) AS final_tail FROM h""",
+      FROM i JOIN l USING (conv_id) WHERE pos >= opening_len GROUP BY conv_id),
+o AS (SELECT conv_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY pos) FILTER (WHERE role = 'user'), '') AS t FROM i JOIN l USING (conv_id) WHERE pos < opening_len GROUP BY conv_id)
+SELECT conv_id, history_items, right({ROUTING.format("coalesce(t, '')")}, 700) AS task_excerpt, left(final, 1200) AS final_assistant_excerpt, right(output, 1200) AS last_output_excerpt
+FROM h LEFT JOIN o USING (conv_id)""",
     "q_group_key": f"WITH {DOCS}, {STATUS} SELECT * FROM s",
     "q_group_audit": f"""WITH {DOCS},
 g AS (SELECT group_id, count(*) AS request_count, string_agg(DISTINCT model, '|' ORDER BY model) AS models, count(DISTINCT model) AS nm,

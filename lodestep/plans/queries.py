@@ -59,11 +59,15 @@ def item_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_split(spark: SparkSession, d: str) -> DataFrame:
-    later = outcomes.history(traces.conversation_items(spark, d), ["conv_id"])
-    text = trajectory.joined_text(F.col("text"), F.col("pos"), F.col("role") == "user")
+    """What a reviewer sees of each conversation with a history; the last later turn of the user stands for the last tool output."""
+    items = traces.conversation_items(spark, d)
+    later = outcomes.history(items, ["conv_id"])
     final = outcomes.last_text(F.col("text"), F.col("pos"), F.col("role") == "assistant")
-    h = later.groupBy("conv_id").agg(F.count("*").alias("history_items"), text.alias("t"), final.alias("final"))
-    return h.select("conv_id", "history_items", F.right("t", F.lit(700)).alias("user_tail"), F.left("final", F.lit(1200)).alias("final_head"), F.right("final", F.lit(1200)).alias("final_tail"))
+    output = F.max_by(F.when(F.col("role") == "user", F.coalesce("text", F.lit(""))), F.when(F.col("role") == "user", F.col("pos")))
+    h = later.groupBy("conv_id").agg(F.count("*").alias("history_items"), final.alias("final"), F.coalesce(output, F.lit("")).alias("output"))
+    h = h.join(_opening_texts(spark, d), "conv_id", "left")
+    task = T.routing_text(F.coalesce("user_text", F.lit("")))
+    return h.select("conv_id", "history_items", F.right(task, F.lit(700)).alias("task_excerpt"), F.left("final", F.lit(1200)).alias("final_assistant_excerpt"), F.right("output", F.lit(1200)).alias("last_output_excerpt"))
 
 
 def _doc_requests(spark: SparkSession, d: str) -> DataFrame:

@@ -65,3 +65,23 @@ def test_as_many_blocks_as_predictions_stay_a_table(spark):
     blocks = fit.isotonic(rows, "p", "y")
     assert blocks.agg(F.count("*"), F.sum("value")).first()[:] == (n, n * (n - 1) / 2)
     assert stats.step_lookup(rows, "p", blocks, "o").where("o <> y").isEmpty()
+
+
+def test_ridge_of_a_design_that_its_gram_matrix_loses(spark):
+    rng = np.random.default_rng(6)
+    n, t = 900, np.linspace(0, 1, 900)
+    x = np.c_[np.ones(n), t, t + 1e-9 * rng.normal(size=n), rng.normal(size=n)]
+    y = x @ np.array([[1.0, 0.5], [2.0, -1.0], [3.0, 4.0], [-1.0, 2.0]])
+    df = spark.createDataFrame([(a.tolist(), float(b[0]), float(b[1])) for a, b in zip(x, y, strict=True)], "v array<double>, y double, z double").repartition(9)
+    got, want = fit.ridge(df, "v", ["y", "z"], 0.0), np.linalg.lstsq(x, y, rcond=None)[0]
+    assert np.abs(x @ got - y).max() < 1e-8 and np.allclose(got, want, rtol=1e-4)
+    gram = np.linalg.solve(x.T @ x, x.T @ y)  # what normal equations make of it
+    assert np.abs(gram - want).max() > 0.1
+    a = 15 * np.diag([0.0, 1.0, 1.0, 1.0])
+    assert np.allclose(fit.ridge(df, "v", ["y", "z"], 15.0), np.linalg.solve(x.T @ x + a, x.T @ y))
+    r = fit.triangle(df, "v", ["y", "z"], stack=2)
+    assert np.allclose(r.T @ r, np.c_[x, y].T @ np.c_[x, y])
+    same = spark.createDataFrame([([1.0, float(k), float(k)], float(k)) for k in range(9)], "v array<double>, y double")
+    with pytest.raises(ValueError, match="singular"):
+        fit.ridge(same, "v", ["y"], 0.0)
+    assert np.allclose(fit.ridge(same, "v", ["y"], 1e-3)[1:, 0], 0.5, atol=1e-4)
