@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,21 +239,90 @@ def three_way(df: DataFrame, key: str, validation: float = 0.2, test: float = 0.
     return greedy(df, key, lambda rows: [max(rows * f, 1) for f in (1.0 - validation - test, validation, test)], out)
 
 
-def vocabulary(df: DataFrame, terms: str, rows: int, features: int = 96, least: int = 3) -> DataFrame:
-    """term, df, total, idf of the most frequent terms that at least three documents have. Tasks add up their terms first."""
-    one, zero = F.lit(1), F.lit(0)
-    seen = F.concat(F.transform(terms, lambda t: F.struct(t.alias("term"), one.alias("n"), zero.alias("d"))), F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), zero.alias("n"), one.alias("d"))))
-    t = df.select(F.explode(seen).alias("t")).groupBy("t.term").agg(F.sum("t.d").alias("df"), F.sum("t.n").alias("total")).where(F.col("df") >= least)
+#: Terms of a part that are looked at first; different terms at which a task starts a new part.
+FIRST, PART = 4096, 2_000_000
+
+
+def term_counts(df: DataFrame, terms: str, most: int = PART) -> DataFrame:
+    """part, place (by n, from 1), term, n and d (rows that have it) of the terms that each task has counted, written; nothing is shuffled."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, parts = 0, 0, []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(parts).group_by("t").aggregate([("n", "sum"), ("d", "sum")]).rename_columns(["t", "n", "d"])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            t = merged().sort_by([("n", "descending"), ("t", "ascending")])
+            name = pa.array([f"{TaskContext.get().partitionId()}.{part}"] * len(t))
+            t = pa.table({"part": name, "place": pa.array(np.arange(1, len(t) + 1)), "term": t["t"], "n": t["n"], "d": t["d"]})
+            yield from t.to_batches(max_chunksize=50_000)
+
+        for b in batches:
+            lists = b.column(0)
+            own = pa.table({"r": np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), "t": lists.flatten()})
+            by_row = own.group_by(["r", "t"]).aggregate([([], "count_all")])
+            by_term = by_row.group_by("t").aggregate([("count_all", "sum"), ("count_all", "count")]).rename_columns(["t", "n", "d"])
+            parts.append(by_term.cast(pa.schema([("t", pa.string()), ("n", pa.int64()), ("d", pa.int64())])))
+            held += len(by_term)
+            if held > most:
+                parts = [merged()]
+                held = len(parts[0])
+                if held > most // 2:
+                    yield from counted()
+                    part, held, parts = part + 1, 0, []
+        if parts:
+            yield from counted()
+
+    return stash(df.select(terms).mapInArrow(run, "part string, place long, term string, n long, d long"), "term-counts")
+
+
+def vocabulary(df: DataFrame, terms: str, rows: int, features: int = 96, least: int = 3, first: int = FIRST, part: int = PART, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """term, df, total, idf of the most frequent terms that at least three documents have.
+
+    Each task counts its own terms. The sums of every part's first ones bound from below what the last term of the result has; what a part
+    has not listed is at most its last listed count there, which bounds the others from above. Only terms that can still
+    reach the result are summed over all parts. Where terms that no part lists could, more are listed.
+    """
+    counts = term_counts(df, terms, part)
+    while True:
+        ends = counts.groupBy("part").agg(F.coalesce(F.max(F.when(F.col("place") == first, F.col("n"))), F.lit(0)).alias("last"))  # a row for each part
+        rest = ends.agg(F.coalesce(F.sum("last"), F.lit(0))).first()[0]
+        listed = counts.where(F.col("place") <= first).join(F.broadcast(ends), "part").groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("last").alias("listed"))
+        listed = stash(listed, "listed-terms")
+        sure = listed.where(F.col("d") >= least).orderBy(F.desc("n")).limit(features).agg(F.count("*"), F.min("n")).first()
+        floor = sure[1] if sure[0] == features else 0
+        if not rest or rest < floor:
+            break
+        first *= 8
+    may = listed.where(F.col("n") + F.lit(rest) - F.col("listed") >= floor).select("term")
+    may = F.broadcast(may) if may.count() <= broadcast_rows else may
+    t = counts.join(may, "term").groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least)
     return t.orderBy(F.desc("total"), "term").limit(features).withColumn("idf", F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)
 
 
 def tfidf(df: DataFrame, id_: str, terms: str, vocab: DataFrame) -> DataFrame:
-    """id, term and weight: (1 + ln tf) * idf, of length 1 for each document. Terms out of the vocabulary, which is small, are not shuffled."""
-    counts = df.select(id_, F.explode(terms).alias("term")).join(F.broadcast(vocab.select("term", "idf")), "term").groupBy(id_, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-    raw = (1 + F.log("tf")) * F.col("idf")
-    own = counts.groupBy(id_).agg(F.collect_list(F.struct("term", raw.alias("raw"))).alias("ws"))
-    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, w: s + w["raw"] * w["raw"]))
-    return own.withColumn("norm", norm).select(id_, "norm", F.explode("ws").alias("w")).select(id_, "w.term", (F.col("w.raw") / F.col("norm")).alias("weight"))
+    """id, term and weight: (1 + ln tf) * idf, of length 1 for each row. The vocabulary, which is small, goes to the rows; nothing is shuffled."""
+    ship(df.sparkSession)
+    known = [(r["term"], r["idf"]) for r in vocab.select("term", "idf").collect()]
+    names, idf = pa.array([k for k, _ in known], pa.string()), np.array([i for _, i in known])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+            both, tf = np.unique(row[at >= 0] * max(len(idf), 1) + at[at >= 0], return_counts=True)
+            row, at = np.divmod(both, max(len(idf), 1))
+            raw = (1 + np.log(tf)) * idf[at]
+            norm = np.sqrt(np.bincount(row, raw * raw, len(lists)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(at)), pa.array(raw / norm[row])], [id_, "term", "weight"])
+
+    kind = dict(df.dtypes)[id_]
+    return df.select(id_, terms).mapInArrow(run, f"`{id_}` {kind}, term string, weight double")
 
 
 def cross_validated_slope(df: DataFrame, names: list[str], folds: str, outcome: str, capability: str, penalty: float) -> tuple[float, dict[float, float]]:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,30 @@ def test_ridge_of_a_design_that_its_gram_matrix_loses(spark):
     with pytest.raises(ValueError, match="singular"):
         fit.ridge(same, "v", ["y"], 0.0)
     assert np.allclose(fit.ridge(same, "v", ["y"], 1e-3)[1:, 0], 0.5, atol=1e-4)
+
+
+def plain_vocabulary(texts, features, least):
+    total, seen = Counter(t for x in texts for t in x), Counter(t for x in texts for t in set(x))
+    best = sorted((t for t in total if seen[t] >= least), key=lambda t: (-total[t], t))[:features]
+    return [(t, seen[t], total[t]) for t in best]
+
+
+@pytest.mark.parametrize(("first", "part"), [(4096, 2_000_000), (2, 2_000_000), (1, 40)])
+def test_most_frequent_terms_whatever_is_listed_first(spark, first, part):
+    rng = np.random.default_rng(first)
+    texts = [[f"t{int(k)}" for k in rng.zipf(1.3, rng.integers(0, 40)) if k < 400] for _ in range(150)] + [["rare"] * 500, ["pair"] * 90, ["pair"] * 9, []]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, terms array<string>").repartition(5)
+    for features, least in ((10, 3), (3, 1), (1000, 3)):
+        got = fit.vocabulary(df, "terms", len(texts), features, least, first, part).collect()
+        assert [(r["term"], r["df"], r["total"]) for r in got] == plain_vocabulary(texts, features, least)
+        assert all(abs(r["idf"] - (np.log((1 + len(texts)) / (1 + r["df"])) + 1)) < 1e-12 for r in got)
+    assert fit.vocabulary(df.limit(0), "terms", 0).count() == 0
+
+
+def test_weights_of_terms_have_length_one(spark):
+    df = spark.createDataFrame([("a", ["x", "y", "x", "q"]), ("b", ["q"]), ("c", []), ("d", None), ("e", ["y"])], "id string, terms array<string>")
+    vocab = spark.createDataFrame([("x", 2.0), ("y", 3.0)], "term string, idf double")
+    got = {(r["id"], r["term"]): r["weight"] for r in fit.tfidf(df, "id", "terms", vocab).collect()}
+    n = np.hypot((1 + np.log(2)) * 2, 3)
+    assert got == pytest.approx({("a", "x"): (1 + np.log(2)) * 2 / n, ("a", "y"): 3 / n, ("e", "y"): 1.0})
+    assert fit.tfidf(df, "id", "terms", vocab.limit(0)).count() == 0
