@@ -82,3 +82,22 @@ def test_fitted_chain_against_numpy(spark, tiny):
     out = queries.fitted_policy(spark, tiny).collect()
     assert len(out) == n and all(0 <= r["predicted_complexity"] <= 100 and 0 <= r["predicted_risk"] <= 1 and 0 <= r["predicted_quality"] <= 1 for r in out)
     assert {r["chosen_action"] for r in out} <= {p["action"] for p in policy.profile_table()}
+
+
+ODD_TEXTS = ["a 1 3.14", "10.0.0.1 10.0.0.2 10.0.0.3", "x 3.14-3.14, 1.2.3a", "2024-01-02 2024-01-03T10:00 1", "PII_NAME_1", "a\u00a0\u00a0b\u00a0", "\u0130\u0391\u03a3 \u03a3", "http://a\u00a0b http\u017f://c me@x.org-", "3\u00b2 \u00bd7 \u0663", "abcde\u017fgh \u0131bcdefgh", "a\x0bb\x85", "<\u212a> <delivery_note>x\n</delivery_note> cron path: `a` \n", None]
+
+
+@pytest.mark.parametrize("name", ["q_sanitize", "q_template_split"])
+def test_odd_texts_against_the_sql(spark, tmp_path, name):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as e
+
+    texts = ODD_TEXTS + [f"{a}{b}" for a in ODD_TEXTS[:6] for b in ODD_TEXTS[:6]]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = e.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall())
