@@ -121,11 +121,16 @@ def one_edit(x: str, y: str) -> bool:
 
 
 def first_list(x: str, y: str, keys_x: str, keys_y: str, q: int) -> tuple[str, int, int]:
-    """The least (gram, position in y, shift) of the lists in which x finds y."""
+    """The least (gram, position in y, shift) of the lists in which x finds y: no shift up to the edit, the longer word's after it."""
     gx, gy = grams(x, q), grams(y, q)
     both = {*keys_x.split()} & {*keys_y.split()}
-    shifts = (0, 1) if len(x) != len(y) else (0,)
-    return min((g, p + s, s) for p, g in enumerate(gx) if g in both for s in shifts if p + s < len(gy) and gy[p + s] == g)
+    longer = len(gy) - len(gx)
+    # in a run of one letter a gram also stands at its old place behind the edit, but there neither side is the same
+    head = next((k for k, (a, b) in enumerate(zip(gx, gy, strict=False)) if a != b), len(gx))
+    tail = next((k for k, (a, b) in enumerate(zip(reversed(gx), reversed(gy), strict=False)) if a != b), len(gx))
+    before = ((gx[p], p, 0) for p in range(head) if gx[p] in both)
+    after = ((gx[p], p + longer, longer) for p in range(len(gx) - tail, len(gx)) if gx[p] in both)
+    return min((*before, *after))
 
 
 def candidates(lists: list[list[int]], bound: int) -> Iterator[int]:
@@ -173,9 +178,8 @@ class _List:
         yield from candidates(lists, bound)
 
 
-def list_pairs(gram: str, rows: list[tuple], q: int) -> Iterator[tuple]:
-    """word, n, other, n of near words of one gram, each pair once. rows: side, word, n, keys; with two sides only pairs across them count."""
-    both = len({r[0] for r in rows}) > 1
+def list_pairs(gram: str, rows: list[tuple], q: int, both: bool = False) -> Iterator[tuple]:
+    """word, n, other, n of near words of one gram, each pair once. rows: side, word, n, keys; both: of two blocks, where only pairs across sides count."""
     at: dict[tuple, _List] = {}
     mine = []
     for side, word, n, keys in rows:
@@ -218,15 +222,15 @@ def _searched(q: int):
                 for gram, one, two, *row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
                     if (gram, one, two) != key:
                         if len(rows) > 1:
-                            yield key[0], rows
+                            yield key, rows
                         key, rows = (gram, one, two), []
                     rows.append(row)
             if len(rows) > 1:
-                yield key[0], rows
+                yield key, rows
 
         out: list[tuple] = []
-        for gram, rows in shards():
-            for pair in list_pairs(gram, rows, q):
+        for (gram, one, two), rows in shards():
+            for pair in list_pairs(gram, rows, q, one != two):
                 out.append(pair)
                 if len(out) >= 20_000:
                     yield taken(out)

@@ -86,6 +86,27 @@ def test_lists_with_and_without_a_heap(short, monkeypatch):
     assert set(got) == {frozenset((a, b)) for a in v for b in v if a < b and near(a, b)}
 
 
+@pytest.mark.parametrize("q", [2, 4])
+def test_letters_inserted_before_runs_of_one_letter(q):
+    v = sorted({f"{a}{r * n}{b}" for a in ("", "a", "b", "ab") for r in "ab" for n in range(5, 10) for b in ("", "bb", "bbbbbb", "ab")})
+    counts = [0] * sv.SLOTS
+    for w in v:
+        for s in {sv._slot(g) for g in sv.grams(w, q)}:
+            counts[s] += 1
+    rows = {}
+    for w in v:
+        for g in (keys := sv.rare(w, counts, q)):
+            rows.setdefault(g, []).append((0, w, 1, " ".join(keys)))
+    got = Counter(frozenset((a, b)) for g, r in rows.items() for a, _, b, _ in sv.list_pairs(g, r, q))
+    assert set(got.values()) <= {1}
+    assert set(got) == {frozenset((a, b)) for a in v for b in v if a < b and near(a, b)}
+
+
+def test_two_blocks_of_which_one_is_empty():
+    rows = [(0, w, 1, "^^^w") for w in ("words", "wordy")]
+    assert list(sv.list_pairs("^^^w", rows, 4)) and not list(sv.list_pairs("^^^w", rows, 4, True))
+
+
 def test_merged_candidates():
     rng = random.Random(1)
     for _ in range(300):
