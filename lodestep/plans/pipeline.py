@@ -177,10 +177,15 @@ class Encoder:
     def text(self) -> Column:
         """Sub-linear TF-IDF over the vocabulary, of length 1 or all zero; in the row, without a join."""
         terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(i)).alias("idf")) for t, i in zip(self.vocabulary, self.idf, strict=True)))
-        raw = F.transform(terms, lambda v: F.size(F.filter("terms", lambda t: t == v["t"])))
-        weights = F.zip_with(raw, terms, lambda n, v: F.when(n > 0, (1 + F.log(n.cast("double"))) * v["idf"]).otherwise(0.0))
+        # a text's terms are met once; what is counted for each term of the vocabulary are the few that it has
+        known = F.filter("terms", lambda t: t.isin(self.vocabulary))
+        weights = T.let(known, lambda own: F.transform(terms, lambda v: T.let(F.size(F.filter(own, lambda t: t == v["t"])), lambda n: F.when(n > 0, (1 + F.log(n.cast("double"))) * v["idf"]).otherwise(0.0))))
+        return T.let(weights, self._unit)
+
+    @staticmethod
+    def _unit(weights: Column) -> Column:
         norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(weights, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+        return T.let(norm, lambda n: F.transform(weights, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
     def vector(self) -> Column:
         numeric = [(F.col(f"n_{f}") - self.means[f]) / self.scales[f] for f in OPENING]
@@ -371,7 +376,7 @@ def fit_quality(a: Artifact, own: DataFrame, o: Options, scenario: str = "base")
 
 
 def quality_rows(rows: DataFrame, a: Artifact) -> DataFrame:
-    return stash(fit.grouped_folds(_calibrated_rows(rows, a), "template", QUALITY_FOLDS, "quality_fold"), "quality-rows")
+    return stash(fit.grouped_folds(_calibrated_rows(rows.drop("terms"), a), "template", QUALITY_FOLDS, "quality_fold"), "quality-rows")
 
 
 def fit_artifact(rows: DataFrame, o: Options, scenario: str = "base") -> Artifact:

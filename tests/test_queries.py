@@ -1,11 +1,13 @@
 """Each query against its SQL on the smallest tables, and some with other numbers of partitions."""
 
 import os
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestep.functions import text as T
 from lodestep.operators import policy
@@ -101,3 +103,16 @@ def test_odd_texts_against_the_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     got = e.queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall())
+
+
+def test_long_texts_are_met_once_by_the_encoder(spark):
+    """Many terms and a long vocabulary: what a row takes grows with their sum, not their product."""
+    names = [f"t{k:03d}" for k in range(400)]
+    e = pipeline.Encoder({}, {}, names, [1.0 + k / 100 for k in range(400)])
+    text = F.concat(F.array(F.lit("t007"), F.lit("t007"), F.lit("t390")), F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda k: F.concat(F.lit("other"), k.cast("string"))))
+    begin = time.monotonic()
+    got = np.array(spark.range(1).select(text.alias("terms")).select(e.text().alias("x")).first()["x"])
+    assert time.monotonic() - begin < 6
+    want = np.zeros(400)
+    want[7], want[390] = (1 + np.log(2)) * 1.07, 4.9
+    assert np.allclose(got, want / np.linalg.norm(want))
