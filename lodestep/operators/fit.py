@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -239,8 +240,18 @@ def three_way(df: DataFrame, key: str, validation: float = 0.2, test: float = 0.
     return greedy(df, key, lambda rows: [max(rows * f, 1) for f in (1.0 - validation - test, validation, test)], out)
 
 
-#: Terms of a part that are looked at first; different terms at which a task starts a new part.
-FIRST, PART = 4096, 2_000_000
+#: Terms of a part that are looked at first; different terms at which a task starts a new part; terms of a batch that are counted at once.
+FIRST, PART, SLICE = 4096, 250_000, 100_000
+
+
+def _slices(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive rows of lists with some ``most`` values together; a row with more stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lists[lo:hi]
+        lo = hi
 
 
 def term_counts(df: DataFrame, terms: str, most: int = PART) -> DataFrame:
@@ -261,8 +272,7 @@ def term_counts(df: DataFrame, terms: str, most: int = PART) -> DataFrame:
             t = pa.table({"part": name, "place": pa.array(np.arange(1, len(t) + 1)), "term": t["t"], "n": t["n"], "d": t["d"]})
             yield from t.to_batches(max_chunksize=50_000)
 
-        for b in batches:
-            lists = b.column(0)
+        for lists in itertools.chain.from_iterable(_slices(b.column(0), SLICE) for b in batches):
             own = pa.table({"r": np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), "t": lists.flatten()})
             by_row = own.group_by(["r", "t"]).aggregate([([], "count_all")])
             by_term = by_row.group_by("t").aggregate([("count_all", "sum"), ("count_all", "count")]).rename_columns(["t", "n", "d"])

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,10 @@ def test_weights_of_terms_have_length_one(spark):
     n = np.hypot((1 + np.log(2)) * 2, 3)
     assert got == pytest.approx({("a", "x"): (1 + np.log(2)) * 2 / n, ("a", "y"): 3 / n, ("e", "y"): 1.0})
     assert fit.tfidf(df, "id", "terms", vocab.limit(0)).count() == 0
+
+
+def test_slices_of_a_batch_of_terms():
+    lists = pa.array([["a"] * n if n is not None else None for n in (3, 0, None, 9, 2, 2, 1, 30)], pa.list_(pa.string()))
+    cut = list(fit._slices(lists, 5))
+    assert [x for c in cut for x in c.to_pylist()] == lists.to_pylist() and [len(c) for c in cut] == [3, 1, 3, 1]
+    assert fit.PART <= 250_000 and not list(fit._slices(lists[:0], 5))
