@@ -135,7 +135,24 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, F.xxhash64(plain)).alias("node"), F.when(sound, F.xxhash64(F.lit(1), plain)).alias("check"), F.when(sound, plain).alias("x"))
 
 
-MEMBERS = "cell long, tab int, home boolean, node long, weight long, homes array<long>, visits array<long>, x binary"
+HOUSED = "node long, weight long, homes array<long>, visits array<long>, x binary"
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's components, in single precision where that loses nothing; the first byte tells which."""
+    single = x.astype(np.float32)
+    same = (single == x).all(1)
+    return [b"f" + s.tobytes() if k else b"d" + r.tobytes() for k, s, r in zip(same, single, x, strict=True)]
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row scaled to length one."""
+    unit = x / np.abs(x).max(1)[:, None]
+    return unit / np.sqrt((unit * unit).sum(1))[:, None]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return scaled(np.stack([np.frombuffer(r, np.float32 if r[:1] == b"f" else np.float64, offset=1).astype(float) for r in rows]))
 
 
 def _housed(plans: dict[int, Plan]):
@@ -152,18 +169,11 @@ def _housed(plans: dict[int, Plan]):
                 for lo in range(0, len(rows), 1024):
                     mine = rows[lo : lo + 1024]
                     x = np.stack([flat[at[k] : at[k] + d] for k in mine])
-                    unit = x / np.abs(x).max(1)[:, None]
-                    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+                    unit = scaled(x)
                     homes, visits = zip(*(cells(unit, t, p) for t in range(p.tables)), strict=True)
                     # vectors of different lengths never meet
                     homes, visits = np.stack(homes, 1) ^ int(d), np.stack(visits, 1) ^ int(d)
-                    flat_visits = visits.reshape(len(mine), -1)
-                    n = len(mine)
-                    fixed = [pa.array(node[mine]), pa.array(weight[mine]), pa.array(list(homes)), pa.array(list(flat_visits)), pa.array([r.tobytes() for r in unit], pa.binary())]
-                    for t in range(p.tables):
-                        for k in range(-1, p.probes):
-                            cell = homes[:, t] if k < 0 else visits[:, t, k]
-                            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, k < 0)), *fixed], [f.split()[0] for f in MEMBERS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(weight[mine]), pa.array(list(homes)), pa.array(list(visits.reshape(len(mine), -1))), pa.array(packed(x), pa.binary())], [f.split()[0] for f in HOUSED.split(", ")])
 
     return run
 
@@ -183,7 +193,7 @@ def _compared(cosine: float, limit: int):
         node, weight = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
         homes = np.array([r[4] for r in rows], np.int64)
         visits = np.array([r[5] for r in rows], np.int64).reshape(len(rows), homes.shape[1], -1)
-        x = np.stack([np.frombuffer(r[6]) for r in rows])
+        x = unpacked([r[6] for r in rows])
         both, links, up = side[0] != side[-1], np.zeros(len(rows), np.int64), np.arange(len(rows))
 
         def root(k: int) -> int:
@@ -250,15 +260,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, limit: int = LIM
     own = stash(own.withColumn("node", F.xxhash64("node", "check")), "vector-classes")
     # one row for each length of vectors
     plans = {r["d"]: plan(r["n"], cosine, r["d"], target) for r in own.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    members = stash(own.select("node", "weight", "x").mapInArrow(_housed(plans), MEMBERS), "cells")
+    # a row for each vector; its cells are dealt by numbers alone, and its components go only to cells where it may meet another
+    housed = stash(own.select("node", "weight", "x").mapInArrow(_housed(plans), HOUSED), "housed")
     key, rest = ["cell", "tab"], ["home", "node", "weight", "homes", "visits", "x"]
-    # each has over limit members
-    hot = stash(members.groupBy(*key).agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks")).where("blocks > 1"), "hot-cells")
-    dealt = members.select(*key, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), *rest)
-    if not hot.isEmpty():
-        met = members.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = met.select(*key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), *rest)
+    probes = (F.size("visits") / F.size("homes")).cast("int")
+    at = F.concat(F.transform("homes", lambda c, t: F.struct(c.alias("cell"), t.alias("tab"), F.lit(True).alias("home"))), F.transform("visits", lambda c, k: F.struct(c.alias("cell"), F.floor(k / probes).cast("int").alias("tab"), F.lit(False).alias("home"))))
+    places = housed.select("node", F.explode(at).alias("at")).select("node", "at.*")
+    met = stash(places.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or("home").alias("housed")).where("n > 1 and housed").select(*key, F.ceil(F.col("n") / limit).cast("int").alias("blocks")), "met-cells")
+    members = places.join(met, key).join(housed, "node")
+    # a cell with over limit members is dealt in pairs of blocks
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), *rest)
     shard = [*key, "one", "two"]
     found = stash(dealt.repartition(*shard).sortWithinPartitions(*shard, "side").mapInArrow(_compared(cosine, limit), FOUND), "cell-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -112,3 +112,19 @@ def test_the_query_against_all_pairs(spark, small):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, QUERIES["op13_lattice_hash"](spark, small).collect()), key=str) == brute(rows)
+
+
+def test_components_are_written_once_and_without_loss(spark, monkeypatch):
+    rng, sizes, real = np.random.default_rng(4), [], lh.stash
+
+    def counted(df, label):
+        t = real(df, label)
+        sizes.append(t.count() if "x" in t.columns else 0)
+        return t
+
+    monkeypatch.setattr(lh, "stash", counted)
+    rows = [(k, [float(v) for v in rng.normal(size=16)]) for k in range(150)]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows)
+    assert max(sizes) == 150
+    x = np.concatenate([rng.normal(size=(3, 5)), rng.normal(size=(3, 5)).astype(np.float32).astype(float)])
+    assert [r[:1] for r in lh.packed(x)] == [b"d"] * 3 + [b"f"] * 3 and (lh.unpacked(lh.packed(x)) == lh.scaled(x)).all()
